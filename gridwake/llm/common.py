@@ -172,3 +172,27 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         before = now
     roots = edges.select(F.col("b").alias("id")).distinct()
     return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")).join(edges.select(F.col("a").alias("id")).distinct(), "id", "left_anti"))
+
+
+def labelled_ids(labels: DataFrame, label: str, keep, most: int) -> DataFrame:
+    """At most `most` (doc_id, y) of the labelled rows that `keep` allows, those of least crc32.
+
+    Rows that name a document twice count once, with the larger label; null labels are left out.
+    """
+    rows = labels.where(keep & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    rows = rows.groupBy("doc_id").agg(F.max(F.col(label)).alias("y"))
+    return rows.orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(most)
+
+
+def fitted(sample: DataFrame, fit) -> bytes | None:
+    """fit(pandas frame) run on one executor over a sample of bounded size; its bytes, None if no row."""
+
+    def run(frames):
+        import pandas as pd
+
+        frames = list(frames)
+        if frames and sum(map(len, frames)):
+            yield pd.DataFrame({"model": [fit(pd.concat(frames, ignore_index=True))]})
+
+    row = sample.repartition(1).mapInPandas(run, "model binary").first()
+    return None if row is None or row[0] is None else bytes(row[0])
