@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from gridwake.llm import langid, quality, toxicity
+from gridwake.llm import decontaminate, langid, packing, quality, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_language_id": langid.op6_language_id,
+    "op8_packing": packing.op8_packing,
     "op9_quality": quality.op9_quality,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": decontaminate.ORACLE,
+}
