@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from gridwake.llm import decontaminate, langid, packing, quality, toxicity
+from gridwake.llm import decontaminate, langid, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_language_id": langid.op6_language_id,
+    "op7_secrets": secrets.op7_secrets,
     "op8_packing": packing.op8_packing,
     "op9_quality": quality.op9_quality,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": decontaminate.ORACLE,
+    "op7_secrets": secrets.ORACLE,
 }
