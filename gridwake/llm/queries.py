@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridwake.llm import decontaminate, langid, packing, quality, secrets, toxicity
+from gridwake.llm import decontaminate, extract, langid, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_secrets": secrets.op7_secrets,
     "op8_packing": packing.op8_packing,
     "op9_quality": quality.op9_quality,
+    "op10_html": extract.op10_html,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": decontaminate.ORACLE,
