@@ -244,7 +244,8 @@ def templates(pages: DataFrame, recurs: int = RECURS, share: float = SHARE) -> D
                 if blocks:
                     hashed(root)
                     count.update({(where, x.key, inner) for x, inner in blocks})
-            yield pd.DataFrame([(*k, n) for k, n in count.items()], columns=["host", "key", "inner", "n"]).astype({"key": "Int64"})
+            of, keys, inner = zip(*count, strict=True) if count else ((), (), ())
+            yield pd.DataFrame({"host": of, "key": pd.array(keys, dtype="Int64"), "inner": inner, "n": count.values()})
 
     counts = pages.select("url", "html").mapInPandas(run, "host string, key long, inner boolean, n long").groupBy("host", "key", "inner").agg(F.sum("n").alias("n"))
     counts = common.stored(counts.where(F.col("key").isNull() | (F.col("n") >= recurs)), "subtrees")
