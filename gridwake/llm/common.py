@@ -196,3 +196,32 @@ def fitted(sample: DataFrame, fit) -> bytes | None:
 
     row = sample.repartition(1).mapInPandas(run, "model binary").first()
     return None if row is None or row[0] is None else bytes(row[0])
+
+
+class Bloom:
+    """A Bloom filter of a column of ids, of 16 bits an id but 2**27 bits at most.
+
+    It thins rows before a join that decides exactly; beyond its size it passes more rows, never fewer.
+    has() takes what key() gives for the ids to test.
+    """
+
+    def __init__(self, ids: DataFrame, column: str):
+        self.bits = min(1 << max(15, (16 * ids.count()).bit_length()), 1 << 27)
+        x = self.key(column)
+        at = F.explode(F.array(x.bitwiseAND(self.bits - 1), F.shiftrightunsigned(x, 32).bitwiseAND(self.bits - 1)))
+        parts = ids.select(at.alias("at")).groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits")).collect()
+        self.map = np.zeros(self.bits // 8, np.uint8)
+        for r in parts:
+            self.map[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+
+    @staticmethod
+    def key(column: str):
+        return F.xxhash64(column)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        x = keys.astype(np.int64).view(np.uint64)
+        out = np.ones(len(x), bool)
+        for shift in (0, 32):
+            at = (x >> _U(shift)) & _U(self.bits - 1)
+            out &= (self.map[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & np.uint8(1) == 1
+        return out

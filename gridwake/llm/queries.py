@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from gridwake.llm import decontaminate, embeddings, extract, langid, packing, quality, secrets, toxicity
+from gridwake.llm import decontaminate, embeddings, extract, jaccard, langid, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_embeddings": embeddings.op1_embeddings,
+    "op2_jaccard": jaccard.op2_jaccard,
     "op3_toxicity": toxicity.op3_toxicity,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_language_id": langid.op6_language_id,
