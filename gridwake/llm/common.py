@@ -202,12 +202,12 @@ class Bloom:
     """A Bloom filter of a column of ids, of 16 bits an id but 2**27 bits at most.
 
     It thins rows before a join that decides exactly; beyond its size it passes more rows, never fewer.
-    has() takes what key() gives for the ids to test.
+    has() takes what key() gives for the ids to test; with hashed=True, ids that are hashes themselves.
     """
 
-    def __init__(self, ids: DataFrame, column: str):
+    def __init__(self, ids: DataFrame, column: str, hashed: bool = False):
         self.bits = min(1 << max(15, (16 * ids.count()).bit_length()), 1 << 27)
-        x = self.key(column)
+        x = F.col(column) if hashed else self.key(column)
         at = F.explode(F.array(x.bitwiseAND(self.bits - 1), F.shiftrightunsigned(x, 32).bitwiseAND(self.bits - 1)))
         parts = ids.select(at.alias("at")).groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits")).collect()
         self.map = np.zeros(self.bits // 8, np.uint8)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gridwake.llm import decontaminate, embeddings, extract, jaccard, langid, packing, quality, secrets, toxicity
+from gridwake.llm import decontaminate, embeddings, extract, jaccard, langid, packing, quality, repeats, secrets, toxicity
 
 QUERIES = {
     "op1_embeddings": embeddings.op1_embeddings,
     "op2_jaccard": jaccard.op2_jaccard,
     "op3_toxicity": toxicity.op3_toxicity,
+    "op4_repeats": repeats.op4_repeats,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_language_id": langid.op6_language_id,
     "op7_secrets": secrets.op7_secrets,
