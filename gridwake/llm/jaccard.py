@@ -317,9 +317,12 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs without all but the smallest doc_id of each component, and without repeated rows of a doc_id."""
-    kept = common.stored(join(docs).where("component_id = doc_id or doc_id is null").select("doc_id"), "jaccard-kept")
-    return docs.where("doc_id is null").unionByName(docs.join(kept.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    """docs without all but the smallest doc_id of each component, and one row of each doc_id; null doc_ids stay."""
+    gone = common.stored(join(docs).where("component_id <> doc_id").select("doc_id").distinct(), "jaccard-gone")
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return left
+    return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
 
 
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
