@@ -148,29 +148,35 @@ def radius_pairs(targets: DataFrame, sources: DataFrame, radius: float, dims: tu
     return t.join(s, [f"c_{c}" for c in dims]).withColumn("dist", F.sqrt(d2)).where(F.col("dist") <= radius).select("dst", "src", "dist")
 
 
-def nearest(targets: DataFrame, sources: DataFrame, k: int, width: float, dims: tuple[str, ...] = ("x", "y"), dist_max: float | None = None, most_rounds: int = 32) -> DataFrame:
+def nearest(targets: DataFrame, sources: DataFrame, k: int, width: float | None = None, dims: tuple[str, ...] = ("x", "y"), dist_max: float | None = None, most_rounds: int = 40) -> DataFrame:
     """(dst, src, dist, rank): the k nearest sources of each target, by distance, then src.
 
-    Rings of doubling width: targets that already have k sources within a ring's safe radius are done;
-    only the others go on. width is a guess of the usual spacing, and costs time only.
+    Rounds of growing radius, at first one that holds some k sources at their mean density: targets that
+    have k sources within it are done, only the others go on. Every source of a target beyond the last
+    radius is farther than those found, so the result is exact.
     """
-    done = None
-    left = targets
     total = sources.count()
+    if width is None:
+        ends = sources.agg(*[f(c) for c in dims for f in (F.min, F.max)]).first()
+        spans = [max(float(hi or 0) - float(lo or 0), 1e-9) for lo, hi in zip(ends[::2], ends[1::2], strict=True)]
+        volume = 1.0
+        for s in spans:
+            volume *= s
+        width = 1.5 * (volume * min(k, total) / max(total, 1)) ** (1 / len(dims))
     top = Window.partitionBy("dst").orderBy("dist", "src")
+    done, left = None, targets
     for _ in range(most_rounds):
         last = dist_max is not None and width >= dist_max
-        w = dist_max if last else width
-        pairs = radius_pairs(left, sources, w, dims).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).persist()
+        pairs = radius_pairs(left, sources, dist_max if last else width, dims).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
         full = pairs.groupBy("dst").count().where(F.col("count") >= min(k, total)).select("dst")
         found = pairs if last else pairs.join(full, "dst", "left_semi")
         done = found if done is None else done.unionByName(found)
         if last:
             return done
-        left = left.join(full, "dst", "left_anti").persist()
+        left = left.join(full, "dst", "left_anti")
         if left.isEmpty():
             return done
-        width *= 2
+        width *= 4
     raise ValueError("the width is too small for the points' extent")
 
 

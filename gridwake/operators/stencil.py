@@ -117,7 +117,6 @@ def gauss_smooth(df: DataFrame, sigma: float, nx: int, ny: int, keys: list[str]
 def convolve(df: DataFrame, kernel: list[tuple[int, int, float]], nx: int, ny: int, keys: list[str] | None = None, value: str = "value", mask: str | None = None) -> DataFrame:
     """Any kernel, with reflected borders. Masked-out cells stay, and their weight is spread evenly over the others."""
     keys = keys or []
-    area = len(kernel)
     offsets = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj"), F.lit(w).alias("w")) for i, j, w in kernel])
     use = F.col(mask).cast("boolean") if mask else F.lit(True)
     # each cell goes where it is needed: to the places that reach it directly or by reflection
@@ -126,7 +125,6 @@ def convolve(df: DataFrame, kernel: list[tuple[int, int, float]], nx: int, ny: i
     met = want.join(src, [*keys, "si", "sj"]).groupBy(*keys, "i", "j").agg(F.sum(F.col("w") * F.col("v")).alias("wv"), F.sum("v").alias("sv"), F.sum("w").alias("sw"), F.count("*").alias("n"))
     whole = sum(w for _, _, w in kernel)
     new = F.col("wv") + (F.lit(whole) - F.col("sw")) / F.col("n") * F.col("sv")
-    assert area
     return df.join(met.select(*keys, "i", "j", new.alias("_new")), [*keys, "i", "j"], "left").withColumn(value, F.coalesce("_new", value)).drop("_new")
 
 
@@ -194,7 +192,9 @@ def on_fields(df: DataFrame, keys: list[str], f, value: str = "value", extra: li
 
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"i {kinds['i']}", f"j {kinds['j']}", f"{value} double"])
     rows = df.select(*keys, "i", "j", value, *extra)
-    return (rows.groupBy(*keys) if keys else rows.groupBy(F.lit(0))).applyInPandas(run, schema)
+    if keys:
+        return rows.groupBy(*keys).applyInPandas(run, schema)
+    return rows.withColumn("_field", F.lit(0)).groupBy("_field").applyInPandas(run, schema)
 
 
 def _around(z: np.ndarray, r: int):
