@@ -273,9 +273,10 @@ def fill_mean(z: np.ndarray, most: int = 50) -> np.ndarray:
         there = ~np.isnan(boxes)
         mean = np.where(there.any(0), np.nan_to_num(boxes).sum(0) / np.maximum(there.sum(0), 1), np.nan)
         filled = np.full(z.shape, np.nan)
-        for a, b in ((1, 1), (1, 0), (1, -1), (0, 1), (0, 0), (0, -1), (-1, 1), (-1, 0), (-1, -1)):  # box centres nearest the start first
-            at = (slice(1 - a, n - 1 - a), slice(1 - b, m - 1 - b))
-            filled[at] = np.where(np.isnan(mean), filled[at], mean)
+        for a in (-1, 0, 1):  # cells by the place of the box's centre from them
+            for b in (-1, 0, 1):
+                at = (slice(1 - a, n - 1 - a), slice(1 - b, m - 1 - b))
+                filled[at] = np.where(np.isnan(mean), filled[at], mean)
         z = np.where(np.isnan(z), filled, z)
     return z
 
