@@ -33,7 +33,9 @@ RECURS, SHARE = 3, 0.2
 #: Containers in main content need more, and must hold less than half of its characters.
 INNER_RECURS, INNER_SHARE = 5, 0.5
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|([^<]+|<)", re.S)
+#: A tag whose quotes do not close.
+_OPEN_QUOTE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "template", "iframe"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -68,11 +70,15 @@ def parse(html: str) -> Node:
     match = _TOKEN.match
     while at < n:
         m = match(html, at)
-        if m is None:  # a tag that never ends
-            break
         at = m.end()
         close, tag, attributes, text = m.groups()
-        if text is not None:
+        if text == "<" and (html[at : at + 1].isalpha() or html[at : at + 1] == "/" and html[at + 1 : at + 2].isalpha()):
+            m = _OPEN_QUOTE.match(html, at - 1)
+            if m is None:  # a tag that never ends
+                break
+            at = m.end()
+            close, tag, attributes = m.groups()
+        elif text is not None:
             open_[-1].children.append(text)
             continue
         if tag is None:

@@ -102,7 +102,8 @@ def redact(docs: DataFrame, repository: Column, owner: Column, mark: str = "[sec
     keyed = docs.select("doc_id", "text", repository.alias("repository"), owner.alias("owner"))
     found = common.stored(spans(keyed, "doc_id", "repository", "owner").where("size(base) + size(opaque) > 0"), "secrets")
     live = common.stored(judged(found, owners).where("size(live) > 0").select("doc_id", "live").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set("live"))).alias("live")), "live")
-    wide = docs.join(live, "doc_id", "left").select(F.struct(*[F.col(c) for c in docs.columns]).alias("r"), "live", F.when(F.col("live").isNotNull(), F.col("text")).alias("text"))
+    packed = docs.select(F.col("doc_id"), F.struct(*[F.col(c) for c in docs.columns]).alias("r"))
+    wide = packed.join(live, "doc_id", "left").select("r", "live", F.when(F.col("live").isNotNull(), F.col("r.text")).alias("text"))
     wide = spans(wide, "r", "live")
     wide = wide.withColumn("cut", F.expr("if(live is null, array(), filter(array_sort(concat(base, opaque)), x -> array_contains(live, x.h)))"))
     fold = """aggregate(cut, named_struct('p', 0, 'o', ''),
