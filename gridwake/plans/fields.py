@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridwake.operators import grids, slices, stencil
+from gridwake.operators import grids, slices, spectral, stencil
 from gridwake.plans.registry import query, rounded, table
 
 #: Monthly mean price by priority: steps 1.. from January 1995, time in years at mid-month.
@@ -269,3 +269,15 @@ def zonal_mean(spark, d):
 def unique_values(spark, d):
     p = table(spark, d, "part").select(F.col("p_size").cast("double").alias("v"), "p_partkey")
     return grids.unique(p, "v", "p_partkey")
+
+
+@query(f"""with {_GRID} select j, k::bigint as k, round(sum(v * cos(2 * pi() * k * (i - 1) / {_NX})), 4) + 0.0 as re, round(-sum(v * sin(2 * pi() * k * (i - 1) / {_NX})), 4) + 0.0 as im from g, range(0, {_NX // 2 + 1}) r(k) group by 1, 2""")
+def fourier_rows(spark, d):
+    g, _ = part_grid(spark, d)
+    return spectral.fourier(g, ["j"], "i").select("j", "k", rounded("re", 4).alias("re"), rounded("im", 4).alias("im"))
+
+
+@query()
+def harmonics(spark, d):
+    g, rows = part_grid(spark, d)
+    return spectral.harmonics(g, [], min(6, rows - 1)).select("l", "m", rounded("re").alias("re"), rounded("im").alias("im"))

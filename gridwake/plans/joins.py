@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridwake.model import Axis, CoordSystem, Grid
-from gridwake.operators import grids, links
+from gridwake.operators import grids, links, remap, solvers
 from gridwake.plans.registry import query, rounded, table
 
 #: Links from parts (sources) to suppliers (targets) weighted by quantity; the field is the retail price, missing for every 7th part.
@@ -208,3 +208,55 @@ def maxcount(spark, d):
 def points_pack(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("cell"), rounded("c_acctbal").alias("value"))
     return grids.to_points(c, F.col("value") > 5000)
+
+
+@query("with a as (select l_suppkey as i, l_partkey as j, sum(l_quantity) as a from lineitem group by 1, 2) select i, round(sum(a * p_retailprice), 2) as v from a join part on j = p_partkey group by 1")
+def sparse_product(spark, d):
+    a = part_links(spark, d).withColumnsRenamed({"dst": "i", "src": "j", "w": "a"})
+    x = table(spark, d, "part").select(F.col("p_partkey").alias("i"), F.col("p_retailprice").alias("v"))
+    return solvers.product(a, x).select("i", rounded("v", 2).alias("v"))
+
+
+@query("""with x as (select a.i, b.i as si, least(a.i * 70.0, b.i * 100.0) - greatest((a.i - 1) * 70.0, (b.i - 1) * 100.0) as w from range(1, 15) a(i) join range(1, 11) b(i) on a.i * 70.0 > (b.i - 1) * 100.0 and (a.i - 1) * 70.0 < b.i * 100.0)
+select ((y.i - 1) * 14 + x.i)::bigint as dst, ((y.si - 1) * 10 + x.si)::bigint as src, round(x.w * y.w, 6) as w from x, x y""")
+def conservative_clipped(spark, d):
+    flat = CoordSystem("cartesian", "km")
+    source, target = Grid("a", Axis(50.0, 100.0, 10), Axis(50.0, 100.0, 10), flat), Grid("b", Axis(35.0, 70.0, 14), Axis(35.0, 70.0, 14), flat)
+    s, t = (remap.rectangles(grids.cells(spark, g), g.x.dx, g.y.dx, k) for g, k in ((source, "src"), (target, "dst")))
+    return remap.clipped_links(t, s, 100.0).where("w > 1e-9").select("dst", "src", rounded("w").alias("w"))
+
+
+_PLACES = "t as (select c_custkey as dst, c_acctbal * 0.09 as x, (c_custkey % 100)::double as y from customer)"
+
+
+def _places(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("dst"), (F.col("c_acctbal") * 0.09).alias("x"), (F.col("c_custkey") % 100).cast("double").alias("y"))
+
+
+def _tenths(spark):
+    g = Grid("source", Axis(0.0, 100.0, 10), Axis(0.0, 10.0, 10), CoordSystem("cartesian", "km"))
+    return g, grids.cells(spark, g).select(F.col("cell").alias("src"), F.when(F.col("cell") % 9 != 0, 3.0 * F.col("i") + 2.0 * F.col("j")).alias("value"))
+
+
+@query(f"""with {_PLACES}, a as (select *, floor(x / 100)::bigint as i, floor(y / 10)::bigint as j, x / 100 - floor(x / 100) as u, y / 10 - floor(y / 10) as v from t),
+b as (select *, case when x > 0 and x < 900 and y > 0 and y < 90 and (j * 10 + i + 1) % 9 <> 0 and (j * 10 + i + 2) % 9 <> 0 and (j * 10 + i + 11) % 9 <> 0 and (j * 10 + i + 12) % 9 <> 0 then 3 * (i + 1 + u) + 2 * (j + 1 + v) end as value from a)
+select dst, round(value, 6) as value from b""")
+def interp_bilinear(spark, d):
+    g, f = _tenths(spark)
+    return remap.strict_bilinear(f, g, _places(spark, d)).select("dst", rounded("value").alias("value"))
+
+
+@query(f"""with {_PLACES}, a as (select *, greatest(1, least(10, ceil(x / 100 - 0.5) + 1)) as i, greatest(1, least(10, ceil(y / 10 - 0.5) + 1)) as j from t)
+select dst, case when abs(x - (i - 1) * 100) <= 100 and abs(y - (j - 1) * 10) <= 10 and ((j - 1) * 10 + i)::bigint % 9 <> 0 then (3 * i + 2 * j)::double end as value from a""")
+def interp_nearest(spark, d):
+    g, f = _tenths(spark)
+    return remap.nearest_cells(f, g, _places(spark, d)).select("dst", "value")
+
+
+@query()
+def solve_jacobi(spark, d):
+    """A diagonally dominant system over the nations, coupled to their neighbours by number."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("i"))
+    a = n.select("i", F.col("i").alias("j"), F.lit(8.0).alias("a")).unionByName(n.select("i", (F.col("i") + 1).alias("j"), F.lit(-1.0).alias("a"))).unionByName(n.select("i", (F.col("i") - 1).alias("j"), F.lit(-1.0).alias("a"))).where("j between 0 and 24")
+    x, _, _ = solvers.jacobi(a, n.select("i", (F.col("i") + 1.0).alias("v")), tol=1e-6)
+    return x.select("i", rounded("v", 4).alias("v"))
