@@ -3,14 +3,19 @@
 A document is its set of 5-word shingles. Two link if 100 * |intersection| >= 75 * |union|. Steps:
 
 1. Equal sets form a class; the class's smallest document stands for it.
-2. Quick links: documents that share most of a few min-hashes with a bucket's smallest document are
-   verified against it, which joins the bulk of large groups of copies by a star each.
-3. The rest is exact. Under one order of all shingles (frequent ones last) two linked sets share one
-   of their first n - ceil(0.75 n) + 1 shingles. Buckets of documents by such a shingle that hold
-   more than one component so far are searched by signature trees: nodes hold the OR of their
-   documents' shingle bitmaps and their range of sizes, and a traversal of node pairs leaves out
-   those whose largest possible overlap is too small, whose sizes cannot link, or that lie within
-   one component. Buckets of more than TILE documents are cut into parts, a task for each two.
+2. Quick links, in rounds: documents of a min-hash bucket are verified against one of its documents
+   taken by hash, another for each bucket and round, if half of their min-hashes agree and they are
+   in different components so far. Stars like these join the bulk of large groups of copies.
+3. The rest is complete. A document keeps its PREFIX shingles of least hash. Two linked sets share one
+   of their first n - ceil(0.75 n) + 1 shingles under any order, so up to 508 shingles the kept ones
+   hold one for certain; beyond, and for how many they share at least (`fewest`), the hash order makes
+   them a random sample, and the bound taken fails with a chance below 1e-16 a pair, as the 64-bit
+   hashes themselves do. Documents with too few shingles that other components have drop out; buckets
+   by such a shingle are searched by signature trees: nodes hold the OR of their documents' shingle
+   bitmaps and their range of sizes, and a traversal of node pairs leaves out those whose largest
+   possible overlap is too small, whose sizes cannot link, or that lie within one component. Buckets
+   of the same documents are searched once; those of more than TILE documents are cut into parts, a
+   task for each two.
 4. Candidates are verified on the whole sets; links give components.
 
 Only links within a component found before are left unproved, as they change no component.
@@ -24,20 +29,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridwake.llm import common
 
 WORDS = 5
 MINS = 6
-#: Quick links need so many equal min-hashes.
-AGREE = 3
+#: Quick links need so many equal min-hashes, and are sought in so many rounds.
+AGREE, ROUNDS = 3, 3
 TILE = 1024
 FANOUT = 8
 LEAST_BITS, MOST_BITS = 256, 1 << 15
-#: Shingles that are looked out for as frequent: so many at most, seen so often in a run of RUN shingles.
-FREQUENT, LOCAL, RUN = 100_000, 12, 4_000_000
+#: Shingles of least hash that are kept of each document.
+PREFIX = 128
 
 _U = np.uint64
 _C = np.random.default_rng(99).integers(1, 2**62, (WORDS + 1, WORDS), dtype=np.uint64) * _U(2) + _U(1)
@@ -72,37 +77,32 @@ def links(overlap, a, b):
     return 100 * overlap >= 75 * (a + b - overlap)
 
 
-def frequent(docs: DataFrame) -> np.ndarray:
-    """Shingles that many documents have, the rarest first. Any answer gives a valid order."""
+def kept(n):
+    return np.minimum(n, PREFIX)
 
-    def run(frames):
-        for f in frames:
-            texts = common.encoded(f["text"])
-            held, size = [], 0
-            for lo, hi in common.chunks(texts):
-                held.append(shingles(texts[lo:hi])[0])
-                size += len(held[-1])
-                if size > RUN or hi == len(texts):
-                    h, n = np.unique(np.concatenate(held), return_counts=True)
-                    yield pd.DataFrame({"h": h[n >= LOCAL].view(np.int64), "n": n[n >= LOCAL]})
-                    held, size = [], 0
 
-    rows = docs.select("text").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = rows.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    return np.array([r["h"] for r in reversed(top)], np.int64).view(np.uint64)
+def fewest(n: np.ndarray) -> np.ndarray:
+    """How many kept shingles two linked sets share at least, for a set of n: three quarters less what a sample
+    without replacement may miss (Serfling 1974) at 1e-16, over all sizes that can link."""
+    n = np.asarray(n, float)
+    miss = 0.0
+    for m in (n, np.ceil(n / 0.75)):
+        p = kept(m)
+        miss = np.maximum(miss, np.sqrt(18.5 * p * (1 - (p - 1) / np.maximum(m, 1)).clip(0)))
+        # a whole set is no sample
+        miss = np.where(p >= m, np.maximum(miss * (m > n), 0), miss)
+    return np.maximum(1, np.ceil(0.75 * kept(n) - miss)).astype(int)
 
 
 def signature(h: np.ndarray) -> np.ndarray:
-    bits = min(max(LEAST_BITS, 1 << int(4 * len(h) - 1).bit_length()), MOST_BITS) if len(h) else LEAST_BITS
+    bits = min(max(LEAST_BITS, 1 << int(8 * len(h) - 1).bit_length()), MOST_BITS) if len(h) else LEAST_BITS
     out = np.zeros(bits, np.uint8)
     out[(h >> _U(20)).astype(np.int64) & (bits - 1)] = 1
     return np.packbits(out, bitorder="little")
 
 
-def sketches(docs: DataFrame, common_ones: np.ndarray) -> DataFrame:
-    """doc_id, n, h1, h2 (of the set), mins, prefix, sig for each row that has shingles; others with n = 0 only."""
-    by = np.argsort(common_ones)
-    known, rank = common_ones[by], by
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, n, h1, h2 (of the set), mins, prefix, sig for each row; rows without shingles have n = 0."""
 
     def run(frames):
         for f in frames:
@@ -111,8 +111,6 @@ def sketches(docs: DataFrame, common_ones: np.ndarray) -> DataFrame:
                 h, bounds = shingles(texts[lo:hi])
                 n = np.diff(bounds)
                 some = n > 0
-                place = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-                often = known[place] == h if len(known) else np.zeros(len(h), bool)
                 sums, mins = [], []
                 cuts = bounds[:-1][some]
                 for salt in (0x51, 0xA7C15):
@@ -125,16 +123,8 @@ def sketches(docs: DataFrame, common_ones: np.ndarray) -> DataFrame:
                     mins.append(part.view(np.int64))
                 prefix, sig = [], []
                 for a, b in zip(bounds, bounds[1:], strict=False):
-                    own, flag = h[a:b], often[a:b]
-                    p = (b - a) - (3 * (b - a) + 3) // 4 + 1 if b > a else 0
-                    if flag.any():
-                        rare, hot = own[~flag][:p], own[flag]
-                        if len(rare) < p:
-                            rare = np.concatenate([rare, hot[np.argsort(rank[place[a:b][flag]], kind="stable")][: p - len(rare)]])
-                    else:
-                        rare = own[:p]
-                    prefix.append(rare.view(np.int64))
-                    sig.append(signature(own).tobytes() if b > a else None)
+                    prefix.append(h[a : min(b, a + PREFIX)].view(np.int64))
+                    sig.append(signature(h[a:b]).tobytes() if b > a else None)
                 yield pd.DataFrame({"doc_id": ids[lo:hi], "n": n, "h1": sums[0], "h2": sums[1], "mins": list(np.stack(mins, 1)), "prefix": prefix, "sig": sig})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, h1 long, h2 long, mins array<long>, prefix array<long>, sig binary")
@@ -180,16 +170,19 @@ class Tree:
         bits = max(len(s) for s in sigs) * 8
         b = np.zeros((len(ids), bits // 64), np.uint64)
         excess = np.zeros(len(ids), np.int64)
+        width = np.zeros(len(ids), np.int64)
         for i, k in enumerate(order):
             s = np.frombuffer(sigs[k], np.uint64)
-            # a shorter bitmap repeated covers every place its shingles could have in a longer one
+            # a shorter bitmap repeated covers every place its shingles could have in a longer one; what two
+            # have in common then repeats as often as the longer of the two does, and counts once
             b[i] = np.tile(s, b.shape[1] // len(s))
+            width[i] = len(s)
             excess[i] = n[i] - int(np.bitwise_count(s).sum())
-        self.levels = [(b, n, n, excess, comps, comps)]
+        self.levels = [(b, n, n, excess, comps, comps, width)]
         while len(self.levels[-1][0]) > FANOUT:
-            b, lo, hi, ex, c0, c1 = self.levels[-1]
+            b, lo, hi, ex, c0, c1, wide = self.levels[-1]
             cut = np.arange(0, len(b), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(b, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(ex, cut), np.minimum.reduceat(c0, cut), np.maximum.reduceat(c1, cut)))
+            self.levels.append((np.bitwise_or.reduceat(b, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(ex, cut), np.minimum.reduceat(c0, cut), np.maximum.reduceat(c1, cut), np.maximum.reduceat(wide, cut)))
 
     def __len__(self):
         return len(self.ids)
@@ -197,7 +190,7 @@ class Tree:
 
 def possible(x, y, i, j) -> np.ndarray:
     """Which node pairs (i of level x, j of level y) may hold a link between components."""
-    (bx, lx, hx, ex, cx, dx), (by, ly, hy, ey, cy, dy) = x, y
+    (bx, lx, hx, ex, cx, dx, wx), (by, ly, hy, ey, cy, dy, wy) = x, y
     ok = (4 * hx[i] >= 3 * ly[j]) & (4 * hy[j] >= 3 * lx[i]) & ~((cx[i] == dx[i]) & (cy[j] == dy[j]) & (cx[i] == cy[j]))
     k = np.flatnonzero(ok)
     wide, narrow = bx.shape[1], by.shape[1]
@@ -208,7 +201,8 @@ def possible(x, y, i, j) -> np.ndarray:
             v = np.tile(v, (1, wide // narrow))
         elif narrow > wide:
             u = np.tile(u, (1, narrow // wide))
-        most = np.bitwise_count(u & v).sum(1, dtype=np.int64) + np.minimum(ex[p], ey[q])
+        once = max(wide, narrow) // np.maximum(wx[p], wy[q])
+        most = np.bitwise_count(u & v).sum(1, dtype=np.int64) // once + np.minimum(ex[p], ey[q])
         ok[k[at : at + 4096]] = 7 * np.minimum(most, np.minimum(hx[p], hy[q])) >= 3 * (lx[p] + ly[q])
     return ok
 
@@ -246,65 +240,109 @@ def traverse(x: Tree, y: Tree | None = None) -> tuple[np.ndarray, np.ndarray]:
 
 def candidates(rows: DataFrame) -> DataFrame:
     """(a, b) from rows (token, i, j, part, doc_id, comp, n, sig): a tree for each part of a bucket."""
-
-    def search(held: list[pd.DataFrame]):
-        f = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-        own = f[f["part"] == f["i"]].drop_duplicates("doc_id")
-        other = f[(f["part"] == f["j"]) & (f["i"] != f["j"])].drop_duplicates("doc_id")
-        trees = [Tree(g["doc_id"].to_numpy(), g["comp"].to_numpy(), g["n"].to_numpy(), g["sig"].tolist()) for g in (own, other) if len(g)]
-        if f["i"].iloc[0] != f["j"].iloc[0]:
+    columns = ("token", "i", "j", "part", "doc_id", "comp", "n")
+
+    def search(f: dict):
+        if len(f["doc_id"]) < 2:
+            return None
+        i, j = f["i"][0], f["j"][0]
+        trees = []
+        for part in {i, j}:
+            at = np.flatnonzero(f["part"] == part)
+            at = at[np.unique(f["doc_id"][at], return_index=True)[1]]
+            if len(at):
+                trees.append(Tree(f["doc_id"][at], f["comp"][at], f["n"][at], [f["sig"][k] for k in at]))
+        if i != j:
             return traverse(*trees) if len(trees) == 2 else None
         return traverse(trees[0]) if len(trees[0]) > 1 else None
 
     def run(frames):
-        held, last = [], None
-        out: list = []
-        for f in frames:
-            key = list(zip(f["token"], f["i"], f["j"], strict=True))
-            cuts = [0, *(k for k in range(1, len(key)) if key[k] != key[k - 1]), len(key)]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if hi > lo:
-                    if held and key[lo] != last:
-                        out.append(search(held))
-                        held = []
-                    held.append(f.iloc[lo:hi])
-                    last = key[lo]
-            out = [x for x in out if x is not None]
-            if out:
-                yield pairs(out)
-                out = []
-        if held and (x := search(held)) is not None:
-            yield pairs([x])
+        held: dict | None = None
+        for frame in frames:
+            f = {c: frame[c].to_numpy() for c in columns}
+            f["sig"] = frame["sig"].to_numpy()
+            if held is not None:
+                f = {c: np.concatenate([held[c], f[c]]) for c in f}
+            change = np.zeros(len(f["token"]), bool)
+            for c in ("token", "i", "j"):
+                change[1:] |= f[c][1:] != f[c][:-1]
+            cuts = [0, *np.flatnonzero(change)]
+            out = [search({c: x[lo:hi] for c, x in f.items()}) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+            held = {c: x[cuts[-1] :] for c, x in f.items()}  # the last bucket may go on
+            yield from pairs(out)
+        if held is not None and len(held["token"]):
+            yield from pairs([search(held)])
 
     def pairs(found):
-        a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        found = [x for x in found if x is not None and len(x[0])]
+        if found:
+            a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
+def mixed_rows(known: DataFrame, so_far: DataFrame) -> DataFrame:
+    """(token, doc_id, comp): kept shingles that documents of several components have, of documents that have enough."""
+    twice = common.stored(known.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token"), "jaccard-twice")
+    maybe = common.Bloom(twice, "token", hashed=True)
+
+    def enough(frames):
+        for f in frames:
+            size = f["prefix"].map(len).to_numpy()
+            every = np.concatenate([*f["prefix"], np.zeros(0, np.int64)]).astype(np.int64)
+            hit = maybe.has(every)
+            of = np.repeat(np.arange(len(f)), size)
+            ok = np.bincount(of[hit], minlength=len(f)) >= fewest(f["n"].to_numpy())
+            use = hit & ok[of]
+            n = f["n"].to_numpy()
+            yield pd.DataFrame({"token": every[use], "doc_id": f["doc_id"].to_numpy()[of[use]], "need": fewest(n)[of[use]]})
+
+    rows = known.select("doc_id", "n", "prefix").mapInPandas(enough, "token long, doc_id long, need int")
+    rows = common.stored(rows.join(so_far.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("token", "doc_id", "need", F.coalesce("component", "doc_id").alias("comp")), "jaccard-rows")
+    for k in range(3):
+        mixed = rows.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("token")
+        rows = rows.join(mixed, "token")
+        have = rows.groupBy("doc_id").agg(F.countDistinct("token").alias("have"), F.min("need").alias("need")).where("have >= need").select("doc_id")
+        rows = common.stored(rows.join(have, "doc_id", "left_semi"), f"jaccard-mixed-{k}")
+    # two linked documents share `need` of these, so one among all but the last need - 1 of each
+    place = Window.partitionBy("doc_id").orderBy("token")
+    rows = rows.distinct().withColumn("at", F.row_number().over(place)).withColumn("of", F.count("*").over(Window.partitionBy("doc_id")))
+    return rows.where("at <= of - need + 1").select("token", "doc_id", "comp")
+
+
+def quick_pairs(classes: DataFrame, so_far: DataFrame | None, k: int) -> DataFrame:
+    """(a, b): documents and the one taken from a min-hash bucket of theirs."""
+    comp = F.col("rep") if so_far is None else F.coalesce("component", "rep")
+    rows = classes if so_far is None else classes.join(so_far, F.col("rep") == F.col("id"), "left")
+    each = rows.select("rep", "n", "mins", comp.alias("comp")).select("*", F.posexplode("mins").alias("k", "m"))
+    taken = F.min(F.struct(F.xxhash64("rep", "k", F.lit(k)).alias("h"), "rep", "n", "mins", "comp")).alias("c")
+    centre = each.groupBy("k", "m").agg(taken, F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("k", "m", "c")
+    near = each.join(centre, ["k", "m"]).where("comp <> c.comp and 4 * n >= 3 * c.n and 4 * c.n >= 3 * n")
+    agree = sum((F.col("mins")[i] == F.col("c.mins")[i]).cast("int") for i in range(MINS))
+    return near.where(agree >= AGREE).select(F.greatest("rep", "c.rep").alias("a"), F.least("rep", "c.rep").alias("b"))
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
-    sketch = common.stored(sketches(docs, frequent(docs)), "jaccard")
+    sketch = common.stored(sketches(docs), "jaccard")
     known = sketch.where("n > 0 and doc_id is not null")
     classes = common.stored(known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("mins").alias("mins")), "jaccard-classes")
     equal = known.select("doc_id", "n", "h1", "h2").join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     equal = common.stored(equal, "jaccard-equal")
-    each = classes.select("rep", "n", F.posexplode("mins").alias("k", "m"))
-    centre = each.groupBy("k", "m").agg(F.min(F.struct("rep", "n")).alias("c"), F.count("*").alias("size")).where("size > 1").select("k", "m", "c.rep", F.col("c.n").alias("cn"))
-    near = each.withColumnRenamed("rep", "a").join(centre.withColumnRenamed("rep", "b"), ["k", "m"]).where("a <> b and 4 * n >= 3 * cn and 4 * cn >= 3 * n")
-    near = near.groupBy("a", "b").count().where(F.col("count") >= AGREE)
-    quick = common.stored(verified(docs, near, "jaccard-quick"), "jaccard-quick")
-    so_far = common.stored(common.components(equal.unionByName(quick), "jaccard-1"), "jaccard-so-far")
-
-    tokens = known.select("doc_id", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most").select("token")
-    rows = tokens.join(shared, "token").join(so_far.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    rows = common.stored(rows, "jaccard-tokens")
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("size")).where("least <> most")
-    mixed = mixed.select("token", F.ceil(F.col("size") / TILE).cast("int").alias("parts"))
-    rows = rows.join(mixed, "token").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    so_far = None
+    for k in range(ROUNDS):
+        quick = common.stored(verified(docs, quick_pairs(classes, so_far, k), "jaccard-quick"), "jaccard-quick")
+        before = equal if so_far is None else so_far.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        so_far = common.stored(common.components(quick.unionByName(before), f"jaccard-{k}"), "jaccard-so-far")
+        if quick.isEmpty():
+            break
+
+    rows = mixed_rows(known, so_far)
+    buckets = rows.groupBy("token").agg(F.bit_xor(F.xxhash64("doc_id")).alias("set"), F.count("*").alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
+    buckets = buckets.groupBy("set", "size", "least", "most").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("size") / TILE).cast("int").alias("parts"))
+    rows = rows.join(buckets, "token").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     tiles = F.expr("transform(sequence(0, parts - 1), o -> named_struct('i', least(part, o), 'j', greatest(part, o)))")
     rows = rows.select("token", "doc_id", "comp", "part", F.inline(tiles))
     rows = rows.join(known.select("doc_id", "n", "sig"), "doc_id")
