@@ -155,8 +155,7 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     step's minima are aggregated before the shuffle, so a vertex with many links costs its rows only.
     """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{tag}-e")
-    before = None
-    while True:
+    while not stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -166,36 +165,15 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         edges = stored(small, f"{tag}-s")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    roots = edges.select(F.col("b").alias("id")).distinct()
-    return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")).join(edges.select(F.col("a").alias("id")).distinct(), "id", "left_anti"))
+    own = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return own.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 
 
-def labelled_ids(labels: DataFrame, label: str, keep, most: int) -> DataFrame:
-    """At most `most` (doc_id, y) of the labelled rows that `keep` allows, those of least crc32.
-
-    Rows that name a document twice count once, with the larger label; null labels are left out.
-    """
-    rows = labels.where(keep & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    rows = rows.groupBy("doc_id").agg(F.max(F.col(label)).alias("y"))
-    return rows.orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(most)
-
-
-def fitted(sample: DataFrame, fit) -> bytes | None:
-    """fit(pandas frame) run on one executor over a sample of bounded size; its bytes, None if no row."""
-
-    def run(frames):
-        import pandas as pd
-
-        frames = list(frames)
-        if frames and sum(map(len, frames)):
-            yield pd.DataFrame({"model": [fit(pd.concat(frames, ignore_index=True))]})
-
-    row = sample.repartition(1).mapInPandas(run, "model binary").first()
-    return None if row is None or row[0] is None else bytes(row[0])
+def stars(edges: DataFrame) -> bool:
+    """Whether every a has one b, and no b is an a."""
+    ends = edges.select(F.col("a").alias("id"), "b", F.lit(False).alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.lit(None).cast("long").alias("b"), F.lit(True).alias("root")))
+    bad = ends.groupBy("id").agg(F.min("b").alias("least"), F.max("b").alias("most"), F.max("root").alias("root")).where("least <> most or (root and least is not null)")
+    return bad.isEmpty()
 
 
 class Bloom:

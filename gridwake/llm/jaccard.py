@@ -16,7 +16,8 @@ A document is its set of 5-word shingles. Two link if 100 * |intersection| >= 75
    possible overlap is too small, whose sizes cannot link, or that lie within one component. Buckets
    of the same documents are searched once; those of more than TILE documents are cut into parts, a
    task for each two.
-4. Candidates are verified on the whole sets; links give components.
+4. Candidates are verified on the whole sets; links give components. A first search tries a few pairs
+   of each two components, since those that have links mostly have many; the second tries all that is left.
 
 Only links within a component found before are left unproved, as they change no component.
 
@@ -27,6 +28,8 @@ without doc_id link with nothing; an empty table gives no row; extra columns are
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -37,12 +40,14 @@ from gridwake.llm import common
 WORDS = 5
 MINS = 6
 #: Quick links need so many equal min-hashes, and are sought in so many rounds.
-AGREE, ROUNDS = 3, 3
+AGREE, ROUNDS = 3, 2
 TILE = 1024
 FANOUT = 8
 LEAST_BITS, MOST_BITS = 256, 1 << 15
 #: Shingles of least hash that are kept of each document.
 PREFIX = 128
+#: The first search looks at so many shingles of a document, and tries so many pairs of two components in a tile.
+FIRST, TRIES = 8, 2
 
 _U = np.uint64
 _C = np.random.default_rng(99).integers(1, 2**62, (WORDS + 1, WORDS), dtype=np.uint64) * _U(2) + _U(1)
@@ -238,11 +243,27 @@ def traverse(x: Tree, y: Tree | None = None) -> tuple[np.ndarray, np.ndarray]:
             i, j = i[j < len(y.levels[b][0])], j[j < len(y.levels[b][0])]
 
 
-def candidates(rows: DataFrame) -> DataFrame:
-    """(a, b) from rows (token, i, j, part, doc_id, comp, n, sig): a tree for each part of a bucket."""
+def candidates(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """(a, b) from rows (token, i, j, part, doc_id, comp, n, sig): a tree for each part of a bucket.
+
+    most: of the pairs of two components in a tile only so many, the first ones.
+    """
     columns = ("token", "i", "j", "part", "doc_id", "comp", "n")
 
     def search(f: dict):
+        found = traversed(f)
+        if found is None or most is None or not len(found[0]):
+            return found
+        comp = dict(zip(f["doc_id"].tolist(), f["comp"].tolist(), strict=True))
+        tried: Counter = Counter()
+        keep = []
+        for a, b in zip(*(x.tolist() for x in found), strict=True):
+            two = (comp[a], comp[b]) if comp[a] < comp[b] else (comp[b], comp[a])
+            tried[two] += 1
+            keep.append(tried[two] <= most)
+        return found[0][keep], found[1][keep]
+
+    def traversed(f: dict):
         if len(f["doc_id"]) < 2:
             return None
         i, j = f["i"][0], f["j"][0]
@@ -301,15 +322,22 @@ def mixed_rows(known: DataFrame, so_far: DataFrame) -> DataFrame:
 
     rows = known.select("doc_id", "n", "prefix").mapInPandas(enough, "token long, doc_id long, need int")
     rows = common.stored(rows.join(so_far.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("token", "doc_id", "need", F.coalesce("component", "doc_id").alias("comp")), "jaccard-rows")
-    for k in range(3):
-        mixed = rows.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("token")
-        rows = rows.join(mixed, "token")
-        have = rows.groupBy("doc_id").agg(F.countDistinct("token").alias("have"), F.min("need").alias("need")).where("have >= need").select("doc_id")
-        rows = common.stored(rows.join(have, "doc_id", "left_semi"), f"jaccard-mixed-{k}")
-    # two linked documents share `need` of these, so one among all but the last need - 1 of each
-    place = Window.partitionBy("doc_id").orderBy("token")
-    rows = rows.distinct().withColumn("at", F.row_number().over(place)).withColumn("of", F.count("*").over(Window.partitionBy("doc_id")))
-    return rows.where("at <= of - need + 1").select("token", "doc_id", "comp")
+    mixed = rows.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("token")
+    # a document's rows in the order of its shingles: two linked documents share `need` of them, so one
+    # among all but the last need - 1 of each
+    whole = Window.partitionBy("doc_id")
+    rows = rows.join(mixed, "token").distinct().withColumn("at", F.row_number().over(whole.orderBy("token"))).withColumn("of", F.count("*").over(whole))
+    return common.stored(rows.where("of >= need and at <= of - need + 1").select("token", "doc_id", "comp", "at"), "jaccard-mixed")
+
+
+def searched(docs: DataFrame, known: DataFrame, rows: DataFrame, most: int | None) -> DataFrame:
+    """Links found among rows (token, doc_id, comp); with `most`, that many pairs of two components and a tile are tried."""
+    buckets = rows.groupBy("token").agg(F.bit_xor(F.xxhash64("doc_id")).alias("set"), F.count("*").alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
+    buckets = buckets.groupBy("set", "size", "least", "most").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("size") / TILE).cast("int").alias("parts"))
+    rows = rows.join(buckets, "token").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    tiles = F.expr("transform(sequence(0, parts - 1), o -> named_struct('i', least(part, o), 'j', greatest(part, o)))")
+    rows = rows.select("token", "doc_id", "comp", "part", F.inline(tiles)).join(known.select("doc_id", "n", "sig"), "doc_id")
+    return verified(docs, candidates(rows.select("token", "i", "j", "part", "doc_id", "comp", "n", "sig"), most), "jaccard-rest")
 
 
 def quick_pairs(classes: DataFrame, so_far: DataFrame | None, k: int) -> DataFrame:
@@ -340,16 +368,13 @@ def join(docs: DataFrame) -> DataFrame:
             break
 
     rows = mixed_rows(known, so_far)
-    buckets = rows.groupBy("token").agg(F.bit_xor(F.xxhash64("doc_id")).alias("set"), F.count("*").alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
-    buckets = buckets.groupBy("set", "size", "least", "most").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("size") / TILE).cast("int").alias("parts"))
-    rows = rows.join(buckets, "token").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    tiles = F.expr("transform(sequence(0, parts - 1), o -> named_struct('i', least(part, o), 'j', greatest(part, o)))")
-    rows = rows.select("token", "doc_id", "comp", "part", F.inline(tiles))
-    rows = rows.join(known.select("doc_id", "n", "sig"), "doc_id")
-    found = verified(docs, candidates(rows.select("token", "i", "j", "part", "doc_id", "comp", "n", "sig")), "jaccard-rest")
-    found = common.stored(found, "jaccard-links")
-    roots = so_far.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    parts = common.components(found.unionByName(roots), "jaccard-2")
+    chains = lambda: so_far.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    # components that have links have many: a few pairs of each two join most, before all pairs are tried
+    few = common.stored(searched(docs, known, rows.where(F.col("at") <= FIRST), TRIES), "jaccard-links")
+    so_far = common.stored(common.components(few.unionByName(chains()), "jaccard-few"), "jaccard-so-far")
+    rows = rows.select("token", "doc_id").join(so_far, F.col("doc_id") == F.col("id"), "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
+    found = common.stored(searched(docs, known, rows, None), "jaccard-links")
+    parts = common.components(found.unionByName(chains()), "jaccard-all")
     out = sketch.select("doc_id", F.col("n").alias("n_shingles")).join(parts, F.col("doc_id") == F.col("id"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
