@@ -37,7 +37,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gridwake/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored() tables from which all that was needed has been stored in turn."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc_mod(column: str, n: int):
@@ -161,10 +171,12 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.unionByName(least.where("a > m").select("a", F.col("m").alias("b"))).distinct()
         large = stored(large, f"{tag}-l")
+        discard(edges)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         edges = stored(small, f"{tag}-s")
+        discard(large)
     own = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return own.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
 

@@ -41,7 +41,7 @@ WORDS = 5
 MINS = 6
 #: Quick links need so many equal min-hashes, and are sought in so many rounds.
 AGREE, ROUNDS = 3, 2
-TILE = 1024
+TILE = 2048
 FANOUT = 8
 LEAST_BITS, MOST_BITS = 256, 1 << 15
 #: Shingles of least hash that are kept of each document.
@@ -163,7 +163,9 @@ def verified(docs: DataFrame, pairs: DataFrame, tag: str) -> DataFrame:
                 ok.append(bool(len(x) and len(y) and links(np.count_nonzero(both[1:] == both[:-1]), len(x), len(y))))
             yield f[["a", "b"]][ok]
 
-    return both.select("a", "b", "x", "y").mapInPandas(test, "a long, b long")
+    out = common.stored(both.select("a", "b", "x", "y").mapInPandas(test, "a long, b long"), f"{tag}-links")
+    common.discard(pairs, own)
+    return out
 
 
 class Tree:
@@ -321,13 +323,15 @@ def mixed_rows(known: DataFrame, so_far: DataFrame) -> DataFrame:
             yield pd.DataFrame({"token": every[use], "doc_id": f["doc_id"].to_numpy()[of[use]], "need": fewest(n)[of[use]]})
 
     rows = known.select("doc_id", "n", "prefix").mapInPandas(enough, "token long, doc_id long, need int")
-    rows = common.stored(rows.join(so_far.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("token", "doc_id", "need", F.coalesce("component", "doc_id").alias("comp")), "jaccard-rows")
+    rows = every = common.stored(rows.join(so_far.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("token", "doc_id", "need", F.coalesce("component", "doc_id").alias("comp")), "jaccard-rows")
     mixed = rows.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("token")
     # a document's rows in the order of its shingles: two linked documents share `need` of them, so one
     # among all but the last need - 1 of each
     whole = Window.partitionBy("doc_id")
     rows = rows.join(mixed, "token").distinct().withColumn("at", F.row_number().over(whole.orderBy("token"))).withColumn("of", F.count("*").over(whole))
-    return common.stored(rows.where("of >= need and at <= of - need + 1").select("token", "doc_id", "comp", "at"), "jaccard-mixed")
+    out = common.stored(rows.where("of >= need and at <= of - need + 1").select("token", "doc_id", "comp", "at"), "jaccard-mixed")
+    common.discard(twice, every)
+    return out
 
 
 def searched(docs: DataFrame, known: DataFrame, rows: DataFrame, most: int | None) -> DataFrame:
@@ -361,7 +365,7 @@ def join(docs: DataFrame) -> DataFrame:
     equal = common.stored(equal, "jaccard-equal")
     so_far = None
     for k in range(ROUNDS):
-        quick = common.stored(verified(docs, quick_pairs(classes, so_far, k), "jaccard-quick"), "jaccard-quick")
+        quick = verified(docs, quick_pairs(classes, so_far, k), "jaccard-quick")
         before = equal if so_far is None else so_far.select(F.col("id").alias("a"), F.col("component").alias("b"))
         so_far = common.stored(common.components(quick.unionByName(before), f"jaccard-{k}"), "jaccard-so-far")
         if quick.isEmpty():
@@ -370,10 +374,10 @@ def join(docs: DataFrame) -> DataFrame:
     rows = mixed_rows(known, so_far)
     chains = lambda: so_far.select(F.col("id").alias("a"), F.col("component").alias("b"))
     # components that have links have many: a few pairs of each two join most, before all pairs are tried
-    few = common.stored(searched(docs, known, rows.where(F.col("at") <= FIRST), TRIES), "jaccard-links")
+    few = searched(docs, known, rows.where(F.col("at") <= FIRST), TRIES)
     so_far = common.stored(common.components(few.unionByName(chains()), "jaccard-few"), "jaccard-so-far")
     rows = rows.select("token", "doc_id").join(so_far, F.col("doc_id") == F.col("id"), "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    found = common.stored(searched(docs, known, rows, None), "jaccard-links")
+    found = searched(docs, known, rows, None)
     parts = common.components(found.unionByName(chains()), "jaccard-all")
     out = sketch.select("doc_id", F.col("n").alias("n_shingles")).join(parts, F.col("doc_id") == F.col("id"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
