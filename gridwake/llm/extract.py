@@ -3,10 +3,12 @@
 Each page is parsed into elements; scripts, styles, navigation, headers, footers, sidebars, forms,
 and blocks whose class, id or role says notice, advert or comments are left out. The main content is
 the page's article or main element if it has one. Site templates: every other block's subtree is
-hashed, hashes are counted per host in Spark (each page once), and subtrees that recur on RECURS
-pages of a host, and on a share SHARE of them, are deleted. Within main content only containers can
-be templates, on half of the host's pages at least, and none that holds half of the content: a
-paragraph or an article that a site shows on many pages is still the page's text.
+hashed, hashes are counted per host in Spark, and subtrees that recur on RECURS pages of a host, and
+on a share SHARE of them, are deleted. Pages of a host with equal html count as one page. Within main
+content only containers can be templates, on half of the host's pages at least, and none that holds
+half of the content: a paragraph or an article that a site shows on many pages is still the page's
+text. Nor is html or body a template on pages without main content, or a block with half of the
+page's text; such a block is kept whole.
 
 Text: character references are decoded, white space within a block becomes one space, blocks are
 trimmed and joined by one newline, empty ones left out.
@@ -17,9 +19,9 @@ name (the empty one); repeated rows are extracted each; extra columns are ignore
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -50,6 +52,8 @@ _SCOPE = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "body"
 _P_ENDS = _BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "html", "body"}
 
 
+#: Elements that hold a whole page.
+_FRAME = {"html", "body"}
 _CONTAINER = {"div", "section", "ul", "ol", "dl", "table", "figure", "blockquote"}
 
 
@@ -178,7 +182,7 @@ def candidates(root: Node) -> list[tuple[Node, bool]]:
         x, inner = stack.pop()
         if x.noise:
             continue
-        if inner and x.tag in _CONTAINER or not inner and x.tag in _BLOCK and x is not root and id(x) not in inside:
+        if inner and x.tag in _CONTAINER or not inner and x.tag in _BLOCK and x.tag not in _FRAME and id(x) not in inside:
             out.append((x, inner))
         inner = inner or id(x) in inside
         stack += [(c, inner) for c in x.children if isinstance(c, Node)]
@@ -218,6 +222,31 @@ def text_of(roots: list[Node], templates: frozenset | set = frozenset(), most: f
     return "\n".join(blocks)
 
 
+def visible(node: Node) -> int:
+    """Characters of an element's text outside left-out blocks."""
+    n, stack = 0, [node]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            n += len(_SPACES.sub(" ", x).strip())
+        elif not x.noise:
+            stack += x.children
+    return n
+
+
+def leave_out(root: Node, templates: frozenset | set) -> None:
+    """Marks the templates of a page without main content, but none with half of its text, nor what is in such a block."""
+    most, stack = visible(root) / 2, [root]
+    while stack:
+        x = stack.pop()
+        if x.noise:
+            continue
+        if x.key in templates and x.tag in _BLOCK and x.tag not in _FRAME:
+            x.noise = visible(x) < most
+        else:
+            stack += [c for c in x.children if isinstance(c, Node)]
+
+
 def main_text(html: str, outer=frozenset(), inner=frozenset()) -> str:
     """outer, inner: keys of the host's templates outside and inside of main content."""
     root = parse(html)
@@ -228,7 +257,8 @@ def main_text(html: str, outer=frozenset(), inner=frozenset()) -> str:
         return text_of(found, inner, sum(x.size for x in found) / 2)
     if outer:
         hashed(root)
-    return text_of([root], outer)
+        leave_out(root, outer)
+    return text_of([root])
 
 
 def host(url) -> str:
@@ -241,19 +271,25 @@ def templates(pages: DataFrame, recurs: int = RECURS, share: float = SHARE) -> D
 
     def run(frames):
         for f in frames:
-            count: Counter = Counter()
+            found = {}
             for url, page in zip(f["url"], f["html"], strict=True):
                 where = host(url)
-                count[where, None, False] += 1
-                root = parse(page) if isinstance(page, str) else None
-                blocks = candidates(root) if root else []
+                text = page if isinstance(page, str) else ""
+                same = where, hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                if same in found:
+                    continue
+                root = parse(text)
+                blocks = candidates(root)
                 if blocks:
                     hashed(root)
-                    count.update({(where, x.key, inner) for x, inner in blocks})
-            of, keys, inner = zip(*count, strict=True) if count else ((), (), ())
-            yield pd.DataFrame({"host": of, "key": pd.array(keys, dtype="Int64"), "inner": inner, "n": count.values()})
-
-    counts = pages.select("url", "html").mapInPandas(run, "host string, key long, inner boolean, n long").groupBy("host", "key", "inner").agg(F.sum("n").alias("n"))
+                found[same] = [sorted({x.key for x, inner in blocks if inner == side}) for side in (False, True)]
+            yield pd.DataFrame({"host": [k[0] for k in found], "page": [k[1] for k in found], "outer": [v[0] for v in found.values()], "inner": [v[1] for v in found.values()]})
+
+    # pages of equal html have equal keys, so any of them stands for all
+    once = pages.select("url", "html").mapInPandas(run, "host string, page binary, outer array<long>, inner array<long>").groupBy("host", "page").agg(F.first("outer").alias("outer"), F.first("inner").alias("inner"))
+    marked = [F.transform(c, lambda k: F.struct(k.alias("key"), F.lit(c == "inner").alias("inner"))) for c in ("outer", "inner")]
+    page = F.array(F.struct(F.lit(None).cast("long").alias("key"), F.lit(False).alias("inner")))
+    counts = once.select("host", F.inline(F.concat(page, *marked))).groupBy("host", "key", "inner").agg(F.count("*").alias("n"))
     counts = common.stored(counts.where(F.col("key").isNull() | (F.col("n") >= recurs)), "subtrees")
     total = counts.where("key is null").select("host", F.col("n").alias("pages"))
     least = F.when(F.col("inner"), F.greatest(F.lit(INNER_RECURS), INNER_SHARE * F.col("pages"))).otherwise(share * F.col("pages"))

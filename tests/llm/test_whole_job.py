@@ -3,7 +3,7 @@
 import pandas as pd
 from pyspark.sql import functions as F
 
-from gridwake.llm import common
+from gridwake.llm import common, extract
 
 # --- labelled samples -------------------------------------------------------------------------
 
@@ -18,3 +18,19 @@ def test_labelled_ids_and_fitted(spark):
     sample = spark.createDataFrame(pd.DataFrame({"y": [1, 2, 3]})).repartition(3)
     assert common.fitted(sample, learn) == b"3 6"
     assert common.fitted(sample.where("y > 9"), learn) is None
+
+
+# --- pages ------------------------------------------------------------------------------------
+
+
+def test_copies_are_no_templates(spark):
+    rows = [(i, "http://a.com/x", "<html><body><p>One story.</p><p>Its end.</p></body></html>") for i in range(4)]
+    rows += [(10 + i, "http://a.com/y", f"<html><body><div>Site frame</div><p>Text of page number {i}</p></body></html>") for i in range(3)]
+    # near copies: a long shared block, and a line of their own
+    rows += [(20 + i, "http://b.com/z", f"<html><body><span>seen {i} times</span><div><p>A long passage</p><p>of one common text</p></div></body></html>") for i in range(3)]
+    rows += [(30 + i, "http://c.com/w", None) for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    want = {i: "One story.\nIts end." for i in range(4)}
+    want |= {10 + i: f"Text of page number {i}" for i in range(3)}
+    want |= {20 + i: f"seen {i} times\nA long passage\nof one common text" for i in range(3)}
+    assert got == want | {30 + i: "" for i in range(3)}
