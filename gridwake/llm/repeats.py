@@ -41,6 +41,8 @@ COPIES = 1_000_000
 
 _U = np.uint64
 _BLOCK = 4_000_000
+#: Low bits of a minimizer word that hold a place in its block; _BLOCK + LENGTH must stay below their range.
+_PLACE = _U(0xFFFFFF)
 
 
 class Windows:
@@ -63,7 +65,7 @@ class Windows:
             self.p = self.lo = self.hi = self.text = self.shift = np.zeros(0, np.int64)
             return
         g = common.mix((self.h[K:] - self.h[:-K]) * common.inverses(len(self.h))[:n])
-        m = (g & ~_U(0xFFFFFF)) | np.arange(n, dtype=np.uint64)
+        m = (g & ~_PLACE) | (np.arange(len(buf)) - np.repeat(start[:-1], size))[:n].astype(np.uint64)
         step, reach = 1, LENGTH - K + 1
         while step < reach:
             by = min(step, reach - step)
@@ -71,7 +73,7 @@ class Windows:
             step += by
         block = np.repeat(np.arange(len(parts)), np.maximum(size - LENGTH + 1, 0))
         s = np.arange(len(block)) - np.repeat(np.cumsum(np.maximum(size - LENGTH + 1, 0)) - np.maximum(size - LENGTH + 1, 0), np.maximum(size - LENGTH + 1, 0)) + start[block]
-        p = (m[s] & _U(0xFFFFFF)).astype(np.int64)
+        p = (m[s] & _PLACE).astype(np.int64) + start[block]
         cut = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (block[1:] != block[:-1])])) if len(p) else np.zeros(0, int)
         self.p, self.lo = p[cut], s[cut]
         self.hi = s[np.concatenate([cut[1:], [len(s)]]) - 1] if len(cut) else cut

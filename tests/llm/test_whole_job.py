@@ -1,9 +1,11 @@
 """Small cases of the whole job: inputs that earlier versions cut, skipped or failed on."""
 
+import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from gridwake.llm import common, extract
+from gridwake.llm import common, extract, repeats
 
 # --- labelled samples -------------------------------------------------------------------------
 
@@ -34,3 +36,39 @@ def test_copies_are_no_templates(spark):
     want |= {10 + i: f"Text of page number {i}" for i in range(3)}
     want |= {20 + i: f"seen {i} times\nA long passage\nof one common text" for i in range(3)}
     assert got == want | {30 + i: "" for i in range(3)}
+
+
+# --- repeats ----------------------------------------------------------------------------------
+
+
+def places_hold(w):
+    """Every run's minimizer lies in all of its windows, and is the least there."""
+    assert (w.p >= w.hi).all() and (w.p + repeats.K <= w.lo + repeats.LENGTH).all()
+
+
+def test_places_of_long_texts():
+    passage = np.random.default_rng(1).integers(97, 123, 400, dtype=np.uint8).tobytes()
+    filler = np.random.default_rng(2).integers(32, 127, 2**24 + 50_000, dtype=np.uint8).tobytes()
+    a, b = repeats.Windows([filler + passage]), repeats.Windows([passage])
+    places_hold(a)
+    assert set(b.anchor.tolist()) <= set(a.anchor.tolist())
+    at = (a.lo + a.shift)[a.p + a.shift >= len(filler) + 100]
+    assert at.min() >= 2**24 and at.max() <= len(filler) + 300
+
+
+@pytest.mark.parametrize("block", [150, 400])
+def test_places_by_block(monkeypatch, block):
+    monkeypatch.setattr(repeats, "_BLOCK", block)
+    monkeypatch.setattr(repeats, "_PLACE", np.uint64(0x1FF))
+    texts = [np.random.default_rng(i).integers(97, 123, n, dtype=np.uint8).tobytes() for i, n in enumerate((3000, 90, 0, 700, 100))]
+    w = repeats.Windows(texts)
+    places_hold(w)
+    got = {(int(t), int(s)): int(p + d) for t, lo, hi, p, d in zip(w.text, w.lo + w.shift, w.hi + w.shift, w.p, w.shift, strict=True) for s in range(lo, hi + 1)}
+    want = {}
+    for i, t in enumerate(texts):
+        code = common._BYTE[np.frombuffer(t, np.uint8)]
+        h = common.prefix_hash(code)
+        g = common.mix((h[repeats.K :] - h[: -repeats.K]) * common.inverses(len(h))[: max(len(t) - repeats.K + 1, 0)]) if len(t) >= repeats.K else []
+        for s in range(len(t) - repeats.LENGTH + 1):
+            want[i, s] = s + int(np.argmin(g[s : s + repeats.LENGTH - repeats.K + 1] >> np.uint64(9)))
+    assert got == want
