@@ -4,7 +4,7 @@ Labels are given for documents only, so words that stand out in toxic documents
 each distinct text counted once) label the tokens of the training sample. A two-state CRF with
 hashed emissions for a token and its neighbours is then trained on segments of SEGMENT tokens by
 gradient steps on the exact log-likelihood. Every token of every whole text is tagged by
-forward-backward marginals; a logistic model on their maximum, sum and share gives the score of a
+forward-backward marginals of the whole text as one chain: messages are carried over its segments. A logistic model on their maximum, sum and share gives the score of a
 document, and runs of tokens with marginal >= 0.5 give the offending offsets.
 
 Defined results: null and empty texts have no token and are scored like any text without a toxic
@@ -40,16 +40,18 @@ def segments(words: common.Words) -> tuple[np.ndarray, np.ndarray]:
     return np.where(at < words.first[1:][text][:, None], at, -1), text
 
 
-def marginals(e: np.ndarray, valid: np.ndarray, trans: np.ndarray, start: np.ndarray):
+def marginals(e: np.ndarray, valid: np.ndarray, trans: np.ndarray, start: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None):
     """P(state 1) of each token, and of each pair of neighbouring tokens the four states' marginals, summed.
 
     e: log-odds of state 1 (segments, tokens); trans: log potentials (2, 2). Sums are scaled by token.
+    enter, leave: messages (segments, 2) to the first tokens' states, in place of start, and from behind the last ones.
     """
     n, length = e.shape
     a1, a0 = np.empty((length, n)), np.empty((length, n))
     t = np.exp(trans)
     x = np.exp(np.clip(e.T, -30, 30))
-    p0, p1 = np.full(n, np.exp(start[0])), np.exp(start[1]) * x[0]
+    enter = np.tile(np.exp(start), (n, 1)) if enter is None else enter
+    p0, p1 = enter[:, 0], enter[:, 1] * x[0]
     s = p0 + p1
     a0[0], a1[0] = p0 / s, p1 / s
     for i in range(1, length):
@@ -57,7 +59,7 @@ def marginals(e: np.ndarray, valid: np.ndarray, trans: np.ndarray, start: np.nda
         p1 = (a0[i - 1] * t[0, 1] + a1[i - 1] * t[1, 1]) * x[i]
         s = p0 + p1
         a0[i], a1[i] = p0 / s, p1 / s
-    b0, b1 = np.ones(n), np.ones(n)
+    b0, b1 = (np.ones(n), np.ones(n)) if leave is None else leave.T
     out = np.empty((length, n))
     pairs = np.zeros((2, 2))
     ok = valid.T
@@ -78,11 +80,45 @@ def marginals(e: np.ndarray, valid: np.ndarray, trans: np.ndarray, start: np.nda
     return out.T, pairs
 
 
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of 2 x 2 matrices (n, 2, 2), each scaled to sum 1."""
+    out = a[:, :, :1] * b[:, :1, :] + a[:, :, 1:] * b[:, 1:, :]
+    return out / out.sum((1, 2), keepdims=True)
+
+
+def messages(e: np.ndarray, valid: np.ndarray, trans: np.ndarray, start: np.ndarray, text: np.ndarray):
+    """enter and leave of marginals() for segments that are the chains of their texts, in order."""
+    n, length = e.shape
+    t, x = np.exp(trans), np.exp(np.clip(e, -30, 30))
+    first = np.concatenate([[True], text[1:] != text[:-1]])
+    at = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    whole = np.tile(np.eye(2), (n, 1, 1))
+    for i in range(length):
+        step = np.tile(t, (n, 1, 1))
+        if i == 0:  # a text's first token forgets what is before it
+            step[first] = np.exp(start)
+        step[:, :, 1] *= x[:, i, None]
+        whole = np.where(valid[:, i, None, None], product(whole, step), whole)
+    before, behind, by = whole, whole.copy(), 1
+    while by <= at.max():  # products of 2 * by segments from those of by
+        k = np.flatnonzero(at >= by)
+        joined, after = product(before[k - by], before[k]), product(behind[k - by], behind[k])
+        before, behind = before.copy(), behind.copy()
+        before[k], behind[k - by] = joined, after
+        by *= 2
+    enter, leave = np.tile(np.exp(start), (n, 1)), np.ones((n, 2))
+    k = np.flatnonzero(~first)
+    enter[k] = before[k - 1].sum(1) @ t
+    leave[k - 1] = behind[k].sum(2)
+    return enter, leave
+
+
 def buckets(words: common.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Emission buckets of each token's own word, and of its left neighbour's."""
+    """Emission buckets of each token's own word, and of its left neighbour's, the same one for all first words of texts."""
     h = words.hash
     own = (h & np.uint64(EMISSIONS - 1)).astype(np.int64)
     left = np.concatenate([[0], own[:-1]]) if len(own) else own
+    left[words.first[words.first < len(own)]] = 0
     return own, (left * 31 + 7) & (EMISSIONS - 1)
 
 
@@ -148,10 +184,11 @@ def summary(model: dict, words: common.Words) -> tuple[np.ndarray, np.ndarray]:
     m = np.zeros(len(words.hash))
     if len(m):
         own, left = buckets(words)
-        at, _ = segments(words)
+        at, text = segments(words)
         ok = at >= 0
         e = np.where(ok, (model["own"][own] + model["left"][left])[np.maximum(at, 0)] + model["bias"], 0)
-        m[at[ok]] = marginals(e, ok, model["trans"], model["start"])[0][ok]
+        chain = model["trans"], model["start"]
+        m[at[ok]] = marginals(e, ok, *chain, *messages(e, ok, *chain, text))[0][ok]
     count = np.bincount(words.text, minlength=n)
     total = np.bincount(words.text, weights=m * (m > 0.05), minlength=n)
     most = np.zeros(n)

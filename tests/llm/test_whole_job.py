@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridwake.llm import common, extract, repeats
+from gridwake.llm import common, extract, repeats, toxicity
 
 # --- labelled samples -------------------------------------------------------------------------
 
@@ -72,3 +72,36 @@ def test_places_by_block(monkeypatch, block):
         for s in range(len(t) - repeats.LENGTH + 1):
             want[i, s] = s + int(np.argmin(g[s : s + repeats.LENGTH - repeats.K + 1] >> np.uint64(9)))
     assert got == want
+
+
+# --- toxicity ---------------------------------------------------------------------------------
+
+
+def toxic_model():
+    rng = np.random.default_rng(4)
+    weights = {k: rng.normal(0, 1, toxicity.EMISSIONS).astype(np.float32) for k in ("own", "left")}
+    return {**weights, "bias": -0.2, "trans": np.array([[1.5, -1.0], [-0.7, 1.2]]), "start": np.array([0.4, -0.3])}
+
+
+def test_texts_are_whole_chains():
+    model, rng = toxic_model(), np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 50, n)).encode() for n in (1, 32, 33, 0, 100, 300, 64, 5)]
+    words = common.Words(texts, "word")
+    m = toxicity.summary(model, words)[1]
+    for i in range(len(texts)):
+        own = (words.hash[words.text == i] & np.uint64(toxicity.EMISSIONS - 1)).astype(int)
+        left = (np.concatenate([[0], own[:-1]]) * 31 + 7) & (toxicity.EMISSIONS - 1) if len(own) else own
+        e = (model["own"][own] + model["left"][left] + model["bias"])[None]
+        if len(own):  # one segment as long as the text
+            want = toxicity.marginals(e, np.ones(e.shape, bool), model["trans"], model["start"])[0][0]
+            np.testing.assert_allclose(m[words.text == i], want, rtol=1e-9, atol=1e-12)
+
+
+def test_neighbours_do_not_change_a_score():
+    model = toxic_model()
+    texts = [b"some words first", b"the text itself", b"", b"another one", b"the text itself"]
+    x, m = toxicity.summary(model, words := common.Words(texts, "word"))
+    alone, own = toxicity.summary(model, common.Words(texts[1:2], "word"))
+    for i in (1, 4):
+        np.testing.assert_array_equal(x[i], alone[0])
+        np.testing.assert_array_equal(m[words.text == i], own)
