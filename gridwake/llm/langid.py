@@ -26,9 +26,8 @@ from gridwake.llm import common
 
 BUCKETS = 4096
 WIDTH = 16
-#: Bounds of what training sees: rows, and bytes of one row's text (whole texts are scored).
+#: Bound of the rows that training sees; their texts are counted whole, where they are read.
 TRAIN_ROWS = 6000
-TRAIN_BYTES = 20_000
 EPOCHS = 6
 ACCEPTED = 0.995
 
@@ -59,11 +58,23 @@ def bucket_counts(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def counted(frames):
+    """Frames of text, lang to lang and the buckets that its text has, with their counts."""
+    for f in frames:
+        texts = common.encoded(f["text"])
+        for at in range(0, len(texts), 1000):
+            c = bucket_counts(texts[at : at + 1000])
+            has = [np.flatnonzero(row) for row in c]
+            yield pd.DataFrame({"lang": f["lang"].iloc[at : at + 1000].to_numpy(), "bucket": [k.astype(np.int32) for k in has], "n": [row[k] for row, k in zip(c, has, strict=True)]})
+
+
 def train(f: pd.DataFrame) -> bytes:
-    """f: text, lang. A pickled dict of languages, product matrix, bias, temperature, least score."""
+    """f: lang, bucket, n. A pickled dict of languages, product matrix, bias, temperature, least score."""
     langs = sorted(set(f["lang"]))
     y = np.searchsorted(langs, f["lang"].to_numpy().astype(str)) if len(langs) > 1 else np.zeros(len(f), int)
-    x = bucket_counts([t[:TRAIN_BYTES] for t in common.encoded(f["text"])])
+    x = np.zeros((len(f), BUCKETS), np.float32)
+    for row, k, n in zip(x, f["bucket"], f["n"], strict=True):
+        row[np.asarray(k, np.int64)] = n
     x /= np.maximum(x.sum(1, keepdims=True), 1)
     rng = np.random.default_rng(5)
     order = rng.permutation(len(x))
@@ -104,7 +115,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, learn) -> dict | None:
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
     ids = rows.select("doc_id").distinct().orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(TRAIN_ROWS)
-    sample = rows.join(F.broadcast(ids), "doc_id").select(F.substring("text", 1, TRAIN_BYTES).alias("text"), "lang").limit(2 * TRAIN_ROWS)
+    sample = rows.join(F.broadcast(ids), "doc_id").select("text", "lang").mapInPandas(counted, "lang string, bucket array<int>, n array<float>").limit(2 * TRAIN_ROWS)
     data = common.fitted(sample, train)
     return None if data is None else pickle.loads(data)
 

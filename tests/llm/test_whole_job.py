@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridwake.llm import common, extract, repeats, toxicity
+from gridwake.llm import common, extract, langid, repeats, toxicity
 
 # --- labelled samples -------------------------------------------------------------------------
 
@@ -105,3 +105,16 @@ def test_neighbours_do_not_change_a_score():
     for i in (1, 4):
         np.testing.assert_array_equal(x[i], alone[0])
         np.testing.assert_array_equal(m[words.text == i], own)
+
+
+# --- languages --------------------------------------------------------------------------------
+
+
+def test_training_reads_whole_texts(spark):
+    rng, start = np.random.default_rng(8), "1 " * 10_000
+    words = {"en": ["the", "house", "with", "which", "they", "thing"], "de": ["das", "haus", "und", "nicht", "auch", "dinge"]}
+    rows = [(i, start + " ".join(rng.choice(words[k], 200)), k) for i in range(120) for k in [("en", "de")[i % 2]]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.identify(df).join(df.select("doc_id", "lang"), "doc_id").collect()
+    assert len(got) == len(rows)
+    assert all(r["lang_pred"] == r["lang"] for r in got)
