@@ -5,7 +5,9 @@ positions that a fixed mask keeps; the others may differ. Equal seeds of a docum
 item fix an alignment, which is verified: it counts if some window of WINDOW aligned words has at
 least LEAST equal ones (so up to three substitutions). The two masks hit every such window (checked
 over all 286 patterns in the tests), so none is missed. An item shorter than WINDOW is one window
-and needs the same share of equal words and a seed; with fewer than five words it matches nothing.
+and needs the same share of equal words; two more masks hit all its patterns (checked in the tests).
+With fewer than five words that is all of them, and the item's whole word sequence is its seed.
+Documents are given the masks that some item needs.
 
 Defined results: null or empty texts, of documents or items, match nothing; repeated rows of a
 document are one result; an empty benchmark gives no row; extra columns are ignored.
@@ -13,6 +15,8 @@ document are one result; an empty benchmark gives no row; extra columns are igno
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,8 @@ from gridwake.llm import common
 
 #: Kept positions of the masks 11101 and 11011.
 MASKS = ((0, 1, 2, 4), (0, 1, 3, 4))
+#: With these, every pattern of an item of 5 to 12 words has a seed.
+SHORT = (*MASKS, (0, 1, 2, 3), (0, 2, 3, 4))
 SPAN = 5
 WINDOW, LEAST = 13, 10
 #: Up to so many seeds the benchmark is broadcast, some 100 bytes each; beyond, seeds are joined by shuffle.
@@ -31,11 +37,21 @@ def words(text: str = "text") -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def seeds(rows: DataFrame, at: str, *keep: str) -> DataFrame:
-    """rows (with an array column w) once for each position and mask: keep, at, h."""
-    starts = rows.where(F.size("w") >= SPAN).select(*{*keep, "w"}, F.explode(F.sequence(F.lit(0), F.size("w") - SPAN)).alias(at))
-    each = [F.struct(F.xxhash64(F.lit(i), *(F.col("w")[F.col(at) + k] for k in mask)).alias("h")) for i, mask in enumerate(MASKS)]
-    return starts.select(*keep, at, F.inline(F.array(*each)))
+def masks_of(n: int) -> tuple[tuple[int, ...], ...]:
+    """The masks whose seeds an item of n words is found by."""
+    return MASKS if n >= WINDOW else SHORT if n >= SPAN else (tuple(range(n)),)
+
+
+def seeds(rows: DataFrame, at: str, *keep: str, masks=MASKS) -> DataFrame:
+    """rows (with an array column w) once for each position and mask that fits there: keep, at, h."""
+    least = min(mask[-1] for mask in masks) + 1
+    starts = rows.where(F.size("w") >= least).select(*{*keep, "w"}, F.explode(F.sequence(F.lit(0), F.size("w") - least)).alias(at))
+    each = []
+    for mask in masks:
+        h = F.xxhash64(F.lit("".join(map(str, mask))), *(F.get("w", F.col(at) + k) for k in mask))
+        each.append(F.struct((h if mask[-1] < least else F.when(F.col(at) + mask[-1] < F.size("w"), h)).alias("h")))
+    out = starts.select(*keep, at, F.inline(F.array(*each)))
+    return out.where("h is not null") if any(mask[-1] >= least for mask in masks) else out
 
 
 #: For an alignment (document words w, item words iw, d the position of the item's first word): words that are
@@ -57,13 +73,18 @@ def verified(hits: DataFrame) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_equal, n_window, word_start for each contaminated pair."""
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", words().alias("w"))
-    items = benchmark.where("item_id is not null").select("item_id", words().alias("w")).where(F.size("w") >= SPAN).distinct()
-    theirs = seeds(items, "q", "item_id")
+    items = benchmark.where("item_id is not null").select("item_id", words().alias("w")).where(F.size("w") > 0).distinct()
+    of = {}
+    for r in items.select(F.least(F.size("w"), F.lit(WINDOW)).alias("n")).distinct().collect():
+        of.setdefault(masks_of(r["n"]), []).append(r["n"])
+    masks = tuple(sorted({mask for group in of for mask in group})) or MASKS
+    theirs = [seeds(items.where(F.least(F.size("w"), F.lit(WINDOW)).isin(n)), "q", "item_id", masks=group) for group, n in of.items()]
+    theirs = reduce(DataFrame.unionByName, theirs or [seeds(items, "q", "item_id")])
     own = items.select("item_id", F.col("w").alias("iw"))
     if theirs.count() <= BROADCAST_SEEDS:
-        hits = seeds(docs, "p", "doc_id", "w").join(F.broadcast(theirs), "h").join(F.broadcast(own), "item_id")
+        hits = seeds(docs, "p", "doc_id", "w", masks=masks).join(F.broadcast(theirs), "h").join(F.broadcast(own), "item_id")
         return verified(hits.select("doc_id", "w", "item_id", "iw", (F.col("p") - F.col("q")).alias("d")))
-    near = seeds(docs, "p", "doc_id").join(theirs, "h").select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("d")).distinct()
+    near = seeds(docs, "p", "doc_id", masks=masks).join(theirs, "h").select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("d")).distinct()
     return verified(near.join(own, "item_id").join(docs, "doc_id"))
 
 

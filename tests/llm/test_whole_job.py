@@ -1,11 +1,13 @@
 """Small cases of the whole job: inputs that earlier versions cut, skipped or failed on."""
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridwake.llm import common, extract, langid, repeats, toxicity
+from gridwake.llm import common, decontaminate, extract, langid, repeats, toxicity
 
 # --- labelled samples -------------------------------------------------------------------------
 
@@ -118,3 +120,32 @@ def test_training_reads_whole_texts(spark):
     got = langid.identify(df).join(df.select("doc_id", "lang"), "doc_id").collect()
     assert len(got) == len(rows)
     assert all(r["lang_pred"] == r["lang"] for r in got)
+
+
+# --- decontamination --------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", range(1, 13))
+def test_short_items_have_a_seed_for_every_pattern(n):
+    need = -(-n * decontaminate.LEAST // decontaminate.WINDOW)
+    for wrong in (c for k in range(n - need + 1) for c in combinations(range(n), k)):
+        assert any(all(o + k not in wrong for k in mask) for mask in decontaminate.masks_of(n) for o in range(n - mask[-1]))
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_short_items_are_found(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", limit)
+    items, rows = [], []
+    for n in range(1, 14):
+        w = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(w)))
+        allowed = n - -(-min(n, 13) * 10 // 13)
+        for wrong in combinations(range(n), min(allowed, 2)):
+            rows.append((len(rows), n, "a b " + " ".join("x" if k in wrong else v for k, v in enumerate(w)) + " c"))
+        if n > 1:  # one word too many is wrong; none of these may match
+            rows.append((len(rows), None, " ".join("x" if k < allowed + 1 else v for k, v in enumerate(w))))
+        if allowed:  # an end of the item is beyond the document's
+            rows += [(len(rows), n, " ".join(w[allowed:])), (len(rows) + 1, n, " ".join(w[:-allowed]))]
+    docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
+    got = decontaminate.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, n) for i, n, _ in rows if n}
