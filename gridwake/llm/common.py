@@ -6,6 +6,8 @@ executor never takes the only copy of a result along and lineage stays short.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 import zlib
@@ -23,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured (tests)."""
+    """The cluster's shared folder; a temporary one only where none is configured on a local master (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="gridwake-"))
         base = f"file://{_own[0]}"
@@ -50,12 +54,46 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows and bytes of one batch of texts on its way to Python; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def texts(docs: DataFrame, *columns) -> DataFrame:
+    """docs' columns for a partition function, in batches of bounded size (a setting of the session)."""
+    conf = docs.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs.select(*columns)
+
+
+def release() -> None:
+    """Give freed memory back to the system."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run):
+    """A partition function whose worker keeps no freed memory when it has ended."""
+
+    @functools.wraps(run)
+    def wrapped(frames):
+        try:
+            yield from run(frames)
+        finally:
+            release()
+
+    return wrapped
+
+
 def crc_mod(column: str, n: int):
     """crc32 of a column as text, modulo n: the folds of labelled rows."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def chunks(texts: list[bytes], most: int = 2_000_000):
+def chunks(texts: list[bytes], most: int = 1_000_000):
     """Runs of texts of about `most` bytes; a longer text stands alone."""
     at, size = 0, 0
     for i, t in enumerate(texts):

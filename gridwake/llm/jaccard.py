@@ -3,33 +3,36 @@
 A document is its set of 5-word shingles. Two link if 100 * |intersection| >= 75 * |union|. Steps:
 
 1. Equal sets form a class; the class's smallest document stands for it.
-2. Quick links, in rounds: documents of a min-hash bucket are verified against one of its documents
-   taken by hash, another for each bucket and round, if half of their min-hashes agree and they are
-   in different components so far. Stars like these join the bulk of large groups of copies.
-3. The rest is complete. A document keeps its PREFIX shingles of least hash. Two linked sets share one
-   of their first n - ceil(0.75 n) + 1 shingles under any order, so up to 508 shingles the kept ones
-   hold one for certain; beyond, and for how many they share at least (`fewest`), the hash order makes
-   them a random sample, and the bound taken fails with a chance below 1e-16 a pair, as the 64-bit
-   hashes themselves do. Documents with too few shingles that other components have drop out; buckets
-   by such a shingle are searched by signature trees: nodes hold the OR of their documents' shingle
-   bitmaps and their range of sizes, and a traversal of node pairs leaves out those whose largest
-   possible overlap is too small, whose sizes cannot link, or that lie within one component. Buckets
-   of the same documents are searched once; those of more than TILE documents are cut into parts, a
-   task for each two.
-4. Candidates are verified on the whole sets; links give components. A first search tries a few pairs
-   of each two components, since those that have links mostly have many; the second tries all that is left.
+2. Quick links, in rounds: classes of a min-hash bucket are verified against one class of it taken by
+   hash, another for each bucket and round, if half of their min-hashes agree and they are in
+   different components so far. Stars like these join the bulk of large groups of copies.
+3. The rest is complete. A class keeps its kept() shingles of least hash; these hold the prefix of
+   n - ceil(0.75 n) + 1 shingles of which two linked sets share one under any order. As the hash order
+   makes them a random sample, two linked sets also share `fewest` of them; that bound fails with a
+   chance below 1e-16 a pair, as the 64-bit hashes themselves do. Classes with fewer shingles that
+   other components have drop out. What is left is searched by signature trees: nodes hold the OR of
+   their classes' shingle bitmaps and their range of sizes, and a traversal of node pairs leaves out
+   those whose largest possible overlap is too small, whose sizes cannot link, or that lie within one
+   component. Pairs that reach the leaves are compared in place, and none whose components a tile has
+   joined already, so that a tile writes no pairs but at most one link for each component it joins.
+   - Components of more than LARGE classes are each cut into tiles once. Classes of smaller components
+     that share `fewest` shingles with one of them are sent there.
+   - The others meet in buckets by shingle, each class in the buckets of its first shingles in an
+     order that puts buckets first that are small for the number of shingles they serve.
+4. Leaves hold hashes cut to 20 bits more than the size of their set, which can only overstate an
+   overlap. Links are proved on the whole hashes; where one fails, the components that were joined
+   through it are searched again with whole hashes.
 
 Only links within a component found before are left unproved, as they change no component.
 
 Defined results: null and empty texts have no shingle and link with nothing; a text of fewer than
-five words is one shingle; equal or repeated rows link; rows of one doc_id are one vertex; rows
-without doc_id link with nothing; an empty table gives no row; extra columns are ignored.
+five words is one shingle; very long texts are hashed whole; equal or repeated rows link; rows of one
+doc_id are one vertex; rows without doc_id link with nothing; an empty table gives no row; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,17 +44,20 @@ WORDS = 5
 MINS = 6
 #: Quick links need so many equal min-hashes, and are sought in so many rounds.
 AGREE, ROUNDS = 3, 2
-TILE = 2048
+#: Classes, and shingles, of one side of a tile on average; classes from which a component is searched as a whole.
+TILE, TILE_SHINGLES = 1024, 500_000
+LARGE = 64
+#: Large components up to which their list is broadcast, 24 bytes each.
+BROADCAST = 200_000
 FANOUT = 8
-LEAST_BITS, MOST_BITS = 256, 1 << 15
-#: Shingles of least hash that are kept of each document.
+LEAST_BITS, MOST_BITS = 256, 1 << 13
+#: Shingles of least hash that are kept of each document at least.
 PREFIX = 128
-#: The first search looks at so many shingles of a document, and tries so many pairs of two components in a tile.
-FIRST, TRIES = 8, 2
 
 _U = np.uint64
 _C = np.random.default_rng(99).integers(1, 2**62, (WORDS + 1, WORDS), dtype=np.uint64) * _U(2) + _U(1)
 _M = np.random.default_rng(98).integers(1, 2**62, MINS, dtype=np.uint64) * _U(2) + _U(1)
+_FLAGS = 22
 
 
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +89,8 @@ def links(overlap, a, b):
 
 
 def kept(n):
-    return np.minimum(n, PREFIX)
+    """How many shingles of least hash are kept of a set of n: PREFIX, and the whole prefix of larger sets."""
+    return np.minimum(n, np.maximum(PREFIX, n - np.ceil(0.75 * n) + 1))
 
 
 def fewest(n: np.ndarray) -> np.ndarray:
@@ -99,16 +106,33 @@ def fewest(n: np.ndarray) -> np.ndarray:
     return np.maximum(1, np.ceil(0.75 * kept(n) - miss)).astype(int)
 
 
-def signature(h: np.ndarray) -> np.ndarray:
-    bits = min(max(LEAST_BITS, 1 << int(8 * len(h) - 1).bit_length()), MOST_BITS) if len(h) else LEAST_BITS
-    out = np.zeros(bits, np.uint8)
-    out[(h >> _U(20)).astype(np.int64) & (bits - 1)] = 1
-    return np.packbits(out, bitorder="little")
+def bits_of(n: int) -> int:
+    return max(24, n.bit_length() + 19)
+
+
+def packed(h: np.ndarray, wide: bool = False) -> bytes:
+    """A sorted set's upper bits as gaps of three bytes; whole hashes if wide, or if a gap does not fit."""
+    if not wide:
+        v = h >> _U(64 - bits_of(len(h)))
+        gaps = np.diff(v, prepend=_U(0))
+        if (gaps < 1 << 24).all():
+            return gaps.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    return h.tobytes()
+
+
+def unpacked(data: bytes, n: int) -> tuple[np.ndarray, int]:
+    """The values of a packed set, and their bits."""
+    if len(data) == 8 * n:
+        return np.frombuffer(data, np.uint64), 64
+    gaps = np.zeros((n, 4), np.uint8)
+    gaps[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return np.cumsum(gaps.view("<u4")[:, 0], dtype=np.uint64), bits_of(n)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n, h1, h2 (of the set), mins, prefix, sig for each row; rows without shingles have n = 0."""
+    """doc_id, n, h1, h2 (of the set), mins, prefix for each row; rows without shingles have n = 0."""
 
+    @common.lean
     def run(frames):
         for f in frames:
             texts, ids = common.encoded(f["text"]), f["doc_id"].to_numpy()
@@ -126,70 +150,78 @@ def sketches(docs: DataFrame) -> DataFrame:
                     part = np.zeros(hi - lo, np.uint64)
                     part[some] = np.minimum.reduceat(h * m, cuts) if len(cuts) else 0
                     mins.append(part.view(np.int64))
-                prefix, sig = [], []
-                for a, b in zip(bounds, bounds[1:], strict=False):
-                    prefix.append(h[a : min(b, a + PREFIX)].view(np.int64))
-                    sig.append(signature(h[a:b]).tobytes() if b > a else None)
-                yield pd.DataFrame({"doc_id": ids[lo:hi], "n": n, "h1": sums[0], "h2": sums[1], "mins": list(np.stack(mins, 1)), "prefix": prefix, "sig": sig})
+                prefix = [h[a : a + k].view(np.int64) for a, k in zip(bounds, kept(n).astype(int), strict=False)]
+                yield pd.DataFrame({"doc_id": ids[lo:hi], "n": n, "h1": sums[0], "h2": sums[1], "mins": list(np.stack(mins, 1)), "prefix": prefix})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, h1 long, h2 long, mins array<long>, prefix array<long>, sig binary")
+    return common.texts(docs, "doc_id", "text").mapInPandas(run, "doc_id long, n long, h1 long, h2 long, mins array<long>, prefix array<long>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, tag: str) -> DataFrame:
-    """The pairs (a, b) of documents that link, by their whole sets."""
-    pairs = common.stored(pairs.select("a", "b").distinct(), f"{tag}-pairs")
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    maybe = common.Bloom(ids, "id")
+def sets_of(docs: DataFrame, wanted: DataFrame, tag: str) -> DataFrame:
+    """(cid, set) of the classes wanted (cid, rep): sorted hashes of whole texts."""
+    maybe = common.Bloom(wanted.select("rep").distinct(), "rep")
 
+    @common.lean
     def sets(frames):
         for f in frames:
             f = f[maybe.has(f["key"].to_numpy())]
-            texts, doc = common.encoded(f["text"]), f["doc_id"].to_numpy()
+            texts = common.encoded(f["text"])
             for lo, hi in common.chunks(texts):
                 h, bounds = shingles(texts[lo:hi])
-                yield pd.DataFrame({"id": doc[lo:hi], "set": [h[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]})
+                each = [h[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+                cid = np.array([common.mix(x + _U(0x51)).sum(dtype=np.uint64) for x in each], np.uint64)
+                yield pd.DataFrame({"cid": cid.view(np.int64), "set": [x.tobytes() for x in each]})
+
+    found = common.texts(docs.where("doc_id is not null"), "text", maybe.key("doc_id").alias("key")).mapInPandas(sets, "cid long, set binary")
+    found = found.join(wanted.select("cid").distinct(), "cid", "left_semi").groupBy("cid").agg(F.first("set").alias("set"))
+    return common.stored(found, f"{tag}-sets")
 
-    own = docs.where("doc_id is not null").select("doc_id", "text", maybe.key("doc_id").alias("key")).mapInPandas(sets, "id long, set binary").join(ids, "id", "left_semi")
-    own = common.stored(own, f"{tag}-sets")
-    both = pairs.join(own.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
 
+def proved(sets: DataFrame, pairs: DataFrame, tag: str) -> DataFrame:
+    """The pairs (x, y, a, b) of classes x and y, with documents a and b, that link by their whole sets."""
+    both = pairs.join(sets.select(F.col("cid").alias("x"), F.col("set").alias("s")), "x").join(sets.select(F.col("cid").alias("y"), F.col("set").alias("t")), "y")
+
+    @common.lean
     def test(frames):
         for f in frames:
             ok = []
-            for x, y in zip(f["x"], f["y"], strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                ok.append(bool(len(x) and len(y) and links(np.count_nonzero(both[1:] == both[:-1]), len(x), len(y))))
-            yield f[["a", "b"]][ok]
-
-    out = common.stored(both.select("a", "b", "x", "y").mapInPandas(test, "a long, b long"), f"{tag}-links")
-    common.discard(pairs, own)
+            for s, t in zip(f["s"], f["t"], strict=True):
+                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+                every = np.concatenate([s, t])
+                every.sort()
+                ok.append(bool(len(s) and len(t) and links(np.count_nonzero(every[1:] == every[:-1]), len(s), len(t))))
+            yield f[["x", "y", "a", "b"]][ok]
+
+    return common.stored(common.texts(both, "x", "y", "a", "b", "s", "t").mapInPandas(test, "x long, y long, a long, b long"), f"{tag}-links")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, tag: str) -> DataFrame:
+    """The pairs (x, y, a, b) that link, from the documents' texts."""
+    pairs = common.stored(pairs.distinct(), f"{tag}-pairs")
+    ends = [pairs.select(F.col(c).alias("cid"), F.col(d).alias("rep")) for c, d in (("x", "a"), ("y", "b"))]
+    sets = sets_of(docs, ends[0].unionByName(ends[1]).distinct(), tag)
+    out = proved(sets, pairs, tag)
+    common.discard(pairs, sets)
     return out
 
 
 class Tree:
-    """Documents sorted by size; level 0 holds their bitmaps, each node above the OR of FANOUT."""
-
-    def __init__(self, ids, comps, sizes, sigs):
-        order = np.lexsort((ids, sizes))
-        self.ids, n, comps = ids[order], sizes[order], comps[order]
-        bits = max(len(s) for s in sigs) * 8
-        b = np.zeros((len(ids), bits // 64), np.uint64)
-        excess = np.zeros(len(ids), np.int64)
-        width = np.zeros(len(ids), np.int64)
-        for i, k in enumerate(order):
-            s = np.frombuffer(sigs[k], np.uint64)
-            # a shorter bitmap repeated covers every place its shingles could have in a longer one; what two
-            # have in common then repeats as often as the longer of the two does, and counts once
-            b[i] = np.tile(s, b.shape[1] // len(s))
-            width[i] = len(s)
-            excess[i] = n[i] - int(np.bitwise_count(s).sum())
-        self.levels = [(b, n, n, excess, comps, comps, width)]
+    """Classes sorted by size, the most frequent component last; level 0 holds their bitmaps, each node above the OR of FANOUT."""
+
+    def __init__(self, ids, reps, comps, sizes, sets, width: int):
+        of, count = np.unique(comps, return_counts=True)
+        order = np.lexsort((ids, sizes, comps == of[count.argmax()]))
+        self.ids, self.reps, self.n, self.comps = ids[order], reps[order], sizes[order], comps[order]
+        self.sets = [sets[k] for k in order]
+        b = np.zeros((len(ids), width), np.uint8)
+        for i, (v, bits) in enumerate(self.sets):
+            b[i, (v >> _U(bits - width.bit_length() + 1)).astype(np.int64)] = 1
+        excess = self.n - b.sum(1, dtype=np.int64)
+        b = np.packbits(b, axis=1).view(np.uint64)
+        self.levels = [(b, self.n, self.n, excess, self.comps, self.comps)]
         while len(self.levels[-1][0]) > FANOUT:
-            b, lo, hi, ex, c0, c1, wide = self.levels[-1]
+            b, lo, hi, ex, c0, c1 = self.levels[-1]
             cut = np.arange(0, len(b), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(b, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(ex, cut), np.minimum.reduceat(c0, cut), np.maximum.reduceat(c1, cut), np.maximum.reduceat(wide, cut)))
+            self.levels.append((np.bitwise_or.reduceat(b, cut), np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut), np.maximum.reduceat(ex, cut), np.minimum.reduceat(c0, cut), np.maximum.reduceat(c1, cut)))
 
     def __len__(self):
         return len(self.ids)
@@ -197,25 +229,18 @@ class Tree:
 
 def possible(x, y, i, j) -> np.ndarray:
     """Which node pairs (i of level x, j of level y) may hold a link between components."""
-    (bx, lx, hx, ex, cx, dx, wx), (by, ly, hy, ey, cy, dy, wy) = x, y
+    (bx, lx, hx, ex, cx, dx), (by, ly, hy, ey, cy, dy) = x, y
     ok = (4 * hx[i] >= 3 * ly[j]) & (4 * hy[j] >= 3 * lx[i]) & ~((cx[i] == dx[i]) & (cy[j] == dy[j]) & (cx[i] == cy[j]))
     k = np.flatnonzero(ok)
-    wide, narrow = bx.shape[1], by.shape[1]
     for at in range(0, len(k), 4096):
         p, q = i[k[at : at + 4096]], j[k[at : at + 4096]]
-        u, v = bx[p], by[q]
-        if wide > narrow:
-            v = np.tile(v, (1, wide // narrow))
-        elif narrow > wide:
-            u = np.tile(u, (1, narrow // wide))
-        once = max(wide, narrow) // np.maximum(wx[p], wy[q])
-        most = np.bitwise_count(u & v).sum(1, dtype=np.int64) // once + np.minimum(ex[p], ey[q])
+        most = np.bitwise_count(bx[p] & by[q]).sum(1, dtype=np.int64) + np.minimum(ex[p], ey[q])
         ok[k[at : at + 4096]] = 7 * np.minimum(most, np.minimum(hx[p], hy[q])) >= 3 * (lx[p] + ly[q])
     return ok
 
 
 def traverse(x: Tree, y: Tree | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the documents of x and y (of x alone without y) that may link, by pairs."""
+    """Leaves of x and y (of x alone without y) that may link, by pairs."""
     alone = y is None
     y = x if alone else y
     a, b = len(x.levels) - 1, len(y.levels) - 1
@@ -227,7 +252,7 @@ def traverse(x: Tree, y: Tree | None = None) -> tuple[np.ndarray, np.ndarray]:
         i, j = i[ok], j[ok]
         if a == 0 and b == 0:
             keep = i < j if alone else np.ones(len(i), bool)
-            return x.ids[i[keep]], y.ids[j[keep]]
+            return i[keep], j[keep]
         step = np.arange(FANOUT)
         if a and a >= b or not b:
             a -= 1
@@ -235,125 +260,220 @@ def traverse(x: Tree, y: Tree | None = None) -> tuple[np.ndarray, np.ndarray]:
             i, j = i[i < len(x.levels[a][0])], j[i < len(x.levels[a][0])]
             if not alone:
                 continue
-        if alone:
-            b = a
-            i, j = np.repeat(i, FANOUT), (j[:, None] * FANOUT + step).ravel()
-            i, j = i[j < len(y.levels[b][0])], j[j < len(y.levels[b][0])]
-        else:
-            b -= 1
-            i, j = np.repeat(i, FANOUT), (j[:, None] * FANOUT + step).ravel()
-            i, j = i[j < len(y.levels[b][0])], j[j < len(y.levels[b][0])]
+        b = a if alone else b - 1
+        i, j = np.repeat(i, FANOUT), (j[:, None] * FANOUT + step).ravel()
+        i, j = i[j < len(y.levels[b][0])], j[j < len(y.levels[b][0])]
+
+
+def forest(x: Tree, y: Tree, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of the leaves i and j that link: enough to join all components that links between them join."""
+    if not len(i):
+        return []
+    names, lab = np.unique(np.concatenate([x.comps, y.comps]), return_inverse=True)
+    of_x, of_y = lab[: len(x)], lab[len(x) :]
+    root = np.arange(len(names))
+    flags = np.zeros(1 << _FLAGS, bool)
+    by = np.argsort(i, kind="stable")
+    i, j = i[by], j[by]
+    cut = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+    out = []
+    for lo, hi in zip(cut, [*cut[1:], len(i)], strict=True):
+        p = i[lo]
+        v, bits = x.sets[p]
+        mark = v >> _U(bits - _FLAGS)
+        flags[mark] = True
+        for at in range(lo, hi, 512):
+            q = j[at : min(at + 512, hi)]
+            q = q[root[of_y[q]] != root[of_x[p]]]
+            if not len(q):
+                continue
+            size = y.n[q]
+            hits = flags[np.concatenate([y.sets[k][0] >> _U(y.sets[k][1] - _FLAGS) for k in q])]
+            most = np.add.reduceat(hits, np.cumsum(size) - size, dtype=np.int64)
+            for k in q[links(most, x.n[p], size)]:
+                r, s = root[of_x[p]], root[of_y[k]]
+                if r == s:
+                    continue
+                w, depth = y.sets[k]
+                least = min(bits, depth)
+                a, b = v >> _U(bits - least), w >> _U(depth - least)
+                found = np.searchsorted(b, a)
+                if links(int(np.count_nonzero(b[np.minimum(found, len(b) - 1)] == a)), len(a), len(b)):
+                    out.append((p, k))
+                    root[root == s] = r
+        flags[mark] = False
+    return out
+
+
+_ROW = ("k", "i", "j", "side", "cid", "rep", "comp", "n")
 
 
-def candidates(rows: DataFrame, most: int | None = None) -> DataFrame:
-    """(a, b) from rows (token, i, j, part, doc_id, comp, n, sig): a tree for each part of a bucket.
+def searched(rows: DataFrame) -> DataFrame:
+    """(x, y, a, b, c, d): links that join components c and d in each tile of rows (k, i, j, side, cid, rep, comp, n, set).
 
-    most: of the pairs of two components in a tile only so many, the first ones.
+    A tile compares its side 0 with its side 1, or side 0 with itself if it has no side 1 and i = j.
     """
-    columns = ("token", "i", "j", "part", "doc_id", "comp", "n")
 
     def search(f: dict):
-        found = traversed(f)
-        if found is None or most is None or not len(found[0]):
-            return found
-        comp = dict(zip(f["doc_id"].tolist(), f["comp"].tolist(), strict=True))
-        tried: Counter = Counter()
-        keep = []
-        for a, b in zip(*(x.tolist() for x in found), strict=True):
-            two = (comp[a], comp[b]) if comp[a] < comp[b] else (comp[b], comp[a])
-            tried[two] += 1
-            keep.append(tried[two] <= most)
-        return found[0][keep], found[1][keep]
-
-    def traversed(f: dict):
-        if len(f["doc_id"]) < 2:
-            return None
-        i, j = f["i"][0], f["j"][0]
         trees = []
-        for part in {i, j}:
-            at = np.flatnonzero(f["part"] == part)
-            at = at[np.unique(f["doc_id"][at], return_index=True)[1]]
+        sizes = f["n"]
+        if len(sizes) < 2 or f["comp"].min() == f["comp"].max():
+            return None
+        width = min(max(LEAST_BITS, 1 << int(8 * sizes.max() - 1).bit_length()), MOST_BITS)
+        for side in (0, 1):
+            at = np.flatnonzero(f["side"] == side)
+            at = at[np.unique(f["cid"][at], return_index=True)[1]]
             if len(at):
-                trees.append(Tree(f["doc_id"][at], f["comp"][at], f["n"][at], [f["sig"][k] for k in at]))
-        if i != j:
-            return traverse(*trees) if len(trees) == 2 else None
-        return traverse(trees[0]) if len(trees[0]) > 1 else None
+                trees.append(Tree(f["cid"][at], f["rep"][at], f["comp"][at], sizes[at], [unpacked(f["set"][k], int(sizes[k])) for k in at], width))
+        x, y = trees[0], trees[-1]
+        if x is y and (f["i"][0] != f["j"][0] or len(x) < 2):
+            return None
+        found = forest(x, y, *traverse(x, None if x is y else y))
+        if not found:
+            return None
+        p, q = np.array(found).T
+        return pd.DataFrame({"x": x.ids[p], "y": y.ids[q], "a": x.reps[p], "b": y.reps[q], "c": x.comps[p], "d": y.comps[q]})
 
+    @common.lean
     def run(frames):
         held: dict | None = None
         for frame in frames:
-            f = {c: frame[c].to_numpy() for c in columns}
-            f["sig"] = frame["sig"].to_numpy()
+            f = {c: frame[c].to_numpy() for c in (*_ROW, "set")}
             if held is not None:
                 f = {c: np.concatenate([held[c], f[c]]) for c in f}
-            change = np.zeros(len(f["token"]), bool)
-            for c in ("token", "i", "j"):
+            change = np.zeros(len(f["k"]), bool)
+            for c in ("k", "i", "j"):
                 change[1:] |= f[c][1:] != f[c][:-1]
             cuts = [0, *np.flatnonzero(change)]
-            out = [search({c: x[lo:hi] for c, x in f.items()}) for lo, hi in zip(cuts, cuts[1:], strict=False)]
-            held = {c: x[cuts[-1] :] for c, x in f.items()}  # the last bucket may go on
-            yield from pairs(out)
-        if held is not None and len(held["token"]):
-            yield from pairs([search(held)])
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if (out := search({c: x[lo:hi] for c, x in f.items()})) is not None:
+                    yield out
+            held = {c: x[cuts[-1] :] for c, x in f.items()}  # the last tile may go on
+        if held is not None and len(held["k"]) and (out := search(held)) is not None:
+            yield out
+
+    dealt = rows.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j")
+    found = common.texts(dealt, *_ROW, "set").mapInPandas(run, "x long, y long, a long, b long, c long, d long")
+    two = [F.least("c", "d").alias("c"), F.greatest("c", "d").alias("d")]
+    return found.groupBy(*two).agg(F.min(F.struct("x", "y", "a", "b")).alias("l")).select("l.*", "c", "d")
 
-    def pairs(found):
-        found = [x for x in found if x is not None and len(x[0])]
-        if found:
-            a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
-    dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return dealt.mapInPandas(run, "a long, b long").distinct()
+def parts(count: str = "size", shingles: str = "total"):
+    return F.greatest(F.ceil(F.col(count) / TILE), F.ceil(F.col(shingles) / TILE_SHINGLES), F.lit(1)).cast("int")
 
 
-def mixed_rows(known: DataFrame, so_far: DataFrame) -> DataFrame:
-    """(token, doc_id, comp): kept shingles that documents of several components have, of documents that have enough."""
+def mixed_rows(known: DataFrame, equal: DataFrame, so_far: DataFrame) -> DataFrame:
+    """(token, cid, rep, n, need, comp): kept shingles that classes of several components have, of classes that have enough."""
     twice = common.stored(known.select(F.explode("prefix").alias("token")).groupBy("token").count().where("count > 1").select("token"), "jaccard-twice")
     maybe = common.Bloom(twice, "token", hashed=True)
 
+    @common.lean
     def enough(frames):
         for f in frames:
             size = f["prefix"].map(len).to_numpy()
             every = np.concatenate([*f["prefix"], np.zeros(0, np.int64)]).astype(np.int64)
             hit = maybe.has(every)
             of = np.repeat(np.arange(len(f)), size)
-            ok = np.bincount(of[hit], minlength=len(f)) >= fewest(f["n"].to_numpy())
-            use = hit & ok[of]
-            n = f["n"].to_numpy()
-            yield pd.DataFrame({"token": every[use], "doc_id": f["doc_id"].to_numpy()[of[use]], "need": fewest(n)[of[use]]})
-
-    rows = known.select("doc_id", "n", "prefix").mapInPandas(enough, "token long, doc_id long, need int")
-    rows = every = common.stored(rows.join(so_far.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("token", "doc_id", "need", F.coalesce("component", "doc_id").alias("comp")), "jaccard-rows")
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("token")
-    # a document's rows in the order of its shingles: two linked documents share `need` of them, so one
-    # among all but the last need - 1 of each
-    whole = Window.partitionBy("doc_id")
-    rows = rows.join(mixed, "token").distinct().withColumn("at", F.row_number().over(whole.orderBy("token"))).withColumn("of", F.count("*").over(whole))
-    out = common.stored(rows.where("of >= need and at <= of - need + 1").select("token", "doc_id", "comp", "at"), "jaccard-mixed")
+            need = fewest(f["n"].to_numpy())
+            use = hit & (np.bincount(of[hit], minlength=len(f)) >= need)[of]
+            own = {c: f[c].to_numpy()[of[use]] for c in ("cid", "rep", "n")}
+            yield pd.DataFrame({"token": every[use], **own, "need": need[of[use]]})
+
+    one = common.texts(known, F.col("h1").alias("cid"), F.col("doc_id").alias("rep"), "n", "prefix").mapInPandas(enough, "token long, cid long, rep long, n long, need int")
+    one = one.join(equal.select(F.col("a").alias("rep"), F.col("h1").alias("cid")), ["rep", "cid"], "left_anti")
+    rows = every = common.stored(one.join(so_far.withColumnRenamed("id", "rep"), "rep", "left").select("token", "cid", "rep", "n", "need", F.coalesce("component", "rep").alias("comp")).distinct(), "jaccard-rows")
+    out = common.stored(several(rows), "jaccard-mixed")
     common.discard(twice, every)
     return out
 
 
-def searched(docs: DataFrame, known: DataFrame, rows: DataFrame, most: int | None) -> DataFrame:
-    """Links found among rows (token, doc_id, comp); with `most`, that many pairs of two components and a tile are tried."""
-    buckets = rows.groupBy("token").agg(F.bit_xor(F.xxhash64("doc_id")).alias("set"), F.count("*").alias("size"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
-    buckets = buckets.groupBy("set", "size", "least", "most").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("size") / TILE).cast("int").alias("parts"))
-    rows = rows.join(buckets, "token").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    tiles = F.expr("transform(sequence(0, parts - 1), o -> named_struct('i', least(part, o), 'j', greatest(part, o)))")
-    rows = rows.select("token", "doc_id", "comp", "part", F.inline(tiles)).join(known.select("doc_id", "n", "sig"), "doc_id")
-    return verified(docs, candidates(rows.select("token", "i", "j", "part", "doc_id", "comp", "n", "sig"), most), "jaccard-rest")
+def several(rows: DataFrame) -> DataFrame:
+    """The rows of shingles that several components have, of classes that have `need` of these."""
+    mixed = rows.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("token")
+    rows = rows.join(mixed, "token").withColumn("of", F.count("*").over(Window.partitionBy("cid")))
+    return rows.where("of >= need")
+
+
+def large_tiles(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """Tiles of the large components (rows with size) and the classes of smaller ones that may link with them."""
+    tokens = rows.where("size is not null").select("token", F.col("comp").alias("to"), F.col("size").alias("of_size")).distinct()
+    smaller = (F.col("comp") != F.col("to")) & (F.struct(F.coalesce("size", F.lit(0)), "comp") < F.struct("of_size", "to"))
+    seek = rows.withColumnRenamed("token", "t").join(tokens, (F.col("t") == F.col("token")) & smaller)
+    seek = seek.groupBy("cid", "rep", "comp", "n", "need", "to").count().where("count >= need").select("cid", "rep", "comp", "n", "to")
+    seek = common.stored(seek, "jaccard-seek")
+    cut = seek.groupBy("to").agg(F.count("*").alias("s"), F.sum("n").alias("sn")).join(large.withColumnRenamed("comp", "to"), "to")
+    cut = cut.select("to", parts().alias("p"), parts("s", "sn").alias("q"))
+    cut = F.broadcast(cut) if large.count() <= BROADCAST else cut
+    part = lambda c: F.pmod(F.xxhash64("cid"), F.col(c)).cast("int")
+    own = rows.where("size is not null").select("cid", "rep", "comp", "n", F.col("comp").alias("to")).distinct().join(cut, "to")
+    own = own.select(F.col("to").alias("k"), part("p").alias("i"), F.explode(F.expr("sequence(0, q - 1)")).alias("j"), F.lit(0).alias("side"), "cid", "rep", "comp", "n")
+    come = seek.join(cut, "to").select(F.col("to").alias("k"), F.explode(F.expr("sequence(0, p - 1)")).alias("i"), part("q").alias("j"), F.lit(1).alias("side"), "cid", "rep", "comp", "n")
+    return own.unionByName(come)
+
+
+def bucket_tiles(rows: DataFrame) -> DataFrame:
+    """Tiles of the buckets by shingle of the rows."""
+    by_token = rows.groupBy("token").agg(F.bit_xor(F.xxhash64("cid")).alias("set"), F.count("*").alias("size"))
+    serves = by_token.groupBy("set", "size").agg(F.min("token").alias("bucket"), F.count("*").alias("m"))
+    order = by_token.join(serves, ["set", "size"]).select("token", "bucket", (F.col("size") / F.col("m")).alias("cost"))
+    rows = rows.join(order, "token")
+    # two linked classes share `need` of these shingles, so one among all but the last need - 1 of each
+    first = Window.partitionBy("cid").orderBy("cost", "bucket", "token")
+    rows = rows.withColumn("at", F.row_number().over(first)).where("at <= of - need + 1").select("bucket", "cid", "rep", "comp", "n").distinct()
+    rows = common.stored(rows, "jaccard-buckets")
+    buckets = rows.groupBy("bucket").agg(F.bit_xor(F.xxhash64("cid")).alias("set"), F.count("*").alias("size"), F.sum("n").alias("total"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most")
+    buckets = buckets.groupBy("set", "size", "total").agg(F.min("bucket").alias("bucket")).select("bucket", parts().alias("p"))
+    rows = rows.join(buckets, "bucket").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("p")).cast("int"))
+    tiles = F.expr("transform(sequence(0, p - 1), o -> named_struct('i', least(part, o), 'j', greatest(part, o)))")
+    rows = rows.select(F.col("bucket").alias("k"), F.inline(tiles), "part", "cid", "rep", "comp", "n")
+    return rows.select("k", "i", "j", (F.col("part") != F.col("i")).cast("int").alias("side"), "cid", "rep", "comp", "n")
+
+
+def rest(docs: DataFrame, known: DataFrame, equal: DataFrame, so_far: DataFrame) -> DataFrame:
+    """(a, b): proved links that join all components of so_far that are linked."""
+    rows = mixed_rows(known, equal, so_far)
+    sizes = rows.select("comp", "cid", "n").distinct().groupBy("comp").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+    large = common.stored(sizes.where(F.col("size") > LARGE), "jaccard-large")
+    listed = large.select("comp", "size")
+    rows = common.stored(rows.join(F.broadcast(listed) if large.count() <= BROADCAST else listed, "comp", "left"), "jaccard-sized")
+    small = rows.where("size is null").select("token", "cid", "rep", "n", "need", "comp")
+    dealt = common.stored(large_tiles(rows, large).unionByName(bucket_tiles(several(small))), "jaccard-tiles")
+    sets = sets_of(docs, dealt.select("cid", "rep").distinct(), "jaccard-rest")
+
+    def found(tiles: DataFrame, wide: bool) -> tuple[DataFrame, DataFrame]:
+        @common.lean
+        def shrink(frames):
+            for f in frames:
+                yield f.assign(set=[packed(np.frombuffer(s, np.uint64), wide) for s in f["set"]])
+
+        leaves = common.texts(sets, "cid", "set").mapInPandas(shrink, "cid long, set binary")
+        edges = common.stored(searched(tiles.join(leaves, "cid")), "jaccard-found")
+        return edges, proved(sets, edges.select("x", "y", "a", "b"), "jaccard-rest")
+
+    edges, good = found(dealt, False)
+    if good.count() == edges.count():
+        return good.select("a", "b")
+    return good.select("a", "b").unionByName(found(suspects(dealt, edges, good), True)[1].select("a", "b"))
+
+
+def suspects(tiles: DataFrame, edges: DataFrame, good: DataFrame) -> DataFrame:
+    """The rows of tiles whose components were joined, perhaps through others, by an edge that is not good."""
+    claimed = common.stored(common.components(edges.select(F.col("c").alias("a"), F.col("d").alias("b")), "jaccard-claimed"), "jaccard-claimed")
+    failed = edges.join(good.select("x", "y"), ["x", "y"], "left_anti").select(F.col("c").alias("id")).distinct()
+    groups = claimed.join(failed, "id").select("component").distinct()
+    return tiles.join(claimed.join(groups, "component").select(F.col("id").alias("comp")), "comp")
 
 
 def quick_pairs(classes: DataFrame, so_far: DataFrame | None, k: int) -> DataFrame:
-    """(a, b): documents and the one taken from a min-hash bucket of theirs."""
+    """(x, y, a, b): classes and the one taken from a min-hash bucket of theirs."""
     comp = F.col("rep") if so_far is None else F.coalesce("component", "rep")
     rows = classes if so_far is None else classes.join(so_far, F.col("rep") == F.col("id"), "left")
-    each = rows.select("rep", "n", "mins", comp.alias("comp")).select("*", F.posexplode("mins").alias("k", "m"))
-    taken = F.min(F.struct(F.xxhash64("rep", "k", F.lit(k)).alias("h"), "rep", "n", "mins", "comp")).alias("c")
+    each = rows.select("rep", F.col("h1").alias("cid"), "n", "mins", comp.alias("comp")).select("*", F.posexplode("mins").alias("k", "m"))
+    taken = F.min(F.struct(F.xxhash64("cid", "k", F.lit(k)).alias("h"), "cid", "rep", "n", "mins", "comp")).alias("c")
     centre = each.groupBy("k", "m").agg(taken, F.min("comp").alias("least"), F.max("comp").alias("most")).where("least <> most").select("k", "m", "c")
     near = each.join(centre, ["k", "m"]).where("comp <> c.comp and 4 * n >= 3 * c.n and 4 * c.n >= 3 * n")
     agree = sum((F.col("mins")[i] == F.col("c.mins")[i]).cast("int") for i in range(MINS))
-    return near.where(agree >= AGREE).select(F.greatest("rep", "c.rep").alias("a"), F.least("rep", "c.rep").alias("b"))
+    return near.where(agree >= AGREE).select(F.col("cid").alias("x"), F.col("c.cid").alias("y"), F.col("rep").alias("a"), F.col("c.rep").alias("b"))
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -361,25 +481,18 @@ def join(docs: DataFrame) -> DataFrame:
     sketch = common.stored(sketches(docs), "jaccard")
     known = sketch.where("n > 0 and doc_id is not null")
     classes = common.stored(known.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("mins").alias("mins")), "jaccard-classes")
-    equal = known.select("doc_id", "n", "h1", "h2").join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    equal = known.select("doc_id", "n", "h1", "h2").join(classes.select("n", "h1", "h2", "rep"), ["n", "h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"), "h1")
     equal = common.stored(equal, "jaccard-equal")
     so_far = None
     for k in range(ROUNDS):
-        quick = verified(docs, quick_pairs(classes, so_far, k), "jaccard-quick")
-        before = equal if so_far is None else so_far.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        quick = verified(docs, quick_pairs(classes, so_far, k), "jaccard-quick").select("a", "b")
+        before = equal.select("a", "b") if so_far is None else so_far.select(F.col("id").alias("a"), F.col("component").alias("b"))
         so_far = common.stored(common.components(quick.unionByName(before), f"jaccard-{k}"), "jaccard-so-far")
         if quick.isEmpty():
             break
-
-    rows = mixed_rows(known, so_far)
-    chains = lambda: so_far.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    # components that have links have many: a few pairs of each two join most, before all pairs are tried
-    few = searched(docs, known, rows.where(F.col("at") <= FIRST), TRIES)
-    so_far = common.stored(common.components(few.unionByName(chains()), "jaccard-few"), "jaccard-so-far")
-    rows = rows.select("token", "doc_id").join(so_far, F.col("doc_id") == F.col("id"), "left").select("token", "doc_id", F.coalesce("component", "doc_id").alias("comp"))
-    found = searched(docs, known, rows, None)
-    parts = common.components(found.unionByName(chains()), "jaccard-all")
-    out = sketch.select("doc_id", F.col("n").alias("n_shingles")).join(parts, F.col("doc_id") == F.col("id"), "left")
+    found = rest(docs, known, equal, so_far)
+    joined = common.components(found.unionByName(so_far.select(F.col("id").alias("a"), F.col("component").alias("b"))), "jaccard-all")
+    out = sketch.select("doc_id", F.col("n").alias("n_shingles")).join(joined, F.col("doc_id") == F.col("id"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

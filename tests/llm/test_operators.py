@@ -102,10 +102,15 @@ def test_tiles_split_strips(spark, monkeypatch):
 # --- Jaccard ----------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize(("agree", "tile"), [(3, 1024), (99, 4)])
-def test_jaccard(docs, rows, monkeypatch, agree, tile):
+@pytest.mark.parametrize(("agree", "tile", "large", "bits"), [(3, 1024, 64, 20), (99, 4, 64, 20), (99, 4, 1, 20), (99, 1024, 64, 1)])
+def test_jaccard(docs, rows, monkeypatch, agree, tile, large, bits):
+    """Without quick links, in small tiles, with components searched whole, and with leaves that overstate overlaps."""
     monkeypatch.setattr(jaccard_join, "AGREE", agree)
     monkeypatch.setattr(jaccard_join, "TILE", tile)
+    monkeypatch.setattr(jaccard_join, "LARGE", large)
+    if bits == 1:
+        short = jaccard_join.packed
+        monkeypatch.setattr(jaccard_join, "packed", lambda h, wide=False: short(h, wide) if wide else short(np.sort(h & np.uint64(0xFF00000000000000))))
     out = same_count(jaccard_join.join(docs).collect(), rows)
     n, comp = jaccard(rows)
     for r in out:
@@ -126,20 +131,49 @@ def test_tree_leaves_out_only_what_cannot_link():
     for k in range(20):
         sets.append(sets[k][: max(1, int(len(sets[k]) * 0.9))])
     ids = np.arange(len(sets))
-    tree = jaccard_join.Tree(ids, ids, np.array([len(s) for s in sets]), [jaccard_join.signature(s).tobytes() for s in sets])
-    a, b = jaccard_join.traverse(tree)
-    found = {frozenset(p) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    unpack = lambda s: jaccard_join.unpacked(jaccard_join.packed(s), len(s))
+    make = lambda h: jaccard_join.Tree(h, h, h, np.array([len(sets[k]) for k in h]), [unpack(sets[k]) for k in h], 512)
+    pairs = lambda x, y: {frozenset((int(x.ids[i]), int(y.ids[j]))) for i, j in zip(*jaccard_join.traverse(x, None if x is y else y), strict=True)}
+    tree = make(ids)
+    found = pairs(tree, tree)
     for x, y in combinations(range(len(sets)), 2):
         o = len(np.intersect1d(sets[x], sets[y]))
         if 100 * o >= 75 * (len(sets[x]) + len(sets[y]) - o):
             assert frozenset((x, y)) in found
     assert len(found) < len(sets) ** 2 / 4
-    half = np.arange(45)
-    t = [jaccard_join.Tree(h, h, np.array([len(sets[k]) for k in h]), [jaccard_join.signature(sets[k]).tobytes() for k in h]) for h in (half, np.arange(45, 90))]
-    across = {frozenset(p) for p in zip(*(x.tolist() for x in jaccard_join.traverse(*t)), strict=True)}
+    across = pairs(make(np.arange(45)), make(np.arange(45, 90)))
     assert {p for p in found if min(p) < 45 <= max(p)} <= across
 
 
+def test_forest_joins_what_links_and_no_more():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 300).astype(np.uint64) * np.uint64(2)
+    sets = [np.sort(np.concatenate([base[rng.permutation(300)[: 300 - k]], rng.integers(0, 2**62, k).astype(np.uint64)])) for k in rng.integers(5, 70, 60)]
+    ids, n = np.arange(60), np.array([300] * 60)
+    both = [(a, b) for a, b in combinations(range(60), 2) if jaccard_join.links(len(np.intersect1d(sets[a], sets[b])), 300, 300)]
+    for comps in (ids, ids // 3):
+        tree = jaccard_join.Tree(ids, ids, comps, n, [jaccard_join.unpacked(jaccard_join.packed(s), 300) for s in sets], 4096)
+        edges = [(int(tree.ids[p]), int(tree.ids[q])) for p, q in jaccard_join.forest(tree, tree, *jaccard_join.traverse(tree))]
+        assert {tuple(sorted(e)) for e in edges} <= set(both)
+        own = [(int(a), int(np.flatnonzero(comps == comps[a])[0])) for a in ids]
+        assert components(range(60), edges + own) == components(range(60), both + own)
+        assert len(edges) < len(set(comps))
+
+
+def test_packed_sets_and_long_prefixes():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 7, 300, 5000):
+        h = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        v, bits = jaccard_join.unpacked(jaccard_join.packed(h), len(h))
+        assert (v == h >> np.uint64(64 - bits)).all()
+        assert (jaccard_join.unpacked(jaccard_join.packed(h, True), len(h))[0] == h).all()
+    far = np.array([*range(1, 1000), 2**64 - 1], np.uint64)
+    assert (jaccard_join.unpacked(jaccard_join.packed(far), 1000)[0] == far).all() and len(jaccard_join.packed(far)) == 8000
+    # sets of any size keep the whole prefix that two linked sets must share one shingle of
+    n = np.arange(1, 30000)
+    assert (jaccard_join.kept(n) >= np.minimum(n, n - np.ceil(0.75 * n) + 1)).all()
+
+
 def test_fewest_is_met_by_links():
     rng = np.random.default_rng(8)
     for n in (10, 100, 140, 400, 2000):
@@ -148,7 +182,8 @@ def test_fewest_is_met_by_links():
             x = np.sort(rng.integers(0, 2**62, n))
             drop = n // 8
             y = np.sort(np.concatenate([x[rng.permutation(n)[drop:]], rng.integers(0, 2**62, drop)]))
-            assert len(np.intersect1d(x[: jaccard_join.PREFIX], y[: jaccard_join.PREFIX])) >= need
+            k = int(jaccard_join.kept(n))
+            assert len(np.intersect1d(x[:k], y[:k])) >= need
 
 
 # --- repeats ----------------------------------------------------------------------------------
@@ -283,8 +318,7 @@ def test_tokens_equal_the_library(spark, docs, rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    extra = ["ẖ H̱ é É", "it's WE'RE ²³ ½ ª º ß ſ", "a­b ​z \x1c\x1d ©", "<|endoftext|> x", "日本語 текст", "ǅ ŉ ĳ"]
+    extra = ["ẖ H̱ é É", "it's WE'RE ²³ ½ ª º ß ſ", "a­b ​z \x1c\x1d ©", "<|endoftext|> x", "hello <|endoftext|> world", "É<|startoftext|><|endoftext|>it's", "<|ENDOFTEXT|> a", "日本語 текст", "ǅ ŉ ĳ"]
     rows = [*rows, *((300 + i, x, None, None) for i, x in enumerate(extra))]
     out = packing.pieces(frame(spark, rows)).collect()
     got = {}
@@ -397,7 +431,7 @@ def test_marginals_equal_enumeration():
         p += w * np.array(s)
         for b in range(3):
             pairs[s[b], s[b + 1]] += w
-    m, q = toxicity.marginals(e, np.ones((1, 4), bool), trans, start)
+    m, q, _ = toxicity.marginals(e, np.ones((1, 4), bool), trans, start)
     assert m[0] == pytest.approx(p / total)
     assert q == pytest.approx(pairs / total)
 
