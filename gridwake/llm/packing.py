@@ -8,10 +8,11 @@ are opened: their pieces are exchanged between groups and packed again, as long
 Tokens come from a public vocabulary file through `tokenizers`. A word (run of bytes that are not
 ASCII white space) always gets the same tokens, so each worker keeps a bounded table of them; words
 of Latin letters that are not in it go through byte-pair ranks derived from the same file, all
-others through `tokenizers` itself. Special tokens' strings in a text are ordinary text.
+others through `tokenizers` itself, as do whole texts that hold the string of a special token.
 
-Defined results: null text is empty and yields one piece, its end token; repeated rows are packed
-each for itself; an empty table yields no row; extra columns are ignored.
+Defined results: null text is empty and yields one piece, its end token; very long texts are cut into
+pieces; repeated rows are packed each for itself, ties of length by doc_id and piece; an empty table
+yields no row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ END = 1
 GROUP_ROWS = 40_000
 ROUNDS = 4
 #: Words kept by one worker; the table starts anew when it is full.
-CACHE = 700_000
+CACHE = 200_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PACKED = f"{_PIECES}, sequence_id long, offset long, open boolean, bound long"
@@ -48,13 +49,13 @@ class Codec:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
         special = {t["content"] for t in spec["added_tokens"]}
+        self.special = [t.encode() for t in special]
         # xFF is in no UTF-8 text: it marks the end of a word, as </w> does
         ranks = {}
         for token, i in spec["model"]["vocab"].items():
@@ -76,6 +77,8 @@ class Codec:
         return np.array(ids, "<u4").tobytes()
 
     def ids(self, text: bytes) -> bytes:
+        if any(t in text for t in self.special):
+            return np.array(self.slow.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
         # before U+0300..U+036F a capital may compose otherwise than its small letter
         words = (text if b"\xcc" in text or b"\xcd" in text else text.lower()).split()
         known = self.known
@@ -103,6 +106,7 @@ def codec(path: str) -> Codec:
 def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each document's pieces."""
 
+    @common.lean
     def run(frames):
         import public_tokenizers
 
@@ -116,8 +120,9 @@ def pieces(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Da
                     part = ids[at : at + 4 * length]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+        c.known.clear()
 
-    return docs.select("doc_id", "text").mapInPandas(run, _PIECES)
+    return common.texts(docs, "doc_id", "text").mapInPandas(run, _PIECES)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = LENGTH) -> int:
