@@ -8,17 +8,19 @@ steps are linear, a text is scored by its bucket counts times one product matrix
 The probabilities are calibrated by a temperature on a part of the sample that training has not
 seen; a document is `rejected` below the least score at which ACCEPTED of that part are right.
 
-Defined results: null text, or text without a letter, is `und` with score 0; without labelled rows
-every document is. Repeated rows score alike; extra columns are ignored.
+Defined results: null text, or text without a letter (a character of the Unicode classes L), is `und`
+with score 0; without labelled rows every document is. Of rows that share a doc_id the least text is
+learnt; ties of score go to the first language by name; very long texts are counted whole; repeated
+rows score alike; an empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import pickle
-import re
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ TRAIN_ROWS = 6000
 EPOCHS = 6
 ACCEPTED = 0.995
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _rng = np.random.default_rng(11)
 _KEYS = _rng.integers(0, 2**32, (3, 256), dtype=np.uint32)
 _MULTIPLIER = 2654435769
@@ -58,6 +60,7 @@ def bucket_counts(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+@common.lean
 def counted(frames):
     """Frames of text, lang to lang and the buckets that its text has, with their counts."""
     for f in frames:
@@ -114,8 +117,9 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, learn) -> dict | None:
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
-    ids = rows.select("doc_id").distinct().orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(TRAIN_ROWS)
-    sample = rows.join(F.broadcast(ids), "doc_id").select("text", "lang").mapInPandas(counted, "lang string, bucket array<int>, n array<float>").limit(2 * TRAIN_ROWS)
+    ids = rows.where("doc_id is not null").select("doc_id").distinct().orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(TRAIN_ROWS)
+    one = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).select("r.*")
+    sample = common.texts(one, "text", "lang").mapInPandas(counted, "lang string, bucket array<int>, n array<float>")
     data = common.fitted(sample, train)
     return None if data is None else pickle.loads(data)
 
@@ -125,6 +129,7 @@ def identify(docs: DataFrame, fold: int = 4, held: int = 2) -> DataFrame:
     crc = common.crc_mod("doc_id", fold)
     model = fit(docs.select("doc_id", "text", "lang"), crc != held)
 
+    @common.lean
     def run(frames):
         for f in frames:
             n = len(f)
@@ -141,7 +146,7 @@ def identify(docs: DataFrame, fold: int = 4, held: int = 2) -> DataFrame:
                 rejected = score < model["least"]
             yield pd.DataFrame({"doc_id": f["doc_id"], "lang_pred": lang, "score": np.clip(score, 0, 1), "rejected": rejected})
 
-    out = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    out = common.texts(docs, "doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double, rejected boolean")
     return out.select("doc_id", (crc == held).alias("held_out"), "lang_pred", "score", "rejected")
 
 
