@@ -2,13 +2,19 @@
 
 Labels are given for documents only, so words that stand out in toxic documents (by smoothed odds,
 each distinct text counted once) label the tokens of the training sample. A two-state CRF with
-hashed emissions for a token and its neighbours is then trained on segments of SEGMENT tokens by
-gradient steps on the exact log-likelihood. Every token of every whole text is tagged by
-forward-backward marginals of the whole text as one chain: messages are carried over its segments. A logistic model on their maximum, sum and share gives the score of a
-document, and runs of tokens with marginal >= 0.5 give the offending offsets.
+hashed emissions for a token and its left neighbour is then trained by gradient steps on the exact
+log-likelihood. A text is one chain, in training as in scoring: it is worked on in segments of SEGMENT
+tokens, and forward and backward messages are carried over them. A logistic model on the marginals'
+maximum, sum and share gives the score of a document, and tokens with marginal >= 0.5 give the
+offending offsets.
+
+The sample is that of the labelled rows of least crc32 of doc_id: at most TRAIN_ROWS rows, and no more
+rows than have TRAIN_BYTES bytes together; every one of them is used whole.
 
 Defined results: null and empty texts have no token and are scored like any text without a toxic
-token; without labelled rows every score is 0. Extra columns are ignored, repeated rows score alike.
+token; without labelled rows every score is 0. Of rows that share a doc_id the least text is learnt;
+very long texts are tagged whole; repeated rows and ties score alike; an empty table gives no row; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,16 +23,18 @@ import pickle
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridwake.llm import common
 
 SEGMENT = 32
 EMISSIONS = 1 << 18
-#: Bounds of what training sees: labelled rows, and segments.
+#: Bounds of the labelled rows that training sees: their number, and their bytes together.
 TRAIN_ROWS = 8000
-TRAIN_SEGMENTS = 40_000
+TRAIN_BYTES = 32 << 20
+#: Segments of one gradient step, rounded up to whole texts.
+STEP = 1000
 LEAST_ODDS = 8.0
 
 
@@ -41,7 +49,8 @@ def segments(words: common.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def marginals(e: np.ndarray, valid: np.ndarray, trans: np.ndarray, start: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None):
-    """P(state 1) of each token, and of each pair of neighbouring tokens the four states' marginals, summed.
+    """P(state 1) of each token; of each pair of neighbouring tokens of a segment the four states' marginals, summed;
+    and the messages to the first tokens from those after them.
 
     e: log-odds of state 1 (segments, tokens); trans: log potentials (2, 2). Sums are scaled by token.
     enter, leave: messages (segments, 2) to the first tokens' states, in place of start, and from behind the last ones.
@@ -77,7 +86,7 @@ def marginals(e: np.ndarray, valid: np.ndarray, trans: np.ndarray, start: np.nda
             s = d0 + d1
             # beyond a text's end nothing is seen: the message stays flat
             b0, b1 = np.where(k, d0 / s, 1.0), np.where(k, d1 / s, 1.0)
-    return out.T, pairs
+    return out.T, pairs, np.stack([b0, b1], 1)
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -113,6 +122,13 @@ def messages(e: np.ndarray, valid: np.ndarray, trans: np.ndarray, start: np.ndar
     return enter, leave
 
 
+def crossing(e, trans, behind, over) -> np.ndarray:
+    """P(first state of segment k | last state of segment k - 1) for the segments `over`, (n, 2, 2): what is before
+    the last token of k - 1 has no say. behind: messages to the first tokens from those after them."""
+    given = np.exp(trans)[None] * (behind[over] * np.stack([np.ones(len(over)), np.exp(np.clip(e[over, 0], -30, 30))], 1))[:, None, :]
+    return given / given.sum(2, keepdims=True)
+
+
 def buckets(words: common.Words) -> tuple[np.ndarray, np.ndarray]:
     """Emission buckets of each token's own word, and of its left neighbour's, the same one for all first words of texts."""
     h = words.hash
@@ -138,22 +154,25 @@ def train(f: pd.DataFrame) -> bytes:
     tag = np.isin(words.hash, seeds) & toxic
     at, text = segments(words)
     rng = np.random.default_rng(3)
-    hot = (tag[np.maximum(at, 0)] & (at >= 0)).any(1) if len(at) else np.zeros(0, bool)
-    cold = rng.permutation(np.flatnonzero(~hot))[: TRAIN_SEGMENTS // 2]
-    use = np.concatenate([rng.permutation(np.flatnonzero(hot))[: TRAIN_SEGMENTS // 2], cold])
     own, left = buckets(words)
+    begin = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]])) if len(text) else text
+    many = np.diff(np.concatenate([begin, [len(text)]])).astype(int) if len(text) else text
     w_own, w_left, bias = np.zeros(EMISSIONS), np.zeros(EMISSIONS), -4.0
     trans, start = np.zeros((2, 2)), np.zeros(2)
     g_own, g_left = np.full(EMISSIONS, 1e-2), np.full(EMISSIONS, 1e-2)
     for _ in range(4):
-        for part in np.array_split(rng.permutation(use), max(1, len(use) // 1000)):
-            if not len(part):
-                continue
+        chains = rng.permutation(len(begin))
+        step = np.cumsum(many[chains]) // STEP if len(chains) else chains
+        for group in np.split(chains, np.flatnonzero(np.diff(step)) + 1) if len(chains) else ():
+            k = np.arange(many[group].sum()) - np.repeat(np.cumsum(many[group]) - many[group], many[group])
+            part = np.repeat(begin[group], many[group]) + k
             a = at[part]
+            opens = k == 0
             ok = a >= 0
             k = np.maximum(a, 0)
             e = np.where(ok, w_own[own[k]] + w_left[left[k]] + bias, 0)
-            m, pairs = marginals(e, ok, trans, start)
+            enter, leave = messages(e, ok, trans, start, text[part])
+            m, pairs, behind = marginals(e, ok, trans, start, enter, leave)
             gold = (tag[k] & ok).astype(float)
             d = np.where(ok, gold - m, 0)
             for w, g, b in ((w_own, g_own, own), (w_left, g_left, left)):
@@ -165,8 +184,13 @@ def train(f: pd.DataFrame) -> bytes:
             g0 = gold.astype(int)
             both = ok[:, 1:] & ok[:, :-1]
             np.add.at(seen, (g0[:, :-1][both], g0[:, 1:][both]), 1)
+            # the neighbours on both sides of a segment's edge
+            over = np.flatnonzero(~opens)
+            np.add.at(seen, (g0[over - 1, -1], g0[over, 0]), 1)
+            joint = np.stack([1 - m[over - 1, -1], m[over - 1, -1]], 1)[:, :, None] * crossing(e, trans, behind, over)
+            pairs = pairs + joint.sum(0)
             trans += 0.5 * (seen - pairs) / max(ok.sum(), 1)
-            start += 0.5 * np.array([-d[:, 0].sum(), d[:, 0].sum()]) / max(len(part), 1)
+            start += 0.5 * np.array([-d[opens, 0].sum(), d[opens, 0].sum()]) / max(opens.sum(), 1)
     model = {"own": w_own.astype(np.float32), "left": w_left.astype(np.float32), "bias": bias, "trans": trans, "start": start, "doc": None}
     x = summary(model, words)[0]
     b = np.zeros(x.shape[1])
@@ -198,13 +222,19 @@ def summary(model: dict, words: common.Words) -> tuple[np.ndarray, np.ndarray]:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learn) -> dict | None:
     ids = common.labelled_ids(labels, label, learn, TRAIN_ROWS)
-    data = common.fitted(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y").limit(2 * TRAIN_ROWS), train)
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    sizes = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.octet_length(F.min("text")).alias("b"))
+    so_far = F.sum("b").over(Window.orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id"))
+    few = common.stored(sizes.withColumn("sum", so_far).where(F.col("sum").isNull() | (F.col("sum") <= TRAIN_BYTES)).select("doc_id", "y"), "toxicity-sample")
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    data = common.fitted(common.texts(rows, "text", "y"), train)
     return None if data is None else pickle.loads(data)
 
 
 def tagged(docs: DataFrame, model: dict | None) -> DataFrame:
     """(doc_id, score, spans): spans of toxic tokens in code points, end exclusive."""
 
+    @common.lean
     def run(frames):
         for f in frames:
             texts = common.encoded(f["text"])
@@ -220,7 +250,7 @@ def tagged(docs: DataFrame, model: dict | None) -> DataFrame:
                     spans[lo + k].append({"start": s, "end": s + len(text[words.start[i] - base : words.end[i] - base].decode("utf-8", "replace"))})
             yield pd.DataFrame({"doc_id": f["doc_id"], "score": score, "spans": spans})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, spans array<struct<start:int,end:int>>")
+    return common.texts(docs, "doc_id", "text").mapInPandas(run, "doc_id long, score double, spans array<struct<start:int,end:int>>")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 4, held: int = 2, threshold: float = 0.3) -> DataFrame:
