@@ -9,8 +9,9 @@ and needs the same share of equal words; two more masks hit all its patterns (ch
 With fewer than five words that is all of them, and the item's whole word sequence is its seed.
 Documents are given the masks that some item needs.
 
-Defined results: null or empty texts, of documents or items, match nothing; repeated rows of a
-document are one result; an empty benchmark gives no row; extra columns are ignored.
+Defined results: null or empty texts, of documents or items, match nothing; very long texts are searched
+whole; repeated rows of a document are one result; of alignments that tie in equal words the first one is
+given; an empty table or benchmark gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -98,15 +99,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+#: All alignments by equal words, without seeds.
 ORACLE = """
-with dw as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from documents where text is not null and doc_id is not null),
-iw as (select distinct item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from benchmark where item_id is not null and text is not null),
-ds as (select doc_id, p, w[p] || ' ' || w[p+1] || ' ' || w[p+4] k, w[p+2] k2, w[p+3] k3 from (select doc_id, w, unnest(range(1, len(w) - 3)) p from dw where len(w) >= 5)),
-bs as (select item_id, q, w[q] || ' ' || w[q+1] || ' ' || w[q+4] k, w[q+2] k2, w[q+3] k3 from (select item_id, w, unnest(range(1, len(w) - 3)) q from iw where len(w) >= 5)),
-hit as (select distinct doc_id, item_id, p - q d from ds join bs using (k) where ds.k2 = bs.k2 or ds.k3 = bs.k3),
-al as (select h.doc_id, h.item_id, h.d, list_transform(range(1, len(i.w) + 1), lambda j: case when d + j >= 1 and d + j <= len(dw.w) and dw.w[d + j] = i.w[j] then 1 else 0 end) eq
-  from hit h join dw on dw.doc_id = h.doc_id join iw i on i.item_id = h.item_id),
-sc as (select doc_id, item_id, d, list_sum(eq)::bigint n_equal, list_max(list_transform(range(1, greatest(len(eq) - 12, 1) + 1), lambda j: list_sum(eq[j:j+12])))::bigint n_window, ceil(least(len(eq), 13) * 10 / 13) need from al),
-ok as (select *, row_number() over (partition by doc_id, item_id order by n_equal desc, n_window desc, d) r from sc where n_window >= need)
-select doc_id, item_id, n_equal::integer n_equal, n_window::integer n_window, d::integer word_start from ok where r = 1
+with dw as (select row_number() over () r, doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from documents where text is not null and doc_id is not null),
+iw as (select row_number() over () s, item_id, w, len(w) n, ceil(least(len(w), 13) * 10 / 13) need from (select distinct item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') w from benchmark where item_id is not null and text is not null)),
+d as (select r, doc_id, unnest(w) word, unnest(range(1, len(w) + 1)) p from dw),
+i as (select s, unnest(w) word, unnest(range(1, n + 1)) q from iw),
+al as (select r, any_value(doc_id) doc_id, s, p - q d, count(*) n_equal, list(q) qs from d join i using (word) group by r, s, p - q),
+sc as (select doc_id, item_id, d, n_equal, need, list_max(list_transform(range(1, greatest(n - 12, 1) + 1), lambda j: len(list_filter(qs, lambda q: q >= j and q < j + 13)))) n_window from al join iw using (s) where n_equal >= need),
+ok as (select *, row_number() over (partition by doc_id, item_id order by n_equal desc, n_window desc, d) k from sc where n_window >= need)
+select doc_id, item_id, n_equal::integer n_equal, n_window::integer n_window, d::integer word_start from ok where k = 1
 """
