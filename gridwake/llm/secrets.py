@@ -6,8 +6,9 @@ The hashes of all candidates are counted over the corpus by distinct repositorie
 value that many owners have is an example that is copied around, one that a few have looks live.
 Base spans are always reported; opaque ones are added where their value looks live.
 
-Defined results: null text is empty and has no span; repeated rows are reported each; an empty table
-gives no row; extra columns are ignored. Offsets are code points, end exclusive. A null repository
+Defined results: null text is empty and has no span; very long texts are scanned whole; repeated rows are
+reported each; spans that start together are ordered by kind; an empty table gives no row; extra columns
+are ignored. Offsets are code points, end exclusive. A null repository
 or owner counts as one of its own.
 """
 
@@ -28,6 +29,8 @@ KINDS = ("assign", "access", "hex", "opaque")
 ASSIGN_LEAST = 6
 #: A value that at least so many owners, or twice as many repositories, have is an example.
 OWNERS = 5
+#: Tasks that the documents with one value are dealt to.
+SALTS = 16
 
 _SPAN = "struct<s:int,k:int,e:int,h:string>"
 
@@ -71,8 +74,11 @@ def judged(found: DataFrame, owners: int = OWNERS) -> DataFrame:
     """found with `live`: the set of hashes of its candidates that look live (null if it has none)."""
     own = ownership(found)
     live = own.where((F.col("n_owners") < owners) & (F.col("n_repositories") < 2 * owners)).select("h")
-    has = found.where("size(base) + size(opaque) > 0").select("doc_id", F.explode(F.concat("base.h", "opaque.h")).alias("h")).distinct()
-    by_doc = has.join(live, "h").groupBy("doc_id").agg(F.collect_set("h").alias("live"))
+    # a value may be in all documents of one owner: its rows go to SALTS tasks
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+    has = found.where("size(base) + size(opaque) > 0").select("doc_id", salt.alias("salt"), F.explode(F.array_distinct(F.concat("base.h", "opaque.h"))).alias("h"))
+    live = live.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    by_doc = has.join(live, ["h", "salt"]).groupBy("doc_id").agg(F.collect_set("h").alias("live"))
     return found.join(by_doc, "doc_id", "left").withColumn("live", F.coalesce("live", F.expr("cast(array() as array<string>)")))
 
 
