@@ -14,7 +14,8 @@ Text: character references are decoded, white space within a block becomes one s
 trimmed and joined by one newline, empty ones left out.
 
 Defined results: null or empty html gives an empty text; a null or odd url is a host of its own
-name (the empty one); repeated rows are extracted each; extra columns are ignored.
+name (the empty one); very long pages are parsed whole; repeated rows are extracted each; a subtree that
+recurs on just the least share is a template; an empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ import hashlib
 import html as entities
 import re
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +35,10 @@ RECURS, SHARE = 3, 0.2
 #: Containers in main content need more, and must hold less than half of its characters.
 INNER_RECURS, INNER_SHARE = 5, 0.5
 
+#: Templates' keys of all hosts up to which they are broadcast, 8 bytes each; tasks that a host's pages go to beyond.
+#: A key is on a fifth of its host's pages at least, so a host has five times as many as its pages have blocks at most.
+BROADCAST_KEYS, SALTS = 500_000, 64
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|([^<]+|<)", re.S)
 #: A tag whose quotes do not close.
 _OPEN_QUOTE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -139,8 +143,8 @@ def parse(html: str) -> Node:
     return root
 
 
-def hashed(node: Node) -> np.uint64:
-    """Keys of an element's subtree, by its tag and its children's keys and text."""
+def hashed(node: Node) -> int:
+    """Keys of an element's subtree, 64 bits by its tag and its children's keys and text."""
     stack = [(node, False)]
     while stack:
         x, done = stack.pop()
@@ -150,8 +154,7 @@ def hashed(node: Node) -> np.uint64:
         else:
             x.size = sum(c.size if isinstance(c, Node) else len(c) for c in x.children)
             body = "\x00".join(str(c.key) if isinstance(c, Node) else _SPACES.sub(" ", c).strip() for c in x.children)
-            x.key = common.zlib.crc32(f"{x.tag}\x01{body}".encode("utf-8", "surrogatepass")) | (common.zlib.adler32(f"{body}\x01{x.tag}".encode("utf-8", "surrogatepass")) << 32)
-            x.key -= (x.key >> 63) << 64
+            x.key = int.from_bytes(hashlib.blake2b(f"{x.tag}\x01{body}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
     return node.key
 
 
@@ -269,6 +272,7 @@ def host(url) -> str:
 def templates(pages: DataFrame, recurs: int = RECURS, share: float = SHARE) -> DataFrame:
     """(host, outer, inner): keys of the subtrees that recur over a host's pages."""
 
+    @common.lean
     def run(frames):
         for f in frames:
             found = {}
@@ -286,7 +290,7 @@ def templates(pages: DataFrame, recurs: int = RECURS, share: float = SHARE) -> D
             yield pd.DataFrame({"host": [k[0] for k in found], "page": [k[1] for k in found], "outer": [v[0] for v in found.values()], "inner": [v[1] for v in found.values()]})
 
     # pages of equal html have equal keys, so any of them stands for all
-    once = pages.select("url", "html").mapInPandas(run, "host string, page binary, outer array<long>, inner array<long>").groupBy("host", "page").agg(F.first("outer").alias("outer"), F.first("inner").alias("inner"))
+    once = common.texts(pages, "url", "html").mapInPandas(run, "host string, page binary, outer array<long>, inner array<long>").groupBy("host", "page").agg(F.first("outer").alias("outer"), F.first("inner").alias("inner"))
     marked = [F.transform(c, lambda k: F.struct(k.alias("key"), F.lit(c == "inner").alias("inner"))) for c in ("outer", "inner")]
     page = F.array(F.struct(F.lit(None).cast("long").alias("key"), F.lit(False).alias("inner")))
     counts = once.select("host", F.inline(F.concat(page, *marked))).groupBy("host", "key", "inner").agg(F.count("*").alias("n"))
@@ -305,15 +309,23 @@ def extract(pages: DataFrame, recurs: int = RECURS, share: float = SHARE) -> Dat
         rows = rows.withColumns({c: F.lit(None).cast("array<long>") for c in ("outer", "inner")})
     else:
         named = F.pandas_udf(lambda u: u.map(host, na_action=None), "string")
-        rows = rows.withColumn("host", named("url")).join(found, "host", "left").drop("host")
-
+        rows = rows.withColumn("host", named("url"))
+        keys = found.agg(F.sum(F.size("outer") + F.size("inner"))).first()[0]
+        if keys <= BROADCAST_KEYS:
+            rows = rows.join(F.broadcast(found), "host", "left").drop("host")
+        else:  # a host's pages go to SALTS tasks
+            salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+            rows = rows.join(salted, ["host", "salt"], "left").drop("host", "salt")
+
+    @common.lean
     def run(frames):
         for f in frames:
             keys = [[frozenset() if k is None else frozenset(k) for k in f[c]] for c in ("outer", "inner")]
             text = [main_text(h, *k) if isinstance(h, str) else "" for h, *k in zip(f["html"], *keys, strict=True)]
             yield pd.DataFrame({"page_id": f["page_id"], "url": f["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    return rows.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return common.texts(rows, *rows.columns).mapInPandas(run, "page_id long, url string, text string, n_chars long")
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
