@@ -113,6 +113,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     kind = "<f4" if isinstance(element, T.FloatType) else "<f8"
     width = np.dtype(kind).itemsize
 
+    @common.lean
     def usable(frames):
         for f in frames:
             v = [None if pd.isna(i) else _usable(x, kind) for i, x in zip(f["vec_id"], f["embedding"], strict=True)]
@@ -121,6 +122,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     rows = common.stored(vectors.select("vec_id", "embedding").mapInPandas(usable, "vec_id long, v binary").withColumn("key", F.sha2("v", 256)), "vectors")
     reps = common.stored(rows.where("v is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("v").alias("v")), "vector-reps")
 
+    @common.lean
     def strips(frames):
         for f in frames:
             out = []

@@ -7,8 +7,9 @@ driver (a matrix of fixed size). Raw scores become probabilities by isotonic reg
 that the ridge has not seen, over a fixed number of score bins.
 
 Defined results: null or empty text has the statistics of an empty text and is scored like any
-other; repeated rows get equal scores; without labelled rows every score is 0.5; extra columns of
-the input are ignored. Labels are read by doc_id, the larger one if a document has several.
+other; very long texts are read whole; repeated rows get equal scores, as do texts of equal statistics;
+without labelled rows every score is 0.5; an empty table gives no row; extra columns of the input are
+ignored. Labels are read by doc_id, the larger one if a document has several.
 """
 
 from __future__ import annotations
@@ -61,11 +62,12 @@ def text_statistics(texts: list[bytes]) -> np.ndarray:
 def statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, s array<float>) for each row of docs, repeated rows included."""
 
+    @common.lean
     def run(frames):
         for f in frames:
             yield pd.DataFrame({"doc_id": f["doc_id"], "s": list(text_statistics(common.encoded(f["text"])).astype(np.float32))})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, s array<float>")
+    return common.texts(docs, "doc_id", "text").mapInPandas(run, "doc_id long, s array<float>")
 
 
 class Model:

@@ -35,7 +35,7 @@ K = 56
 HALF = (LENGTH - K) // 2
 #: Contexts of a key up to which it goes to an index, and bytes of text in one index.
 CONTEXTS = 4096
-INDEX_BYTES = 1_500_000
+INDEX_BYTES = 1_000_000
 #: Copies up to which their ids are sent along to skip them early; more are handled like other texts.
 COPIES = 1_000_000
 
@@ -199,16 +199,17 @@ def _index(f: pd.DataFrame) -> pd.DataFrame:
 
 def marks(texts: DataFrame, skip: np.ndarray) -> DataFrame:
     """(doc, v, s, e): intervals of texts (doc, v, text) to remove. skip: sorted doc of whole copies to leave out."""
-    kept = texts.select("doc", "v", "text")
+    kept = common.texts(texts, "doc", "v", "text")
 
     def scanned(frames):
         for f in frames:
             if len(skip):
                 f = f[~np.isin(f["doc"].to_numpy(), skip)]
             t, doc, v = common.encoded(f["text"]), f["doc"].to_numpy(), f["v"].to_numpy()
-            for lo, hi in common.chunks(t, 1_000_000):
+            for lo, hi in common.chunks(t, 500_000):
                 yield Windows(t[lo:hi]), doc[lo:hi], v[lo:hi]
 
+    @common.lean
     def anchors(frames):
         for w, _, _ in scanned(frames):
             if len(w.p):
@@ -225,6 +226,7 @@ def marks(texts: DataFrame, skip: np.ndarray) -> DataFrame:
         ident = common.mix(key + context * _U(31) + doc[of].astype(np.int64).view(np.uint64) * _U(0x9E3779B97F4A7C15) + v[of].astype(np.int64).view(np.uint64) * _U(0xC2B2AE3D27D4EB4F) + at.astype(np.uint64) * _U(0x165667B19E3779F9)) if len(run) else context
         return run, lo, hi, {"key": key.astype(np.uint64).view(np.int64), "ctx": context.view(np.int64), "doc": doc[of], "v": v[of], "at": at, "len": hi - lo + LENGTH, "id": ident.view(np.int64)}
 
+    @common.lean
     def occurrences(frames):
         for x in scanned(frames):
             yield pd.DataFrame(sides(*x)[3])
@@ -236,6 +238,7 @@ def marks(texts: DataFrame, skip: np.ndarray) -> DataFrame:
     unlike = common.stored(firsts.select("key", "id").join(keys, "key"), "repeats-unlike")
     wanted = common.Bloom(unlike, "id", hashed=True)
 
+    @common.lean
     def contexts(frames):
         for w, doc, v in scanned(frames):
             run, lo, hi, row = sides(w, doc, v)
@@ -247,6 +250,7 @@ def marks(texts: DataFrame, skip: np.ndarray) -> DataFrame:
     rows = kept.mapInPandas(contexts, "id long, key long, doc long, v long, at int, c binary").join(unlike.select("id", "contexts"), "id")
     rows = common.stored(rows, "repeats-contexts")
 
+    @common.lean
     def indexed(frames):
         held: list[pd.DataFrame] = []
         size = 0
@@ -270,6 +274,7 @@ def marks(texts: DataFrame, skip: np.ndarray) -> DataFrame:
 
     few = rows.where(F.col("contexts") <= CONTEXTS).select("key", "doc", "v", "at", "c").repartition("key").sortWithinPartitions("key").mapInPandas(indexed, "doc long, v long, s int, e int")
 
+    @common.lean
     def each_window(frames):
         for f in frames:
             for row in f.itertuples(index=False):
@@ -306,6 +311,7 @@ def remove(docs: DataFrame) -> DataFrame:
         for f in frames:
             yield f.assign(on=touched.has(f.pop("key").to_numpy()))
 
+    @common.lean
     def cut(frames):
         for f in frames:
             out = []
@@ -321,10 +327,11 @@ def remove(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]).astype({"doc_id": "Int64"})
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string"
-    keyed = rows.select("doc_id", "doc", "v", "text", "sha", touched.key("doc").alias("key"))
+    keyed = common.texts(rows, "doc_id", "doc", "v", "text", "sha", touched.key("doc").alias("key"))
     flagged = keyed.select("doc_id", "doc", "v", "sha", F.octet_length("text").cast("long").alias("n_bytes"), "key").mapInPandas(split, "doc_id long, doc long, v long, sha string, n_bytes long, on boolean")
     whole = flagged.where("not on").select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.lit("").alias("spans"))
 
+    @common.lean
     def chosen(frames):
         for f in frames:
             yield f[touched.has(f.pop("key").to_numpy())]
