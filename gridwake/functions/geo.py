@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridwake.model import Planet, planet
+from gridwake.model import CoordSystem, Planet, planet
 
 
 def cartesian_distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -198,11 +198,112 @@ def ellipsoid_project(kind: str, u, v, lon0: float, lat0: float, alpha: float =
     raise ValueError(f"unknown projection {kind!r}")
 
 
-# --- geodesics (Vincenty 1975), numpy ----------------------------------------------------------
+def _sphere_azimuthal(kind: str, u, v, lon0: float, lat0: float, alpha: float, radius: float, inverse: bool):
+    """Stereographic and equal-area azimuthal projections of the sphere over numpy arrays, as the column forms above."""
+    s0, c0 = math.sin(math.radians(lat0)), math.cos(math.radians(lat0))
+    k = 1 + math.cos(math.radians(alpha))
+    if not inverse:
+        l, p = np.radians(u - lon0), np.radians(v)
+        near = np.maximum(1 + np.cos(p) * c0 * np.cos(l) + np.sin(p) * s0, 1e-300)
+        t = radius * (k / near if kind == "stereographic" else np.sqrt(2 / near))
+        return np.cos(p) * np.sin(l) * t, (np.sin(p) * c0 - np.cos(p) * s0 * np.cos(l)) * t
+    rho = np.hypot(u, v)
+    c = 2 * np.arctan(rho / (radius * k)) if kind == "stereographic" else 2 * np.arcsin(np.minimum(1, rho / (2 * radius)))
+    safe = np.where(rho == 0, 1, rho)
+    lat = np.arcsin(np.clip(np.cos(c) * s0 + v * np.sin(c) * c0 / safe, -1, 1))
+    lon = np.where(rho == 0, lon0, lon0 + np.degrees(np.arctan2(u * np.sin(c), rho * c0 * np.cos(c) - v * s0 * np.sin(c))))
+    return (lon + 180) % 360 - 180, np.where(rho == 0, lat0, np.degrees(lat))
+
+
+def _turned(lon, lat, pole_lon: float, pole_lat: float, back: bool):
+    """rotate_pole() and unrotate_pole() over numpy arrays."""
+    l, p = np.radians(lon), np.radians(lat)
+    x = np.stack([np.cos(p) * np.cos(l), np.cos(p) * np.sin(l), np.sin(p)])
+    a, b = math.radians(pole_lon), math.radians(90.0 - pole_lat)
+    about_z = np.array([[math.cos(a), math.sin(a), 0], [-math.sin(a), math.cos(a), 0], [0, 0, 1]])
+    about_y = np.array([[math.cos(b), 0, -math.sin(b)], [0, 1, 0], [math.sin(b), 0, math.cos(b)]])
+    m = about_y @ about_z
+    x = np.tensordot(m.T if back else m, x, 1)
+    return np.degrees(np.arctan2(x[1], x[0])), np.degrees(np.arcsin(np.clip(x[2], -1, 1)))
+
+
+_AZIMUTHAL = {"stereographic": "stereographic", "polar_stereographic": "stereographic", "lambert_azimuthal_equal_area": "equal_area"}
+
+
+def to_system(system: CoordSystem, u, v, inverse: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Longitudes and latitudes to a system's own coordinates, in its units; back with inverse=True."""
+    u, v = np.asarray(u, float), np.asarray(v, float)
+    if system.mtype == "rotated_pole":
+        return _turned(u, v, system.lon, system.lat, inverse)
+    if not system.is_cartesian:
+        return u, v
+    if system.mtype not in _AZIMUTHAL:
+        raise ValueError(f"{system.mtype!r} coordinates have no place on the globe")
+    kind, m = _AZIMUTHAL[system.mtype], system.metres
+    at = (u * m, v * m) if inverse else (u, v)
+    if system.planet.f == 0:
+        out = _sphere_azimuthal(kind, *at, system.lon, system.lat, system.alpha, system.planet.a, inverse)
+    else:
+        kind = "polar_stereographic" if system.mtype == "polar_stereographic" or kind == "stereographic" and abs(system.lat) == 90 else kind
+        out = ellipsoid_project(kind, *at, system.lon, system.lat, system.alpha, system.planet, inverse)
+    return out if inverse else (out[0] / m, out[1] / m)
+
+
+# --- geodesics (Vincenty 1975; by bisection near the antipode), numpy ----------------------------
+
+
+def _series(u):
+    """Vincenty's A and B."""
+    return 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))), u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+
+
+def _antipodal(lon12, lat1, lat2, body: Planet):
+    """As geodesic_inverse(), for a difference of longitudes within -180..180, by the azimuth at which it is reached.
+
+    The points are mirrored and swapped so that the first is in the south and the farther from the equator; then the
+    longitude that a geodesic has gained where it next comes to the second latitude, northward, grows with its azimuth.
+    """
+    west, l = lon12 < 0, np.radians(np.abs(lon12))
+    swap = np.abs(lat1) < np.abs(lat2)
+    p1, p2 = np.where(swap, lat2, lat1), np.where(swap, lat1, lat2)
+    north = p1 > 0
+    p1, p2 = np.where(north, -p1, p1), np.where(north, -p2, p2)
+    u1, u2 = (np.arctan((1 - body.f) * np.tan(np.radians(p))) for p in (p1, p2))
+    s1, c1, s2, c2 = -np.abs(np.sin(u1)), np.maximum(np.cos(u1), 1e-15), np.sin(u2), np.maximum(np.cos(u2), 1e-15)
+    s1 = np.where(s1 == 0, -0.0, s1)
+
+    def along(az):
+        sa, ca = np.sin(az), np.cos(az)
+        s0 = sa * c1
+        sa2, ca2 = s0 / c2, np.sqrt(np.maximum((ca * c1) ** 2 + (c2 - c1) * (c2 + c1), 0)) / c2
+        g1, g2 = np.arctan2(s1, ca * c1), np.arctan2(s2, ca2 * c2)
+        o1, o2 = np.arctan2(s0 * s1, ca * c1), np.arctan2(s0 * s2, ca2 * c2)
+        g = np.where(g2 - g1 < 0, 0, g2 - g1)
+        o = (o2 - o1) % (2 * np.pi)
+        k2 = np.maximum(1 - s0 * s0, 0)
+        c = body.f / 16 * k2 * (4 + body.f * (4 - 3 * k2))
+        cm = np.cos(g1 + g2)
+        gained = o - (1 - c) * body.f * s0 * (g + c * np.sin(g) * (cm + c * np.cos(g) * (2 * cm * cm - 1)))
+        return gained, g, cm, k2, sa, ca, sa2, ca2
+
+    lo, hi = np.zeros(l.shape), np.full(l.shape, np.pi)
+    for _ in range(64):
+        mid = (lo + hi) / 2
+        less = along(mid)[0] < l
+        lo, hi = np.where(less, mid, lo), np.where(less, hi, mid)
+    _, g, cm, k2, sa, ca, sa2, ca2 = along(hi)
+    big_a, big_b = _series(k2 * (body.a**2 - body.b**2) / body.b**2)
+    sg, cg = np.sin(g), np.cos(g)
+    d = big_b * sg * (cm + big_b / 4 * (cg * (2 * cm * cm - 1) - big_b / 6 * cm * (4 * sg * sg - 3) * (4 * cm * cm - 3)))
+    # back to the points as given: mirrored azimuths in the north, turned round where the ends were swapped
+    ca, ca2 = np.where(north, -ca, ca), np.where(north, -ca2, ca2)
+    first, second = (np.where(swap, sa2, sa), np.where(swap, -ca2, ca)), (np.where(swap, sa, sa2), np.where(swap, -ca, ca2))
+    az1, az2 = (np.degrees(np.arctan2(np.where(west, -s, s), c)) for s, c in (first, second))
+    return body.b * big_a * (g - d), az1, az2
 
 
 def geodesic_inverse(lon1, lat1, lon2, lat2, body: Planet | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distance in metres, and azimuths (degrees) at both ends. Nearly antipodal points take the iteration's last value."""
+    """Distance in metres, and azimuths (degrees) at both ends."""
     body = body or planet()
     lon1, lat1, lon2, lat2 = (np.atleast_1d(np.asarray(v, float)) for v in (lon1, lat1, lon2, lat2))
     l = np.radians((lon2 - lon1 + 180) % 360 - 180)
@@ -224,12 +325,18 @@ def geodesic_inverse(lon1, lat1, lon2, lat2, body: Planet | None = None) -> tupl
         if done.all():
             break
     u = ca2 * (body.a**2 - body.b**2) / body.b**2
-    big_a = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
-    big_b = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+    big_a, big_b = _series(u)
     d = big_b * ss * (cm + big_b / 4 * (cs * (2 * cm * cm - 1) - big_b / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))
     az1 = np.degrees(np.arctan2(c2 * sl, c1 * s2 - s1 * c2 * cl))
     az2 = np.degrees(np.arctan2(c1 * sl, c1 * s2 * cl - s1 * c2))
-    return body.b * big_a * (sigma - d), az1, az2
+    out = body.b * big_a * (sigma - d), az1, az2
+    on_equator = (u1 == 0) & (u2 == 0) & (np.abs(l) <= math.pi * (1 - body.f))
+    far = np.flatnonzero((~done | (np.abs(l) > math.radians(170))) & ~on_equator)
+    if len(far) and body.f:
+        l, lat1, lat2 = (np.broadcast_to(v, out[0].shape)[far] for v in (np.degrees(l), lat1, lat2))
+        for old, new in zip(out, _antipodal(l, lat1, lat2, body), strict=True):
+            old[far] = new
+    return out
 
 
 def geodesic_direct(lon1, lat1, azimuth, distance, body: Planet | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,8 +350,7 @@ def geodesic_direct(lon1, lat1, azimuth, distance, body: Planet | None = None) -
     sa = c1 * np.sin(a1)
     ca2 = 1 - sa * sa
     u = ca2 * (body.a**2 - body.b**2) / body.b**2
-    big_a = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
-    big_b = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+    big_a, big_b = _series(u)
     sigma = s / (body.b * big_a)
     for _ in range(100):
         cm, ss, cs = np.cos(2 * sigma1 + sigma), np.sin(sigma), np.cos(sigma)
@@ -266,9 +372,10 @@ _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(12)
 
 
 def geodesic_area(lon, lat, body: Planet | None = None) -> float:
-    """Area (m2) of a polygon whose sides are geodesics, whichever way it turns; it must not hold a pole.
+    """Area (m2) of a polygon whose sides are geodesics, whichever way it turns; a pole may be a corner, but not inside.
 
-    The area between a side and the equator is integrated along the side by Gauss-Legendre quadrature.
+    The area between a side and the equator is integrated along the side by Gauss-Legendre quadrature; a side between
+    two longitudes of a pole has no length, but all of the zone under it.
     """
     body = body or planet()
     lon, lat = np.asarray(lon, float), np.asarray(lat, float)
@@ -279,10 +386,14 @@ def geodesic_area(lon, lat, body: Planet | None = None) -> float:
     _, p, z = geodesic_direct(np.repeat(lon, rep), np.repeat(lat, rep), np.repeat(az, rep), at, body)
     s = np.sin(np.radians(p))
     e = body.e
-    zone = body.a**2 / 2 * (2 * s if e == 0 else _authalic_q(s, e))
+    zone = lambda s: body.a**2 / 2 * (2 * s if e == 0 else _authalic_q(s, e))
     prime = body.a / np.sqrt(1 - (e * s) ** 2)
     rate = np.sin(np.radians(z)) / (prime * np.maximum(np.cos(np.radians(p)), 1e-12))
-    return float(abs(((zone * rate).reshape(-1, rep) * _WEIGHTS).sum(1) @ (dist / 2)))
+    sides = ((zone(s) * rate).reshape(-1, rep) * _WEIGHTS).sum(1) * (dist / 2)
+    at_pole = (np.abs(lat) > 90 - 1e-9) & (np.abs(lat2) > 90 - 1e-9)
+    turn = np.radians((lon2 - lon + 180) % 360 - 180)
+    to_pole = ~at_pole & ((np.abs(lat) > 90 - 1e-9) | (np.abs(lat2) > 90 - 1e-9))  # along a meridian
+    return float(abs(np.where(at_pole, zone(np.sign(lat)) * turn, np.where(to_pole, 0.0, sides)).sum()))
 
 
 def planet_distance(body: Planet | None = None):
