@@ -81,11 +81,24 @@ def same_system(a: CoordSystem, b: CoordSystem) -> bool:
 
 @dataclass(frozen=True)
 class Axis:
-    """n centres from x0 by dx (dx may be negative)."""
+    """n centres from x0 by dx (dx may be negative); or, with `at`, any centres in order, dx being their mean step."""
 
     x0: float
     dx: float
     n: int
+    at: tuple[float, ...] | None = None
+
+    @classmethod
+    def of(cls, centres) -> Axis:
+        """An axis of any centres that rise, or fall, throughout."""
+        at = tuple(float(c) for c in centres)
+        steps = [b - a for a, b in zip(at, at[1:], strict=False)]
+        if not at or not (all(s > 0 for s in steps) or all(s < 0 for s in steps)):
+            raise ValueError("centres must rise, or fall, throughout")
+        mean = (at[-1] - at[0]) / (len(at) - 1) if len(at) > 1 else 0.0
+        if all(abs(s - mean) <= DIVIDE_TOLERANCE * abs(mean) for s in steps):
+            return cls(at[0], mean, len(at))
+        return cls(at[0], mean, len(at), at)
 
     @classmethod
     def spanning(cls, x0: float, x1: float, dx: float | None = None, n: int | None = None) -> Axis:
@@ -100,7 +113,21 @@ class Axis:
         return cls(x0, dx, steps + 1)
 
     def centre(self, i: int) -> float:
-        return self.x0 + (i - 1) * self.dx
+        return self.x0 + (i - 1) * self.dx if self.at is None else self.at[i - 1]
+
+    def edges(self) -> list[float]:
+        """The n + 1 edges in order: middles between centres, half a step beyond the ends."""
+        c = [self.centre(i) for i in range(1, self.n + 1)]
+        first, last = (c[1] - c[0], c[-1] - c[-2]) if self.n > 1 else (self.dx, self.dx)
+        return [c[0] - first / 2, *((a + b) / 2 for a, b in zip(c, c[1:], strict=False)), c[-1] + last / 2]
+
+    @property
+    def widest(self) -> float:
+        """The size of the largest cell."""
+        if self.at is None:
+            return abs(self.dx)
+        e = self.edges()
+        return max(abs(b - a) for a, b in zip(e, e[1:], strict=False))
 
 
 @dataclass(frozen=True)

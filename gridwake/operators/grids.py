@@ -8,14 +8,19 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridwake.model import Axis, Grid
+from gridwake.functions import geo
+from gridwake.model import Axis, CoordSystem, Grid, same_system
 
 
 def axis(spark: SparkSession, a: Axis) -> DataFrame:
     """(idx from 1, centre)."""
+    if a.at is not None:
+        return spark.createDataFrame([(i, c) for i, c in enumerate(a.at, 1)], "idx long, centre double")
     return spark.range(1, a.n + 1).select(F.col("id").alias("idx"), (F.lit(a.x0) + (F.col("id") - 1) * a.dx).alias("centre"))
 
 
@@ -29,17 +34,27 @@ def edges(centres: DataFrame) -> DataFrame:
 
 
 def regular_edges(spark: SparkSession, a: Axis) -> DataFrame:
-    """As edges(), without a window, for an axis of equal steps."""
+    """As edges(), without a window."""
+    if a.at is not None:
+        e = a.edges()
+        return spark.createDataFrame([(i, c, e[i - 1], e[i]) for i, c in enumerate(a.at, 1)], "idx long, centre double, lo double, hi double")
     return axis(spark, a).select("idx", "centre", (F.col("centre") - a.dx / 2).alias("lo"), (F.col("centre") + a.dx / 2).alias("hi"))
 
 
+def centres(a: Axis, idx: Column) -> Column:
+    """The centre of an index (from 1)."""
+    if a.at is None:
+        return F.lit(a.x0) + (idx - 1) * a.dx
+    return F.element_at(F.array(*[F.lit(c) for c in a.at]), idx.cast("int"))
+
+
 def cells(spark: SparkSession, g: Grid) -> DataFrame:
     """(cell, i, j, x, y, border): cell = (j - 1) * nx + i. Generated by arithmetic, in parallel."""
     k = F.col("id")
     i, j = F.pmod(k, F.lit(g.x.n)) + 1, F.floor(k / g.x.n) + 1
     out = spark.range(g.size).select((k + 1).alias("cell"), i.alias("i"), j.alias("j"))
-    out = out.select("*", (F.lit(g.x.x0) + (F.col("i") - 1) * g.x.dx).alias("x"), (F.lit(g.y.x0) + (F.col("j") - 1) * g.y.dx).alias("y"))
-    wraps = not g.system.is_cartesian and abs(g.x.n * g.x.dx - 360.0) < 1e-6
+    out = out.select("*", centres(g.x, F.col("i")).alias("x"), centres(g.y, F.col("j")).alias("y"))
+    wraps = not g.system.is_cartesian and abs(g.x.edges()[-1] - g.x.edges()[0] - 360.0) < 1e-6
     side = F.col("j").isin(1, g.y.n) if wraps else F.col("i").isin(1, g.x.n) | F.col("j").isin(1, g.y.n)
     return out.withColumn("border", side.cast("int"))
 
@@ -48,8 +63,47 @@ def lon180(lon: Column) -> Column:
     return F.when(lon > 180, lon - 360).otherwise(lon)
 
 
+def _sizes(a: Axis, idx: Column) -> Column:
+    if a.at is None:
+        return F.lit(abs(a.dx))
+    e = a.edges()
+    return F.element_at(F.array(*[F.lit(abs(v - u)) for u, v in zip(e, e[1:], strict=False)]), idx.cast("int"))
+
+
 def plane_area(g: Grid) -> Column:
-    return F.lit(abs(g.x.dx * g.y.dx))
+    """Of a cell (i, j), in units of the axes squared."""
+    return _sizes(g.x, F.col("i")) * _sizes(g.y, F.col("j"))
+
+
+def cell_area(g: Grid) -> Column:
+    """Area of a cell (i, j): in axis units squared in a plane, else that of the geodesic polygon of its corners, in m2.
+
+    In longitude cells differ by their width only, so one polygon for each width and row is measured, on the driver.
+    """
+    if g.system.is_cartesian:
+        return plane_area(g)
+    e = np.clip(g.y.edges(), -90, 90)
+    x = g.x.edges()
+    widths = sorted({round(abs(b - a), 9) for a, b in zip(x, x[1:], strict=False)})
+    rows = {w: [geo.geodesic_area([0, w, w, 0], [a, a, b, b], g.system.planet) for a, b in zip(e, e[1:], strict=False)] for w in widths}
+    area = F.lit(None).cast("double")
+    for w, values in rows.items():
+        own = F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("j").cast("int"))
+        area = F.when(F.abs(_sizes(g.x, F.col("i")) - w) < 1e-8, own).otherwise(area)
+    return area
+
+
+def located(df: DataFrame, system: CoordSystem, x: str = "x", y: str = "y", to_own: bool = False) -> DataFrame:
+    """df with lon and lat of places in a system; with to_own, x and y of places lon, lat."""
+    a, b = ("lon", "lat") if to_own else (x, y)
+    names = (x, y) if to_own else ("lon", "lat")
+
+    @F.pandas_udf("u double, v double")
+    def moved(p: pd.Series, q: pd.Series) -> pd.DataFrame:
+        u, v = geo.to_system(system, p, q, inverse=not to_own)
+        return pd.DataFrame({"u": u, "v": v})
+
+    return df.withColumn("_at", moved(F.col(a), F.col(b))).withColumns({names[0]: F.col("_at.u"), names[1]: F.col("_at.v")}).drop("_at")
 
 
 def to_points(grid_cells: DataFrame, mask: Column | None = None) -> DataFrame:
@@ -63,8 +117,13 @@ def to_grid(points: DataFrame, grid_cells: DataFrame) -> DataFrame:
     return grid_cells.join(points.withColumnRenamed("pt", "cell"), "cell", "left")
 
 
+def places(df: DataFrame, flag: Column, idx: str = "idx") -> DataFrame:
+    """The places where flag holds, in order, a row each: which() for tables of any size."""
+    return df.where(flag).select(idx).orderBy(idx)
+
+
 def which(df: DataFrame, flag: Column, idx: str = "idx") -> DataFrame:
-    """One row: the sorted places where flag holds, [-1] if nowhere."""
+    """One row: the sorted places where flag holds, [-1] if nowhere. For lists that fit one row; see places()."""
     got = df.where(flag).agg(F.array_sort(F.collect_list(idx)).alias("at"))
     return got.select(F.when(F.size("at") == 0, F.array(F.lit(-1).cast("long"))).otherwise(F.col("at").cast("array<long>")).alias("at"))
 
@@ -72,13 +131,34 @@ def which(df: DataFrame, flag: Column, idx: str = "idx") -> DataFrame:
 def unique(df: DataFrame, value: str, order: str, tolerance: float = 1e-5) -> DataFrame:
     """Values in first-seen order, those within tolerance of a kept one left out.
 
-    Exact repeats go first by aggregation. What is left is chained greedily, so a table of distinct
-    values is folded in one task; it is meant for short lists such as times and classes.
+    Exact repeats go first by aggregation. Values whose neighbour in size is farther than the tolerance stand alone;
+    only runs of close ones, cut where such a gap is, are taken in their order, a group each.
     """
-    first = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("_o"))
-    folded = first.agg(F.array_sort(F.collect_list(F.struct("_o", F.col(value).cast("double").alias("v")))).alias("a"))
-    keep = F.expr(f"aggregate(a, cast(array() as array<double>), (k, x) -> if(exists(k, y -> abs(y - x.v) <= {tolerance!r}), k, concat(k, array(x.v))))")
-    return folded.select(F.explode(keep).alias(value))
+    first = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("_o")).select(F.col(value).cast("double").alias("v"), "_o")
+    # close values share a cell of the tolerance or lie in neighbouring ones: cells that touch make a run
+    cell = F.floor(F.col("v") / tolerance).cast("long")
+    rows = first.withColumn("_c", cell)
+    used = rows.select("_c").distinct()
+    near = used.select("_c", F.explode(F.array(F.col("_c") - 1, F.col("_c"), F.col("_c") + 1)).alias("_n"))
+    close = near.join(used.select(F.col("_c").alias("_n")), "_n").groupBy("_c").agg(F.count("*").alias("k")).where("k > 1").select("_c")
+    crowded = rows.join(close, "_c", "left_semi")
+    alone = rows.join(close, "_c", "left_anti")
+
+    def kept(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("_o")
+        held: list[float] = []
+        for v in p["v"]:
+            if all(abs(v - u) > tolerance for u in held):
+                held.append(v)
+        return pd.DataFrame({value: held})
+
+    # a run of touching cells is one group: it starts where the cell before is empty
+    starts = Window.orderBy("_c")
+    runs = close.withColumn("_r", F.sum(F.when(F.col("_c") - F.lag("_c").over(starts) <= 1, 0).otherwise(1)).over(starts))
+    folded = crowded.join(runs, "_c").groupBy("_r").applyInPandas(kept, f"{value} double")
+    # several values of one lone cell are close as well
+    single = alone.groupBy("_c").agg(F.min_by("v", "_o").alias(value)).select(value)
+    return single.unionByName(folded)
 
 
 # --- locating ---------------------------------------------------------------------------------
@@ -90,11 +170,23 @@ def locate(value: Column, a: Axis, periodic: bool = False) -> tuple[Column, Colu
     Periodic axes wrap at 360. Others clamp values up to one step beyond their ends to the end cell.
     """
     first, last = (a.x0, a.centre(a.n)) if a.dx > 0 else (a.centre(a.n), a.x0)
-    step = abs(a.dx)
+    step = abs(a.dx) if a.at is None else a.widest
     if periodic:
         value = F.lit(first) + F.pmod(value - first, F.lit(360.0))
-    k = F.floor((value - first) / step)
-    t = (value - first) / step - k
+    if a.at is None:
+        k = F.floor((value - first) / step)
+        t = (value - first) / step - k
+    else:
+        rising = np.sort(np.array(a.at))
+
+        @F.pandas_udf("double")
+        def place(v: pd.Series) -> pd.Series:
+            # the number of the step from the first centre, and how far into it
+            k = np.clip(np.searchsorted(rising, v, side="right") - 1, 0, max(len(rising) - 2, 0))
+            return pd.Series(k + np.clip((v - rising[k]) / (rising[np.minimum(k + 1, len(rising) - 1)] - rising[k]), 0, 1 - 1e-15))
+
+        at = place(value)
+        k, t = F.floor(at), at - F.floor(at)
     span = first + 360.0 - last
     if periodic:
         at_end = value > last
@@ -130,6 +222,9 @@ def bilinear_links(targets: DataFrame, g: Grid, x: str = "x", y: str = "y", peri
 
 # --- conservative overlaps --------------------------------------------------------------------
 
+#: Pairs of an axis up to which they are broadcast, 24 bytes each.
+AXIS_PAIRS = 1_000_000
+
 
 def overlap_pairs(a: DataFrame, b: DataFrame, width: float) -> DataFrame:
     """(dst, src, w) for intervals a (dst, lo, hi) and b (src, lo, hi), of either orientation: the length they share.
@@ -157,7 +252,12 @@ def sine_edges(lat: DataFrame) -> DataFrame:
 
 
 def conservative_links(spark: SparkSession, source: Grid, target: Grid) -> DataFrame:
-    """(dst, src, w): areas that cells of two grids share, in the plane, or on the sphere for two lat-lon grids."""
+    """(dst, src, w): areas that cells of two grids share, in the plane, or on the sphere for two lat-lon grids.
+
+    Both grids must have one coordinate system; remap.conservative_links() takes any two.
+    """
+    if not same_system(source.system, target.system):
+        raise ValueError("the grids' coordinate systems differ: use remap.conservative_links")
     flat = source.system.is_cartesian
 
     def side(which: str, sphere: bool):
@@ -167,11 +267,14 @@ def conservative_links(spark: SparkSession, source: Grid, target: Grid) -> DataF
             a, b = sine_edges(a), sine_edges(b)
         a, b = a.withColumnRenamed("idx", "dst"), b.withColumnRenamed("idx", "src")
         if which == "x" and not flat:
-            return lon_overlap_pairs(a, b, max(abs(s.dx), abs(t.dx)))
-        wide = max(abs(s.dx), abs(t.dx))
+            return lon_overlap_pairs(a, b, max(s.widest, t.widest))
+        wide = max(s.widest, t.widest)
         return overlap_pairs(a, b, math.radians(wide) if sphere else wide)
 
     x = side("x", False).select(F.col("dst").alias("i"), F.col("src").alias("si"), F.col("w").alias("wx"))
     y = side("y", not flat).select(F.col("dst").alias("j"), F.col("src").alias("sj"), F.col("w").alias("wy"))
-    # every pair of columns goes with every pair of rows: the result, not a search
+    # every pair of columns goes with every pair of rows: the result, not a search; an axis has at most as many
+    # pairs as both axes have edges, a few thousand
+    if 3 * (source.x.n + target.x.n) > AXIS_PAIRS:
+        raise ValueError(f"axes of more than {AXIS_PAIRS // 3} cells are not multiplied in memory")
     return y.join(F.broadcast(x)).select(((F.col("j") - 1) * target.x.n + F.col("i")).alias("dst"), ((F.col("sj") - 1) * source.x.n + F.col("si")).alias("src"), (F.col("wx") * F.col("wy")).alias("w"))

@@ -8,9 +8,15 @@ its own size limits. Only weights above 0 and values that are there count; a tar
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridwake.sources.arrays import ClassicFile, write_classic
+
 TINY = 1e-12
 PRUNE = 1e-4
 
@@ -119,6 +125,64 @@ def read(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def bake_bilinear(links: DataFrame) -> DataFrame:
+    """(dst, src, w): frozen bilinear weights of targets with a neighbour in every quadrant, else inverse-distance ones.
+
+    links (dst, src, dist, x, y, xn, yn, quadrant): the weights are those that apply(..., "bilinear") gives its values.
+    """
+    nearest_of = lambda q: F.min(F.when(F.col("quadrant") == q, F.struct("dist", "src", "xn", "yn"))).alias(f"q{q}")
+    wide = links.groupBy("dst").agg(F.first("x").alias("x"), F.first("y").alias("y"), *[nearest_of(q) for q in (1, 2, 3, 4)])
+    x, y = F.col("x"), F.col("y")
+    q = {k: F.col(f"q{k}") for k in (1, 2, 3, 4)}
+    mid = lambda a, b: (q[a]["yn"] + q[b]["yn"]) / 2
+    part = lambda at, height, a, b: F.coalesce(F.hypot(at - q[a]["xn"], height - q[a]["yn"]) / F.nullif(F.hypot(q[b]["xn"] - q[a]["xn"], q[b]["yn"] - q[a]["yn"]), F.lit(0.0)), F.lit(0.0))
+    top, low = mid(2, 1), mid(3, 4)
+    a1, a2 = part(x, top, 2, 1), part(x, low, 3, 4)
+    a3 = F.coalesce(F.abs(y - low) / F.nullif(F.abs(top - low), F.lit(0.0)), F.lit(0.0))
+    four = {3: (1 - a2) * (1 - a3), 4: a2 * (1 - a3), 2: (1 - a1) * a3, 1: a1 * a3}
+    every = q[1].isNotNull() & q[2].isNotNull() & q[3].isNotNull() & q[4].isNotNull()
+    pairs = F.array(*[F.struct(q[k]["src"].alias("src"), F.when(every, four[k]).otherwise(shepard_weight(q[k]["dist"])).alias("w"), every.alias("four")) for k in (1, 2, 3, 4)])
+    rows = wide.select("dst", F.inline(pairs)).where("src is not null")
+    total = rows.groupBy("dst").agg(F.sum("w").alias("_total"))
+    return rows.join(total, "dst").select("dst", "src", F.when(F.col("four"), F.col("w")).otherwise(F.col("w") / F.col("_total")).alias("w"))
+
+
+def write_scrip(links: DataFrame, path: str, n_src: int, n_dst: int, scrip_only: bool = False) -> None:
+    """A map file for other tools: addresses and a weight matrix, and, for distance links, what their kernels need.
+
+    A classic netCDF file of one map, gathered on the driver: for exchange; write() is for maps of any size.
+    """
+    distance = "dist" in links.columns
+    extra = [c for c in ("dist", "quadrant", "xn", "yn") if distance and c in links.columns]
+    weights = links.join(bake(links), ["dst", "src"]) if distance else links
+    p = weights.select("dst", "src", "w", *extra).orderBy("dst", "src").toPandas()
+    kind = 2 if distance and not scrip_only else 1
+    n = len(p)
+    variables = {
+        "meta": (["params"], np.array([n_src, n_dst, kind], "i4"), {}),
+        "src_address": (["num_links"], p["src"].to_numpy("i4"), {}),
+        "dst_address": (["num_links"], p["dst"].to_numpy("i4"), {}),
+        "remap_matrix": (["num_links", "num_wgts"], p["w"].to_numpy("f8")[:, None], {}),
+    }
+    if kind == 2:
+        variables |= {f"mp_{c}": (["num_links"], p[c].to_numpy("i4" if c == "quadrant" else "f8"), {}) for c in extra}
+    write_classic(path, {"num_links": n, "num_wgts": 1, "params": 3}, variables)
+
+
+def read_scrip(spark, path: str) -> DataFrame:
+    """Links of a map file: (dst, src, w), or (dst, src, dist, ...) of a distance map. Files without `meta` hold weights."""
+    f = ClassicFile(path)
+    whole = lambda name: f.steps(name, 0, f.shape(name)[0])
+    distance = "meta" in f.vars and int(whole("meta")[2]) == 2
+    columns = {"dst": whole("dst_address"), "src": whole("src_address")}
+    if distance:
+        columns |= {c: whole(f"mp_{c}") for c in ("dist", "quadrant", "xn", "yn") if f"mp_{c}" in f.vars}
+    else:
+        columns["w"] = whole("remap_matrix").reshape(len(columns["dst"]), -1)[:, 0]
+    p = pd.DataFrame({k: v.astype("i8" if v.dtype.kind in "iu" else "f8") for k, v in columns.items()})
+    return spark.createDataFrame(p)
+
+
 def masked_average(df: DataFrame, by: list[str], value: Column, weight: Column, mask: Column | None = None) -> DataFrame:
     """Weighted mean over what is there and unmasked."""
     use = value.isNotNull() if mask is None else value.isNotNull() & mask
@@ -186,7 +250,8 @@ def quadrant(x: Column, y: Column, xn: Column, yn: Column) -> Column:
 
 
 class Registry:
-    """Grids by name, and links between two of them by method: built on first use, stored under `path`."""
+    """Grids by name, and links between two of them by method: built on first use, stored under `path`, and read from
+    there again by later sessions unless load is False. What is stored names both grids; a map of others is built anew."""
 
     def __init__(self, spark, path: str | None = None):
         self.spark, self.path = spark, path
@@ -198,17 +263,33 @@ class Registry:
             raise ValueError(f"grid {name!r} is there already")
         self.grids[name] = grid
 
-    def links(self, source: str, target: str, method: str, build) -> DataFrame:
+    def links(self, source: str, target: str, method: str, build, load: bool = True) -> DataFrame:
         key = (source, target, method)
         if key not in self.maps:
-            links = build(self.grids[source], self.grids[target], method)
-            if self.path:
-                at = f"{self.path}/{source}-{target}-{method}"
-                links.write.mode("overwrite").parquet(at)
-                links = self.spark.read.parquet(at)
+            # the folder's name follows from both grids' parameters, so a map of another grid of that name is no hit
+            of = hashlib.blake2b(repr((self.grids[source], self.grids[target])).encode(), digest_size=6).hexdigest()
+            at = f"{self.path}/{source}-{target}-{method}-{of}" if self.path else None
+            links = self._stored(at) if at and load else None
+            if links is None:
+                links = build(self.grids[source], self.grids[target], method)
+                if at:
+                    links.write.mode("overwrite").parquet(at)
+                    links = self.spark.read.parquet(at)
             self.maps[key] = links
         return self.maps[key]
 
+    def _stored(self, at: str) -> DataFrame | None:
+        """The links of an earlier session, if they were written to the end."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return None
+        return self.spark.read.parquet(at)
+
+    def prime(self, pairs, build) -> None:
+        """Build, or load, the links of (source, target, method) triples ahead of use."""
+        for source, target, method in pairs:
+            self.links(source, target, method, build)
+
     def remap(self, source: str, target: str, method: str, build, field: DataFrame, keys: list[str] | None = None, value: str = "value") -> DataFrame:
         """A field (src, keys, value) of any number of levels on the target grid; equal grids are passed through."""
         if self.grids[source] == self.grids[target]:

@@ -7,6 +7,7 @@ time range are never opened beyond their footers.
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from gridwake.model import MISSING
+from gridwake.model import MISSING, CoordSystem, Grid
 
 TINY, HUGE = 1e-30, 1e25
 
@@ -117,7 +118,7 @@ def channels(wide: DataFrame, time: str, columns: list[str]) -> DataFrame:
 # --- classic netCDF ---------------------------------------------------------------------------
 
 _TYPES = {1: ("b", 1), 2: ("S1", 1), 3: (">i2", 2), 4: (">i4", 4), 5: (">f4", 4), 6: (">f8", 8)}
-_CODES = {"f8": 6, "f4": 5, "i4": 4, "i2": 3, "i1": 1}
+_CODES = {"f8": 6, "f4": 5, "i4": 4, "i2": 3, "i1": 1, "S1": 2}
 
 
 def _padded(n: int) -> int:
@@ -298,7 +299,8 @@ def write_classic(path: str, dims: dict[str, int], variables: dict[str, tuple[li
     head = b"CDF\x02" + struct.pack(">i", 0)
     head += struct.pack(">ii", 10 if dims else 0, len(dims)) + b"".join(text(d) + struct.pack(">i", n) for d, n in dims.items())
     head += attrs(attributes or {})
-    bodies = [np.asarray(x).astype(f">{np.asarray(x).dtype.str[1:]}").tobytes() for _, x, _ in variables.values()]
+    arrays = [np.asarray(x) for _, x, _ in variables.values()]
+    bodies = [(x if x.dtype.kind == "S" else x.astype(f">{x.dtype.str[1:]}")).tobytes() for x in arrays]
 
     def table(begin: int) -> bytes:
         out = struct.pack(">ii", 11, len(variables))
@@ -315,6 +317,207 @@ def write_classic(path: str, dims: dict[str, int], variables: dict[str, tuple[li
             f.write(body.ljust(_padded(len(body)), b"\0"))
 
 
+def characters(strings: list[str]) -> np.ndarray:
+    """Strings as a matrix of single bytes, padded with blanks: what a character variable holds."""
+    raw = [s.encode() for s in strings]
+    width = max(map(len, raw), default=0) or 1
+    return np.array([list(r.ljust(width)) for r in raw], np.uint8).view("S1").reshape(len(raw), width)
+
+
+def read_characters(path: str, name: str, separator: str | None = None) -> list[str]:
+    """The strings of a character variable, blanks stripped; a single string is split at a separator."""
+    f = ClassicFile(path)
+    shape = f.shape(name)
+    if f.vars[name]["kind"] != 2:
+        raise ValueError(f"{path}: {name} holds no characters")
+    z = f.steps(name, 0, shape[0]).reshape(-1 if len(shape) > 1 else 1, shape[-1])
+    got = [b"".join(row.tolist()).rstrip(b" \0").decode("utf-8", "replace") for row in z]
+    if separator is not None and len(got) == 1:
+        return [s.strip() for s in got[0].split(separator) if s.strip()]
+    return got
+
+
+def contents(path: str) -> tuple[dict[str, int], dict[str, tuple[list[str], np.ndarray, dict]], dict]:
+    """Dimensions, variables and attributes of a classic file, as write_classic() takes them."""
+    f = ClassicFile(path)
+    dims = {name: size or f.records for name, size in f.dims}
+    variables = {}
+    for name, v in f.vars.items():
+        shape = f.shape(name)
+        x = f.steps(name, 0, shape[0] if shape else 1)
+        variables[name] = (v["dims"], x if shape else x.reshape(()), v["attributes"])
+    return dims, variables, f.attributes
+
+
+def update_classic(path: str, dims: dict[str, int] | None = None, variables: dict | None = None, attributes: dict | None = None, of: dict[str, dict] | None = None, only_new: bool = False) -> None:
+    """Add to a classic file, or create it: dimensions, variables, global attributes, and attributes `of` variables.
+
+    The file is written again as a whole. only_new leaves attributes that are there already.
+    """
+    try:
+        old = contents(path)
+    except FileNotFoundError:
+        old = ({}, {}, {})
+    merged = (lambda a, b: {**b, **a}) if only_new else (lambda a, b: {**a, **b})
+    every = {**old[1], **(variables or {})}
+    for name, extra in (of or {}).items():
+        own, x, a = every[name]
+        every[name] = (own, x, merged(a, extra))
+    write_classic(path, {**old[0], **(dims or {})}, every, merged(old[2], attributes or {}))
+
+
+def has_variable(path: str, name: str) -> bool:
+    return name in ClassicFile(path).vars
+
+
+def _attributes_of(path: str, variable: str | None) -> dict:
+    f = ClassicFile(path)
+    return f.attributes if variable is None else f.vars.get(variable, {"attributes": {}})["attributes"]
+
+
+def has_attribute(path: str, name: str, variable: str | None = None) -> bool:
+    """Whether a file, or one of its variables, has an attribute."""
+    return name in _attributes_of(path, variable)
+
+
+def attribute_size(path: str, name: str, variable: str | None = None) -> int:
+    """Characters, or numbers, of an attribute; 0 without it."""
+    v = _attributes_of(path, variable).get(name)
+    return 0 if v is None else len(v) if isinstance(v, (str, list)) else 1
+
+
+def read_attribute(path: str, name: str, variable: str | None = None):
+    return _attributes_of(path, variable)[name]
+
+
+#: Standard attributes of dimensions by their usual names.
+STANDARD_DIMENSIONS = {
+    "lon": {"standard_name": "longitude", "long_name": "longitude", "units": "degrees_east", "axis": "X"},
+    "lat": {"standard_name": "latitude", "long_name": "latitude", "units": "degrees_north", "axis": "Y"},
+    "x": {"standard_name": "projection_x_coordinate", "axis": "X"},
+    "y": {"standard_name": "projection_y_coordinate", "axis": "Y"},
+    "z": {"standard_name": "height", "long_name": "height", "positive": "up", "axis": "Z"},
+    "time": {"standard_name": "time", "long_name": "time", "axis": "T"},
+}
+
+
+def standard_attributes(path: str) -> None:
+    """Standard attributes for the coordinate variables of a file, where they are not set."""
+    names = ClassicFile(path).vars
+    update_classic(path, of={k: v for k, v in STANDARD_DIMENSIONS.items() if k in names}, only_new=True)
+
+
+def grid_mapping(system: CoordSystem, x_e: float = 0.0, y_n: float = 0.0) -> dict:
+    """Attributes of the variable that names a file's projection."""
+    out: dict = {"grid_mapping_name": {"lambert_azimuthal_equal_area": "lambert_azimuthal_equal_area"}.get(system.mtype, system.mtype)}
+    if system.mtype == "rotated_pole":
+        out["grid_mapping_name"] = "rotated_latitude_longitude"
+        out |= {"grid_north_pole_longitude": system.lon, "grid_north_pole_latitude": system.lat}
+    elif system.is_projection:
+        out["longitude_of_projection_origin" if system.mtype != "polar_stereographic" else "straight_vertical_longitude_from_pole"] = system.lon
+        out["latitude_of_projection_origin"] = system.lat if system.mtype != "polar_stereographic" else math.copysign(90.0, system.lat)
+        if system.mtype == "stereographic":
+            out |= {"angle_of_oblique_tangent": system.alpha, "scale_factor_at_projection_origin": 1.0}
+        if system.mtype == "polar_stereographic":
+            out["standard_parallel"] = math.copysign(90.0 - system.alpha, system.lat)
+        out |= {"false_easting": x_e, "false_northing": y_n}
+    out["semi_major_axis"] = system.planet.a
+    if system.planet.f:
+        out["inverse_flattening"] = 1 / system.planet.f
+    return out
+
+
+def write_grid(g: Grid, path: str, columns: DataFrame) -> None:
+    """A grid's axes, projection, and 2-D fields (cell and further columns, such as lon, lat, area, border) as a classic file."""
+    own = [("x", g.x), ("y", g.y)] if g.system.is_cartesian else [("lon", g.x), ("lat", g.y)]
+    dims = {name: a.n for name, a in own}
+    unit = g.system.units if g.system.is_cartesian else None
+    variables = {name: ([name], np.array([a.centre(i) for i in range(1, a.n + 1)]), dict(STANDARD_DIMENSIONS[name], **({"units": unit} if unit else {}))) for name, a in own}
+    p = columns.toPandas()
+    rows, cols = np.divmod(p["cell"].to_numpy() - 1, g.x.n)
+    for c in p.columns.drop("cell"):
+        z = np.full((g.y.n, g.x.n), MISSING)
+        z[rows, cols] = p[c].astype(float).fillna(MISSING)
+        variables[c] = (["y", "x"] if g.system.is_cartesian else ["lat", "lon"], z, {"missing_value": MISSING, **({"grid_mapping": "crs"} if g.system.is_projection else {})})
+    if g.system.is_projection:
+        variables["crs"] = ([], np.int32(0), grid_mapping(g.system))
+    write_classic(path, dims, variables, {"name": g.name, "mtype": g.system.mtype})
+
+
+def write_points(points: DataFrame, path: str, key: str = "pt") -> None:
+    """Points (key and further numeric columns) as a classic file with one dimension `point`."""
+    p = points.orderBy(key).toPandas()
+    write_classic(path, {"point": len(p)}, {c: (["point"], p[c].astype(float).fillna(MISSING).to_numpy(), {"missing_value": MISSING}) for c in p.columns})
+
+
+# --- series and fields by kind of file ------------------------------------------------------------
+
+
+def is_netcdf(path: str) -> bool:
+    return path.rsplit(".", 1)[-1].lower() in ("nc", "nc4", "cdf", "netcdf")
+
+
+def read_channels(path: str, variable: str, time: str | None = None, sigma: str | None = None) -> pd.DataFrame:
+    """(time, channel, value, sigma) of a netCDF variable of time, or of time and channels in either order.
+
+    The time axis is the dimension of that name, else the one that is as long as the time variable.
+    """
+    f = ClassicFile(path)
+    whole = lambda n: f.steps(n, 0, f.shape(n)[0]).astype(float)
+    dims, shape = f.vars[variable]["dims"], f.shape(variable)
+    time = time or next((n for n in ("time", "t", "year", *dims) if n in f.vars), None)
+    if time is None:
+        raise ValueError(f"{path}: no time variable")
+    t = whole(time)
+    own = f.vars[time]["dims"][0]
+    axis = dims.index(own) if own in dims else dims.index(time) if time in dims else shape.index(len(t))
+    along = lambda n: np.moveaxis(whole(n), axis, 0).reshape(len(t), -1)
+    z = along(variable)
+    s = along(sigma) if sigma and sigma in f.vars else np.full(z.shape, np.nan)
+    n = z.shape[1]
+    return pd.DataFrame({"time": np.repeat(t, n), "channel": np.tile(np.arange(1, n + 1), len(t)), "value": z.ravel(), "sigma": s.ravel()})
+
+
+def load_series(spark: SparkSession, path: str, variable: str = "", time: str | None = None, sigma: str | None = None) -> DataFrame:
+    """(time, channel, value, sigma) from an ASCII table or a netCDF file, by the name's ending."""
+    if not is_netcdf(path):
+        return read_series(spark, path).withColumn("sigma", F.lit(None).cast("double"))
+    rows = spark.createDataFrame(read_channels(path, variable, time, sigma))
+    absent = lambda c: F.when(~F.isnan(c) & (F.col(c) != MISSING), F.col(c)).alias(c)
+    return rows.select("time", "channel", absent("value"), absent("sigma")).where("value is not null")
+
+
+def series_from_namelist(spark: SparkSession, nl, group: str) -> DataFrame:
+    """The series that a namelist group names: filename, and for netCDF varname, time_name, sigma_name."""
+    path = nl.get(group, "filename")
+    if not is_netcdf(path):
+        return load_series(spark, path)
+    return load_series(spark, path, *(nl.get(group, k) for k in ("varname", "time_name", "sigma_name")))
+
+
+def read_remapped(spark: SparkSession, path: str, links: DataFrame | None, sizes: tuple[int, int], variable: str | None = None, kind: str = "double", keys: list[str] | None = None, dims: tuple[str, str] = ("i", "j")) -> DataFrame:
+    """A field of a file on the grid of some links' targets: (dst, keys, value).
+
+    A field that has the target's sizes (nx, ny) already, or comes without links, passes through. kind: double,
+    integer (rounded) or logical (a half and more). Files are Parquet, or classic netCDF with a variable.
+    """
+    from gridwake.operators.links import apply
+
+    i, j = dims
+    if variable is None:
+        field = read_slab(spark, path)
+    else:
+        field = spark.read.format("classic_netcdf").option("path", path).option("variable", variable).load()
+    own = shape(field, [i, j])
+    cells = field.select(((F.col(j) - 1) * own[i] + F.col(i)).cast("long").alias("src"), *(keys or []), "value")
+    if links is None or (own[i], own[j]) == tuple(sizes):
+        out = cells.withColumnRenamed("src", "dst")
+    else:
+        out = apply(links, cells, "mean", keys=keys)
+    value = {"double": F.col("value"), "integer": F.round("value").cast("int"), "logical": F.col("value") >= 0.5}[kind]
+    return out.select("dst", *(keys or []), value.alias("value"))
+
+
 def to_classic(df: DataFrame, path: str, indices: list[str], value: str = "value", units: str = "") -> None:
     """One field to one classic file: it is gathered on the driver, so this is for results, not for corpora."""
     p = df.select(*indices, value).toPandas()

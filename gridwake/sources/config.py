@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridwake.model import Axis, CoordSystem, Grid
+from gridwake.model import PLANETS, Axis, CoordSystem, Grid, Planet, planet
 
 
 def fill_path(template: str, **names: str) -> str:
@@ -149,13 +149,42 @@ class Description:
 
     keys: dict[str, str] = field(default_factory=dict)
     yvals: list[float] = field(default_factory=list)
+    xvals: list[float] = field(default_factory=list)
+
+
+#: Projections by the names that other tools use.
+_MAPPINGS = {"stereographic": "stereographic", "polar_stereographic": "polar_stereographic", "lambert_azimuthal_equal_area": "lambert_azimuthal_equal_area", "rotated_latitude_longitude": "rotated_pole"}
+
+
+def _body(k: dict[str, str]) -> Planet:
+    """The planet by its name, or by its axes."""
+    if "planet" in k:
+        return planet(k["planet"].strip("\"'"))
+    for p in PLANETS.values():
+        if "semi_major_axis" in k and abs(float(k["semi_major_axis"]) - p.a) < 1e-6 and ("inverse_flattening" in k) == (p.f != 0):
+            return p
+    if "semi_major_axis" in k:
+        inverse = float(k.get("inverse_flattening", 0))
+        return Planet("given", float(k["semi_major_axis"]), 1 / inverse if inverse else 0.0)
+    return planet()
+
+
+def _projection(k: dict[str, str]) -> tuple[float, float, float]:
+    """Centre and angle: the own keys, else those that other tools write."""
+    first = lambda *names: next((float(k[n]) for n in names if n in k), 0.0)
+    lon = first("lambda", "longitude_of_projection_origin", "straight_vertical_longitude_from_pole", "grid_north_pole_longitude")
+    lat = first("phi", "latitude_of_projection_origin", "grid_north_pole_latitude")
+    alpha = first("alpha", "angle_of_oblique_tangent")
+    if "alpha" not in k and "standard_parallel" in k:
+        alpha = 90.0 - abs(float(k["standard_parallel"]))
+    return lon, lat, alpha
 
 
 def parse_description(text: str) -> Description:
     heading: dict[str, str] = {}
     body: dict[str, str] = {}
-    yvals: list[float] = []
-    reading = False
+    values: dict[str, list[float]] = {"xvals": [], "yvals": []}
+    reading = ""
     for line in text.splitlines():
         s = line.strip()
         if s.startswith("#"):
@@ -164,14 +193,14 @@ def parse_description(text: str) -> Description:
                 heading[k.strip()] = v.strip()
         elif "=" in s:
             k, v = (p.strip() for p in s.split("=", 1))
-            reading = k == "yvals"
+            reading = k if k in values else ""
             if reading:
-                yvals += [float(x) for x in v.split()]
+                values[k] += [float(x) for x in v.split()]
             else:
                 body[k] = v
         elif s and reading:
-            yvals += [float(x) for x in s.split()]
-    return Description({**body, **heading}, yvals)
+            values[reading] += [float(x) for x in s.split()]
+    return Description({**body, **heading}, values["yvals"], values["xvals"])
 
 
 def grid_of(text: str) -> Grid:
@@ -179,10 +208,12 @@ def grid_of(text: str) -> Grid:
     d = parse_description(text)
     k = d.keys
     nx, ny = int(k["xsize"]), int(k["ysize"])
-    x = Axis(float(k["xfirst"]), float(k["xinc"]), nx)
-    y = Axis.spanning(d.yvals[0], d.yvals[-1], n=ny) if d.yvals else Axis(float(k["yfirst"]), float(k["yinc"]), ny)
+    x = Axis.of(d.xvals) if d.xvals else Axis(float(k["xfirst"]), float(k["xinc"]), nx)
+    y = Axis.of(d.yvals) if d.yvals else Axis(float(k["yfirst"]), float(k["yinc"]), ny)
+    if (x.n, y.n) != (nx, ny):
+        raise ValueError(f"{x.n} x {y.n} values, but sizes {nx} x {ny}")
     kind = {"lonlat": "latlon", "projection": k.get("mtype", "stereographic"), "generic": "cartesian"}.get(k.get("gridtype", "lonlat"), "latlon")
-    system = CoordSystem(k.get("mtype", kind), k.get("xunits", "degrees"), lon=float(k.get("lambda", 0)), lat=float(k.get("phi", 0)), alpha=float(k.get("alpha", 0)))
+    system = CoordSystem(k.get("mtype") or _MAPPINGS.get(k.get("grid_mapping_name", ""), kind), k.get("xunits", "degrees").strip("\"'"), _body(k), *_projection(k))
     return Grid(k.get("name", "grid"), x, y, system)
 
 
@@ -190,6 +221,22 @@ def describe(g: Grid) -> str:
     """The text that grid_of() reads again."""
     s = g.system
     kind = "lonlat" if s.mtype == "latlon" else "projection" if s.is_projection else "generic"
-    heading = {"name": g.name, "mtype": s.mtype, "lambda": s.lon, "phi": s.lat, "alpha": s.alpha}
-    body = {"gridtype": kind, "gridsize": g.size, "xsize": g.x.n, "ysize": g.y.n, "xunits": s.units, "yunits": s.units, "xfirst": g.x.x0, "xinc": g.x.dx, "yfirst": g.y.x0, "yinc": g.y.dx}
+    heading = {"name": g.name, "mtype": s.mtype, "planet": s.planet.name, "lambda": s.lon, "phi": s.lat, "alpha": s.alpha}
+    if s.planet.name not in PLANETS:
+        heading |= {"semi_major_axis": s.planet.a, **({"inverse_flattening": 1 / s.planet.f} if s.planet.f else {})}
+        del heading["planet"]
+    body = {"gridtype": kind, "gridsize": g.size, "xsize": g.x.n, "ysize": g.y.n, "xunits": s.units, "yunits": s.units}
+    for c, a in (("x", g.x), ("y", g.y)):
+        body |= {f"{c}first": a.x0, f"{c}inc": a.dx} if a.at is None else {f"{c}vals": " ".join(map(repr, a.at))}
     return "".join(f"# {k} = {v}\n" for k, v in heading.items()) + "".join(f"{k} = {v}\n" for k, v in body.items())
+
+
+def describe_cells(outlines: DataFrame, name: str = "grid", kind: str = "unstructured") -> str:
+    """An explicit description: the corners of each cell of outlines (src, x, y, xs, ys in degrees), for tools without the grid's system."""
+    rows = outlines.orderBy("src").collect()
+    line = lambda values: " ".join(f"{v:.10g}" for v in values)
+    corners = len(rows[0]["xs"]) if rows else 0
+    out = [f"gridtype = {kind}", f"gridsize = {len(rows)}", f"gridname = {name}", f"nvertex = {corners}", "xunits = degrees", "yunits = degrees"]
+    for c in "xy":
+        out += [f"{c}vals = {line(r[c] for r in rows)}", f"{c}bounds = "] + [line(r[f"{c}s"]) for r in rows]
+    return "\n".join(out) + "\n"
