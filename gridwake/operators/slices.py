@@ -7,10 +7,13 @@ aggregation by key, which Spark combines before its shuffle.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwake.model import CRAZY, TIME_TOLERANCE
+from gridwake.sources.config import fill_path
 
 REDUCERS = ("mean", "sum", "sd", "min", "max")
 
@@ -120,6 +123,67 @@ def summary(df: DataFrame, value: str = "value") -> DataFrame:
     return df.agg(F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"))
 
 
+@dataclass(frozen=True)
+class Variable:
+    """A gridded variable with its file, units, scaling and declared time axis."""
+
+    path: str
+    name: str
+    units_in: str = ""
+    units_out: str = ""
+    scale: float = 1.0
+    offset: float = 0.0
+    with_time: bool = False
+    axis: tuple[float, float] = (0.0, 0.0)
+    step: float = 0.0
+    n_sub: int = 1
+
+    @classmethod
+    def from_namelist(cls, nl, group: str, **names: str) -> Variable:
+        """From the keys filename, name, units (in, out), scaling (scale, offset) and time (active, x0, x1, dx, parts of a year)."""
+        units = [*nl.vector(group, "units", str), "", ""]
+        scale, offset = ([*nl.vector(group, "scaling"), 1.0, 0.0][k] if len(nl.vector(group, "scaling")) > k else d for k, d in ((0, 1.0), (1, 0.0)))
+        time = [*nl.vector(group, "time"), 0.0, 0.0, 0.0, 0.0, 0.0][:5]
+        x1 = time[1] if time[3] == 0.0 else time[2]
+        return cls(fill_path(nl.get(group, "filename"), **names), nl.get(group, "name"), units[0], units[1], scale, offset, time[0] >= 0.5, (time[1], x1), time[3], max(1, int(time[4])))
+
+    def load(self, spark) -> DataFrame:
+        """The long table (indices, t_idx, value) with its time: the file's steps must be as many as the axis declares."""
+        df = spark.read.parquet(self.path)
+        if not self.with_time:
+            return df
+        axis = time_axis(spark, *self.axis, self.step or 1.0, self.n_sub)
+        steps_there, declared = df.agg(F.max("t_idx")).first()[0], axis.count()
+        if steps_there != declared:
+            raise ValueError(f"{self.path}: {steps_there} steps, but the time axis has {declared}")
+        return df.drop("time").join(F.broadcast(axis), "t_idx")  # an axis has a row a step
+
+    def update(self, spark, t0: float | None = None, t1: float | None = None, method: str = "exact", rep: int = 1) -> DataFrame:
+        """One slice, range, interpolation or reduction, guarded against crazy values and scaled."""
+        df = self.load(spark)
+        keys = [c for c in df.columns if c not in ("time", "t_idx", "value")]
+        if not self.with_time:
+            out = df
+        elif method in ("interp", "extrap"):
+            out = interpolate(df, t0, keys, method == "extrap")
+        elif method in ("exact", "range"):
+            out = steps(df, t0, t1 if method == "range" else None, self._extent())
+        elif method.startswith("range_"):
+            out = range_reduce(df, method[6:], t0, t0 if t1 is None else t1, keys, rep, self._extent())
+        else:
+            raise ValueError(f"unknown method {method!r}")
+        return out.withColumn("value", scaled(F.col("value"), self.scale, self.offset))
+
+    def _extent(self) -> tuple[float, float]:
+        x0, x1 = self.axis
+        return (x0, x1) if self.n_sub == 1 else (x0, x1 + 1 - 0.5 / self.n_sub)
+
+    @property
+    def parts_of_a_year(self) -> int:
+        """The declared number of steps a year."""
+        return self.n_sub if self.with_time else 1
+
+
 def to_grid(df: DataFrame, links: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """A field (src, keys, value) on the links' targets, all levels and times in one join."""
     from gridwake.operators.links import apply

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridwake.model import DIVIDE_TOLERANCE
+from gridwake.operators.series import series_lookup
 
 MEMORY = 2000
 #: Least rate of change, and least newest error.
@@ -43,6 +44,19 @@ class Forcing:
     f_max: float = 1.0
     f_conv: float = 0.0
 
+    @classmethod
+    def from_namelist(cls, nl, group: str = "tsgen") -> Forcing:
+        """The generator of a namelist group: the method is read first, then what it needs."""
+        method, sigma = nl.get(group, "method"), nl.get(group, "sigma", float)
+        if method == "series":
+            return cls(method, sigma=sigma, dt_ave=1.0, dt_ramp=1.0, dt_conv=1.0, tol=1.0, f_max=0.0)
+        if method not in (*OPEN, *FEEDBACK):
+            raise ValueError(f"unknown method {method!r}")
+        names = [f.name for f in fields(cls) if f.name not in ("method", "sigma", "with_kill")]
+        numbers = {k: nl.get(group, k, float) for k in names}
+        numbers["df_sign"] = 1.0 if numbers["df_sign"] >= 0 else -1.0
+        return cls(method, nl.get(group, "with_kill", bool), sigma=sigma, **numbers)
+
     @property
     def start(self) -> float:
         return self.f_min if self.df_sign > 0 else self.f_max
@@ -84,6 +98,44 @@ def tabulate(p: Forcing, times: DataFrame, t0: float, seed: int = 0) -> DataFram
     return out.withColumn("f", F.col("f_mean") + noise)
 
 
+def from_series(series: DataFrame, times: DataFrame, sigma: float = 0.0, seed: int = 0, width: float = 1.0, channels: bool = False) -> DataFrame:
+    """(time, f_mean, f): a series (time, channel, value[, sigma]) at the times, clamped, as the mean of its channels; with
+    channels=True a row for each of them.
+
+    Noise has the series' own deviation, or sigma where it has none; the first time has none.
+    """
+    every = times.select("time").distinct().join(F.broadcast(series.select("channel").distinct()))  # a series has few channels
+    at = series_lookup(series, every.select("channel", "time"), ["channel"], width)
+    spread = F.when(F.coalesce("sigma", F.lit(0.0)) > 0, F.col("sigma")).otherwise(F.lit(float(sigma)))
+    first = F.broadcast(times.agg(F.min("time").alias("_first")))  # one row
+    noise = F.when(F.col("time") > F.col("_first"), spread * F.randn(seed)).otherwise(0.0)
+    at = at.join(first).select("time", "channel", F.col("value").alias("f_mean"), (F.col("value") + noise).alias("f"))
+    return at if channels else at.groupBy("time").agg(F.avg("f_mean").alias("f_mean"), F.avg("f").alias("f"))
+
+
+def channel_mean(series: DataFrame) -> DataFrame:
+    """(time, value): the mean over a series' channels."""
+    return series.groupBy("time").agg(F.avg("value").alias("value"))
+
+
+def write_steps(df: DataFrame, path: str, label: str = "") -> DataFrame:
+    """Generator rows (time, f, df_dt, dv_dt_ave) added to a Parquet series by time, columns named after the label; rows
+    of equal time are replaced. Returns the series as written, in a new folder under path."""
+    from gridwake.operators.schedule import match_time
+
+    spark = df.sparkSession
+    pre = f"{label}_" if label else ""
+    new = df.select("time", *[F.col(c).alias(f"{pre}{n}") for c, n in (("f", "f"), ("df_dt", "df_dt"), ("dv_dt_ave", "dv_dt")) if c in df.columns])
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = sorted(s.getPath().getName() for s in fs.listStatus(fs_path)) if fs.exists(fs_path) else []
+    done = [d for d in done if d.startswith("v")]
+    whole = match_time(spark.read.parquet(f"{path}/{done[-1]}"), new) if done else new
+    at = f"{path}/v{len(done):06d}"
+    whole.write.parquet(at)
+    return spark.read.parquet(at)
+
+
 def sliding_mean(df: DataFrame, dt_ave: float, key: str = "key", time: str = "time", value: str = "dv_dt") -> DataFrame:
     """df with the plain mean of value over [time - dt_ave, time] of its key.
 
@@ -215,9 +267,32 @@ def _steps(p: Forcing, s: State, key: str, f: pd.DataFrame, seed: int) -> pd.Dat
     return pd.DataFrame(rows, columns=["key", "time", "f", "f_mean", "df_dt", "dv_dt_ave", "kill"])
 
 
-def run_batch(df: DataFrame, p: Forcing, seed: int = 0) -> DataFrame:
-    """(key, time, var[, dv_dt]) in time order through each key's generator. A key's steps depend on each other."""
-    return df.groupBy("key").applyInPandas(lambda k, f: _steps(p, State(), k[0], f, seed), _OUT)
+def run_batch(df: DataFrame, p: Forcing, seed: int = 0, restart: DataFrame | None = None) -> DataFrame:
+    """(key, time, var[, dv_dt]) in time order through each key's generator. A key's steps depend on each other.
+
+    restart: (key, state) of final_states() of the rows before, from which each key goes on.
+    """
+    if restart is None:
+        return df.groupBy("key").applyInPandas(lambda k, f: _steps(p, State(), k[0], f, seed), _OUT)
+
+    def resumed(k, f: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        return _steps(p, State.loads(s["state"].iloc[0]) if len(s) else State(), k[0], f, seed)
+
+    return df.groupBy("key").cogroup(restart.groupBy("key")).applyInPandas(resumed, _OUT)
+
+
+def final_states(df: DataFrame, p: Forcing, seed: int = 0, restart: DataFrame | None = None) -> DataFrame:
+    """(key, state): what each key's generator holds after its rows, to be stored and given to run_batch() as restart."""
+
+    def last(k, f: pd.DataFrame, s: pd.DataFrame | None = None) -> pd.DataFrame:
+        state = State.loads(s["state"].iloc[0]) if s is not None and len(s) else State()
+        if len(f):
+            _steps(p, state, k[0], f, seed)
+        return pd.DataFrame({"key": [k[0]], "state": [state.dumps()]})
+
+    if restart is None:
+        return df.groupBy("key").applyInPandas(lambda k, f: last(k, f), "key string, state string")
+    return df.groupBy("key").cogroup(restart.groupBy("key")).applyInPandas(last, "key string, state string")
 
 
 def run_stream(df: DataFrame, p: Forcing, seed: int = 0) -> DataFrame:
