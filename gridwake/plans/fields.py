@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridwake.operators import grids, slices, spectral, stencil
+from gridwake.operators import grids, nodes, slices, spectral, stencil
 from gridwake.plans.registry import query, rounded, table
 
 #: Monthly mean price by priority: steps 1.. from January 1995, time in years at mid-month.
@@ -105,18 +105,17 @@ def time_axis_subannual(spark, d):
     return slices.time_axis(spark, 1990.0, 1999.0, 1.0, 4).select("t_idx", rounded("time", 9).alias("time"))
 
 
-# --- stencils on parts reshaped to a grid 20 wide, full rows only --------------------------------
+# --- stencils on all parts reshaped to a grid 20 wide; the last row may be short --------------------------------
 
 _NX = 20
-_GRID = f"""g as (select (p_partkey % {_NX} + 1)::bigint as i, (p_partkey // {_NX} + 1)::bigint as j, p_retailprice as v from part
-  where p_partkey // {_NX} < (select count(*) // {_NX} from part))"""
+_GRID = f"""g as (select (p_partkey % {_NX} + 1)::bigint as i, (p_partkey // {_NX} + 1)::bigint as j, p_retailprice as v from part)"""
 
 
 def part_grid(spark, d):
     p = table(spark, d, "part")
-    rows = p.count() // _NX
     k = F.col("p_partkey")
-    return p.where(F.floor(k / _NX) < rows).select((k % _NX + 1).alias("i"), (F.floor(k / _NX) + 1).alias("j"), F.col("p_retailprice").alias("value")), rows
+    rows = p.agg(F.floor(F.max(k) / _NX) + 1).first()[0]
+    return p.select((k % _NX + 1).alias("i"), (F.floor(k / _NX) + 1).alias("j"), F.col("p_retailprice").alias("value")), rows
 
 
 _CENTRED = f"""with {_GRID}, w as (select i, j, v, lag(v) over x as b, lead(v) over x as a, lag(v, 2) over x as b2, lead(v, 2) over x as a2, lag(1) over x as hb, lead(1) over x as ha
@@ -175,6 +174,76 @@ def convolve_gauss(spark, d):
     return stencil.gauss_smooth(g, 0.5, _NX, ny).select("i", "j", rounded("value").alias("value"))
 
 
+#: Every cell with its eight neighbours, wrapping: v and the steps along i and j (m before, p after).
+_BEFORE, _AFTER = (lambda c, p, o, f=f, g=g: f"coalesce({f}({c}) over (partition by {p} order by {o}), {g}({c}) over (partition by {p} order by {o} rows between unbounded preceding and unbounded following))" for f, g in (("lag", "last_value"), ("lead", "first_value")))
+_AROUND = f"""{_GRID}, n as (select max(i) as ni, max(j) as nj from g),
+x as (select *, {_BEFORE('v', 'j', 'i')} as vm0, {_AFTER('v', 'j', 'i')} as vp0 from g),
+a as (select x.*, ni, nj, {", ".join(f"{_BEFORE(c, 'i', 'j')} as v{k}m, {_AFTER(c, 'i', 'j')} as v{k}p" for c, k in (("v", "0"), ("vm0", "m"), ("vp0", "p")))} from x, n)"""
+
+
+@query(f"with {_AROUND} select i, j, round((v + vp0 + v0p + vpp) / 4, 6) as aa_ab, round((v + vm0 + v0m + vmm) / 4, 6) as ab_aa from a")
+def stagger_nodes(spark, d):
+    g, _ = part_grid(spark, d)
+    both = nodes.stagger(nodes.stagger(g, "aa_ab", out="aa_ab"), "ab_aa", out="ab_aa")
+    return both.select("i", "j", rounded("aa_ab").alias("aa_ab"), rounded("ab_aa").alias("ab_aa"))
+
+
+_SIDE_KINDS = {"aa_acx": ("i < ni", "vp0"), "aa_acy": ("j < nj", "v0p"), "acx_aa": ("i > 1", "vm0"), "acy_aa": ("j > 1", "v0m"), "ab_acx": ("j > 1", "v0m"), "ab_acy": ("i > 1", "vm0")}
+
+
+@query(f"with {_AROUND} select i, j, {', '.join(f'round(case when {c} then (v + {o}) / 2 else 0 end, 6) as {k}' for k, (c, o) in _SIDE_KINDS.items())} from a")
+def stagger_sides(spark, d):
+    g, _ = part_grid(spark, d)
+    for kind in _SIDE_KINDS:
+        g = nodes.stagger(g, kind, out=kind)
+    return g.select("i", "j", *[rounded(k).alias(k) for k in _SIDE_KINDS])
+
+
+_COVER = "case when (i + 2 * j) % 3 = 0 then 0.0 else 1.0 end"
+
+
+@query(f"""with {_AROUND}, c as (select *, case when (i + 2 * j) % 3 = 0 then 1 else 0 end as f, case when (i % ni + 1 + 2 * j) % 3 = 0 then 1 else 0 end as fp0,
+  case when (i + 2 * (j % nj + 1)) % 3 = 0 then 1 else 0 end as f0p, case when (i % ni + 1 + 2 * (j % nj + 1)) % 3 = 0 then 1 else 0 end as fpp from a)
+select i, j, round(case when f + fp0 + f0p + fpp > 0 then (f * v + fp0 * vp0 + f0p * v0p + fpp * vpp) / (f + fp0 + f0p + fpp) else (v + vp0 + v0p + vpp) / 4 end, 6) as bare,
+  round(case when f = 0 then sqrt(pow((vm0 + v) / 2, 2) + pow((v0m + v) / 4, 2)) else 0 end, 6) as magnitude from c""")
+def stagger_covered(spark, d):
+    g, _ = part_grid(spark, d)
+    g = g.withColumns({"cover": F.expr(_COVER), "u": F.col("value"), "v": F.col("value") / 2})
+    out = nodes.magnitude(nodes.centres_to_corners_bare(g, out="bare"))
+    return out.select("i", "j", rounded("bare").alias("bare"), rounded("magnitude").alias("magnitude"))
+
+
+def _quadrature_sql(corners: str) -> str:
+    return f"""with {_AROUND}, c as (select i, j, {corners} from a), q as (select * from (values (1, {-(1 / 3**0.5)!r}, {-(1 / 3**0.5)!r}), (2, {1 / 3**0.5!r}, {-(1 / 3**0.5)!r}), (3, {-(1 / 3**0.5)!r}, {1 / 3**0.5!r}), (4, {1 / 3**0.5!r}, {1 / 3**0.5!r})) q(node, x, y))
+select i, j, node, round(((1 - x) * (1 - y) * c1 + (1 + x) * (1 - y) * c2 + (1 - x) * (1 + y) * c3 + (1 + x) * (1 + y) * c4) / 4, 6) as at_node from c, q"""
+
+
+def _quadrature(kind: str, corners: str):
+    def run(spark, d):
+        g, _ = part_grid(spark, d)
+        return nodes.to_quadrature(g, kind).select("i", "j", "node", rounded("at_node").alias("at_node"))
+
+    run.__name__ = f"quadrature_{kind}"
+    return query(_quadrature_sql(corners))(run)
+
+
+_quadrature("aa", "(vmm + v0m + vm0 + v) / 4 as c1, (v0m + vpm + v + vp0) / 4 as c2, (vm0 + v + vmp + v0p) / 4 as c3, (v + vp0 + v0p + vpp) / 4 as c4")
+_quadrature("ab", "vmm as c1, v0m as c2, vm0 as c3, v as c4")
+_quadrature("acx", "(vmm + vm0) / 2 as c1, (v0m + v) / 2 as c2, (vm0 + vmp) / 2 as c3, (v + v0p) / 2 as c4")
+_quadrature("acy", "(vmm + v0m) / 2 as c1, (v0m + vpm) / 2 as c2, (vm0 + v) / 2 as c3, (v + vp0) / 2 as c4")
+
+
+@query(f"""with {_GRID}, s as (select max(j) as ny from g), m as (select * from g where (i * j) % 4 <> 0), o as (select k from range(-2, 3) r(k)),
+t as (select g.i, g.j, exp(-(a.k * a.k + b.k * b.k) / 2.88) as w, case when g.i + a.k < 1 then 1 - g.i - a.k when g.i + a.k > {_NX} then {2 * _NX + 1} - g.i - a.k else g.i + a.k end as si,
+  case when g.j + b.k < 1 then 1 - g.j - b.k when g.j + b.k > ny then 2 * ny + 1 - g.j - b.k else g.j + b.k end as sj from g, s, o a, o b where g.i + a.k between 1 and {_NX} or g.j + b.k between 1 and ny),
+f as (select t.i, t.j, sum(t.w * m.v) / sum(t.w) as n from t join m on m.i = si and m.j = sj group by 1, 2)
+select i, j, round(coalesce(n, v), 6) as value from g left join f using (i, j)""")
+def gauss_masked(spark, d):
+    g, ny = part_grid(spark, d)
+    g = g.withColumn("use", F.expr("(i * j) % 4 <> 0"))
+    return stencil.gauss_masked(g, 1.2, 1.0, _NX, ny, "use").select("i", "j", rounded("value").alias("value"))
+
+
 @query(f"with {_GRID} select i, j, round(coalesce((v + lead(v) over (partition by j order by i)) / 2, v), 6) as staggered from g")
 def stagger_x(spark, d):
     g, _ = part_grid(spark, d)
@@ -220,19 +289,34 @@ def _holes(spark, d):
     return g.withColumn("value", F.when((F.col("i") * 7 + F.col("j") * 3) % 5 != 0, F.col("value")))
 
 
-def _field_query(name, f):
+_HOLES = f"with {_GRID}, z as (select i, j, case when (i * 7 + j * 3) % 5 <> 0 then v end as v from g), n as (select max(i) as ni, max(j) as nj from g)"
+#: Of the boxes over a hole the last one counts, by its centre; none of them is empty.
+_BOX_MEANS = f"""{_HOLES}, m as (select a.i, a.j, avg(b.v) as m from z a, n join z b on b.i between greatest(least(a.i + 1, ni - 1), 2) - 1 and greatest(least(a.i + 1, ni - 1), 2) + 1
+  and b.j between greatest(least(a.j + 1, nj - 1), 2) - 1 and greatest(least(a.j + 1, nj - 1), 2) + 1 where a.v is null group by 1, 2)
+select i, j, round(coalesce(z.v, m), 6) as value from z left join m using (i, j)"""
+
+
+def _diffused(table: str) -> str:
+    """One round: box means inside, on the sides the mean with the inner neighbour, those along i last."""
+    pair = lambda o: f"case when a.v is null then {o} when {o} is null then a.v else (a.v + {o}) / 2 end"
+    at = lambda di, dj: f"(select b.v from {table} b where b.i = a.i + ({di}) and b.j = a.j + ({dj}))"
+    return f"""select a.i, a.j, case when a.i = 1 then {pair(at(1, 0))} when a.i = ni then {pair(at(-1, 0))} when a.j = 1 then {pair(at(0, 1))} when a.j = nj then {pair(at(0, -1))}
+  else (select avg(b.v) from {table} b where b.i between a.i - 1 and a.i + 1 and b.j between a.j - 1 and a.j + 1) end as v from {table} a, n"""
+
+
+def _field_query(name, f, sql=None):
     def run(spark, d):
         return stencil.on_fields(_holes(spark, d), [], f).select("i", "j", rounded("value").alias("value"))
 
     run.__name__ = name
-    return query()(run)
+    return query(sql)(run)
 
 
 fill_weighted = _field_query("fill_weighted", lambda z: stencil.fill_weighted(z, 2))
 fill_nearest = _field_query("fill_nearest", lambda z: stencil.fill_nearest(z, 2))
-fill_mean = _field_query("fill_mean", stencil.fill_mean)
+fill_mean = _field_query("fill_mean", stencil.fill_mean, _BOX_MEANS)
 fill_poisson = _field_query("fill_poisson", stencil.fill_poisson)
-diffuse = _field_query("diffuse", lambda z: stencil.diffuse(z, 2))
+diffuse = _field_query("diffuse", lambda z: stencil.diffuse(z, 2), f"{_HOLES}, d as ({_diffused('z')}), e as ({_diffused('d')}) select i, j, round(v, 6) as value from e")
 
 
 @query()
@@ -248,10 +332,14 @@ def distance_to_mask(spark, d):
     return stencil.on_fields(g, [], stencil.distance_to_mask).select("i", "j", rounded("value").alias("value"))
 
 
-@query("select event_type, string_agg(event_id::varchar, ',' order by event_id) as at from events where value > 200 group by 1")
+@query("select string_agg(event_id::varchar, ',' order by event_id) as at from events where value > 485")
 def which_idx(spark, d):
-    # one list for each kind of event, as which() gives it for one
-    return table(spark, d, "events").where("value > 200").groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_list("event_id")).cast("array<string>"), ",").alias("at"))
+    return grids.which(table(spark, d, "events"), F.col("value") > 485, "event_id").select(F.array_join(F.col("at").cast("array<string>"), ",").alias("at"))
+
+
+@query("select event_id from events where value > 200")
+def which_places(spark, d):
+    return grids.places(table(spark, d, "events"), F.col("value") > 200, "event_id")
 
 
 @query("select round(avg(p_size), 6) as mean, count(*) as n from part")
@@ -280,4 +368,4 @@ def fourier_rows(spark, d):
 @query()
 def harmonics(spark, d):
     g, rows = part_grid(spark, d)
-    return spectral.harmonics(g, [], min(6, rows - 1)).select("l", "m", rounded("re").alias("re"), rounded("im").alias("im"))
+    return spectral.harmonics(g, [], min(_NX // 2 - 1, rows - 1)).select("l", "m", rounded("re").alias("re"), rounded("im").alias("im"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridwake.model import Axis, CoordSystem, Grid
+from gridwake.model import Axis, CoordSystem, Grid, planet
 from gridwake.operators import grids, links, remap, solvers
 from gridwake.plans.registry import query, rounded, table
 
@@ -58,15 +58,15 @@ def link_prune(spark, d):
     return links.prune(part_links(spark, d), 0.002).select("dst", "src", rounded("w").alias("w"))
 
 
-#: Targets: suppliers at (balance, key); sources: customers likewise, in thousands.
+#: Targets: all suppliers at (balance, key); sources: all customers likewise, in thousands.
 _POINTS = """t as (select s_suppkey as dst, s_acctbal / 1000.0 as x, (s_suppkey % 10)::double as y from supplier),
-s as (select c_custkey as src, c_acctbal / 1000.0 as xn, (c_custkey % 10 + 0.5)::double as yn, c_acctbal as v from customer where c_custkey % 5 = 0)"""
+s as (select c_custkey as src, c_acctbal / 1000.0 as xn, (c_custkey % 10 + 0.5)::double as yn, c_acctbal as v from customer)"""
 _DIST = "sqrt((x - xn) * (x - xn) + (y - yn) * (y - yn))"
 
 
 def points(spark, d):
     t = table(spark, d, "supplier").select(F.col("s_suppkey").alias("dst"), (F.col("s_acctbal") / 1000.0).alias("x"), (F.col("s_suppkey") % 10).cast("double").alias("y"))
-    s = table(spark, d, "customer").where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("src"), (F.col("c_acctbal") / 1000.0).alias("x"), (F.col("c_custkey") % 10 + 0.5).cast("double").alias("y"), F.col("c_acctbal").alias("value"))
+    s = table(spark, d, "customer").select(F.col("c_custkey").alias("src"), (F.col("c_acctbal") / 1000.0).alias("x"), (F.col("c_custkey") % 10 + 0.5).cast("double").alias("y"), F.col("c_acctbal").alias("value"))
     return t, s
 
 
@@ -226,6 +226,36 @@ def conservative_clipped(spark, d):
     return remap.clipped_links(t, s, 100.0).where("w > 1e-9").select("dst", "src", rounded("w").alias("w"))
 
 
+#: A 2 degree grid of the world to 20 km cells of a stereographic plane over Greenland, on the sphere.
+_R = 6370.997
+_SEEN = f"""c as (select i, j, ((j - 1) * 180 + i)::bigint as src, (i - 1) * 2.0 as lon, -90 + (j - 1) * 2.0 as lat from range(1, 181) a(i), range(1, 92) b(j)),
+o as (select c.*, k, radians(lon - 1 + 2 * case k // 8 when 0 then (k % 8) / 8 when 1 then 1 when 2 then 1 - (k % 8) / 8 else 0 end + 40) as l,
+  radians(greatest(-90, least(90, lat - 1 + 2 * case k // 8 when 0 then 0 when 1 then (k % 8) / 8 when 2 then 1 else 1 - (k % 8) / 8 end))) as p from c, range(0, 32) r(k)
+  where lat > 40),
+v as (select *, {_R} * (1 + cos(radians(7.5))) / (1 + cos(p) * cos(radians(72)) * cos(l) + sin(p) * sin(radians(72))) as s from o),
+w as (select src, k, s * cos(p) * sin(l) as x, s * (sin(p) * cos(radians(72)) - cos(p) * sin(radians(72)) * cos(l)) as y from v),
+e as (select a.src, a.x, a.y, b.x as u, b.y as v, min(a.x) over s as lx, max(a.x) over s as hx, min(a.y) over s as ly, max(a.y) over s as hy from w a join w b on a.src = b.src and b.k = (a.k + 1) % 32 window s as (partition by a.src)),
+t as (select ((j - 1) * 76 + i)::bigint as dst, -750.0 + (i - 1) * 20 - 10 as x0, -750.0 + (i - 1) * 20 + 10 as x1, -1500.0 + (j - 1) * 20 - 10 as y0, -1500.0 + (j - 1) * 20 + 10 as y1 from range(1, 77) a(i), range(1, 152) b(j)),
+m as (select *, greatest(x0, least(x1, x)) as a, greatest(x0, least(x1, u)) as b from t join e on lx < x1 and hx > x0 and ly < y1 and hy > y0 where x <> u),
+n as (select *, y + (v - y) * (a - x) / (u - x) as p, y + (v - y) * (b - x) / (u - x) as q from m where a <> b),
+g as (select *, pow(greatest(y0, least(y1, p)) - y0, 2) / 2 + 20 * greatest(p - y1, 0) as gp, pow(greatest(y0, least(y1, q)) - y0, 2) / 2 + 20 * greatest(q - y1, 0) as gq from n),
+k as (select dst, src, abs(sum((b - a) * case when abs(q - p) < 2e-8 then greatest(y0, least(y1, (p + q) / 2)) - y0 else (gq - gp) / (q - p) end)) as w from g group by 1, 2)"""
+
+
+def _greenland(dx: float = 20.0, nx: int = 76, ny: int = 151):
+    plane = CoordSystem("stereographic", "km", planet("Spherical Earth"), -40.0, 72.0, 7.5)
+    return Grid("2deg", Axis(0.0, 2.0, 180), Axis(-90.0, 2.0, 91)), Grid("plane", Axis(-750.0, dx, nx), Axis(-1500.0, dx, ny), plane)
+
+
+@query(f"with {_SEEN} select dst, round(sum(w), 4) as area, round(sum(w * (src % 180)) / sum(w), 4) as value from k where w > 1e-6 group by 1")
+def conservative_cross(spark, d):
+    """Weights from a lat-lon grid to a projected one, applied."""
+    source, target = _greenland()
+    l = remap.conservative_links(spark, source, target).where("w > 1e-6")
+    field = grids.cells(spark, source).select(F.col("cell").alias("src"), (F.col("cell") % 180).cast("double").alias("value"))
+    return links.apply(l, field).join(l.groupBy("dst").agg(F.sum("w").alias("area")), "dst").select("dst", rounded("area", 4).alias("area"), rounded("value", 4).alias("value"))
+
+
 _PLACES = "t as (select c_custkey as dst, c_acctbal * 0.09 as x, (c_custkey % 100)::double as y from customer)"
 
 
@@ -238,6 +268,35 @@ def _tenths(spark):
     return g, grids.cells(spark, g).select(F.col("cell").alias("src"), F.when(F.col("cell") % 9 != 0, 3.0 * F.col("i") + 2.0 * F.col("j")).alias("value"))
 
 
+@query(f"with {_PLACES} select dst, round(3 * least(greatest(x, 0), 810) + 2 * least(greatest(y, 0), 90), 6) as value from t where x between -170 and 980 and y between -10 and 100")
+def locate_any_axis(spark, d):
+    """A linear field on an axis of growing steps comes back at its places."""
+    g = Grid("source", Axis.of([10.0 * k * k for k in range(10)]), Axis(0.0, 10.0, 10), CoordSystem("cartesian", "km"))
+    field = grids.cells(spark, g).select(F.col("cell").alias("src"), (3 * F.col("x") + 2 * F.col("y")).alias("value"))
+    return links.apply(grids.bilinear_links(_places(spark, d), g), field).select("dst", rounded("value").alias("value"))
+
+
+@query("""with e as (select k, case when k = 0 then -5.0 when k = 10 then 895.0 else (10 * k * k + 10 * (k - 1) * (k - 1)) / 2.0 end as x from range(0, 11) r(k)),
+s as (select a.k + 1 as si, a.x as lo, b.x as hi from e a join e b on b.k = a.k + 1), x as (select i, si, least(i * 60.0, hi) - greatest((i - 1) * 60.0, lo) as w from range(1, 16) r(i) join s on i * 60.0 > lo and (i - 1) * 60.0 < hi),
+y as (select j, sj, least(j * 15.0, sj * 10.0) - greatest((j - 1) * 15.0, (sj - 1) * 10.0) as w from range(1, 7) r(j) join range(1, 11) t(sj) on j * 15.0 > (sj - 1) * 10.0 and (j - 1) * 15.0 < sj * 10.0)
+select ((j - 1) * 15 + i)::bigint as dst, ((sj - 1) * 10 + si)::bigint as src, round(x.w * y.w, 6) as w from x, y""")
+def conservative_any_axis(spark, d):
+    flat = CoordSystem("cartesian", "km")
+    source = Grid("source", Axis.of([10.0 * k * k for k in range(10)]), Axis(5.0, 10.0, 10), flat)
+    target = Grid("target", Axis(30.0, 60.0, 15), Axis(7.5, 15.0, 6), flat)
+    return grids.conservative_links(spark, source, target).select("dst", "src", rounded("w").alias("w"))
+
+
+@query(f"""with {_PLACES}, c as (select i, j, ((j - 1) * 10 + i)::bigint as cell, case when (i + j) % 3 = 0 then (3 * i + 2 * j)::double end as v from range(1, 11) r(i), range(1, 11) s(j)),
+n as (select t.*, greatest(1, least(10, round(x / 100) + 1)) as ci, greatest(1, least(10, round(y / 10) + 1)) as cj from t),
+p as (select dst, v, row_number() over (partition by dst order by sqrt(pow((i - 1) * 100 - x, 2) + pow((j - 1) * 10 - y, 2)), cell) as r from n join c on abs(i - ci) <= 2 and abs(j - cj) <= 2 where v is not null)
+select t.dst, v as value from t left join (select * from p where r = 1) using (dst)""")
+def interp_nearest_valid(spark, d):
+    g, _ = _tenths(spark)
+    f = grids.cells(spark, g).select(F.col("cell").alias("src"), F.when((F.col("i") + F.col("j")) % 3 == 0, (3 * F.col("i") + 2 * F.col("j")).cast("double")).alias("value"))
+    return remap.nearest_valid(f, g, _places(spark, d), 2).select("dst", "value")
+
+
 @query(f"""with {_PLACES}, a as (select *, floor(x / 100)::bigint as i, floor(y / 10)::bigint as j, x / 100 - floor(x / 100) as u, y / 10 - floor(y / 10) as v from t),
 b as (select *, case when x > 0 and x < 900 and y > 0 and y < 90 and (j * 10 + i + 1) % 9 <> 0 and (j * 10 + i + 2) % 9 <> 0 and (j * 10 + i + 11) % 9 <> 0 and (j * 10 + i + 12) % 9 <> 0 then 3 * (i + 1 + u) + 2 * (j + 1 + v) end as value from a)
 select dst, round(value, 6) as value from b""")
@@ -253,10 +312,12 @@ def interp_nearest(spark, d):
     return remap.nearest_cells(f, g, _places(spark, d)).select("dst", "value")
 
 
-@query()
+@query("""with recursive s as (select 0 as step, [0.0::double for k in range(0, 25)] as v union all
+  select step + 1, list_transform(range(0, 25), lambda i: (i + 1.0 + case when i > 0 then v[i] else 0 end + case when i < 24 then v[i + 2] else 0 end) / 8) from s where step < 40)
+select n_nationkey::bigint as i, round(v[n_nationkey + 1], 4) as v from nation, s where step = 40""")
 def solve_jacobi(spark, d):
     """A diagonally dominant system over the nations, coupled to their neighbours by number."""
     n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("i"))
     a = n.select("i", F.col("i").alias("j"), F.lit(8.0).alias("a")).unionByName(n.select("i", (F.col("i") + 1).alias("j"), F.lit(-1.0).alias("a"))).unionByName(n.select("i", (F.col("i") - 1).alias("j"), F.lit(-1.0).alias("a"))).where("j between 0 and 24")
-    x, _, _ = solvers.jacobi(a, n.select("i", (F.col("i") + 1.0).alias("v")), tol=1e-6)
+    x, _, _ = solvers.jacobi(a, n.select("i", (F.col("i") + 1.0).alias("v")), tol=1e-9)
     return x.select("i", rounded("v", 4).alias("v"))

@@ -90,8 +90,9 @@ def timer_totals(spark, d):
     return schedule.timing_totals(e).select("label", rounded("seconds", 3).alias("seconds"), "model_time", rounded("rate").alias("rate"))
 
 
-@query("select event_id as id, 1000 + event_id as time, case when event_id % 10 = 0 and event_id <= 500 then -1.0 else value end as value from events union all select 100000 + r, 2000000 + r, -1.0 from range(0, 5) t(r)")
+@query("select event_id as id, 1000 + event_id as time, case when event_type = 'purchase' then -1.0 else value end as value from events union all select 100000 + r, 2000000 + r, -1.0 from range(0, 5) t(r)")
 def time_upsert(spark, d):
-    e = table(spark, d, "events").select(F.col("event_id").alias("id"), (F.lit(1000) + F.col("event_id")).alias("time"), "value")
-    new = e.where("id % 10 = 0 and id <= 500").withColumn("value", F.lit(-1.0)).unionByName(spark.range(5).select((F.lit(100000) + F.col("id")).alias("id"), (F.lit(2000000) + F.col("id")).alias("time"), F.lit(-1.0).alias("value")))
-    return schedule.match_time(e.withColumn("time", F.col("time").cast("double")), new.withColumn("time", F.col("time").cast("double"))).withColumn("time", F.col("time").cast("long"))
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), (F.lit(1000) + F.col("event_id")).alias("time"), "value", "event_type")
+    # all purchases are written anew
+    new = e.where("event_type = 'purchase'").drop("event_type").withColumn("value", F.lit(-1.0)).unionByName(spark.range(5).select((F.lit(100000) + F.col("id")).alias("id"), (F.lit(2000000) + F.col("id")).alias("time"), F.lit(-1.0).alias("value")))
+    return schedule.match_time(e.drop("event_type").withColumn("time", F.col("time").cast("double")), new.withColumn("time", F.col("time").cast("double"))).withColumn("time", F.col("time").cast("long"))

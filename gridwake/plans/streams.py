@@ -47,6 +47,23 @@ def history_mean(spark, d):
     return forcing.sliding_mean(rows, 86400.0).select("key", "id", rounded("dv_dt_ave").alias("dv_dt_ave"))
 
 
+_DAILY = """m as (select event_type as k, date_diff('day', date '2024-01-01', ts::date)::double as t, avg(value) as v from events group by 1, 2), s as (select k, dense_rank() over (order by k) as c, t, v from m)"""
+
+
+@query(f"""with {_DAILY}, p as (select i / 2.0 - 1 as time from range(0, 70) r(i)), n as (select distinct c from s),
+b as (select p.time, n.c, (select max_by(struct_pack(t := t, v := v), t) from s where s.c = n.c and s.t <= p.time) as lo, (select min_by(struct_pack(t := t, v := v), t) from s where s.c = n.c and s.t > p.time) as hi from p, n)
+select time, round(avg(case when lo is null then hi.v when hi is null then lo.v else lo.v + (hi.v - lo.v) * (time - lo.t) / (hi.t - lo.t) end), 6) as f_mean from b group by 1""")
+def forcing_series(spark, d):
+    """A forcing that follows a series of five channels, clamped at its ends."""
+    from pyspark.sql import Window
+
+    e = table(spark, d, "events").groupBy("event_type", F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("double").alias("time")).agg(F.avg("value").alias("value"))
+    kinds = e.select("event_type").distinct().withColumn("channel", F.dense_rank().over(Window.orderBy("event_type")))  # five kinds
+    series = e.join(F.broadcast(kinds), "event_type").select("time", "channel", "value")
+    at = spark.range(70).select((F.col("id") / 2 - 1).alias("time"))
+    return forcing.from_series(series, at, width=4.0).select("time", rounded("f_mean").alias("f_mean"))
+
+
 def _responses(spark, d):
     """A response for each kind of event: its rate falls off as exp(-t / 1000)."""
     kinds = table(spark, d, "events").select(F.col("event_type").alias("key")).distinct()
@@ -54,6 +71,24 @@ def _responses(spark, d):
     return kinds.join(F.broadcast(t)).select("key", "time", (500 * F.exp(-F.col("time") / 1000)).alias("var"), (-0.5 * F.exp(-F.col("time") / 1000)).alias("dv_dt"))
 
 
+def _feedback_sql(method: str) -> str:
+    """The recurrence over the 300 steps: past errors e0..e2 and rates s0..s2, newest first."""
+    if method == "exp":
+        rate = "1e-9 + exp(-least(abs(ave) / 0.1, 10)) * (0.01 - 1e-9)"
+    else:
+        powers = {"PI42": ((0.3, -0.1, 0), (0, 0)), "H312b": ((0.0625, 0.125, 0.0625), (-0.375, -0.125)), "H312PID": ((0.01, 0.02, 0.01), (0, 0)), "H321PID": ((0.15, 0.025, -0.125), (1, 0)), "PID1": ((0.26, -0.095, 0.01), (0, 0))}
+        e, s = powers[method]
+        parts = [f"pow(0.1 / e{k}, {x})" for k, x in enumerate(e)] + [f"pow(s{k} / s{k + 1}, {x})" for k, x in enumerate(s)]
+        rate = f"least(greatest({' * '.join(parts)} * s0, 1e-9), 0.01)"
+    return f"""with recursive a as (select i as n, i * 50.0 as time, avg(-0.5 * exp(-i * 50.0 / 1000)) over (order by i rows between 4 preceding and current row) as ave from range(0, 300) t(i)),
+r as (select 0::bigint as n, 0.0::double as f, 1e-3::double as e0, 1e-3::double as e1, 1e-3::double as e2, 1e-9::double as s0, 1e-9::double as s1, 1e-9::double as s2
+  union all select n + 1, least(greatest(f + 50 * case when go and x >= 1e-8 then x else 0 end, 0), 10), case when go then greatest(abs(ave), 1e-3) else e0 end, case when go then e0 else e1 end, case when go then e1 else e2 end,
+    case when go then x else s0 end, case when go then s0 else s1 end, case when go then s1 else s2 end
+  from (select r.*, a.ave, a.n >= 4 as go, {rate} as x from r join a on a.n = r.n + 1)),
+k as (select distinct event_type as key from events)
+select key, time, round(f, 6) + 0.0 as f, round(ave, 6) + 0.0 as dv_dt_ave, false as kill from k, r join a using (n)"""
+
+
 def _feedback(method: str):
     def f(spark, d):
         p = Forcing(method, dt_ave=200.0, df_sign=1.0, tol=0.1, df_dt_max=0.01, f_min=0.0, f_max=10.0)
@@ -61,7 +96,7 @@ def _feedback(method: str):
         return out.select("key", "time", rounded("f").alias("f"), rounded("dv_dt_ave").alias("dv_dt_ave"), "kill")
 
     f.__name__ = f"tsgen_{method.lower()}"
-    return query()(f)
+    return query(_feedback_sql(method))(f)
 
 
 for _method in forcing.FEEDBACK:
