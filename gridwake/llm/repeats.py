@@ -14,7 +14,7 @@ head of its rows, is before the context's own place is marked. Keys with more th
 are split by window: their windows' hashes are aggregated instead, the least place kept.
 
 The result is exact but for collisions of 64-bit hashes. Defined results: null is empty; texts of
-fewer than LENGTH bytes stay whole; rows without doc_id come first; rows of one doc_id with equal
+fewer than LENGTH bytes stay whole; very long ones are cut into blocks that share their windows; rows without doc_id come first; rows of one doc_id with equal
 texts are one document, with unlike texts they are ordered by their hashes; an empty table gives no
 row; extra columns are ignored.
 """
@@ -36,7 +36,7 @@ HALF = (LENGTH - K) // 2
 #: Contexts of a key up to which it goes to an index, and bytes of text in one index.
 CONTEXTS = 4096
 INDEX_BYTES = 1_000_000
-#: Copies up to which their ids are sent along to skip them early; more are handled like other texts.
+#: Copies up to which their ids are broadcast to leave their texts out, 16 bytes each; beyond, they are joined by shuffle.
 COPIES = 1_000_000
 
 _U = np.uint64
@@ -197,14 +197,12 @@ def _index(f: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"doc": own["doc"].to_numpy(), "v": own["v"].to_numpy(), "s": own["at"].to_numpy() + k[new], "e": own["at"].to_numpy() + k[stop] + LENGTH})
 
 
-def marks(texts: DataFrame, skip: np.ndarray) -> DataFrame:
-    """(doc, v, s, e): intervals of texts (doc, v, text) to remove. skip: sorted doc of whole copies to leave out."""
+def marks(texts: DataFrame) -> DataFrame:
+    """(doc, v, s, e): intervals of texts (doc, v, text) to remove."""
     kept = common.texts(texts, "doc", "v", "text")
 
     def scanned(frames):
         for f in frames:
-            if len(skip):
-                f = f[~np.isin(f["doc"].to_numpy(), skip)]
             t, doc, v = common.encoded(f["text"]), f["doc"].to_numpy(), f["v"].to_numpy()
             for lo, hi in common.chunks(t, 500_000):
                 yield Windows(t[lo:hi]), doc[lo:hi], v[lo:hi]
@@ -299,11 +297,8 @@ def remove(docs: DataFrame) -> DataFrame:
     firsts = heads.where(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.min(F.struct("doc", "v")).alias("f"), F.count("*").alias("n")).where("n > 1")
     copies = heads.join(firsts, "sha").where(F.struct("doc", "v") != F.col("f")).select("doc", "v").distinct()
     copies = common.stored(copies, "repeats-copies")
-    ids = np.zeros(0, np.int64)
-    if not repeated and copies.count() <= COPIES:
-        ids = np.sort(np.array([r[0] for r in copies.select("doc").collect()], np.int64))
     texts = rows.dropDuplicates(["doc", "v"]) if repeated else rows
-    found = marks(texts, ids)
+    found = marks(texts.join(F.broadcast(copies) if copies.count() <= COPIES else copies, ["doc", "v"], "left_anti"))
     by_doc = common.stored(found.groupBy("doc", "v").agg(F.collect_list(F.struct("s", "e")).alias("m")), "repeats-marks")
     touched = common.Bloom(by_doc.select("doc").unionByName(copies.select("doc")), "doc")
 
