@@ -497,7 +497,10 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs without all but the smallest doc_id of each component, and one row of each doc_id; null doc_ids stay."""
+    """docs without all but the smallest doc_id of each component, and one row of each doc_id; null doc_ids stay.
+
+    A document without any shingle is a component of its own, so all of these stay.
+    """
     gone = common.stored(join(docs).where("component_id <> doc_id").select("doc_id").distinct(), "jaccard-gone")
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():

@@ -59,15 +59,20 @@ def text_statistics(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def text_key():
+    """What tells rows of one doc_id with unlike texts apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, s array<float>) for each row of docs, repeated rows included."""
+    """(doc_id, key, s array<float>) for each row of docs, repeated rows included; key is a hash of the text."""
 
     @common.lean
     def run(frames):
         for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "s": list(text_statistics(common.encoded(f["text"])).astype(np.float32))})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "key": f["key"], "s": list(text_statistics(common.encoded(f["text"])).astype(np.float32))})
 
-    return common.texts(docs, "doc_id", "text").mapInPandas(run, "doc_id long, s array<float>")
+    return common.texts(docs, "doc_id", "text", text_key().alias("key")).mapInPandas(run, "doc_id long, key long, s array<float>")
 
 
 class Model:
@@ -111,7 +116,7 @@ def fit(stats: DataFrame, labels: DataFrame, label: str, learn) -> Model | None:
     learn: a condition on doc_id. A quarter of the learnt rows is kept for the isotonic step.
     """
     known = labels.where(F.col(label).isNotNull() & learn).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
-    rows = stats.join(known, "doc_id").withColumn("later", common.crc_mod("doc_id", 20) >= 15)
+    rows = stats.drop("key").join(known, "doc_id").withColumn("later", common.crc_mod("doc_id", 20) >= 15)
     rows = common.stored(rows, "quality-rows")
     n = len(FEATURES)
     at = [F.col("s")[i].cast("double") for i in range(n)]
@@ -156,14 +161,14 @@ def fit(stats: DataFrame, labels: DataFrame, label: str, learn) -> Model | None:
 
 
 def scores(stats: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, score) of each row of stats."""
+    """(doc_id, key, score) of each row of stats."""
 
     def run(frames):
         for f in frames:
             s = np.full(len(f), 0.5) if model is None or not len(f) else model.score(np.stack(f["s"].to_numpy()).astype(np.float64))
-            yield pd.DataFrame({"doc_id": f["doc_id"], "score": s})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "key": f["key"], "score": s})
 
-    return stats.mapInPandas(run, "doc_id long, score double")
+    return stats.mapInPandas(run, "doc_id long, key long, score double")
 
 
 def dumps(model: Model) -> bytes:
@@ -181,10 +186,21 @@ def loads(data: bytes) -> Model:
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int = 5, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs; rows with crc32(doc_id) % fold = 0 are never learnt."""
+    return judged(docs, labels, label, fold, threshold).drop("key")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
+    """docs without the rows that are predicted 0; rows without doc_id stay, rows of one doc_id are judged each."""
+    bad = common.stored(judged(docs, labels, **how).where("predicted = 0").select("doc_id", F.col("key").alias("_key")).distinct(), "quality-rejected")
+    return docs.withColumn("_key", text_key()).join(bad, ["doc_id", "_key"], "left_anti").select(*docs.columns)
+
+
+def judged(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int = 5, threshold: float = 0.3) -> DataFrame:
+    """As classify(), with the key of each row's text."""
     stats = common.stored(statistics(docs), "quality-stats")
     model = fit(stats, labels, label, common.crc_mod("doc_id", fold) != 0)
     out = scores(stats, model)
-    return out.select("doc_id", (common.crc_mod("doc_id", fold) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return out.select("doc_id", "key", (common.crc_mod("doc_id", fold) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
