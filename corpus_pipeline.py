@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next stage's docs. All but the last return the columns of `documents`; null doc_id rows
-are kept by the filters, as nothing can be held against them. No stage is expressed in SQL as a
+are kept by the filters, as nothing can be held against them. Of rows that share a doc_id one stays
+after the second stage; null and empty texts are documents like others; without labels nothing is
+rejected, without a benchmark nothing is contaminated; an empty table stays empty. No stage is expressed in SQL as a
 whole (the classifier cannot be), so ORACLE_SQL is None and the tests hold it against brute force.
 """
 
@@ -16,10 +18,8 @@ from gridwake.llm import common, decontaminate, jaccard, packing, quality, secre
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose score is below 0.3 go."""
-    judged = quality.classify(docs, common.table(spark, sf_dir, "labels"))
-    bad = common.stored(judged.where("predicted = 0").select("doc_id").distinct(), "quality-rejected")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose score is below 0.3 go; rows that share a doc_id are judged each."""
+    return quality.accepted(docs, common.table(spark, sf_dir, "labels"))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
