@@ -371,28 +371,35 @@ def limit_gradient(z: np.ndarray, dx: float, dy: float, limit: float, rounds: in
 def distance_to_mask(mask: np.ndarray, periodic_x: bool = False, periodic_y: bool = False, far: float = 1e9) -> np.ndarray:
     """Chamfer distance (1, sqrt 2) in cells to where mask is 0, negative where it is below 0.
 
-    Without wrapping the two sweeps begin one cell inside, so the borders are relaxed in part only.
+    A sweep goes line by line. What a line takes from the one before is one minimum over shifted copies; along the line
+    distances grow by 1 a cell, so they are a running minimum of the distance less the place. The way back is the same
+    sweep on the turned field. Without wrapping, sweeps leave their first line and the first cell of each as they are,
+    so the borders are relaxed in part only.
     """
     n, m = mask.shape
-    d = np.where(mask == 0, 0.0, far)
     wraps = periodic_x or periodic_y
-    diagonal = math.sqrt(2)
-    around = ((-1, 0, 1.0), (0, -1, 1.0), (-1, -1, diagonal), (1, -1, diagonal))
+    place = np.arange(n, dtype=float)
+
+    def sweep(d: np.ndarray) -> None:
+        for j in range(0 if wraps else 1, m):
+            line = d[:, j].copy()
+            if j or periodic_y:
+                before = d[:, j - 1]
+                sides = [np.roll(before, k) for k in (1, -1)]
+                if not periodic_x:
+                    sides[0][0] = sides[1][-1] = far
+                line = np.minimum.reduce([line, before + 1, sides[0] + math.sqrt(2), sides[1] + math.sqrt(2)])
+            if not wraps:
+                line[0] = d[0, j]
+            elif periodic_x:
+                line[0] = min(line[0], d[-1, j] + 1)
+            d[:, j] = np.minimum.accumulate(line - place) + place
+
+    d = np.where(mask == 0, 0.0, far)
     for _ in range(100 if wraps else 1):
         old = d.copy()
-        for sign in (1, -1):
-            ii = range(n) if wraps else range(1, n)
-            jj = range(m) if wraps else range(1, m)
-            if sign < 0:
-                ii = range(n - 1, -1, -1) if wraps else range(n - 2, -1, -1)
-                jj = range(m - 1, -1, -1) if wraps else range(m - 2, -1, -1)
-            for j in jj:
-                for i in ii:
-                    for a, b, w in around:
-                        p, q = i + sign * a, j + sign * b
-                        p, q = p % n if periodic_x else p, q % m if periodic_y else q
-                        if 0 <= p < n and 0 <= q < m:
-                            d[i, j] = min(d[i, j], d[p, q] + w)
-        if not wraps or (d == old).all():
+        sweep(d)
+        sweep(d[::-1, ::-1])
+        if np.allclose(d, old, rtol=0, atol=1e-9):
             break
     return np.where(mask < 0, -d, d)

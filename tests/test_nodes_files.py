@@ -273,3 +273,36 @@ def test_variable_from_a_namelist(spark, tmp_path):
         short.load(spark)
     with pytest.raises(ValueError):
         v.update(spark, 1.0, method="odd")
+
+
+# --- distances ------------------------------------------------------------------------------------
+
+
+def swept(mask, px, py):
+    """The two sweeps cell by cell."""
+    n, m = mask.shape
+    d, wraps = np.where(mask == 0, 0.0, 1e9), px or py
+    for _ in range(100 if wraps else 1):
+        old = d.copy()
+        for sign in (1, -1):
+            order = lambda k: range(0 if wraps else 1, k)
+            for b in order(m):
+                for a in order(n):
+                    i, j = (a, b) if sign > 0 else (n - 1 - a, m - 1 - b)
+                    for di, dj, w in ((-1, 0, 1), (0, -1, 1), (-1, -1, math.sqrt(2)), (1, -1, math.sqrt(2))):
+                        p, q = i + sign * di, j + sign * dj
+                        p, q = p % n if px else p, q % m if py else q
+                        if 0 <= p < n and 0 <= q < m:
+                            d[i, j] = min(d[i, j], d[p, q] + w)
+        if not wraps or (d == old).all():
+            break
+    return np.where(mask < 0, -d, d)
+
+
+@pytest.mark.parametrize(("px", "py"), [(False, False), (True, False), (False, True), (True, True)])
+def test_distance_to_mask(px, py):
+    rng = np.random.default_rng(6)
+    for shape in ((7, 9), (9, 4), (2, 3)):
+        mask = rng.choice([-1, 0, 1, 1, 1], shape)
+        mask[0, 0] = 0
+        assert stencil.distance_to_mask(mask, px, py) == pytest.approx(swept(mask, px, py), abs=1e-6)

@@ -55,7 +55,7 @@ def system(spark):
     return a, b, spark.createDataFrame([(int(i), int(j), v) for i, j, v in rows], "i long, j long, a double"), spark.createDataFrame([(i, float(v)) for i, v in enumerate(b)], "i long, v double")
 
 
-@pytest.mark.parametrize("method", [solvers.jacobi, solvers.conjugate_gradient])
+@pytest.mark.parametrize("method", [solvers.jacobi, solvers.conjugate_gradient, solvers.bicgstab])
 def test_solvers(system, method):
     a, b, ta, tb = system
     x, steps, residual = method(ta, tb, tol=1e-8)
