@@ -332,7 +332,7 @@ def distance_to_mask(spark, d):
     return stencil.on_fields(g, [], stencil.distance_to_mask).select("i", "j", rounded("value").alias("value"))
 
 
-@query("select string_agg(event_id::varchar, ',' order by event_id) as at from events where value > 485")
+@query("select coalesce(string_agg(event_id::varchar, ',' order by event_id), '-1') as at from events where value > 485")
 def which_idx(spark, d):
     return grids.which(table(spark, d, "events"), F.col("value") > 485, "event_id").select(F.array_join(F.col("at").cast("array<string>"), ",").alias("at"))
 
