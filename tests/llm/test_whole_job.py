@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridwake.llm import common, decontaminate, extract, langid, repeats, toxicity
+from gridwake.llm import common, decontaminate, extract, langid, quality, repeats, toxicity
 
 # --- labelled samples -------------------------------------------------------------------------
 
@@ -149,3 +149,71 @@ def test_short_items_are_found(spark, monkeypatch, limit):
     docs = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string")
     got = decontaminate.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, n) for i, n, _ in rows if n}
+
+
+# --- training ---------------------------------------------------------------------------------
+
+
+def test_expected_transitions_of_a_chain_in_segments(monkeypatch):
+    """Segments of 4 with messages carried over give the marginals and expected transitions of the whole chain."""
+    monkeypatch.setattr(toxicity, "SEGMENT", 4)
+    rng = np.random.default_rng(7)
+    n = 10
+    scores, trans, start = rng.normal(0, 1.5, n), rng.normal(0, 1, (2, 2)), rng.normal(0, 1, 2)
+    weight, one, pairs = 0.0, np.zeros(n), np.zeros((2, 2))
+    for states in np.ndindex(*[2] * n):
+        w = np.exp(start[states[0]] + sum(scores[i] * s for i, s in enumerate(states)) + sum(trans[a, b] for a, b in zip(states, states[1:], strict=False)))
+        weight += w
+        one += w * np.array(states)
+        for a, b in zip(states, states[1:], strict=False):
+            pairs[a, b] += w
+    words = common.Words([b" ".join(b"w%d" % i for i in range(n))], "word")
+    at, text = toxicity.segments(words)
+    ok = at >= 0
+    e = np.where(ok, scores[np.maximum(at, 0)], 0.0)
+    enter, leave = toxicity.messages(e, ok, trans, start, text)
+    m, within, behind = toxicity.marginals(e, ok, trans, start, enter, leave)
+    over = np.arange(1, len(at))
+    joint = np.stack([1 - m[over - 1, -1], m[over - 1, -1]], 1)[:, :, None] * toxicity.crossing(e, trans, behind, over)
+    assert m[ok] == pytest.approx(one / weight)
+    assert within + joint.sum(0) == pytest.approx(pairs / weight)
+
+
+def test_ridge_equals_a_direct_solution(spark):
+    """Normal equations added up over partitions give the weights that one matrix of all rows gives."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(["alpha", "BETA", "g4mma", "delta!", "x"], rng.integers(1, 60))) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, int("!" in t)) for i, t in enumerate(texts)], "doc_id long, quality int")
+    model = quality.fit(quality.statistics(docs), labels, "quality", common.crc_mod("doc_id", 5) != 0)
+    learnt = [i for i in range(300) if common.crc_fold(i) % 5]
+    s = quality.text_statistics([texts[i].encode() for i in learnt]).astype(np.float32).astype(float)
+    assert model.mean == pytest.approx(s.mean(0)) and model.scale == pytest.approx(np.maximum(s.std(0), 1e-3), rel=1e-6)
+    use = np.array([common.crc_fold(i) % 20 < 15 for i in learnt])
+    z, y = model.project(s[use]), np.array([float("!" in texts[i]) for i in learnt])[use]
+    penalty = quality.RIDGE * len(y) * np.diag(np.append(np.ones(quality.DIMENSIONS), 0)) / quality.DIMENSIONS
+    direct = np.linalg.solve(z.T @ z + penalty + 1e-9 * np.eye(z.shape[1]), z.T @ y)
+    assert z @ model.weights == pytest.approx(z @ direct, abs=1e-6)
+
+
+def test_letters_are_those_of_unicode(spark):
+    docs = spark.createDataFrame([(1, "½ ² ①"), (2, "ⅷ 7"), (3, "é"), (4, "日本"), (5, "_ 9"), (6, "hello there"), (7, None)], "doc_id long, text string").withColumns({"lang": F.lit("en")})
+    out = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs).collect()}
+    assert out == {1: "und", 2: "und", 3: "en", 4: "en", 5: "und", 6: "en", 7: "und"}
+
+
+def test_training_sample_is_bounded_by_bytes(spark, monkeypatch):
+    """Rows are taken in the order of their crc32 while their bytes fit, each of them whole."""
+    seen = []
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 1000)
+    monkeypatch.setattr(common, "fitted", lambda sample, train: seen.extend(sample.collect()))
+    docs = spark.createDataFrame([(i, "z" * 300) for i in range(20)] + [(3, "a")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    assert toxicity.fit(docs, labels, "toxic", F.lit(True)) is None
+    order = sorted(range(20), key=common.crc_fold)
+    fits, total = [], 0
+    for i in order:
+        total += 1 if i == 3 else 300
+        if total <= 1000:
+            fits.append(i)
+    assert len(seen) == len(fits) and sum(len(r["text"]) for r in seen) == sum(1 if i == 3 else 300 for i in fits)
