@@ -20,6 +20,7 @@ columns are ignored.
 from __future__ import annotations
 
 import pickle
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -138,11 +139,27 @@ def buckets(words: common.Words) -> tuple[np.ndarray, np.ndarray]:
     return own, (left * 31 + 7) & (EMISSIONS - 1)
 
 
+def tokens(texts: list[bytes]) -> SimpleNamespace:
+    """What training needs of Words of many texts, made of a few at a time."""
+    parts = []
+    for lo, hi in common.chunks(texts):
+        w = common.Words(texts[lo:hi], "word")
+        parts.append((lo, w.hash, w.text, w.first[:-1]))
+    before = np.concatenate([[0], np.cumsum([len(h) for _, h, _, _ in parts])]).astype(np.int64)
+    joined = lambda xs, kind: np.concatenate([*xs, np.zeros(0, kind)]).astype(kind)
+    return SimpleNamespace(
+        hash=joined([h for _, h, _, _ in parts], np.uint64),
+        text=joined([t + lo for lo, _, t, _ in parts], np.int64),
+        first=np.append(joined([f + b for (_, _, _, f), b in zip(parts, before, strict=False)], np.int64), before[-1]),
+        text_start=np.arange(len(texts) + 1),
+    )
+
+
 def train(f: pd.DataFrame) -> bytes:
     """f: text, y of labelled documents. The pickled model."""
     f = f.drop_duplicates("text")
     texts, y = common.encoded(f["text"]), f["y"].to_numpy().astype(int)
-    words = common.Words(texts, "word")
+    words = tokens(texts)
     toxic = y[words.text].astype(bool) if len(words.text) else np.zeros(0, bool)
     pair = np.unique(np.stack([words.hash, words.text.astype(np.uint64)], 1), axis=0) if len(words.text) else np.zeros((0, 2), np.uint64)
     vocab, which = np.unique(pair[:, 0], return_inverse=True)

@@ -217,3 +217,14 @@ def test_training_sample_is_bounded_by_bytes(spark, monkeypatch):
         if total <= 1000:
             fits.append(i)
     assert len(seen) == len(fits) and sum(len(r["text"]) for r in seen) == sum(1 if i == 3 else 300 for i in fits)
+
+
+def test_tokens_equal_words_of_all_texts(monkeypatch):
+    texts = [b"one two", b"", b"three", b"four five six seven", b"  ", b"eight"]
+    whole = common.Words(texts, "word")
+    chunks = common.chunks
+    monkeypatch.setattr(common, "chunks", lambda t: chunks(t, 8))
+    got = toxicity.tokens(texts)
+    for name in ("hash", "text", "first"):
+        assert getattr(got, name).tolist() == getattr(whole, name).tolist(), name
+    assert len(toxicity.tokens([]).hash) == 0 and toxicity.tokens([]).first.tolist() == [0]
