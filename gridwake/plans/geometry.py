@@ -97,7 +97,22 @@ for _kind, _lat0, _alpha in (("stereographic", 72.0, 10.0), ("polar_stereographi
     query(f"with {_P} select id, round(lat, 6) + 0.0 as lat, round(cos(radians(lon)), 6) + 0.0 as coslon from p where lat > 0")(_round_trip(_kind, -40.0, _lat0, _alpha))
 
 
-@query()
+#: Vincenty's inverse formulas, 100 rounds for every pair; no pair of the whole-degree places is too near an antipode for it.
+_F, _B = 1 / 298.257223563, 6378137.0 * (1 - 1 / 298.257223563)
+_INVERSE = f"""with recursive {_P}, q as (select id, radians((({_LONN} - lon) + 540) % 360 - 180) as l, atan({1 - _F!r} * tan(radians(lat))) as u, atan({1 - _F!r} * tan(radians({_LATN}))) as v from p),
+r as (select id, 0 as k, l as lam from q union all
+  select id, k + 1, l + (1 - c) * {_F!r} * sa * (sg + c * ss * (cm + c * cs * (2 * cm * cm - 1))) from (
+    select *, {_F!r} / 16 * (1 - sa * sa) * (4 + {_F!r} * (4 - 3 * (1 - sa * sa))) as c, case when 1 - sa * sa > 1e-14 then cs - 2 * sin(u) * sin(v) / (1 - sa * sa) else 0 end as cm, atan2(ss, cs) as sg from (
+      select *, case when ss = 0 then 0 else cos(u) * cos(v) * sin(lam) / ss end as sa from (
+        select r.id, r.k, r.lam, q.l, q.u, q.v, sqrt(pow(cos(v) * sin(lam), 2) + pow(cos(u) * sin(v) - sin(u) * cos(v) * cos(lam), 2)) as ss, sin(u) * sin(v) + cos(u) * cos(v) * cos(lam) as cs from r join q using (id) where r.k < 100)))),
+e as (select id, sqrt(pow(cos(v) * sin(lam), 2) + pow(cos(u) * sin(v) - sin(u) * cos(v) * cos(lam), 2)) as ss, sin(u) * sin(v) + cos(u) * cos(v) * cos(lam) as cs, u, v, lam from r join q using (id) where k = 100),
+f as (select *, atan2(ss, cs) as sg, case when ss = 0 then 0 else cos(u) * cos(v) * sin(lam) / ss end as sa from e),
+g as (select *, (1 - sa * sa) * {(6378137.0**2 - _B**2) / _B**2!r} as w, case when 1 - sa * sa > 1e-14 then cs - 2 * sin(u) * sin(v) / (1 - sa * sa) else 0 end as cm from f),
+h as (select *, 1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w))) as aa, w / 1024 * (256 + w * (-128 + w * (74 - 47 * w))) as bb from g)
+select id, round({_B!r} * aa * (sg - bb * ss * (cm + bb / 4 * (cs * (2 * cm * cm - 1) - bb / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3)))), 3) + 0.0 as dist from h"""
+
+
+@query(_INVERSE)
 def planet_distance(spark, d):
     return placed(spark, d).select("id", rounded(geo.planet_distance(planet())("lon", "lat", "lonn", "latn"), 3).alias("dist"))
 
