@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridwake.llm import decontaminate, embeddings, extract, jaccard, langid, packing, quality, repeats, secrets, toxicity
+from gridwake.llm import decontaminate, embeddings, extract, interactions, jaccard, langid, packing, quality, repeats, secrets, toxicity
 
 QUERIES = {
     "op1_embeddings": embeddings.op1_embeddings,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_quality": quality.op9_quality,
     "op10_html": extract.op10_html,
+    "op12_interactions": interactions.op12_interactions,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": decontaminate.ORACLE,
     "op7_secrets": secrets.ORACLE,
+    "op12_interactions": interactions.ORACLE,
 }
