@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridwake.llm import decontaminate, embeddings, extract, interactions, jaccard, langid, packing, quality, repeats, secrets, toxicity
+from gridwake.llm import decontaminate, embeddings, extract, interactions, jaccard, langid, packing, quality, repeats, secrets, topk, toxicity
 
 QUERIES = {
     "op1_embeddings": embeddings.op1_embeddings,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_quality": quality.op9_quality,
     "op10_html": extract.op10_html,
+    "op11_top_k": topk.op11_top_k,
     "op12_interactions": interactions.op12_interactions,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": decontaminate.ORACLE,
     "op7_secrets": secrets.ORACLE,
+    "op11_top_k": topk.ORACLE,
     "op12_interactions": interactions.ORACLE,
 }
