@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridwake.llm import decontaminate, embeddings, extract, interactions, jaccard, langid, packing, quality, repeats, secrets, topk, toxicity
+from gridwake.llm import decontaminate, embeddings, extract, interactions, jaccard, langid, negatives, packing, quality, repeats, secrets, topk, toxicity
 
 QUERIES = {
     "op1_embeddings": embeddings.op1_embeddings,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_html": extract.op10_html,
     "op11_top_k": topk.op11_top_k,
     "op12_interactions": interactions.op12_interactions,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": decontaminate.ORACLE,
     "op7_secrets": secrets.ORACLE,
     "op11_top_k": topk.ORACLE,
     "op12_interactions": interactions.ORACLE,
+    "op13_hard_negatives": negatives.ORACLE,
 }

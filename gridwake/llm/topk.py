@@ -12,11 +12,11 @@ are ruled out; a query meets the blocks of the others, where rows are evaluated
 bounds, and the search stops at the first bound that the k-th score exceeds. Any pivots give the same
 result; these are found on a sample of SAMPLE rows (at most; those of least hash).
 
-Defined results: rows without vec_id, vectors that are null, hold null or non-finite components, or
-components that reach 2**27 after scaling, take no part; vectors of unlike length are never compared
-(empty ones score 0 with each other); ties go to the smaller vec_id; repeated rows are candidates each,
-rows of the query's own vec_id are not, and a query id's different vectors have a list each, equal ones
-one together; an empty table gives no row; extra columns are ignored.
+Defined results: rows without vec_id, vectors that are null, hold null or non-finite components, or could
+have scores beyond the range of long, take no part; vectors of unlike length are never compared (empty
+ones score 0 with each other); ties go to the smaller vec_id; repeated rows are candidates each, rows of
+the query's own vec_id are not, and a query id's different vectors have a list each, equal ones one
+together; an empty table gives no row; extra columns are ignored.
 """
 
 from __future__ import annotations

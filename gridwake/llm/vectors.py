@@ -15,8 +15,6 @@ from gridwake.llm import common
 
 #: Rows and queries of a tile, about.
 TILE = 4096
-#: Components beyond this size could take scores out of the range of long.
-MOST = 1 << 27
 
 
 def _integers(v, scale: int) -> bytes | None:
@@ -29,13 +27,15 @@ def _integers(v, scale: int) -> bytes | None:
     if not np.isfinite(x).all():
         return None
     x = np.floor(scale * x)
-    return x.astype("<i4").tobytes() if (np.abs(x) < MOST).all() else None
+    most = np.abs(x).max(initial=0)
+    return x.astype("<i4").tobytes() if most < 2.0**31 and most * most * len(x) < 2.0**63 else None
 
 
 def integers(vectors: DataFrame, scale: int, *keep: str) -> DataFrame:
     """vec_id, the columns `keep`, dims, v (floor(scale * x) as little-endian int32) and salt, of the rows that take part.
 
-    Left out: rows without vec_id, vectors that are null or hold null or non-finite components, or such as reach MOST.
+    Left out: rows without vec_id, vectors that are null or hold null or non-finite components, and such as could
+    have scores beyond the range of long (len(v) * max(v)**2 of 2**63 or more, or components of 2**31 or more).
     salt tells rows of one vec_id apart when they are dealt.
     """
     kinds = dict(vectors.dtypes)
