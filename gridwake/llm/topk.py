@@ -147,6 +147,8 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64,
     sizes = common.stored(table.groupBy("dims", "cell").agg(F.count("*").alias("n"), F.count_if(is_query).alias("nq"), F.max("norm").alias("norm"), *span), "topk-cells")
     # of the lengths that have pivots only, so that there are no more cells than pivots
     known = {int(d): f for d, f in sizes.where(F.col("dims").isin(list(pivots))).orderBy("dims", "cell").toPandas().groupby("dims")} if pivots else {}
+    # cells whose queries travel together: neighbours by number, up to a tile's size
+    bundle = {d: dict(zip(f["cell"], (f["nq"].cumsum() - f["nq"]) // tile, strict=True)) for d, f in known.items()}
     dealing = sizes.select("dims", "cell", vectors.parts(F.col("n"), tile).alias("parts"), vectors.parts(F.col("nq"), tile).alias("deals"))
     placed = table.join(dealing, ["dims", "cell"]).withColumn("part", vectors.dealt(F.col("parts")))
     placed = placed.select("vec_id", "dims", "v", "away", "cell", "part", "deals")
@@ -170,7 +172,7 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64,
             for d, g in f.groupby("dims"):
                 cells_of = known.get(int(d))
                 if cells_of is None:
-                    yield g.assign(cells=[[0]] * len(g))
+                    yield g.assign(cells=[[0]] * len(g), bundle=0)
                     continue
                 n = len(plain(d).points)
                 away, x = np.stack(g["away"]).reshape(len(g), n), vectors.unpacked(g["v"], d)
@@ -179,14 +181,14 @@ def top_k(embeddings: DataFrame, k: int = 20, every: int = 20, scale: int = 64,
                 norms = (x * x).sum(1)[:, None] + cells_of["norm"].to_numpy(float)
                 reach = (norms - gap**2) / 2 + 1e-6 * norms + 1 >= g["least"].to_numpy(float, na_value=-np.inf)[:, None]
                 number = cells_of["cell"].to_numpy(np.int32)
-                yield g.assign(cells=[number[r] for r in reach])
+                yield g.assign(cells=[number[r] for r in reach], bundle=g["home"].map(bundle[int(d)]))
 
     asked = asked.select("vec_id", "qkey", "dims", "v", "away", "least", F.col("cell").alias("home"), F.col("part").alias("seen"), "deal")
-    asked = common.stored(asked.mapInPandas(reached, "vec_id long, qkey long, dims int, v binary, away array<double>, least long, home int, seen int, deal int, cells array<int>"), "topk-asked")
+    asked = common.stored(asked.mapInPandas(reached, "vec_id long, qkey long, dims int, v binary, away array<double>, least long, home int, seen int, deal int, cells array<int>, bundle int"), "topk-asked")
     sent = asked.withColumn("cell", F.explode("cells")).drop("cells").join(dealing.drop("deals"), ["dims", "cell"])
     sent = sent.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("cell <> home or part <> seen")
-    sent = sent.select(*[F.col(c).alias(c) for c in ("vec_id", "qkey", "dims", "v", "away", "least", "cell", "part", "home", "deal")])
-    pair = ["dims", "cell", "part", "home", "deal"]
+    sent = sent.select(*[F.col(c).alias(c) for c in ("vec_id", "qkey", "dims", "v", "away", "least", "cell", "part", "bundle", "deal")])
+    pair = ["dims", "cell", "part", "bundle", "deal"]
     blocks = placed.join(sent.select(*pair).distinct(), home).select(*[F.col(c).alias(c) for c in (*pair, "vec_id", "v", "away")])
     rest = blocks.groupBy(*pair).cogroup(sent.groupBy(*pair)).applyInPandas(met, _FOUND)
     by = Window.partitionBy("query_id", "qkey").orderBy(F.desc("score"), "vec_id")
