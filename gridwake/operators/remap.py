@@ -214,12 +214,12 @@ def nearest_valid(field: DataFrame, g: Grid, targets: DataFrame, around: int = 3
 def remap(l: DataFrame, field: DataFrame, targets: DataFrame, method: str = "mean", keys: list[str] | None = None, old: str | None = None, mask: Column | None = None, fill=None, smooth: float | None = None, shape: tuple[int, int] | None = None, value: str = "value") -> DataFrame:
     """Apply, then unmapped targets and mask, then an optional fill, then an optional Gaussian filter.
 
-    targets (dst, keys, i, j); fill is a function of an array (see stencil), smooth a sigma in cells.
+    targets (dst, keys, i, j); fill(field, keys, value) is an operator such as those of relax.py, smooth a sigma in cells.
     """
     keys = list(keys or [])
     out = links.on_targets(links.apply(l, field, method, keys, value), targets, keys, value, old, mask)
     if fill is not None:
-        out = stencil.on_fields(out, keys, fill, value)
+        out = fill(out, keys, value)
     if smooth is not None:
         out = stencil.gauss_smooth(out, smooth, *shape, keys, value)
     return out

@@ -1,8 +1,8 @@
 """Neighbourhood operators on gridded fields (slice keys, i, j, value).
 
 One-step stencils are lag/lead windows along a row or column, or joins on shifted indices for
-two-dimensional kernels. Operators that iterate over a whole field, or sweep it in order, run on one
-slice per group (applyInPandas): slices are independent, and a slice is as large as one field.
+two-dimensional kernels. Distances to a mask need a pass along i and one along j. Operators that iterate
+over a field are in relax.py.
 """
 
 from __future__ import annotations
@@ -217,159 +217,59 @@ def on_fields(df: DataFrame, keys: list[str], f, value: str = "value", extra: li
     return rows.withColumn("_field", F.lit(0)).groupBy("_field").applyInPandas(run, schema)
 
 
-def _around(z: np.ndarray, r: int):
-    """The (2r+1)**2 shifted copies of the inner part of z, by offset."""
-    n, m = z.shape
-    for a in range(-r, r + 1):
-        for b in range(-r, r + 1):
-            yield a, b, z[r + a : n - r + a, r + b : m - r + b]
-
-
-def _to_the_edges(z: np.ndarray, r: int) -> np.ndarray:
-    """Missing border cells take their inner neighbour's value, ring by ring outwards."""
-    n, m = z.shape
-    for k in range(r, -1, -1):
-        z[k] = np.where(np.isnan(z[k]), z[min(k + 1, n - 1)], z[k])
-    for k in range(n - r - 1, n):
-        z[k] = np.where(np.isnan(z[k]), z[max(k - 1, 0)], z[k])
-    for k in range(r, -1, -1):
-        z[:, k] = np.where(np.isnan(z[:, k]), z[:, min(k + 1, m - 1)], z[:, k])
-    for k in range(m - r - 1, m):
-        z[:, k] = np.where(np.isnan(z[:, k]), z[:, max(k - 1, 0)], z[:, k])
-    return z
-
-
-def fill_weighted(z: np.ndarray, r: int = 4, most: int = 400) -> np.ndarray:
-    """Missing cells by inverse distance over a (2r+1)**2 box, at first only with values in all four quadrants."""
-    z = z.copy()
-    need = 4
-    for _ in range(most):
-        inner = z[r:-r, r:-r] if min(z.shape) > 2 * r else np.zeros((0, 0))
-        if not np.isnan(inner).any():
-            break
-        total, weight, quads = np.zeros(inner.shape), np.zeros(inner.shape), np.zeros((4, *inner.shape), bool)
-        for a, b, s in _around(z, r):
-            there = ~np.isnan(s)
-            w = 1 / max(0.1, math.hypot(a, b))
-            total += np.where(there, w * np.nan_to_num(s), 0)
-            weight += w * there
-            if a and b:
-                quads[(a > 0) * 2 + (b > 0)] |= there
-        count = quads.sum(0)
-        hole = np.isnan(inner)
-        now = hole & (count >= need) & (weight > 0)
-        z[r:-r, r:-r] = np.where(now, total / np.where(weight > 0, weight, 1), inner)
-        need = int(count[hole].max(initial=0))
-        if not now.any() and need == 0:
-            break
-    return _to_the_edges(z, r)
+DIAGONAL = math.sqrt(2)
 
 
-def fill_nearest(z: np.ndarray, r: int = 4, most: int = 100) -> np.ndarray:
-    """Missing cells by the nearest value in a (2r+1)**2 box, again and again; of equal ones the first by j, then i."""
-    z = z.copy()
-    for _ in range(most):
-        inner = z[r:-r, r:-r] if min(z.shape) > 2 * r else np.zeros((0, 0))
-        if not np.isnan(inner).any():
-            break
-        best, value = np.full(inner.shape, np.inf), inner.copy()
-        for a, b, s in sorted(_around(z, r), key=lambda x: (x[1], x[0])):
-            nearer = ~np.isnan(s) & np.isnan(inner) & (math.hypot(a, b) < best)
-            best, value = np.where(nearer, math.hypot(a, b), best), np.where(nearer, s, value)
-        if np.isnan(value).sum() == np.isnan(inner).sum():
+def _along(g: np.ndarray, periodic: bool) -> np.ndarray:
+    """For each place of a line the least chamfer distance to a cell that is g away across the line, at any place k."""
+    d = g.copy()
+    for k in range(1, len(g)):
+        if k >= d.max():  # nothing that far along the line is nearer
             break
-        z[r:-r, r:-r] = value
-    return _to_the_edges(z, r)
+        for s in (k, -k):
+            across = np.roll(g, s)
+            if not periodic:
+                across[:k] = np.where(s > 0, np.inf, across[:k])
+                across[-k:] = np.where(s < 0, np.inf, across[-k:])
+            d = np.minimum(d, np.maximum(k, across) + (DIAGONAL - 1) * np.minimum(k, across))
+    return d
+
+
+def distances(df: DataFrame, mask: str, keys: list[str] | None = None, periodic_x: bool = False, periodic_y: bool = False, shape: tuple[int, int] | None = None, far: float = 1e9, out: str = "distance") -> DataFrame:
+    """Chamfer distance (1, sqrt 2) in cells to the nearest cell whose mask is 0, negative where it is below 0.
+
+    A step along i and a step along j cost 1, a diagonal one sqrt 2, and nothing is in the way: of the cells of one column
+    only the nearest across counts, for any number of steps along the line. So a first pass finds it on each line
+    of one i, by running minima, and a second one takes the least over each line of one j. No group is larger than a line; the second
+    pass takes as many steps as the largest distance it meets. Without a cell of mask 0 distances are `far`; a null mask
+    is not 0. shape: cells along i and j, needed for periodic sides.
+    """
+    keys = keys or []
+    if (periodic_x or periodic_y) and shape is None:
+        raise ValueError("periodic sides need the field's shape")
+    line = Window.partitionBy(*keys, "i").orderBy("j")
+    before, behind, every = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy(*keys, "i")
+    at = F.when(F.col(mask) == 0, F.col("j"))
+    near = [F.col("j") - F.last(at, True).over(before), F.first(at, True).over(behind) - F.col("j")]
+    if periodic_y:
+        near += [F.min(at).over(every) + shape[1] - F.col("j"), F.col("j") + shape[1] - F.max(at).over(every)]
+    g = df.withColumn("_across", F.least(*near).cast("double")).withColumn("_sign", F.when(F.col(mask) < 0, -1.0).otherwise(1.0))
+    kinds = dict(df.dtypes)
 
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        i = p["i"].to_numpy(np.int64)
+        first = 1 if periodic_x else i.min()
+        g = np.full(shape[0] if periodic_x else i.max() - first + 1, np.inf)
+        g[i - first] = np.where(p["_across"].isna(), np.inf, p["_across"].to_numpy(float))
+        d = np.minimum(_along(g, periodic_x), far)
+        return p[[*keys, "i", "j"]].assign(**{out: d[i - first] * p["_sign"].to_numpy()})
 
-def fill_mean(z: np.ndarray, most: int = 50) -> np.ndarray:
-    """Missing cells of each 3 x 3 box take its mean; of the boxes over a cell, the last by i, then j, counts."""
-    z = z.copy()
-    n, m = z.shape
-    for _ in range(most):
-        if not np.isnan(z).any() or n < 3 or m < 3:
-            break
-        boxes = np.stack([s for _, _, s in _around(z, 1)])
-        there = ~np.isnan(boxes)
-        mean = np.where(there.any(0), np.nan_to_num(boxes).sum(0) / np.maximum(there.sum(0), 1), np.nan)
-        filled = np.full(z.shape, np.nan)
-        for a in (-1, 0, 1):  # cells by the place of the box's centre from them
-            for b in (-1, 0, 1):
-                at = (slice(1 - a, n - 1 - a), slice(1 - b, m - 1 - b))
-                filled[at] = np.where(np.isnan(mean), filled[at], mean)
-        z = np.where(np.isnan(z), filled, z)
-    return z
-
-
-def filter_poisson(z: np.ndarray, free: np.ndarray, tol: float = 1e-2, wrap: bool = False, most: int = 1000) -> np.ndarray:
-    """Relaxes free cells half way to the mean of their four neighbours until the largest step is tol of the first field's size."""
-    z = z.copy()
-    scale = np.abs(z).max(initial=0) or 1.0
-    for _ in range(most):
-        p = np.pad(z, 1, mode="edge")
-        if wrap:
-            p[0, 1:-1], p[-1, 1:-1] = z[-1], z[0]
-        step = 0.5 * ((p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:]) / 4 - z) * free
-        z += step
-        if np.abs(step).max(initial=0) <= tol * scale * 1e-2:
-            break
-    return z
-
-
-def fill_poisson(z: np.ndarray, guess: str = "zonal", wrap: bool = False, tol: float = 1e-2) -> np.ndarray:
-    """Missing cells by a first guess (zero, zonal, mean, weighted), then relaxed."""
-    hole = np.isnan(z)
-    if not hole.any():
-        return z
-    there = ~hole
-    mean = z[there].mean() if there.any() else 0.0
-    if guess == "zero":
-        first = np.zeros(z.shape)
-    elif guess == "zonal":
-        n = there.sum(0)
-        first = np.broadcast_to(np.where(n > 0, np.nan_to_num(z).sum(0) / np.maximum(n, 1), 0.0), z.shape)
-    elif guess == "mean":
-        first = np.full(z.shape, mean)
-    else:
-        first = np.nan_to_num(fill_weighted(z, 6), nan=mean)
-    return filter_poisson(np.where(hole, first, z), hole, tol, wrap)
-
-
-def diffuse(z: np.ndarray, rounds: int) -> np.ndarray:
-    """Each round: the mean of the 3 x 3 box inside, on a side the mean with the inner neighbour (corners along i last)."""
-    z = z.copy()
-    pair = lambda a, b: np.where(np.isnan(a), b, np.where(np.isnan(b), a, (a + b) / 2))
-    for _ in range(rounds):
-        new = z.copy()
-        boxes = np.stack([s for _, _, s in _around(z, 1)])
-        count = (~np.isnan(boxes)).sum(0)
-        new[1:-1, 1:-1] = np.where(count > 0, np.nan_to_num(boxes).sum(0) / np.maximum(count, 1), np.nan)
-        new[:, 0], new[:, -1] = pair(z[:, 0], z[:, 1]), pair(z[:, -2], z[:, -1])
-        new[0], new[-1] = pair(z[0], z[1]), pair(z[-2], z[-1])
-        z = new
-    return z
-
-
-def limit_gradient(z: np.ndarray, dx: float, dy: float, limit: float, rounds: int = 50) -> np.ndarray:
-    """Cells that differ too much from their steepest neighbour move to 0.8 of the limit from it, until none does."""
-    z = z.copy()
-    for _ in range(rounds):
-        c = z[1:-1, 1:-1]
-        around = np.stack([z[:-2, 1:-1], z[2:, 1:-1], z[1:-1, :-2], z[1:-1, 2:]])
-        step = np.array([dx, dx, dy, dy])[:, None, None]
-        slope = (around - c) / step
-        k = np.abs(slope).argmax(0)[None]
-        steep = np.take_along_axis(slope, k, 0)[0]
-        near, by = np.take_along_axis(around, k, 0)[0], np.take_along_axis(np.broadcast_to(step, slope.shape), k, 0)[0]
-        over = np.abs(steep) > limit
-        z[1:-1, 1:-1] = np.where(over, near - np.sign(steep) * 0.8 * limit * by, c)
-        if not over.any():
-            break
-    return z
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"i {kinds['i']}, j {kinds['j']}, `{out}` double"])
+    return g.select(*keys, "i", "j", "_across", "_sign").groupBy(*keys, "j").applyInPandas(run, schema)
 
 
 def distance_to_mask(mask: np.ndarray, periodic_x: bool = False, periodic_y: bool = False, far: float = 1e9) -> np.ndarray:
-    """Chamfer distance (1, sqrt 2) in cells to where mask is 0, negative where it is below 0.
+    """The same on one array, as two sweeps leave it; see distances() for fields of any size.
 
     A sweep goes line by line. What a line takes from the one before is one minimum over shifted copies; along the line
     distances grow by 1 a cell, so they are a running minimum of the distance less the place. The way back is the same

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridwake.operators import grids, nodes, slices, spectral, stencil
+from gridwake.operators import grids, nodes, relax, slices, spectral, stencil
 from gridwake.plans.registry import query, rounded, table
 
 #: Monthly mean price by priority: steps 1.. from January 1995, time in years at mid-month.
@@ -112,10 +112,12 @@ _GRID = f"""g as (select (p_partkey % {_NX} + 1)::bigint as i, (p_partkey // {_N
 
 
 def part_grid(spark, d):
-    p = table(spark, d, "part")
     k = F.col("p_partkey")
-    rows = p.agg(F.floor(F.max(k) / _NX) + 1).first()[0]
-    return p.select((k % _NX + 1).alias("i"), (F.floor(k / _NX) + 1).alias("j"), F.col("p_retailprice").alias("value")), rows
+    return table(spark, d, "part").select((k % _NX + 1).alias("i"), (F.floor(k / _NX) + 1).alias("j"), F.col("p_retailprice").alias("value"), "p_size")
+
+
+def part_rows(spark, d) -> int:
+    return table(spark, d, "part").agg(F.floor(F.max("p_partkey") / _NX) + 1).first()[0]
 
 
 _CENTRED = f"""with {_GRID}, w as (select i, j, v, lag(v) over x as b, lead(v) over x as a, lag(v, 2) over x as b2, lead(v, 2) over x as a2, lag(1) over x as hb, lead(1) over x as ha
@@ -124,13 +126,13 @@ _CENTRED = f"""with {_GRID}, w as (select i, j, v, lag(v) over x as b, lead(v) o
 
 @query(f"{_CENTRED} select i, j, round(case when hb is null then (-3 * v + 4 * a - a2) / 4.0 when ha is null then (b2 - 4 * b + 3 * v) / 4.0 else (a - b) / 4.0 end, 6) + 0.0 as slope from w")
 def deriv_centered(spark, d):
-    g, _ = part_grid(spark, d)
+    g = part_grid(spark, d)
     return stencil.derivative(g, "i", 2.0).select("i", "j", rounded("slope").alias("slope"))
 
 
 @query(f"{_CENTRED}, e as (select j, max_by(v, i) as l, min_by(v, i) as f from g group by j) select i, w.j as j, round((coalesce(a, f) - coalesce(b, l)) / 4.0, 6) + 0.0 as slope from w join e using (j)")
 def deriv_periodic(spark, d):
-    g, _ = part_grid(spark, d)
+    g = part_grid(spark, d)
     return stencil.derivative(g, "i", 2.0, periodic=True).select("i", "j", rounded("slope").alias("slope"))
 
 
@@ -141,14 +143,14 @@ _EDGE = "case when lag(1) over {w} is null then lead({d}) over {w} when lead(1)
 b as (select i, j, {_EDGE.format(w='x', d='dx')} as dx, {_EDGE.format(w='y', d='dy')} as dy from a window x as (partition by j order by i), y as (partition by i order by j))
 select i, j, round(sqrt(dx * dx + dy * dy), 6) as gradient from b""")
 def gradient(spark, d):
-    g, _ = part_grid(spark, d)
+    g = part_grid(spark, d)
     return stencil.gradient(g, 1.0, 1.0).select("i", "j", rounded("gradient").alias("gradient"))
 
 
 @query(f"""with {_GRID} select i, j, round(coalesce(v + 0.1 * (lag(v) over x + lead(v) over x + lag(v) over y + lead(v) over y - 4 * v), v), 6) as value from g
 window x as (partition by j order by i), y as (partition by i order by j)""")
 def laplacian(spark, d):
-    g, _ = part_grid(spark, d)
+    g = part_grid(spark, d)
     return stencil.laplacian_step(g, 1.0, 0.1).select("i", "j", rounded("value").alias("value"))
 
 
@@ -160,7 +162,7 @@ t as (select g.i, g.j, a.k as a, b.k as b, a.w * b.w as w, case when g.i + a.k <
   case when g.j + b.k < 1 then 1 - g.j - b.k when g.j + b.k > ny then 2 * ny + 1 - g.j - b.k else g.j + b.k end as sj from g, s, o a, o b)
 select t.i, t.j, round(sum(t.w * g.v), 6) as value from t join g on g.i = si and g.j = sj group by 1, 2""")
 def convolve_reflect(spark, d):
-    g, ny = part_grid(spark, d)
+    g, ny = part_grid(spark, d), part_rows(spark, d)
     kernel = [(a, b, x * y) for a, x in _K3 for b, y in _K3]
     return stencil.convolve(g, kernel, _NX, ny).select("i", "j", rounded("value").alias("value"))
 
@@ -170,7 +172,7 @@ t as (select g.i, g.j, a.w * b.w as w, case when g.i + a.k < 1 then 1 - g.i - a.
   case when g.j + b.k < 1 then 1 - g.j - b.k when g.j + b.k > ny then 2 * ny + 1 - g.j - b.k else g.j + b.k end as sj from g, s, n a, n b)
 select t.i, t.j, round(sum(t.w * g.v), 6) as value from t join g on g.i = si and g.j = sj group by 1, 2""")
 def convolve_gauss(spark, d):
-    g, ny = part_grid(spark, d)
+    g, ny = part_grid(spark, d), part_rows(spark, d)
     return stencil.gauss_smooth(g, 0.5, _NX, ny).select("i", "j", rounded("value").alias("value"))
 
 
@@ -183,7 +185,7 @@ a as (select x.*, ni, nj, {", ".join(f"{_BEFORE(c, 'i', 'j')} as v{k}m, {_AFTER(
 
 @query(f"with {_AROUND} select i, j, round((v + vp0 + v0p + vpp) / 4, 6) as aa_ab, round((v + vm0 + v0m + vmm) / 4, 6) as ab_aa from a")
 def stagger_nodes(spark, d):
-    g, _ = part_grid(spark, d)
+    g = part_grid(spark, d)
     both = nodes.stagger(nodes.stagger(g, "aa_ab", out="aa_ab"), "ab_aa", out="ab_aa")
     return both.select("i", "j", rounded("aa_ab").alias("aa_ab"), rounded("ab_aa").alias("ab_aa"))
 
@@ -193,7 +195,7 @@ _SIDE_KINDS = {"aa_acx": ("i < ni", "vp0"), "aa_acy": ("j < nj", "v0p"), "acx_aa
 
 @query(f"with {_AROUND} select i, j, {', '.join(f'round(case when {c} then (v + {o}) / 2 else 0 end, 6) as {k}' for k, (c, o) in _SIDE_KINDS.items())} from a")
 def stagger_sides(spark, d):
-    g, _ = part_grid(spark, d)
+    g = part_grid(spark, d)
     for kind in _SIDE_KINDS:
         g = nodes.stagger(g, kind, out=kind)
     return g.select("i", "j", *[rounded(k).alias(k) for k in _SIDE_KINDS])
@@ -207,7 +209,7 @@ _COVER = "case when (i + 2 * j) % 3 = 0 then 0.0 else 1.0 end"
 select i, j, round(case when f + fp0 + f0p + fpp > 0 then (f * v + fp0 * vp0 + f0p * v0p + fpp * vpp) / (f + fp0 + f0p + fpp) else (v + vp0 + v0p + vpp) / 4 end, 6) as bare,
   round(case when f = 0 then sqrt(pow((vm0 + v) / 2, 2) + pow((v0m + v) / 4, 2)) else 0 end, 6) as magnitude from c""")
 def stagger_covered(spark, d):
-    g, _ = part_grid(spark, d)
+    g = part_grid(spark, d)
     g = g.withColumns({"cover": F.expr(_COVER), "u": F.col("value"), "v": F.col("value") / 2})
     out = nodes.magnitude(nodes.centres_to_corners_bare(g, out="bare"))
     return out.select("i", "j", rounded("bare").alias("bare"), rounded("magnitude").alias("magnitude"))
@@ -220,7 +222,7 @@ select i, j, node, round(((1 - x) * (1 - y) * c1 + (1 + x) * (1 - y) * c2 + (1 -
 
 def _quadrature(kind: str, corners: str):
     def run(spark, d):
-        g, _ = part_grid(spark, d)
+        g = part_grid(spark, d)
         return nodes.to_quadrature(g, kind).select("i", "j", "node", rounded("at_node").alias("at_node"))
 
     run.__name__ = f"quadrature_{kind}"
@@ -239,21 +241,21 @@ t as (select g.i, g.j, exp(-(a.k * a.k + b.k * b.k) / 2.88) as w, case when g.i
 f as (select t.i, t.j, sum(t.w * m.v) / sum(t.w) as n from t join m on m.i = si and m.j = sj group by 1, 2)
 select i, j, round(coalesce(n, v), 6) as value from g left join f using (i, j)""")
 def gauss_masked(spark, d):
-    g, ny = part_grid(spark, d)
+    g, ny = part_grid(spark, d), part_rows(spark, d)
     g = g.withColumn("use", F.expr("(i * j) % 4 <> 0"))
     return stencil.gauss_masked(g, 1.2, 1.0, _NX, ny, "use").select("i", "j", rounded("value").alias("value"))
 
 
 @query(f"with {_GRID} select i, j, round(coalesce((v + lead(v) over (partition by j order by i)) / 2, v), 6) as staggered from g")
 def stagger_x(spark, d):
-    g, _ = part_grid(spark, d)
+    g = part_grid(spark, d)
     return stencil.stagger(g, "i").select("i", "j", rounded("staggered").alias("staggered"))
 
 
 @query(f"""with {_GRID}, p as (select i, j, v + coalesce(lead(v) over (partition by j order by i), v) as p from g)
 select i, j, round((p + coalesce(lead(p) over (partition by i order by j), p)) / 4, 6) as corner from p""")
 def stagger_corners(spark, d):
-    g, _ = part_grid(spark, d)
+    g = part_grid(spark, d)
     return stencil.to_corners(g).select("i", "j", rounded("corner").alias("corner"))
 
 
@@ -263,7 +265,7 @@ b as (select i, j, (v + w + coalesce(lag(v) over y, v) + coalesce(lag(w) over y,
 select i, j, a::integer as a, b::integer as b, round((1 - (a - 1) / 2) * (1 - (b - 1) / 2) * sw + (a - 1) / 2 * (1 - (b - 1) / 2) * se + (1 - (a - 1) / 2) * (b - 1) / 2 * nw + (a - 1) / 2 * (b - 1) / 2 * ne, 6) as sample
 from b, range(1, 4) r(a), range(1, 4) s(b)""")
 def subgrid_samples(spark, d):
-    g, _ = part_grid(spark, d)
+    g = part_grid(spark, d)
     return stencil.subgrid(g, 3).select("i", "j", "a", "b", rounded("sample").alias("sample"))
 
 
@@ -277,7 +279,7 @@ select i, j, node, round(((1 - x) * (1 - y) * c1 + (1 + x) * (1 - y) * c2 + (1 -
 def quadrature_2d(spark, d):
     from pyspark.sql import Window
 
-    g, _ = part_grid(spark, d)
+    g = part_grid(spark, d)
     g = g.select("i", "j", F.col("value").alias("c1"), F.coalesce(F.lead("value").over(Window.partitionBy("j").orderBy("i")), "value").alias("c2"))
     up = Window.partitionBy("i").orderBy("j")
     g = g.select("*", F.coalesce(F.lead("c1").over(up), "c1").alias("c3"), F.coalesce(F.lead("c2").over(up), "c2").alias("c4"))
@@ -285,7 +287,7 @@ def quadrature_2d(spark, d):
 
 
 def _holes(spark, d):
-    g, _ = part_grid(spark, d)
+    g = part_grid(spark, d)
     return g.withColumn("value", F.when((F.col("i") * 7 + F.col("j") * 3) % 5 != 0, F.col("value")))
 
 
@@ -306,30 +308,66 @@ def _diffused(table: str) -> str:
 
 def _field_query(name, f, sql=None):
     def run(spark, d):
-        return stencil.on_fields(_holes(spark, d), [], f).select("i", "j", rounded("value").alias("value"))
+        return f(_holes(spark, d)).select("i", "j", rounded("value").alias("value"))
 
     run.__name__ = name
     return query(sql)(run)
 
 
-fill_weighted = _field_query("fill_weighted", lambda z: stencil.fill_weighted(z, 2))
-fill_nearest = _field_query("fill_nearest", lambda z: stencil.fill_nearest(z, 2))
-fill_mean = _field_query("fill_mean", stencil.fill_mean, _BOX_MEANS)
-fill_poisson = _field_query("fill_poisson", stencil.fill_poisson)
-diffuse = _field_query("diffuse", lambda z: stencil.diffuse(z, 2), f"{_HOLES}, d as ({_diffused('z')}), e as ({_diffused('d')}) select i, j, round(v, 6) as value from e")
-
-
-@query()
+#: The whole field, cells without a part too (x), and its inside: two cells from the sides.
+_FULL = f"""{_HOLES}, c as (select i, unnest(range(1, nj + 1)) as j from (select unnest(range(1, ni + 1)) as i, nj from n)), x as (select c.i, c.j, z.v from c left join z using (i, j)),
+inner_holes as (select x.i, x.j from x, n where v is null and x.i between 3 and ni - 2 and x.j between 3 and nj - 2),
+box as (select h.i, h.j, b.v, b.i - h.i as a, b.j - h.j as b from inner_holes h join x b on b.i between h.i - 2 and h.i + 2 and b.j between h.j - 2 and h.j + 2 where b.v is not null)"""
+#: Border cells from the next ones inwards, along i, then along j; the fields of the queries have no hole inside after one sweep.
+_RIM = f"""filled as (select x.i, x.j, coalesce(x.v, f.v) as v from x left join once f using (i, j)),
+across as (select a.i, a.j, coalesce(a.v, b.v, c.v, e.v) as v from filled a, n
+  left join filled b on b.j = a.j and b.i = case when a.i <= 3 then a.i + 1 when a.i >= ni - 2 then a.i - 1 end
+  left join filled c on c.j = a.j and c.i = case when a.i <= 2 then a.i + 2 when a.i >= ni - 1 then a.i - 2 end
+  left join filled e on e.j = a.j and e.i = case when a.i <= 1 then a.i + 3 when a.i >= ni then a.i - 3 end),
+up as (select a.i, a.j, coalesce(a.v, b.v, c.v, e.v) as v from across a, n
+  left join across b on b.i = a.i and b.j = case when a.j <= 3 then a.j + 1 when a.j >= nj - 2 then a.j - 1 end
+  left join across c on c.i = a.i and c.j = case when a.j <= 2 then a.j + 2 when a.j >= nj - 1 then a.j - 2 end
+  left join across e on e.i = a.i and e.j = case when a.j <= 1 then a.j + 3 when a.j >= nj then a.j - 3 end)
+select i, j, round(up.v, 6) as value from up semi join g using (i, j)"""
+_WEIGHTED = f"""{_FULL}, once as (select i, j, sum(v / greatest(0.1, sqrt(a * a + b * b))) / sum(1 / greatest(0.1, sqrt(a * a + b * b))) as v from box group by i, j
+  having count(distinct case when a >= 0 then 2 else 0 end + case when b >= 0 then 1 else 0 end) = 4), {_RIM}"""
+_NEAREST = f"{_FULL}, once as (select i, j, arg_min(v, (a * a + b * b, b, a)) as v from box group by i, j), {_RIM}"
+fill_weighted = _field_query("fill_weighted", lambda f: relax.fill_weighted(f, 2), _WEIGHTED)
+fill_nearest = _field_query("fill_nearest", lambda f: relax.fill_nearest(f, 2), _NEAREST)
+fill_mean = _field_query("fill_mean", relax.fill_mean, _BOX_MEANS)
+fill_poisson = _field_query("fill_poisson", relax.fill_poisson)
+diffuse = _field_query("diffuse", lambda f: relax.diffuse(f, 2), f"{_HOLES}, d as ({_diffused('z')}), e as ({_diffused('d')}) select i, j, round(v, 6) as value from e")
+
+
+def _limited(before: str) -> str:
+    """One round: towards the steepest of the neighbours i - 1, i + 1, j - 1, j + 1, the first of equal ones; sides stay."""
+    return f"""select i, j, case when i > 1 and i < ni and j > 1 and j < nj and steep is not null and abs(steep) > 20 then near - sign(steep) * 16 else v end as v from (
+  select a.i, a.j, any_value(a.v) as v, any_value(ni) as ni, any_value(nj) as nj, arg_min(b.v - a.v, (-abs(b.v - a.v), o.k)) as steep, arg_min(b.v, (-abs(b.v - a.v), o.k)) as near
+  from {before} a cross join n cross join (values (1, -1, 0), (2, 1, 0), (3, 0, -1), (4, 0, 1)) o(k, di, dj) left join {before} b on b.i = a.i + di and b.j = a.j + dj and b.v is not null and a.v is not null group by a.i, a.j)"""
+
+
+@query(f"with {_GRID}, n as (select max(i) as ni, max(j) as nj from g), r1 as ({_limited('g')}), r2 as ({_limited('r1')}), r3 as ({_limited('r2')}) select i, j, round(v, 6) as value from r3")
 def limit_gradient(spark, d):
-    g, _ = part_grid(spark, d)
-    return stencil.on_fields(g, [], lambda z: stencil.limit_gradient(z, 1.0, 1.0, 0.5)).select("i", "j", rounded("value").alias("value"))
+    return relax.limit_gradient(part_grid(spark, d), 1.0, 1.0, 20.0, 3).select("i", "j", rounded("value").alias("value"))
 
 
-@query()
+@query(f"""with s as (select (p_partkey % {_NX} + 1)::bigint as i, (p_partkey // {_NX} + 1)::bigint as j, case when p_size > 45 then -1 when p_size <= 3 then 0 else 1 end as mask from part),
+o as (select i, j from s where mask = 0),
+p as (select s.i, s.j, any_value(mask) as mask, min(greatest(abs(s.i - o.i), abs(s.j - o.j)) + (sqrt(2) - 1) * least(abs(s.i - o.i), abs(s.j - o.j))) as d from s, o group by s.i, s.j)
+select i, j, round(case when mask < 0 then -d else d end, 6) as distance from p""")
 def distance_to_mask(spark, d):
-    g, _ = part_grid(spark, d)
-    g = g.withColumn("value", F.when((F.col("i") - 10) * (F.col("i") - 10) + (F.col("j") - 5) * (F.col("j") - 5) < 9, -1.0).when((F.col("i") + F.col("j")) % 13 == 0, 0.0).otherwise(1.0))
-    return stencil.on_fields(g, [], stencil.distance_to_mask).select("i", "j", rounded("value").alias("value"))
+    g = part_grid(spark, d).withColumn("mask", F.when(F.col("p_size") > 45, -1).when(F.col("p_size") <= 3, 0).otherwise(1))
+    return stencil.distances(g, "mask").select("i", "j", rounded("distance").alias("distance"))
+
+
+@query(f"""with s as (select (p_partkey % {_NX} + 1)::bigint as i, (p_partkey // {_NX} + 1)::bigint as j, case when p_size > 45 then -1 when p_size <= 3 then 0 else 1 end as mask from part),
+n as (select max(j) as nj from s), o as (select i, j from s where mask = 0),
+t as (select s.i, s.j, mask, least(abs(s.i - o.i), {_NX} - abs(s.i - o.i)) as a, least(abs(s.j - o.j), nj - abs(s.j - o.j)) as b from s, o, n),
+p as (select i, j, any_value(mask) as mask, min(greatest(a, b) + (sqrt(2) - 1) * least(a, b)) as d from t group by i, j)
+select i, j, round(case when mask < 0 then -d else d end, 6) as distance from p""")
+def distance_to_mask_periodic(spark, d):
+    g = part_grid(spark, d).withColumn("mask", F.when(F.col("p_size") > 45, -1).when(F.col("p_size") <= 3, 0).otherwise(1))
+    return stencil.distances(g, "mask", periodic_x=True, periodic_y=True, shape=(_NX, part_rows(spark, d))).select("i", "j", rounded("distance").alias("distance"))
 
 
 @query("select coalesce(string_agg(event_id::varchar, ',' order by event_id), '-1') as at from events where value > 485")
@@ -349,7 +387,7 @@ def grid_mean(spark, d):
 
 @query(f"with {_GRID} select j, round(avg(v), 6) as value from g group by j")
 def zonal_mean(spark, d):
-    g, _ = part_grid(spark, d)
+    g = part_grid(spark, d)
     return g.groupBy("j").agg(rounded(F.avg("value")).alias("value"))
 
 
@@ -361,11 +399,11 @@ def unique_values(spark, d):
 
 @query(f"""with {_GRID} select j, k::bigint as k, round(sum(v * cos(2 * pi() * k * (i - 1) / {_NX})), 4) + 0.0 as re, round(-sum(v * sin(2 * pi() * k * (i - 1) / {_NX})), 4) + 0.0 as im from g, range(0, {_NX // 2 + 1}) r(k) group by 1, 2""")
 def fourier_rows(spark, d):
-    g, _ = part_grid(spark, d)
+    g = part_grid(spark, d)
     return spectral.fourier(g, ["j"], "i").select("j", "k", rounded("re", 4).alias("re"), rounded("im", 4).alias("im"))
 
 
 @query()
 def harmonics(spark, d):
-    g, rows = part_grid(spark, d)
+    g, rows = part_grid(spark, d), part_rows(spark, d)
     return spectral.harmonics(g, [], min(_NX // 2 - 1, rows - 1)).select("l", "m", rounded("re").alias("re"), rounded("im").alias("im"))

@@ -118,35 +118,7 @@ def test_convolution(spark, plane):
     assert all(a[c] == pytest.approx(b[c]) for c in a)
 
 
-def test_fills_keep_constants_and_known_cells():
-    rng = np.random.default_rng(2)
-    z = np.where(rng.random((20, 16)) < 0.4, np.nan, 5.0)
-    for f in (lambda z: stencil.fill_weighted(z, 2), lambda z: stencil.fill_nearest(z, 2), stencil.fill_mean, stencil.fill_poisson, lambda z: stencil.fill_poisson(z, "mean", True)):
-        assert f(z) == pytest.approx(np.full(z.shape, 5.0))
-    known = np.where(rng.random((20, 16)) < 0.3, np.nan, rng.random((20, 16)))
-    for f in (lambda z: stencil.fill_weighted(z, 2), lambda z: stencil.fill_nearest(z, 2), stencil.fill_mean):
-        out = f(known)
-        assert not np.isnan(out).any()
-        assert (out[~np.isnan(known)] == known[~np.isnan(known)]).all()
-
-
-def test_fill_mean_equals_a_plain_sweep():
-    rng = np.random.default_rng(5)
-    z = np.where(rng.random((7, 6)) < 0.3, np.nan, rng.random((7, 6)))
-    filled = np.full(z.shape, np.nan)
-    for i in range(1, 6):
-        for j in range(1, 5):
-            box = z[i - 1 : i + 2, j - 1 : j + 2]
-            if not np.isnan(box).all():
-                filled[i - 1 : i + 2, j - 1 : j + 2] = np.where(np.isnan(box), np.nanmean(box), box)
-    want = np.where(np.isnan(z), filled, z)
-    assert stencil.fill_mean(z, 1) == pytest.approx(want, nan_ok=True)
-
-
-def test_limit_gradient_and_distance(spark, plane):
-    z = np.zeros((6, 6))
-    z[2, 2] = 10
-    assert np.abs(np.diff(stencil.limit_gradient(z, 1.0, 1.0, 2.0)[1:-1, 1:-1], axis=0)).max() <= 2.0 + 1e-9
+def test_distance_and_fields(spark, plane):
     m = np.ones((9, 9))
     m[4, 4] = 0
     m[0, :] = -1
@@ -162,6 +134,25 @@ def test_limit_gradient_and_distance(spark, plane):
     assert all(r["value"] == 2 * (r["i"] ** 2 + 3 * r["j"]) for r in out)
 
 
+@pytest.mark.parametrize(("px", "py"), [(False, False), (True, False), (False, True), (True, True)])
+def test_distances_equal_brute_force(spark, px, py):
+    rng = np.random.default_rng(9)
+    masks = {"a": rng.choice([-1, 0, 1, 1, 1, 1, 1, 1], (13, 11)), "b": np.ones((13, 11)), "c": np.where(np.add.outer(range(13), range(11)) == 3, 0, -1)}
+    masks["c"][6:] = 1
+    rows = [(k, i + 1, j + 1, int(m[i, j]), 1.0, 2.0) for k, m in masks.items() for i, j in np.ndindex(m.shape)]
+    df = spark.createDataFrame(rows, "k string, i int, j int, mask int, distance double, _n double").repartition(5)
+    got = {(r["k"], r["i"] - 1, r["j"] - 1): r["distance"] for r in stencil.distances(df, "mask", ["k"], px, py, (13, 11)).collect()}
+    assert len(got) == len(rows)
+    for k, m in masks.items():
+        zeros = np.argwhere(m == 0)
+        for i, j in np.ndindex(m.shape):
+            di, dj = abs(zeros[:, 0] - i), abs(zeros[:, 1] - j)
+            di, dj = np.minimum(di, 13 - di) if px else di, np.minimum(dj, 11 - dj) if py else dj
+            d = np.min(np.maximum(di, dj) + (math.sqrt(2) - 1) * np.minimum(di, dj), initial=1e9)
+            assert got[k, i, j] == pytest.approx(-d if m[i, j] < 0 else d)
+    assert stencil.distances(df.where("false"), "mask", ["k"]).count() == 0
+
+
 def test_quadrature_keeps_linear_fields(spark):
     df = spark.createDataFrame([(0.0, 2.0, 4.0, 6.0)], "a double, b double, c double, d double")
     g = 1 / math.sqrt(3)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridwake.model import Axis, CoordSystem, Grid
-from gridwake.operators import grids, links, remap, solvers, spectral, stencil
+from gridwake.operators import grids, links, relax, remap, solvers, spectral
 
 FLAT = CoordSystem("cartesian", "km")
 
@@ -41,7 +41,7 @@ def test_remap_fills_and_smooths(spark):
     l = cells.where("cell % 7 <> 0").select(F.col("cell").alias("dst"), F.col("cell").alias("src"), F.lit(1.0).alias("w"))
     f = cells.select(F.col("cell").alias("src"), F.lit(3.0).alias("value"))
     t = cells.select(F.col("cell").alias("dst"), "i", "j")
-    out = remap.remap(l, f, t, fill=lambda z: stencil.fill_weighted(z, 2), smooth=0.4, shape=(12, 12)).collect()
+    out = remap.remap(l, f, t, fill=lambda field, keys, value: relax.fill_weighted(field, 2, keys, value), smooth=0.4, shape=(12, 12)).collect()
     assert len(out) == 144 and all(r["value"] == pytest.approx(3.0) for r in out)
     assert links.on_targets(links.apply(l, f), t).where("value is null").count() == 20
 
