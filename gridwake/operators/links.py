@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridwake.operators.solvers import cut
+from gridwake.operators.neighbours import nearest  # noqa: F401  the map build of this module's callers
 from gridwake.sources.arrays import ClassicFile, write_classic
 
 TINY = 1e-12
@@ -213,40 +213,6 @@ def radius_pairs(targets: DataFrame, sources: DataFrame, radius: float, dims: tu
     return t.join(s, [f"c_{c}" for c in dims]).withColumn("dist", F.sqrt(d2)).where(F.col("dist") <= radius).select("dst", "src", "dist")
 
 
-def nearest(targets: DataFrame, sources: DataFrame, k: int, width: float | None = None, dims: tuple[str, ...] = ("x", "y"), dist_max: float | None = None, most_rounds: int = 80) -> DataFrame:
-    """(dst, src, dist, rank): the k nearest sources of each target, by distance, then src.
-
-    Rounds of growing radius, at first one that holds some k sources at their mean density: targets that
-    have k sources within it are done, only the others go on. Every source of a target beyond the last
-    radius is farther than those found, so the result is exact. Ranks up to k are cut in each task before
-    the shuffle, and what a round finds, and who is left, is stored, so that no round runs again.
-    """
-    total = sources.count()
-    if width is None:
-        ends = sources.agg(*[f(c) for c in dims for f in (F.min, F.max)]).first()
-        spans = [max(float(hi or 0) - float(lo or 0), 1e-9) for lo, hi in zip(ends[::2], ends[1::2], strict=True)]
-        volume = 1.0
-        for s in spans:
-            volume *= s
-        width = 1.5 * (volume * min(k, total) / max(total, 1)) ** (1 / len(dims))
-    top = Window.partitionBy("dst").orderBy("dist", "src")
-    done, left = None, targets
-    for _ in range(most_rounds):
-        last = dist_max is not None and width >= dist_max
-        pairs = radius_pairs(left, sources, dist_max if last else width, dims).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
-        pairs = pairs if last else cut(pairs)
-        full = pairs.groupBy("dst").count().where(F.col("count") >= min(k, total)).select("dst")
-        found = pairs if last else pairs.join(full, "dst", "left_semi")
-        done = found if done is None else done.unionByName(found)
-        if last:
-            return done
-        left = cut(left.join(full, "dst", "left_anti"))
-        if left.isEmpty():
-            return done
-        width *= 2
-    raise ValueError("the width is too small for the points' extent")
-
-
 def quadrant(x: Column, y: Column, xn: Column, yn: Column) -> Column:
     """Of a neighbour in the plane: 1 right of and not below, 2 above and not right, 3 left of and not above, else 4."""
     return F.when((xn > x) & (yn >= y), 1).when((xn <= x) & (yn > y), 2).when((xn < x) & (yn <= y), 3).otherwise(4)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridwake.model import Axis, CoordSystem, Grid, planet
-from gridwake.operators import grids, links, remap, solvers
+from gridwake.operators import grids, links, neighbours, remap, solvers
 from gridwake.plans.registry import query, rounded, table
 
 #: Links from parts (sources) to suppliers (targets) weighted by quantity; the field is the retail price, missing for every 7th part.
@@ -83,6 +83,20 @@ def knn_join(spark, d):
     return near(spark, d)[0].select("dst", "src", rounded("dist", 9).alias("dist"), "rank")
 
 
+_UNIT = "cos(radians(lat)) * cos(radians(lon)) as x{0}, cos(radians(lat)) * sin(radians(lon)) as y{0}, sin(radians(lat)) as z{0}"
+_SPHERE = f"""t as (select s_suppkey as dst, {_UNIT.format('t')} from (select *, ((s_suppkey * 37) % 360 - 180)::double as lon, greatest(-90.0, least(90.0, s_acctbal / 50.0 - 90.0)) as lat from supplier)),
+s as (select c_custkey as src, {_UNIT.format('s')} from (select *, ((c_custkey * 11) % 360 - 180)::double + (c_custkey % 7) / 10.0 as lon, greatest(-90.0, least(90.0, c_acctbal / 50.0 - 90.0)) as lat from customer)),
+p as (select dst, src, sqrt((xs - xt) * (xs - xt) + (ys - yt) * (ys - yt) + (zs - zt) * (zs - zt)) as chord from t, s)"""
+
+
+@query(f"with {_SPHERE}, r as (select *, row_number() over (partition by dst order by round(chord, 9), src) as n from p) select dst, n::integer as rank, round(chord, 9) as chord from r where n <= 4")
+def knn_sphere(spark, d):
+    lat = lambda c: F.greatest(F.lit(-90.0), F.least(F.lit(90.0), F.col(c) / 50.0 - 90.0)).alias("lat")
+    t = table(spark, d, "supplier").select(F.col("s_suppkey").alias("dst"), ((F.col("s_suppkey") * 37) % 360 - 180).cast("double").alias("lon"), lat("s_acctbal"))
+    s = table(spark, d, "customer").select(F.col("c_custkey").alias("src"), (((F.col("c_custkey") * 11) % 360 - 180).cast("double") + (F.col("c_custkey") % 7) / 10.0).alias("lon"), lat("c_acctbal"))
+    return neighbours.nearest_on_sphere(t, s, 4).select("dst", "rank", rounded("chord", 9).alias("chord"))
+
+
 @query(f"with {_POINTS} select dst, src, round({_DIST}, 9) as dist from t, s where {_DIST} <= 1.25")
 def radius_join(spark, d):
     t, s = points(spark, d)

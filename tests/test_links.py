@@ -77,7 +77,7 @@ def test_neighbours_equal_brute_force(spark):
 def test_nearest_with_a_limit(spark):
     t = spark.createDataFrame([(1, 0.0, 0.0), (2, 100.0, 0.0)], "dst int, x double, y double")
     s = spark.createDataFrame([(1, 1.0, 0.0), (2, 0.0, 3.0)], "src int, x double, y double")
-    out = {(r["dst"], r["src"]) for r in links.nearest(t, s, 2, 0.5, dist_max=2.0).collect()}
+    out = {(r["dst"], r["src"]) for r in links.nearest(t, s, 2, dist_max=2.0).collect()}
     assert out == {(1, 1)}
     assert links.nearest(t, s, 5).count() == 4  # fewer sources than asked for
 
