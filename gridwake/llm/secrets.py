@@ -71,21 +71,22 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def judged(found: DataFrame, owners: int = OWNERS) -> DataFrame:
-    """found with `live`: the set of hashes of its candidates that look live (null if it has none)."""
+    """found (each row with a `row` of its own) with `live`: the set of hashes of its candidates that look live."""
     own = ownership(found)
     live = own.where((F.col("n_owners") < owners) & (F.col("n_repositories") < 2 * owners)).select("h")
     # a value may be in all documents of one owner: its rows go to SALTS tasks
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
-    has = found.where("size(base) + size(opaque) > 0").select("doc_id", salt.alias("salt"), F.explode(F.array_distinct(F.concat("base.h", "opaque.h"))).alias("h"))
+    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
+    has = found.where("size(base) + size(opaque) > 0").select("row", salt.alias("salt"), F.explode(F.array_distinct(F.concat("base.h", "opaque.h"))).alias("h"))
     live = live.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    by_doc = has.join(live, ["h", "salt"]).groupBy("doc_id").agg(F.collect_set("h").alias("live"))
-    return found.join(by_doc, "doc_id", "left").withColumn("live", F.coalesce("live", F.expr("cast(array() as array<string>)")))
+    by_doc = has.join(live, ["h", "salt"]).groupBy("row").agg(F.collect_set("h").alias("live"))
+    return found.join(by_doc, "row", "left").withColumn("live", F.coalesce("live", F.expr("cast(array() as array<string>)")))
 
 
 def scan(docs: DataFrame, repository: Column, owner: Column, owners: int = OWNERS) -> DataFrame:
     """One row for each row of docs: counts, digests and spans; n_live and n_example by value."""
     keyed = docs.select("doc_id", "text", repository.alias("repository"), owner.alias("owner"))
-    found = common.stored(spans(keyed, "doc_id", "repository", "owner"), "secrets")
+    # stored, so that a row's number stays what it is; doc_id may be null or repeated
+    found = common.stored(spans(keyed, "doc_id", "repository", "owner").withColumn("row", F.monotonically_increasing_id()), "secrets")
     out = judged(found, owners).withColumn("added", F.expr("filter(opaque, o -> array_contains(live, o.h))"))
     count = lambda k: F.expr(f"cast(size(filter(base, b -> b.k = {k})) as bigint)")
     name = "case x.k when 0 then 'assign' when 1 then 'access' when 2 then 'hex' else 'opaque' end"
@@ -103,13 +104,17 @@ def scan(docs: DataFrame, repository: Column, owner: Column, owners: int = OWNER
 def redact(docs: DataFrame, repository: Column, owner: Column, mark: str = "[secret]", owners: int = OWNERS) -> DataFrame:
     """docs with every span that looks live replaced by mark; n_chars follows. No row is dropped.
 
-    The spans' offsets are found again on the row's own text, so that repeated rows need no key.
+    The spans' offsets are found again on the row's own text; live values come by doc_id (null is like any other) and text.
     """
-    keyed = docs.select("doc_id", "text", repository.alias("repository"), owner.alias("owner"))
-    found = common.stored(spans(keyed, "doc_id", "repository", "owner").where("size(base) + size(opaque) > 0"), "secrets")
-    live = common.stored(judged(found, owners).where("size(live) > 0").select("doc_id", "live").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_set("live"))).alias("live")), "live")
-    packed = docs.select(F.col("doc_id"), F.struct(*[F.col(c) for c in docs.columns]).alias("r"))
-    wide = packed.join(live, "doc_id", "left").select("r", "live", F.when(F.col("live").isNotNull(), F.col("r.text")).alias("text"))
+    digest = F.xxhash64("text")
+    keyed = docs.select("doc_id", "text", digest.alias("digest"), repository.alias("repository"), owner.alias("owner"))
+    found = spans(keyed, "doc_id", "digest", "repository", "owner").where("size(base) + size(opaque) > 0")
+    found = common.stored(found.withColumn("row", F.monotonically_increasing_id()), "secrets")
+    live = judged(found, owners).where("size(live) > 0").groupBy(F.col("doc_id").alias("id"), F.col("digest").alias("of")).agg(F.array_distinct(F.flatten(F.collect_set("live"))).alias("live"))
+    live = common.stored(live, "live")
+    packed = docs.select("doc_id", digest.alias("digest"), F.struct(*[F.col(c) for c in docs.columns]).alias("r"))
+    wide = packed.join(live, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of")), "left")
+    wide = wide.select("r", "live", F.when(F.col("live").isNotNull(), F.col("r.text")).alias("text"))
     wide = spans(wide, "r", "live")
     wide = wide.withColumn("cut", F.expr("if(live is null, array(), filter(array_sort(concat(base, opaque)), x -> array_contains(live, x.h)))"))
     fold = """aggregate(cut, named_struct('p', 0, 'o', ''),

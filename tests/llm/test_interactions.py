@@ -3,11 +3,10 @@
 import re
 from itertools import permutations
 
-import duckdb
 import pytest
 from fixtures import SCHEMA, corpus, frame
 
-from gridwake.llm import interactions, queries
+from gridwake.llm import interactions
 
 
 def fails(rows):
@@ -90,13 +89,3 @@ def test_survivors_of_every_subset(spark, n):
     got = interactions.survivors(interactions.counts(rows, n), n).first()
     assert got["n"] == [sum(not m & s for m in masks) for s in range(2**n)]
     assert got["toxic"] == [sum(m % 2 for m in masks if not m & s) for s in range(2**n)]
-
-
-def test_equals_duckdb(spark):
-    duck = duckdb.connect()
-    for t in ("documents", "labels"):
-        duck.sql(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
-    out = queries.QUERIES["op12_interactions"](spark, "/root/testdata/sf0.001")
-    cols = sorted(out.columns)
-    want = duck.sql(queries.ORACLE_SQL["op12_interactions"]).select(", ".join(cols)).fetchall()
-    assert sorted(map(tuple, out.select(*cols).collect())) == sorted(want)

@@ -2,11 +2,10 @@
 
 import math
 
-import duckdb
 import numpy as np
 import pytest
 
-from gridwake.llm import negatives, queries
+from gridwake.llm import negatives
 
 SCHEMA = "vec_id long, embedding array<double>, label int, home int, deal int, tree string, rank int"
 
@@ -93,12 +92,3 @@ def test_bounds_leave_rows_out():
         want = [j for j in np.lexsort((np.arange(4000), -s))[:3].tolist() if s[j] > -np.inf]
         assert best.id[i, 0][: len(want)].tolist() == want and (best.score[i, 0][len(want) :] == negatives.NONE).all()
     assert seen < 0.3 * 64 * 4000
-
-
-def test_equals_duckdb(spark):
-    duck = duckdb.connect()
-    duck.sql("create view embeddings as select * from '/root/testdata/sf0.001/embeddings.parquet'")
-    out = queries.QUERIES["op13_hard_negatives"](spark, "/root/testdata/sf0.001")
-    cols = sorted(out.columns)
-    want = duck.sql(queries.ORACLE_SQL["op13_hard_negatives"]).select(", ".join(cols)).fetchall()
-    assert sorted(map(tuple, out.select(*cols).collect())) == sorted(want)

@@ -262,7 +262,7 @@ def test_empty_benchmark(spark, docs):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_equals_duckdb(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels", "embeddings"):
         c.sql(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     want = c.sql(queries.ORACLE_SQL[name]).df()
     got = queries.QUERIES[name](spark, DIR).toPandas()

@@ -2,11 +2,10 @@
 
 import math
 
-import duckdb
 import numpy as np
 import pytest
 
-from gridwake.llm import queries, topk, vectors
+from gridwake.llm import topk, vectors
 
 SCHEMA = "vec_id long, embedding array<double>, label int, score string, cell int, part int, rank int"
 
@@ -83,12 +82,3 @@ def test_evaluation_stops_at_the_bound():
         assert named.tolist() == best.tolist() and got.tolist() == s[best].tolist()
         total += seen
     assert total < 0.25 * upper.size  # the rest was ruled out by bounds alone
-
-
-def test_equals_duckdb(spark):
-    duck = duckdb.connect()
-    duck.sql("create view embeddings as select * from '/root/testdata/sf0.001/embeddings.parquet'")
-    out = queries.QUERIES["op11_top_k"](spark, "/root/testdata/sf0.001")
-    cols = sorted(out.columns)
-    want = duck.sql(queries.ORACLE_SQL["op11_top_k"]).select(", ".join(cols)).fetchall()
-    assert sorted(map(tuple, out.select(*cols).collect())) == sorted(want)
