@@ -241,6 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learn) -> dict | None:
     ids = common.labelled_ids(labels, label, learn, TRAIN_ROWS)
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     sizes = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.octet_length(F.min("text")).alias("b"))
+    sizes = sizes.where(F.col("b").isNull() | (F.col("b") <= TRAIN_BYTES))  # a row that is too long alone is left out, not those behind it
     so_far = F.sum("b").over(Window.orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id"))
     few = common.stored(sizes.withColumn("sum", so_far).where(F.col("sum").isNull() | (F.col("sum") <= TRAIN_BYTES)).select("doc_id", "y"), "toxicity-sample")
     rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
@@ -260,11 +261,12 @@ def tagged(docs: DataFrame, model: dict | None) -> DataFrame:
                 words = common.Words(texts[lo:hi], "word")
                 x, m = summary(model, words)
                 score[lo:hi] = 1 / (1 + np.exp(-np.clip(x @ model["doc"], -30, 30)))
-                for i in np.flatnonzero(m >= 0.5):
-                    k, base = words.text[i], words.text_start[words.text[i]]
-                    text = texts[lo + k]
-                    s = len(text[: words.start[i] - base].decode("utf-8", "replace"))
-                    spans[lo + k].append({"start": s, "end": s + len(text[words.start[i] - base : words.end[i] - base].decode("utf-8", "replace"))})
+                hit = np.flatnonzero(m >= 0.5)
+                if len(hit):  # places in code points: one count over the bytes that begin one
+                    points = np.concatenate([[0], np.cumsum(np.frombuffer(words.joined, np.uint8) & 0xC0 != 0x80)])
+                    base = points[words.text_start[words.text[hit]]]
+                    for k, s, e in zip(words.text[hit].tolist(), (points[words.start[hit]] - base).tolist(), (points[words.end[hit]] - base).tolist(), strict=True):
+                        spans[lo + k].append({"start": s, "end": e})
             yield pd.DataFrame({"doc_id": f["doc_id"], "score": score, "spans": spans})
 
     return common.texts(docs, "doc_id", "text").mapInPandas(run, "doc_id long, score double, spans array<struct<start:int,end:int>>")

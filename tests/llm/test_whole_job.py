@@ -219,6 +219,36 @@ def test_training_sample_is_bounded_by_bytes(spark, monkeypatch):
     assert len(seen) == len(fits) and sum(len(r["text"]) for r in seen) == sum(1 if i == 3 else 300 for i in fits)
 
 
+def test_a_huge_row_does_not_end_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 1000)
+    monkeypatch.setattr(common, "fitted", lambda sample, train: seen.extend(sample.collect()))
+    first = min(range(20), key=common.crc_fold)
+    docs = spark.createDataFrame([(i, "z" * (5000 if i == first else 40)) for i in range(20)], "doc_id long, text string")
+    toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int"), "toxic", F.lit(True))
+    assert [len(r["text"]) for r in seen] == [40] * 19
+
+
+def test_offsets_of_long_texts_are_code_points(spark, monkeypatch):
+    """All words of a text with wide characters, tagged: offsets equal those found in the text itself."""
+    monkeypatch.setattr(toxicity, "summary", lambda model, words: (np.ones((len(words.text_start) - 1, 1)), np.ones(len(words.hash))))
+    text = "ä€ 😀x, naïve! " * 4000 + "end"
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "é a")], "doc_id long, text string")
+    frame = docs.toPandas()
+    made = {}
+
+    class Frame:
+        def mapInPandas(self, run, schema):
+            made.update({i: [tuple(x.values()) for x in s] for f in run(iter([frame])) for i, s in zip(f["doc_id"], f["spans"], strict=True)})
+
+    monkeypatch.setattr(common, "texts", lambda df, *c: Frame())
+    toxicity.tagged(docs, {"doc": np.zeros(1)})
+    import re
+
+    words = lambda t: [m.span() for m in re.finditer(r"(?:[A-Za-z0-9]|[^\x00-\x7f])+", t or "")]
+    assert made == {1: words(text), 2: [], 3: [], 4: words("é a")}
+
+
 def test_tokens_equal_words_of_all_texts(monkeypatch):
     texts = [b"one two", b"", b"three", b"four five six seven", b"  ", b"eight"]
     whole = common.Words(texts, "word")
