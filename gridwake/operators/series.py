@@ -1,4 +1,4 @@
-"""Series lookups: bracketing joins with linear blends, nearest samples, conservative bins, splines.
+"""Series lookups: bracketing joins with linear blends, nearest samples, conservative bins.
 
 bracket() finds the points around each probe. Points and probes are cut into buckets of the axis;
 windows sort one key's bucket at a time, and a small table of buckets carries the nearest points
@@ -7,8 +7,6 @@ over empty ones. So a key that holds most rows is still spread over tasks.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,54 +87,6 @@ def rebin(source: DataFrame, target: DataFrame, width: float) -> DataFrame:
     return out.select("x", F.when(F.col("x") <= F.col("x0"), F.col("y0")).when(F.col("x") >= F.col("x1"), F.col("y1")).otherwise(F.coalesce("y", F.lit(0.0))).alias("y"))
 
 
-def spline_coefficients(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cubic spline whose end pieces' third derivatives are those of cubics through the first and last four points."""
-    n = len(x)
-    if n < 3:
-        slope = (y[1] - y[0]) / (x[1] - x[0]) if n == 2 else 0.0
-        return np.full(n, slope), np.zeros(n), np.zeros(n)
-    h, d = np.diff(x), np.diff(y) / np.diff(x)
-    a = np.zeros((n, n))
-    r = np.zeros(n)
-    for i in range(1, n - 1):
-        a[i, i - 1 : i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        r[i] = d[i] - d[i - 1]
-    a[0, :2], a[-1, -2:] = (-h[0], h[0]), (h[-1], -h[-1])
-    if n > 3:
-        third = lambda k: ((d[k + 2] - d[k + 1]) / (x[k + 3] - x[k + 1]) - (d[k + 1] - d[k]) / (x[k + 2] - x[k])) / (x[k + 3] - x[k])
-        r[0], r[-1] = h[0] ** 2 * third(0), -(h[-1] ** 2) * third(n - 4)
-    s = np.linalg.solve(a, r)
-    b = np.append(d - h * (s[1:] + 2 * s[:-1]), d[-1] + h[-1] * (s[-2] + 2 * s[-1]))
-    return b, 3 * s, np.append(np.diff(s) / h, (s[-1] - s[-2]) / h[-1])
-
-
-def spline_values(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The spline at the places; beyond the ends it is reflected about the end's point."""
-    b, c, d = spline_coefficients(x, y)
-
-    def inner(u):
-        i = np.clip(np.searchsorted(x, u, side="right") - 1, 0, max(len(x) - 2, 0))
-        t = u - x[i]
-        return y[i] + t * (b[i] + t * (c[i] + t * d[i]))
-
-    low, high = at < x[0], at > x[-1]
-    out = inner(np.clip(np.where(low, 2 * x[0] - at, np.where(high, 2 * x[-1] - at, at)), x[0], x[-1]))
-    return np.where(low, 2 * y[0] - out, np.where(high, 2 * y[-1] - out, out))
-
-
-def spline(points: DataFrame, probes: DataFrame, by: list[str]) -> DataFrame:
-    """probes (by, x) with y by each key's spline; a key's points are one curve and meet in one task."""
-
-    def run(_, p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        p = p.dropna(subset=["x", "y"]).drop_duplicates("x").sort_values("x")
-        q = q.copy()
-        q["y"] = spline_values(p["x"].to_numpy(float), p["y"].to_numpy(float), q["x"].to_numpy(float)) if len(p) else np.nan
-        return q[[*by, "x", "y"]]
-
-    kinds = ", ".join(f"{c} {dict(probes.dtypes)[c]}" for c in by)
-    return points.select(*by, "x", "y").groupBy(*by).cogroup(probes.select(*by, "x").groupBy(*by)).applyInPandas(run, f"{kinds}, x double, y double")
-
-
 def argmin(df: DataFrame, by: list[str], place: Column, measure: Column, name: str = "at") -> DataFrame:
     """The place of the least measure of each key, the first of equal ones."""
     return df.groupBy(*by).agg(F.min(F.struct(measure, place.alias("p"))).getField("p").alias(name))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridwake.operators import schedule, series
+from gridwake.operators import schedule, series, splines
 from gridwake.plans.registry import query, rounded, table
 
 #: Daily mean value by kind of event, and probes at order dates' days within and around that month.
@@ -60,11 +60,27 @@ def interp_bins(spark, d):
     return series.rebin(s, t, 4.0).select("x", rounded("y").alias("y"))
 
 
-@query()
+_SPLINE = f"""with recursive s as (select event_type as k, floor(epoch(ts) / 21600) / 4 as x, avg(value) as y from events group by 1, 2),
+p as (select *, row_number() over (partition by k order by x) as i, count(*) over (partition by k) as n from s),
+e as (select *, lead(x) over w - x as h, (lead(y) over w - y) / (lead(x) over w - x) as d, lead(x, 2) over w as x2, lead(x, 3) over w as x3 from p window w as (partition by k order by i)),
+t as (select *, ((lead(d, 2) over w - lead(d) over w) / (x3 - lead(x) over w) - (lead(d) over w - d) / (x2 - x)) / (x3 - x) as third from e window w as (partition by k order by i)),
+g as (select *, lag(h) over w as g, lag(d) over w as e, lag(third, 3) over w as before from t window w as (partition by k order by i)),
+m as (select k, i, n, x, y, h, g, d, case when i = 1 then -h when i = n then -g else 2 * (g + h) end as b, case when i = 1 then h * h * third when i = n then -g * g * before else d - e end as r from g),
+f as (select k, i, b, r from m where i = 1 union all select m.k, m.i, m.b - m.g / f.b * m.g, m.r - m.g / f.b * f.r from f join m on m.k = f.k and m.i = f.i + 1),
+z as (select f.k, f.i, f.r / f.b as s from f join m using (k, i) where i = n union all select f.k, f.i, (f.r - m.h * z.s) / f.b from z join f on f.k = z.k and f.i = z.i - 1 join m on m.k = f.k and m.i = f.i),
+c as (select m.k, m.i, m.x, m.y, d - h * (coalesce(z2.s, 0) + 2 * z.s) as b, 3 * z.s as c, (z2.s - z.s) / h as d from m join z on z.k = m.k and z.i = m.i left join z z2 on z2.k = m.k and z2.i = m.i + 1),
+o as (select k, min(x) as x0, min_by(y, x) as y0, max(x) as x1, max_by(y, x) as y1 from p group by k),
+q as (select distinct event_type as k, (19722 + (event_id % 512) * 0.0625)::double as place from events),
+u as (select q.k, place, y0, y1, place < x0 as low, place > x1 as high, greatest(x0, least(x1, case when place < x0 then 2 * x0 - place when place > x1 then 2 * x1 - place else place end)) as x from q join o using (k)),
+v as (select u.*, c.y + (u.x - c.x) * (coalesce(b, 0) + (u.x - c.x) * (c + (u.x - c.x) * coalesce(d, 0))) as v from u asof join c on u.k = c.k and u.x >= c.x)
+select k, place as x, round(case when low then 2 * y0 - v when high then 2 * y1 - v else v end, 6) as y from v"""
+
+
+@query(_SPLINE)
 def spline(spark, d):
-    at = spark.range(0, 60).select(F.explode(F.array(*[F.lit(k) for k in ("click", "view", "purchase", "signup", "error")])).alias("k"), (F.lit(19722.0) + F.col("id") / 2).alias("x"))
-    kinds = daily(spark, d).select("k").distinct()
-    return series.spline(daily(spark, d), at.join(kinds, "k", "left_semi"), ["k"]).select("k", "x", rounded("y").alias("y"))
+    e = table(spark, d, "events").select(F.col("event_type").alias("k"), (F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 21600) / 4).alias("x"), "value", (F.lit(19722.0) + (F.col("event_id") % 512) * 0.0625).alias("at"))
+    points = e.groupBy("k", "x").agg(F.avg("value").alias("y"))
+    return splines.spline(points, e.select("k", F.col("at").alias("x")).distinct(), ["k"]).select("k", "x", rounded("y").alias("y"))
 
 
 @query("select t as time from (select unnest(generate_series(0, 10)) * 2.5 as t)")

@@ -38,16 +38,6 @@ def test_rebin_keeps_a_constant(spark):
     assert all(r["y"] == pytest.approx(7.0) for r in series.rebin(s, t, 2.0).collect())
 
 
-def test_spline_of_a_cubic_is_exact_and_reflects():
-    x = np.arange(7.0)
-    y = x**3 - 2 * x
-    at = np.array([0.5, 2.25, 5.9])
-    assert series.spline_values(x, y, at) == pytest.approx(at**3 - 2 * at)
-    inner = series.spline_values(x, y, np.array([0.5]))[0]
-    assert series.spline_values(x, y, np.array([-0.5]))[0] == pytest.approx(2 * y[0] - inner)
-    assert series.spline_values(np.array([0.0, 2.0]), np.array([0.0, 4.0]), np.array([1.0])) == pytest.approx([2.0])
-
-
 def test_schedules(spark):
     assert schedule.output_times("none", 0, 10) == []
     assert schedule.constant_times(0.0, 10.0, 4.0) == [0.0, 4.0, 8.0, 12.0]
