@@ -160,7 +160,10 @@ class Variable:
 
     def update(self, spark, t0: float | None = None, t1: float | None = None, method: str = "exact", rep: int = 1) -> DataFrame:
         """One slice, range, interpolation or reduction, guarded against crazy values and scaled."""
-        df = self.load(spark)
+        return self.applied(self.load(spark), t0, t1, method, rep)
+
+    def applied(self, df: DataFrame, t0: float | None = None, t1: float | None = None, method: str = "exact", rep: int = 1) -> DataFrame:
+        """The same of rows (indices, t_idx, time, value) that hold the steps needed."""
         keys = [c for c in df.columns if c not in ("time", "t_idx", "value")]
         if not self.with_time:
             out = df

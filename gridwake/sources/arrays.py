@@ -68,17 +68,10 @@ def shape(df: DataFrame, indices: list[str]) -> dict[str, int]:
 
 
 def stitched(spark: SparkSession, paths: list[str], step: str = "t_idx") -> DataFrame:
-    """Files in order of their names, their steps numbered on; a file's length is read from its own steps."""
-    frames, before = [], 0
-    for p in sorted(paths):
-        df = spark.read.parquet(p)
-        n = df.agg(F.max(step)).first()[0] or 0
-        frames.append(df.withColumn(step, F.col(step) + before))
-        before += n
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    """Files in order of their names, their steps numbered on: one job counts their steps, one scan reads them all."""
+    from gridwake.sources.manifest import Manifest
+
+    return Manifest.of(spark, paths, step).read(spark)
 
 
 def with_attributes(df: DataFrame, column: str, **attributes) -> DataFrame:
