@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwake.operators.neighbours import nearest  # noqa: F401  the map build of this module's callers
-from gridwake.sources.arrays import ClassicFile, write_classic
+from gridwake.sources.arrays import ClassicFile
 
 TINY = 1e-12
 PRUNE = 1e-4
@@ -151,23 +151,22 @@ def bake_bilinear(links: DataFrame) -> DataFrame:
 def write_scrip(links: DataFrame, path: str, n_src: int, n_dst: int, scrip_only: bool = False) -> None:
     """A map file for other tools: addresses and a weight matrix, and, for distance links, what their kernels need.
 
-    A classic netCDF file of one map, gathered on the driver: for exchange; write() is for maps of any size.
+    A classic netCDF file of one map, links by dst and src, each task writing a range of it.
     """
+    from gridwake.sources.sink import positions, write_arrays
+
     distance = "dist" in links.columns
     extra = [c for c in ("dist", "quadrant", "xn", "yn") if distance and c in links.columns]
     weights = links.join(bake(links), ["dst", "src"]) if distance else links
-    p = weights.select("dst", "src", "w", *extra).orderBy("dst", "src").toPandas()
+    p, n = positions(weights.select("dst", "src", "w", *extra), ["dst", "src"])
     kind = 2 if distance and not scrip_only else 1
-    n = len(p)
-    variables = {
-        "meta": (["params"], np.array([n_src, n_dst, kind], "i4"), {}),
-        "src_address": (["num_links"], p["src"].to_numpy("i4"), {}),
-        "dst_address": (["num_links"], p["dst"].to_numpy("i4"), {}),
-        "remap_matrix": (["num_links", "num_wgts"], p["w"].to_numpy("f8")[:, None], {}),
-    }
+    column = lambda c, code="f8": ("num_links", p.select("at", F.col(c).cast("double").alias("v")), {}, code)
+    of = {"src_address": column("src", "i4"), "dst_address": column("dst", "i4"), "remap_matrix": column("w")}
     if kind == 2:
-        variables |= {f"mp_{c}": (["num_links"], p[c].to_numpy("i4" if c == "quadrant" else "f8"), {}) for c in extra}
-    write_classic(path, {"num_links": n, "num_wgts": 1, "params": 3}, variables)
+        of |= {f"mp_{c}": column(c, "i4" if c == "quadrant" else "f8") for c in extra}
+    variables: dict = {"meta": (["params"], np.array([n_src, n_dst, kind], "i4"), {})}
+    variables |= {name: ([d, "num_wgts"] if name == "remap_matrix" else [d], *rest) for name, (d, *rest) in of.items()}
+    write_arrays(links.sparkSession, path, {"num_links": n, "num_wgts": 1, "params": 3}, variables)
 
 
 def read_scrip(spark, path: str) -> DataFrame:

@@ -118,12 +118,22 @@ def _padded(n: int) -> int:
     return -(-n // 4) * 4
 
 
+def opened(path: str):
+    """A file to seek and read in: a local path, or a URI of a file system that pyarrow knows."""
+    if "://" in path:
+        from pyarrow import fs
+
+        system, at = fs.FileSystem.from_uri(path)
+        return system.open_input_file(at)
+    return open(path, "rb")
+
+
 class ClassicFile:
-    """The header of a classic netCDF file (versions 1 and 2), and numpy views of its variables."""
+    """The header of a classic netCDF file (versions 1 and 2), and its variables; taken counts bytes of values read."""
 
     def __init__(self, path: str):
-        self.path = path
-        with open(path, "rb") as f:
+        self.path, self.taken = path, 0
+        with opened(path) as f:
             self.data = f.read(1 << 20)
             if self.data[:3] != b"CDF" or self.data[3] not in (1, 2):
                 raise ValueError(f"{path}: not a classic netCDF file")
@@ -193,30 +203,49 @@ class ClassicFile:
         ids = self.vars[name]["ids"]
         return bool(ids) and self.dims[ids[0]][1] == 0
 
-    def steps(self, name: str, first: int, count: int) -> np.ndarray:
-        """Values of so many steps of the first dimension, from step first (0-based)."""
+    def _take(self, code: str, each: int, offsets: list[int]) -> np.ndarray:
+        """So many values from each place of the file."""
+        width, out = np.dtype(code).itemsize, []
+        with opened(self.path) as f:
+            for at in offsets:
+                f.seek(at)
+                raw = f.read(each * width)
+                if len(raw) < each * width:
+                    raise ValueError(f"{self.path}: ends before byte {at + each * width}")
+                self.taken += len(raw)
+                out.append(np.frombuffer(raw, code))
+        return np.stack(out) if out else np.zeros((0, each), code)
+
+    def steps(self, name: str, first: int, count: int, rows: tuple[int, int] | None = None) -> np.ndarray:
+        """Values of so many steps of the first dimension, from step first (0-based); rows: only from..to of the second."""
         v = self.vars[name]
         code, width = _TYPES[v["kind"]]
         shape = self.shape(name)
         if not shape:
-            return np.fromfile(self.path, code, 1, offset=v["begin"])
+            return self._take(code, 1, [v["begin"]])[0]
         each = int(np.prod(shape[1:], dtype=int))
-        if not self.unlimited(name):
-            return np.fromfile(self.path, code, each * count, offset=v["begin"] + first * each * width).reshape(count, *shape[1:])
-        own = [x for x in self.vars.values() if x["ids"] and self.dims[x["ids"][0]][1] == 0]
-        stride = own[0]["size"] if len(own) == 1 else sum(_padded(x["size"]) for x in own)
-        if len(own) == 1:
-            stride = each * width  # a single record variable is not padded
-        rows = [np.fromfile(self.path, code, each, offset=v["begin"] + (first + k) * stride) for k in range(count)]
-        return np.stack(rows).reshape(count, *shape[1:]) if rows else np.zeros((0, *shape[1:]), code)
+        stride = each * width
+        if self.unlimited(name):
+            own = [x for x in self.vars.values() if x["ids"] and self.dims[x["ids"][0]][1] == 0]
+            if len(own) > 1:  # a single record variable is not padded
+                stride = sum(_padded(x["size"]) for x in own)
+        some = shape[1:]
+        offsets = [v["begin"] + (first + k) * stride for k in range(count)]
+        if rows is not None and len(shape) > 1 and rows != (0, shape[1]):
+            rest = int(np.prod(shape[2:], dtype=int))
+            some = [rows[1] - rows[0], *shape[2:]]
+            offsets = [at + rows[0] * rest * width for at in offsets]
+        elif stride == each * width and count:  # steps lie one behind the other
+            return self._take(code, each * count, offsets[:1]).reshape(count, *some)
+        return self._take(code, int(np.prod(some, dtype=int)), offsets).reshape(count, *some)
 
 
 class ClassicSource(DataSource):
     """spark.read.format("classic_netcdf").option("path", ...).option("variable", ...).load(): a variable in long form.
 
-    Indices are 1-based, named after the dimensions; missing values are NULL, packed values unpacked.
-    Partitions are runs of steps of the first dimension. The file must be readable at that path on
-    every executor.
+    Indices are 1-based, named after the dimensions; missing values are NULL, packed values unpacked. Option time: a
+    variable along the first dimension that becomes the column `time`. Partitions are runs of steps of the first
+    dimension. The path, or URI, must be readable on every executor. read_classic() pushes conditions down.
     """
 
     @classmethod
@@ -225,34 +254,48 @@ class ClassicSource(DataSource):
 
     def schema(self) -> str:
         dims = ClassicFile(self.options["path"]).vars[self.options["variable"]]["dims"]
-        return ", ".join([*(f"`{d}_idx` int" for d in dims), "value double"])
+        return ", ".join([*(f"`{d}_idx` int" for d in dims), *(["time double"] if "time" in self.options else []), "value double"])
 
     def reader(self, schema) -> DataSourceReader:
-        return ClassicReader(self.options["path"], self.options["variable"], int(self.options.get("cells", 1_000_000)))
+        kind = PrunedReader if self.options.get("pruned") == "true" else ClassicReader
+        return kind(self.options["path"], self.options["variable"], int(self.options.get("cells", 1_000_000)), self.options.get("time"))
 
 
 class Steps(InputPartition):
-    def __init__(self, first: int, count: int):
+    def __init__(self, first: int, count: int, rows: tuple[int, int] | None = None):
         super().__init__(first)
-        self.first, self.count = first, count
+        self.first, self.count, self.rows = first, count, rows
 
 
 class ClassicReader(DataSourceReader):
-    def __init__(self, path: str, variable: str, cells: int):
-        self.path, self.variable, self.cells = path, variable, cells
+    def __init__(self, path: str, variable: str, cells: int, time: str | None = None):
+        self.path, self.variable, self.cells, self.time = path, variable, cells, time
+        self.bounds: dict[str, list[float]] = {}  # least and largest value by column
 
     def partitions(self) -> list[Steps]:
-        shape = ClassicFile(self.path).shape(self.variable)
+        f = ClassicFile(self.path)
+        shape, dims = f.shape(self.variable), f.vars[self.variable]["dims"]
         if not shape:
             return [Steps(0, 1)]
-        per = max(1, self.cells // max(1, int(np.prod(shape[1:], dtype=int))))
-        return [Steps(k, min(per, shape[0] - k)) for k in range(0, shape[0], per)]
+        ends = [(max(1, math.ceil(a)), min(n, math.floor(b))) for n, (a, b) in zip(shape, (self.bounds.get(f"{d}_idx", (-1, n)) for d, n in zip(dims, shape, strict=True)), strict=True)]
+        first, last = ends[0]
+        if "time" in self.bounds and self.time:
+            t = f.steps(self.time, 0, shape[0]).astype(float)
+            hit = np.flatnonzero((t >= self.bounds["time"][0]) & (t <= self.bounds["time"][1])) + 1
+            first, last = (max(first, int(hit[0])), min(last, int(hit[-1]))) if len(hit) else (1, 0)
+        rows = (ends[1][0] - 1, ends[1][1]) if len(shape) > 1 else None
+        if first > last or rows is not None and rows[0] >= rows[1]:
+            return [Steps(0, 0)]
+        per = max(1, self.cells // max(1, int(np.prod(shape[1:], dtype=int)) * (rows[1] - rows[0]) // shape[1] if rows else 1))
+        return [Steps(k, min(per, last - k), rows) for k in range(first - 1, last, per)]
 
     def read(self, partition: Steps) -> Iterator:
         import pyarrow as pa
 
         f = ClassicFile(self.path)
-        values = f.steps(self.variable, partition.first, partition.count)
+        if not partition.count:
+            return
+        values = f.steps(self.variable, partition.first, partition.count, partition.rows)
         attributes = f.vars[self.variable]["attributes"]
         scalar = not f.shape(self.variable)
         v = values.astype(float).ravel()
@@ -262,14 +305,58 @@ class ClassicReader(DataSourceReader):
                 bad |= v == attributes[key]
         v = v * attributes.get("scale_factor", 1.0) + attributes.get("add_offset", 0.0)
         index = [] if scalar else [x.ravel().astype(np.int32) + 1 for x in np.indices(values.shape)]
+        columns = [f"{d}_idx" for d in f.vars[self.variable]["dims"]]
         if index:
             index[0] = index[0] + np.int32(partition.first)
-        names = [f"{d}_idx" for d in f.vars[self.variable]["dims"]]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, index), pa.array(v, mask=bad)], names=[*names, "value"])
+        if len(index) > 1 and partition.rows:
+            index[1] = index[1] + np.int32(partition.rows[0])
+        made = [*map(pa.array, index)]
+        if self.time:
+            t = f.steps(self.time, partition.first, partition.count).astype(float)
+            made.append(pa.array(t[index[0] - 1 - partition.first]))
+            columns.append("time")
+        yield pa.RecordBatch.from_arrays([*made, pa.array(v, mask=bad)], names=[*columns, "value"])
+
+
+class PrunedReader(ClassicReader):
+    """With conditions on the first two indices and on time turned into byte ranges."""
+
+    def pushFilters(self, filters):
+        dims = ClassicFile(self.path).vars[self.variable]["dims"]
+        whole = {f"{d}_idx" for d in dims[:2]}
+        for f in filters:
+            column = f.attribute[0] if len(getattr(f, "attribute", ())) == 1 else None
+            kind = type(f).__name__
+            v = getattr(f, "value", None)
+            ends = {"EqualTo": (v, v), "GreaterThan": (v, None), "GreaterThanOrEqual": (v, None), "LessThan": (None, v), "LessThanOrEqual": (None, v), "In": (min(v), max(v)) if kind == "In" and v and None not in v else None}.get(kind)
+            if ends is None or column not in whole | ({"time"} if self.time else set()) or not all(isinstance(x, (int, float)) or x is None for x in ends):
+                if not (kind == "IsNotNull" and column in whole):  # indices are never null
+                    yield f
+                continue
+            if column in whole and kind in ("GreaterThan", "LessThan"):
+                ends = (None if ends[0] is None else ends[0] + 1, None if ends[1] is None else ends[1] - 1)
+            held = self.bounds.setdefault(column, [-math.inf, math.inf])
+            held[0] = max(held[0], -math.inf if ends[0] is None else ends[0])
+            held[1] = min(held[1], math.inf if ends[1] is None else ends[1])
+            if column == "time" or kind == "In":  # the range only; Spark does the rest
+                yield f
+        for column, (a, b) in list(self.bounds.items()):
+            self.bounds[column] = [max(a, -1e18), min(b, 1e18)]
+
+
+def read_classic(spark: SparkSession, path: str, variable: str, time: str | None = None, cells: int = 1_000_000) -> DataFrame:
+    """A variable of a classic file in long form; conditions on its first two indices, and on time, choose what is read.
+
+    Sets spark.sql.python.filterPushdown.enabled for the session, which sources that take conditions need.
+    """
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(ClassicSource)
+    reader = spark.read.format("classic_netcdf").option("path", path).option("variable", variable).option("cells", str(cells)).option("pruned", "true")
+    return (reader.option("time", time) if time else reader).load()
 
 
-def write_classic(path: str, dims: dict[str, int], variables: dict[str, tuple[list[str], np.ndarray, dict]], attributes: dict | None = None) -> None:
-    """A classic netCDF file of whole arrays (fixed dimensions), for fields small enough for one file."""
+def layout(dims: dict[str, int], variables: dict[str, tuple[list[str], str, int, dict]], attributes: dict | None = None) -> tuple[bytes, dict[str, int]]:
+    """Header of a classic file with fixed dimensions, and where each variable (dimensions, type, bytes, attributes) begins."""
 
     def text(s: str) -> bytes:
         raw = s.encode()
@@ -292,21 +379,29 @@ def write_classic(path: str, dims: dict[str, int], variables: dict[str, tuple[li
     head = b"CDF\x02" + struct.pack(">i", 0)
     head += struct.pack(">ii", 10 if dims else 0, len(dims)) + b"".join(text(d) + struct.pack(">i", n) for d, n in dims.items())
     head += attrs(attributes or {})
-    arrays = [np.asarray(x) for _, x, _ in variables.values()]
-    bodies = [(x if x.dtype.kind == "S" else x.astype(f">{x.dtype.str[1:]}")).tobytes() for x in arrays]
 
-    def table(begin: int) -> bytes:
-        out = struct.pack(">ii", 11, len(variables))
-        for (name, (own, x, a)), body in zip(variables.items(), bodies, strict=True):
+    def table(begin: int) -> tuple[bytes, dict[str, int]]:
+        out, begins = struct.pack(">ii", 11, len(variables)), {}
+        for name, (own, kind, size, a) in variables.items():
+            begins[name] = begin
             out += text(name) + struct.pack(">i", len(own)) + b"".join(struct.pack(">i", names.index(d)) for d in own)
-            out += attrs(a) + struct.pack(">iiq", _CODES[np.asarray(x).dtype.str[1:]], _padded(len(body)), begin)
-            begin += _padded(len(body))
-        return out
+            out += attrs(a) + struct.pack(">iiq", _CODES[kind], _padded(size) if size < 2**31 - 4 else -1, begin)
+            begin += _padded(size)
+        return out, begins
+
+    start = len(head) + len(table(0)[0])
+    body, begins = table(start)
+    return head + body, begins
+
 
-    start = len(head) + len(table(0))
+def write_classic(path: str, dims: dict[str, int], variables: dict[str, tuple[list[str], np.ndarray, dict]], attributes: dict | None = None) -> None:
+    """A classic netCDF file of whole arrays (fixed dimensions) that the driver holds; sink.py writes tables."""
+    arrays = {name: np.asarray(x) for name, (_, x, _) in variables.items()}
+    bodies = {name: (x if x.dtype.kind == "S" else x.astype(f">{x.dtype.str[1:]}")).tobytes() for name, x in arrays.items()}
+    head, _ = layout(dims, {name: (own, arrays[name].dtype.str[1:], len(bodies[name]), a) for name, (own, _, a) in variables.items()}, attributes)
     with open(path, "wb") as f:
-        f.write(head + table(start))
-        for body in bodies:
+        f.write(head)
+        for body in bodies.values():
             f.write(body.ljust(_padded(len(body)), b"\0"))
 
 
@@ -422,25 +517,28 @@ def grid_mapping(system: CoordSystem, x_e: float = 0.0, y_n: float = 0.0) -> dic
 
 def write_grid(g: Grid, path: str, columns: DataFrame) -> None:
     """A grid's axes, projection, and 2-D fields (cell and further columns, such as lon, lat, area, border) as a classic file."""
+    from gridwake.sources.sink import write_arrays
+
     own = [("x", g.x), ("y", g.y)] if g.system.is_cartesian else [("lon", g.x), ("lat", g.y)]
     dims = {name: a.n for name, a in own}
     unit = g.system.units if g.system.is_cartesian else None
-    variables = {name: ([name], np.array([a.centre(i) for i in range(1, a.n + 1)]), dict(STANDARD_DIMENSIONS[name], **({"units": unit} if unit else {}))) for name, a in own}
-    p = columns.toPandas()
-    rows, cols = np.divmod(p["cell"].to_numpy() - 1, g.x.n)
-    for c in p.columns.drop("cell"):
-        z = np.full((g.y.n, g.x.n), MISSING)
-        z[rows, cols] = p[c].astype(float).fillna(MISSING)
-        variables[c] = (["y", "x"] if g.system.is_cartesian else ["lat", "lon"], z, {"missing_value": MISSING, **({"grid_mapping": "crs"} if g.system.is_projection else {})})
+    variables: dict = {name: ([name], np.array([a.centre(i) for i in range(1, a.n + 1)]), dict(STANDARD_DIMENSIONS[name], **({"units": unit} if unit else {}))) for name, a in own}
+    extra = {"missing_value": MISSING, **({"grid_mapping": "crs"} if g.system.is_projection else {})}
+    for c in columns.columns:
+        if c != "cell":
+            variables[c] = (["y", "x"] if g.system.is_cartesian else ["lat", "lon"], columns.select((F.col("cell") - 1).alias("at"), F.col(c).cast("double").alias("v")), extra)
     if g.system.is_projection:
         variables["crs"] = ([], np.int32(0), grid_mapping(g.system))
-    write_classic(path, dims, variables, {"name": g.name, "mtype": g.system.mtype})
+    write_arrays(columns.sparkSession, path, dims, variables, {"name": g.name, "mtype": g.system.mtype})
 
 
 def write_points(points: DataFrame, path: str, key: str = "pt") -> None:
     """Points (key and further numeric columns) as a classic file with one dimension `point`."""
-    p = points.orderBy(key).toPandas()
-    write_classic(path, {"point": len(p)}, {c: (["point"], p[c].astype(float).fillna(MISSING).to_numpy(), {"missing_value": MISSING}) for c in p.columns})
+    from gridwake.sources.sink import positions, write_arrays
+
+    placed, n = positions(points, [key])
+    variables = {c: (["point"], placed.select("at", F.col(c).cast("double").alias("v")), {"missing_value": MISSING}) for c in points.columns}
+    write_arrays(points.sparkSession, path, {"point": n}, variables)
 
 
 # --- series and fields by kind of file ------------------------------------------------------------
@@ -512,12 +610,15 @@ def read_remapped(spark: SparkSession, path: str, links: DataFrame | None, sizes
 
 
 def to_classic(df: DataFrame, path: str, indices: list[str], value: str = "value", units: str = "") -> None:
-    """One field to one classic file: it is gathered on the driver, so this is for results, not for corpora."""
-    p = df.select(*indices, value).toPandas()
-    size = [int(p[c].max()) for c in indices]
-    z = np.full(size, MISSING)
-    z[tuple(p[c].to_numpy() - 1 for c in indices)] = p[value].fillna(MISSING)
-    write_classic(path, dict(zip(indices, size, strict=True)), {value: (indices, z, {"missing_value": MISSING, "units": units})})
+    """One field (1-based indices, value) to one classic file, each task writing a range of it; cells without a row are missing."""
+    from gridwake.sources.sink import write_arrays
+
+    size = shape(df, indices)
+    at = F.lit(0).cast("long")
+    for c in indices:
+        at = at * size[c] + F.col(c) - 1
+    variables = {value: (indices, df.select(at.alias("at"), F.col(value).cast("double").alias("v")), {"missing_value": MISSING, "units": units})}
+    write_arrays(df.sparkSession, path, size, variables)
 
 
 def numbered(df: DataFrame, order: str, name: str = "t_idx") -> DataFrame:
