@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridwake.functions import geo
 from gridwake.model import CoordSystem, Grid, same_system
-from gridwake.operators import grids, links, stencil
+from gridwake.operators import grids, links, spherical, stencil
 
 #: Points of each side of a cell that is seen in another coordinate system.
 SAMPLES = 8
@@ -34,17 +34,17 @@ def box_pairs(a: DataFrame, b: DataFrame, width: float) -> DataFrame:
 
 
 def clipped_links(targets: DataFrame, sources: DataFrame, width: float, sphere: bool = False) -> DataFrame:
-    """(dst, src, w): areas that polygons share; targets must be convex. In the plane, or of lon-lat polygons on the unit sphere."""
+    """(dst, src, w): areas that polygons share; targets must be convex. In the plane, or of lon-lat polygons on the unit sphere.
+
+    On the sphere sources must be convex too, and the width of the plane's lattice is not used (see spherical.py).
+    """
+    if sphere:
+        named = [df.withColumnsRenamed({"xs": "lons", "ys": "lats"}) for df in (targets, sources)]
+        return spherical.overlaps(*named)
 
     @F.pandas_udf("double")
     def shared(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
-        out = []
-        for p, q, r, s in zip(ax, ay, bx, by, strict=True):
-            if sphere:
-                a, b = (np.stack([np.cos(np.radians(v)) * np.cos(np.radians(u)), np.cos(np.radians(v)) * np.sin(np.radians(u)), np.sin(np.radians(v))], 1) for u, v in ((p, q), (r, s)))
-                out.append(geo.sphere_area(geo.clip_sphere(b, a)))
-            else:
-                out.append(geo.plane_area(geo.clip(np.stack([r, s], 1), np.stack([p, q], 1))))
+        out = [geo.plane_area(geo.clip(np.stack([r, s], 1), np.stack([p, q], 1))) for p, q, r, s in zip(ax, ay, bx, by, strict=True)]
         return pd.Series(out, dtype=float)
 
     return box_pairs(targets, sources, width).select("dst", "src", shared("axs", "ays", "bxs", "bys").alias("w")).where("w > 0")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridwake.model import Axis, CoordSystem, Grid, planet
-from gridwake.operators import grids, links, neighbours, remap, solvers
+from gridwake.operators import grids, links, neighbours, remap, solvers, spherical
 from gridwake.plans.registry import query, rounded, table
 
 #: Links from parts (sources) to suppliers (targets) weighted by quantity; the field is the retail price, missing for every 7th part.
@@ -240,6 +240,28 @@ def conservative_clipped(spark, d):
     return remap.clipped_links(t, s, 100.0).where("w > 1e-9").select("dst", "src", rounded("w").alias("w"))
 
 
+def _triangle(a: int, b: int, c: int) -> str:
+    """SQL of a spherical triangle's area from corners x, y, z by number."""
+    dot = lambda p, q: f"(x{p} * x{q} + y{p} * y{q} + z{p} * z{q})"
+    det = f"(x{a} * (y{b} * z{c} - z{b} * y{c}) + y{a} * (z{b} * x{c} - x{b} * z{c}) + z{a} * (x{b} * y{c} - y{b} * x{c}))"
+    return f"2 * atan2({det}, 1 + {dot(a, b)} + {dot(b, c)} + {dot(c, a)})"
+
+
+_CORNERS = ", ".join(f"cos(radians(lat {v} b)) * cos(radians(lon {u} a)) as x{k}, cos(radians(lat {v} b)) * sin(radians(lon {u} a)) as y{k}, sin(radians(lat {v} b)) as z{k}" for k, (u, v) in enumerate((("-", "-"), ("+", "-"), ("+", "+"), ("-", "+")), 1))
+
+
+@query(f"""with c as (select c_custkey as dst, ((c_custkey * 11) % 360 - 180)::double as lon, greatest(-85.0, least(85.0, c_acctbal / 60.0 - 75.0)) as lat, 2.0 + c_custkey % 5 as a, 1.0 + c_custkey % 3 as b from customer),
+p as (select dst, {_CORNERS} from c) select dst, round({_triangle(1, 2, 3)} + {_triangle(1, 3, 4)}, 9) as area from p""")
+def sphere_overlap(spark, d):
+    """What cells about customers share with the nations' 50 triangles between meridians, equator and poles, which tile the sphere."""
+    lon, lat, a, b = ((F.col("c_custkey") * 11) % 360 - 180).cast("double"), F.greatest(F.lit(-85.0), F.least(F.lit(85.0), F.col("c_acctbal") / 60.0 - 75.0)), 2.0 + F.col("c_custkey") % 5, 1.0 + F.col("c_custkey") % 3
+    t = table(spark, d, "customer").select(F.col("c_custkey").alias("dst"), F.array(lon - a, lon + a, lon + a, lon - a).alias("lons"), F.array(lat - b, lat - b, lat + b, lat + b).alias("lats"))
+    west = F.col("n_nationkey") * 14.4 - 180
+    s = table(spark, d, "nation").withColumn("pole", F.explode(F.array(F.lit(90.0), F.lit(-90.0))))
+    s = s.select(F.concat_ws(":", "n_nationkey", "pole").alias("src"), F.array(west, west + 14.4, west + 7.2).alias("lons"), F.array(F.lit(0.0), F.lit(0.0), F.col("pole")).alias("lats"))
+    return spherical.overlaps(t, s).groupBy("dst").agg(rounded(F.sum("w"), 9).alias("area"))
+
+
 #: A 2 degree grid of the world to 20 km cells of a stereographic plane over Greenland, on the sphere.
 _R = 6370.997
 _SEEN = f"""c as (select i, j, ((j - 1) * 180 + i)::bigint as src, (i - 1) * 2.0 as lon, -90 + (j - 1) * 2.0 as lat from range(1, 181) a(i), range(1, 92) b(j)),
