@@ -6,6 +6,7 @@ product of its sides': the joins are of axis tables (thousands of rows), never o
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gridwake.functions import geo
 from gridwake.model import Axis, CoordSystem, Grid, same_system
+from gridwake.operators.solvers import cut
 
 
 def axis(spark: SparkSession, a: Axis) -> DataFrame:
@@ -128,37 +130,75 @@ def which(df: DataFrame, flag: Column, idx: str = "idx") -> DataFrame:
     return got.select(F.when(F.size("at") == 0, F.array(F.lit(-1).cast("long"))).otherwise(F.col("at").cast("array<long>")).alias("at"))
 
 
-def unique(df: DataFrame, value: str, order: str, tolerance: float = 1e-5) -> DataFrame:
-    """Values in first-seen order, those within tolerance of a kept one left out.
+class _Near:
+    """Sorted values, asked whether one lies within a tolerance."""
 
-    Exact repeats go first by aggregation. Values whose neighbour in size is farther than the tolerance stand alone;
-    only runs of close ones, cut where such a gap is, are taken in their order, a group each.
+    def __init__(self, tolerance: float):
+        self.values: list[float] = []
+        self.tolerance = tolerance
+
+    def has(self, v: float) -> bool:
+        k = bisect.bisect_left(self.values, v)
+        return any(0 <= j < len(self.values) and abs(self.values[j] - v) <= self.tolerance for j in (k - 1, k))
+
+    def add(self, v: float) -> None:
+        bisect.insort(self.values, v)
+
+
+def settled(v: np.ndarray, order: np.ndarray, state: np.ndarray, own: np.ndarray, tolerance: float) -> np.ndarray:
+    """States after a pass in order: 1 kept, -1 left out, 0 open, where a value's earlier neighbours are open themselves.
+
+    Of values that are not own all neighbours need not be here: they are never kept by this pass.
+    """
+    kept, open_, state = _Near(tolerance), _Near(tolerance), state.copy()
+    for k in np.lexsort((v, order)):
+        if state[k] == 0:
+            if kept.has(v[k]):
+                state[k] = -1
+            elif own[k] and not open_.has(v[k]):
+                state[k] = 1
+        if state[k] == 1:
+            kept.add(v[k])
+        elif state[k] == 0:
+            open_.add(v[k])
+    return state
+
+
+def unique(df: DataFrame, value: str, order: str, tolerance: float = 1e-5, chunk: int = 1 << 16) -> DataFrame:
+    """Values in first-seen order, those within tolerance of a kept one left out; nulls and nan are none.
+
+    Exact repeats go first by aggregation. Values are then dealt to blocks by size. A block decides in order what depends on its
+    own values and on decided ones of other blocks within the tolerance of its ends; what waits for another block's open
+    value is left for the next round. So a chain of close values costs a round for each time that it changes from block to block.
     """
-    first = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("_o")).select(F.col(value).cast("double").alias("v"), "_o")
-    # close values share a cell of the tolerance or lie in neighbouring ones: cells that touch make a run
-    cell = F.floor(F.col("v") / tolerance).cast("long")
-    rows = first.withColumn("_c", cell)
-    used = rows.select("_c").distinct()
-    near = used.select("_c", F.explode(F.array(F.col("_c") - 1, F.col("_c"), F.col("_c") + 1)).alias("_n"))
-    close = near.join(used.select(F.col("_c").alias("_n")), "_n").groupBy("_c").agg(F.count("*").alias("k")).where("k > 1").select("_c")
-    crowded = rows.join(close, "_c", "left_semi")
-    alone = rows.join(close, "_c", "left_anti")
-
-    def kept(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("_o")
-        held: list[float] = []
-        for v in p["v"]:
-            if all(abs(v - u) > tolerance for u in held):
-                held.append(v)
-        return pd.DataFrame({value: held})
-
-    # a run of touching cells is one group: it starts where the cell before is empty
-    starts = Window.orderBy("_c")
-    runs = close.withColumn("_r", F.sum(F.when(F.col("_c") - F.lag("_c").over(starts) <= 1, 0).otherwise(1)).over(starts))
-    folded = crowded.join(runs, "_c").groupBy("_r").applyInPandas(kept, f"{value} double")
-    # several values of one lone cell are close as well
-    single = alone.groupBy("_c").agg(F.min_by("v", "_o").alias(value)).select(value)
-    return single.unionByName(folded)
+    v = F.col(value).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(v.alias("v")).agg(F.min(order).alias("o"))
+    blocks = max(1, -(-rows.count() // chunk))
+    rows = cut(rows.repartitionByRange(blocks, "v").select("v", "o", F.spark_partition_id().alias("block"), F.lit(0).alias("state")))
+    ends = rows.groupBy("block").agg(F.min("v").alias("a"), F.max("v").alias("b")).orderBy("a").collect()  # a row a block
+    number, low, high = ([r[c] for r in ends] for c in ("block", "a", "b"))
+    kind = dict(rows.dtypes)["o"]
+
+    def spread(frames):
+        for f in frames:
+            x = f["v"].to_numpy()
+            first, last = np.searchsorted(high, x - tolerance), np.searchsorted(low, x + tolerance, side="right")
+            at = np.repeat(np.arange(len(f)), last - first)
+            k = np.arange(len(at)) - np.repeat(np.cumsum(last - first) - (last - first), last - first) + np.repeat(first, last - first)
+            out = f.iloc[at].rename(columns={"block": "home"})
+            yield out.assign(block=np.array(number)[k])
+
+    def decide(key, f: pd.DataFrame) -> pd.DataFrame:
+        own = (f["home"] == key[0]).to_numpy()
+        f = f.assign(state=settled(f["v"].to_numpy(), pd.factorize(f["o"], sort=True)[0], f["state"].to_numpy(), own, tolerance))
+        return f.loc[own, ["v", "o", "block", "state"]]
+
+    done = not ends
+    while not done:
+        sent = rows.mapInPandas(spread, f"v double, o {kind}, home int, state int, block int")
+        rows = cut(sent.groupBy("block").applyInPandas(decide, f"v double, o {kind}, block int, state int"), rows)
+        done = rows.where("state = 0").isEmpty()
+    return rows.where("state = 1").select(F.col("v").alias(value))
 
 
 # --- locating ---------------------------------------------------------------------------------

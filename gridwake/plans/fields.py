@@ -397,6 +397,14 @@ def unique_values(spark, d):
     return grids.unique(p, "v", "p_partkey")
 
 
+@query("""with f as (select p_retailprice as v, min(p_partkey) as o from part group by 1),
+r as (select list_reduce(list([v] order by o, v), lambda a, b: case when len(list_filter(a, lambda u: abs(u - b[1]) <= 0.35)) > 0 then a else list_concat(a, b) end) as kept from f)
+select unnest(kept) as v from r""")
+def unique_tolerant(spark, d):
+    p = table(spark, d, "part").select(F.col("p_retailprice").alias("v"), "p_partkey")
+    return grids.unique(p, "v", "p_partkey", 0.35)
+
+
 @query(f"""with {_GRID} select j, k::bigint as k, round(sum(v * cos(2 * pi() * k * (i - 1) / {_NX})), 4) + 0.0 as re, round(-sum(v * sin(2 * pi() * k * (i - 1) / {_NX})), 4) + 0.0 as im from g, range(0, {_NX // 2 + 1}) r(k) group by 1, 2""")
 def fourier_rows(spark, d):
     g = part_grid(spark, d)

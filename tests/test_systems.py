@@ -167,6 +167,22 @@ def test_unique_and_places(spark):
     assert [r[0] for r in grids.places(df, F.col("v") == 5.0, "o").collect()] == [1, 5]
 
 
+@pytest.mark.parametrize("shape", ["random", "rising", "falling", "dense", "zigzag"])
+def test_unique_of_chains_across_blocks(spark, shape):
+    rng = np.random.default_rng(3)
+    n = 600
+    v = {"random": rng.uniform(0, 60, n), "rising": np.arange(n) * 0.6, "falling": np.arange(n)[::-1] * 0.6, "dense": rng.uniform(0, 2.5, n), "zigzag": np.arange(n) * 0.6}[shape]
+    order = np.argsort(np.abs(np.sin(np.arange(n)))) if shape == "zigzag" else np.arange(n)
+    rows = [(int(o), float(x), 0, "x") for o, x in zip(order, v, strict=True)] + [(n, None, 0, "x"), (n + 1, float("nan"), 0, "x"), (n + 2, float(v[0]), 0, "x")]
+    held = []
+    for _, x in sorted((o, x) for o, x, *_ in rows[:n]):
+        if all(abs(x - u) > 1.0 for u in held):
+            held.append(x)
+    df = spark.createDataFrame(rows, "o int, v double, state int, block string").repartition(3)
+    assert sorted(r[0] for r in grids.unique(df, "v", "o", 1.0, chunk=70).collect()) == sorted(held)
+    assert grids.unique(df.where("false"), "v", "o").count() == 0
+
+
 # --- stored maps ----------------------------------------------------------------------------------
 
 
