@@ -100,9 +100,12 @@ def value_range(spark, d):
     return n.join(slices.summary(e)).select("n", rounded("least").alias("least"), rounded("most").alias("most"), rounded("mean").alias("mean"))
 
 
-@query("select t as t_idx, round(1990 + (t - 1) // 4 + ((t - 1) % 4 + 0.5) / 4, 9) as time from range(1, 41) r(t)")
+@query("""with y as (select min(year(l_shipdate)) as a, max(year(l_shipdate)) as b from lineitem), r as (select a, unnest(range(1, 4 * (b - a + 1) + 1)) as t from y)
+select t as t_idx, round(a + (t - 1) // 4 + ((t - 1) % 4 + 0.5) / 4, 9) as time from r""")
 def time_axis_subannual(spark, d):
-    return slices.time_axis(spark, 1990.0, 1999.0, 1.0, 4).select("t_idx", rounded("time", 9).alias("time"))
+    """Middles of the quarters of the years that items were shipped in."""
+    a, b = table(spark, d, "lineitem").agg(F.min(F.year("l_shipdate")), F.max(F.year("l_shipdate"))).first()
+    return slices.time_axis(spark, float(a), float(b), 1.0, 4).select("t_idx", rounded("time", 9).alias("time"))
 
 
 # --- stencils on all parts reshaped to a grid 20 wide; the last row may be short --------------------------------

@@ -146,11 +146,13 @@ def polygon_clip(spark, d):
     return placed(spark, d).select("id", rounded(shared("lon", "lat")).alias("area"))
 
 
-@query("select * from (values (1, 59.4444, 0.347855), (2, 19.8757, 0.652145), (3, -19.8757, 0.652145), (4, -59.4444, 0.347855)) t(i, lat, weight)")
+@query("""with t(i, lat, weight) as (values (1, 59.4444, 0.347855), (2, 19.8757, 0.652145), (3, -19.8757, 0.652145), (4, -59.4444, 0.347855))
+select i, lat::double as lat, weight::double as weight, round(avg(p_retailprice), 6) as value from t join part on i = p_partkey % 4 + 1 group by all""")
 def gaussian_latitudes(spark, d):
     lat, weight = geo.gaussian_latitudes(4)
     t = spark.createDataFrame([(i + 1, float(v), float(w)) for i, (v, w) in enumerate(zip(lat, weight, strict=True))], "i int, lat double, weight double")
-    return t.select("i", rounded("lat", 4).alias("lat"), rounded("weight").alias("weight"))
+    rows = table(spark, d, "part").groupBy((F.col("p_partkey") % 4 + 1).cast("int").alias("i")).agg(rounded(F.avg("p_retailprice")).alias("value"))
+    return t.join(rows, "i").select("i", rounded("lat", 4).alias("lat"), rounded("weight").alias("weight"), "value")
 
 
 @query("select p_partkey, round(sqrt(p_retailprice), 6) as root from part")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from gridwake.model import Axis, CoordSystem, Grid, planet
@@ -153,41 +155,43 @@ def bake_weights(spark, d):
     return links.bake(l).select("dst", "src", rounded("w", 9).alias("w"))
 
 
-_AXES = "a as (select i as dst, (i - 1) * 100.0 as lo, i * 100.0 as hi from range(1, 41) r(i)), b as (select i as src, (i - 1) * 37.5 - 20 as lo, i * 37.5 - 20 as hi from range(1, 111) r(i))"
+_AXES = "a as (select p_partkey as dst, (p_partkey - 1) * 100.0 as lo, p_partkey * 100.0 as hi from part), b as (select c_custkey as src, (c_custkey - 1) * 37.5 - 20 as lo, c_custkey * 37.5 - 20 as hi from customer)"
 
 
 @query(f"with {_AXES} select dst, src, round(least(a.hi, b.hi) - greatest(a.lo, b.lo), 9) as w from a join b on a.lo < b.hi and b.lo < a.hi")
 def conservative_1d(spark, d):
-    a = grids.regular_edges(spark, Axis(50.0, 100.0, 40)).withColumnRenamed("idx", "dst")
-    b = grids.regular_edges(spark, Axis(-1.25, 37.5, 110)).withColumnRenamed("idx", "src")
-    return grids.overlap_pairs(a, b, 100.0).select("dst", "src", rounded("w", 9).alias("w"))
-
-
-def _planar():
-    flat = CoordSystem("cartesian", "km")
-    return Grid("coarse", Axis(50.0, 100.0, 30), Axis(50.0, 100.0, 20), flat), Grid("fine", Axis(20.0, 40.0, 75), Axis(20.0, 40.0, 50), flat)
+    """Intervals of 100 numbered by parts against intervals of 37.5 numbered by customers."""
+    side = lambda name, key, out, size, first: table(spark, d, name).select(F.col(key).alias(out), ((F.col(key) - 1) * size + first).alias("lo"), (F.col(key) * size + first).alias("hi"))
+    return grids.overlap_pairs(side("part", "p_partkey", "dst", 100.0, 0.0), side("customer", "c_custkey", "src", 37.5, -20.0), 100.0).select("dst", "src", rounded("w", 9).alias("w"))
 
 
-@query("""with x as (select a.i, b.i as si, least(a.i * 40.0, b.i * 100.0) - greatest((a.i - 1) * 40.0, (b.i - 1) * 100.0) as w from range(1, 76) a(i) join range(1, 31) b(i) on a.i * 40.0 > (b.i - 1) * 100.0 and (a.i - 1) * 40.0 < b.i * 100.0),
-y as (select * from x where i <= 50 and si <= 20), f as (select x.i, y.i as j, x.w * y.w as w, x.si + 10 * y.si as v from x, y)
-select ((j - 1) * 75 + i)::bigint as dst, round(sum(w * v) / sum(w), 6) as value, round(sum(w), 6) as area from f group by 1""")
+@query("""with n as (select max(p_partkey) // 20 + 1 as nj from part), p as (select p_partkey % 20 + 1 as i, p_partkey // 20 + 1 as j, p_retailprice as v from part),
+r as (select unnest(range(1, nj + 1)) as si, nj from n), q as (select unnest(range(1, ceil(nj * 2.5)::bigint + 1)) as i from n),
+y as (select q.i, r.si, least(q.i * 40.0, r.si * 100.0) - greatest((q.i - 1) * 40.0, (r.si - 1) * 100.0) as w from q join r on q.i * 40.0 > (r.si - 1) * 100.0 and (q.i - 1) * 40.0 < r.si * 100.0),
+x as (select a.i, b.i as si, least(a.i * 40.0, b.i * 100.0) - greatest((a.i - 1) * 40.0, (b.i - 1) * 100.0) as w from range(1, 51) a(i) join range(1, 21) b(i) on a.i * 40.0 > (b.i - 1) * 100.0 and (a.i - 1) * 40.0 < b.i * 100.0)
+select ((y.i - 1) * 50 + x.i)::bigint as dst, round(sum(case when v is not null then x.w * y.w * v end) / sum(case when v is not null then x.w * y.w end), 6) as value, round(sum(x.w * y.w), 6) as area
+from x cross join y left join p on p.i = x.si and p.j = y.si group by 1""")
 def conservative_planar(spark, d):
-    source, target = _planar()
+    """The parts' prices as a field of cells of 100 km, on cells of 40 km."""
+    flat, rows = CoordSystem("cartesian", "km"), table(spark, d, "part").agg(F.floor(F.max("p_partkey") / 20) + 1).first()[0]
+    source, target = Grid("coarse", Axis(50.0, 100.0, 20), Axis(50.0, 100.0, rows), flat), Grid("fine", Axis(20.0, 40.0, 50), Axis(20.0, 40.0, math.ceil(rows * 2.5)), flat)
     l = grids.conservative_links(spark, source, target)
-    field = grids.cells(spark, source).select(F.col("cell").alias("src"), (F.col("i") + 10 * F.col("j")).cast("double").alias("value"))
-    out = links.apply(l, field).join(l.groupBy("dst").agg(F.sum("w").alias("area")), "dst")
+    out = l.groupBy("dst").agg(F.sum("w").alias("area")).join(links.apply(l, table(spark, d, "part").select((F.col("p_partkey") + 1).alias("src"), F.col("p_retailprice").alias("value"))), "dst", "left")
     return out.select("dst", rounded("value").alias("value"), rounded("area").alias("area"))
 
 
 @query("""with x as (select a.i, b.i as si, max(least(a.i * 5.0, b.i * 10.0 + k) - greatest((a.i - 1) * 5.0, (b.i - 1) * 10.0 + k)) as w from range(1, 73) a(i), range(1, 37) b(i), (values (-360), (0), (360)) t(k)
   where a.i * 5.0 > (b.i - 1) * 10.0 + k and (a.i - 1) * 5.0 < b.i * 10.0 + k group by 1, 2),
 y as (select a.i, b.i as si, sin(radians(least(-90 + a.i * 5.0, -90 + b.i * 10.0))) - sin(radians(greatest(-90 + (a.i - 1) * 5.0, -90 + (b.i - 1) * 10.0))) as w from range(1, 37) a(i), range(1, 19) b(i)
-  where -90 + a.i * 5.0 > -90 + (b.i - 1) * 10.0 and -90 + (a.i - 1) * 5.0 < -90 + b.i * 10.0)
-select ((y.i - 1) * 72 + x.i)::bigint as dst, ((y.si - 1) * 36 + x.si)::bigint as src, round(x.w * y.w, 9) as w from x, y where y.w > 1e-12""")
+  where -90 + a.i * 5.0 > -90 + (b.i - 1) * 10.0 and -90 + (a.i - 1) * 5.0 < -90 + b.i * 10.0),
+f as (select c_custkey % 648 + 1 as src, c_custkey // 648 as k, c_acctbal as v from customer)
+select ((y.i - 1) * 72 + x.i)::bigint as dst, k, round(sum(x.w * y.w * v) / sum(x.w * y.w), 6) as value from x, y, f where y.w > 1e-12 and src = (y.si - 1) * 36 + x.si group by 1, 2""")
 def conservative_latlon(spark, d):
+    """The customers' balances as slices of fields of 10 degrees, on cells of 5 degrees."""
     source = Grid("10", Axis(5.0, 10.0, 36), Axis(-85.0, 10.0, 18))
     target = Grid("5", Axis(2.5, 5.0, 72), Axis(-87.5, 5.0, 36))
-    return grids.conservative_links(spark, source, target).where("w > 1e-12").select("dst", "src", rounded("w", 9).alias("w"))
+    field = table(spark, d, "customer").select((F.col("c_custkey") % 648 + 1).alias("src"), F.floor(F.col("c_custkey") / 648).alias("k"), F.col("c_acctbal").alias("value"))
+    return links.apply(grids.conservative_links(spark, source, target).where("w > 1e-12"), field, keys=["k"]).select("dst", "k", rounded("value").alias("value"))
 
 
 @query("""with t as (select c_custkey as dst, c_acctbal * 0.09 as x, (c_custkey % 100)::double as y from customer),
@@ -202,10 +206,13 @@ def structured_locate_bilinear(spark, d):
     return links.apply(grids.bilinear_links(t, g), field).select("dst", rounded("value").alias("value"))
 
 
-@query("select ((j - 1) * 12 + i)::bigint as cell, i::bigint as i, j::bigint as j, (i - 1) * 30.0 as x, 75.0 - (j - 1) * 25 as y, (case when j in (1, 7) then 1 else 0 end)::integer as border, case when (i - 1) * 30 > 180 then (i - 1) * 30.0 - 360 else (i - 1) * 30.0 end as lon from range(1, 13) r(i), range(1, 8) s(j)")
+@query("""with g as (select ((j - 1) * 12 + i)::bigint as cell, i::bigint as i, j::bigint as j, (i - 1) * 30.0 as x, 75.0 - (j - 1) * 25 as y, (case when j in (1, 7) then 1 else 0 end)::integer as border, case when (i - 1) * 30 > 180 then (i - 1) * 30.0 - 360 else (i - 1) * 30.0 end as lon from range(1, 13) r(i), range(1, 8) s(j))
+select c_custkey as id, g.* from customer join g on cell = c_custkey % 84 + 1""")
 def grid_cells(spark, d):
+    """Each customer with a cell of a grid of the world."""
     g = Grid("world", Axis(0.0, 30.0, 12), Axis(75.0, -25.0, 7))
-    return grids.cells(spark, g).select("cell", "i", "j", "x", "y", "border", grids.lon180(F.col("x")).alias("lon"))
+    cells = grids.cells(spark, g).select("cell", "i", "j", "x", "y", "border", grids.lon180(F.col("x")).alias("lon"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 84 + 1).alias("cell")).join(cells, "cell")
 
 
 @query("select c_nationkey, round(sum(case when c_acctbal > 0 then c_custkey * c_acctbal end) / sum(case when c_acctbal > 0 then c_custkey end), 6) as value from customer group by 1")
@@ -231,13 +238,19 @@ def sparse_product(spark, d):
     return solvers.product(a, x).select("i", rounded("v", 2).alias("v"))
 
 
-@query("""with x as (select a.i, b.i as si, least(a.i * 70.0, b.i * 100.0) - greatest((a.i - 1) * 70.0, (b.i - 1) * 100.0) as w from range(1, 15) a(i) join range(1, 11) b(i) on a.i * 70.0 > (b.i - 1) * 100.0 and (a.i - 1) * 70.0 < b.i * 100.0)
-select ((y.i - 1) * 14 + x.i)::bigint as dst, ((y.si - 1) * 10 + x.si)::bigint as src, round(x.w * y.w, 6) as w from x, x y""")
+def _hundreds(spark, d):
+    """The parts' prices as slices of a field of 10 x 10 cells."""
+    return table(spark, d, "part").select((F.col("p_partkey") % 100 + 1).alias("src"), F.floor(F.col("p_partkey") / 100).alias("k"), F.col("p_retailprice").alias("value"))
+
+
+@query("""with x as (select a.i, b.i as si, least(a.i * 70.0, b.i * 100.0) - greatest((a.i - 1) * 70.0, (b.i - 1) * 100.0) as w from range(1, 15) a(i) join range(1, 11) b(i) on a.i * 70.0 > (b.i - 1) * 100.0 and (a.i - 1) * 70.0 < b.i * 100.0),
+f as (select p_partkey % 100 + 1 as src, p_partkey // 100 as k, p_retailprice as v from part)
+select ((y.i - 1) * 14 + x.i)::bigint as dst, k, round(sum(x.w * y.w * v) / sum(x.w * y.w), 6) as value from x, x y, f where src = (y.si - 1) * 10 + x.si group by 1, 2""")
 def conservative_clipped(spark, d):
     flat = CoordSystem("cartesian", "km")
     source, target = Grid("a", Axis(50.0, 100.0, 10), Axis(50.0, 100.0, 10), flat), Grid("b", Axis(35.0, 70.0, 14), Axis(35.0, 70.0, 14), flat)
     s, t = (remap.rectangles(grids.cells(spark, g), g.x.dx, g.y.dx, k) for g, k in ((source, "src"), (target, "dst")))
-    return remap.clipped_links(t, s, 100.0).where("w > 1e-9").select("dst", "src", rounded("w").alias("w"))
+    return links.apply(remap.clipped_links(t, s, 100.0).where("w > 1e-9"), _hundreds(spark, d), keys=["k"]).select("dst", "k", rounded("value").alias("value"))
 
 
 def _triangle(a: int, b: int, c: int) -> str:
@@ -315,12 +328,12 @@ def locate_any_axis(spark, d):
 @query("""with e as (select k, case when k = 0 then -5.0 when k = 10 then 895.0 else (10 * k * k + 10 * (k - 1) * (k - 1)) / 2.0 end as x from range(0, 11) r(k)),
 s as (select a.k + 1 as si, a.x as lo, b.x as hi from e a join e b on b.k = a.k + 1), x as (select i, si, least(i * 60.0, hi) - greatest((i - 1) * 60.0, lo) as w from range(1, 16) r(i) join s on i * 60.0 > lo and (i - 1) * 60.0 < hi),
 y as (select j, sj, least(j * 15.0, sj * 10.0) - greatest((j - 1) * 15.0, (sj - 1) * 10.0) as w from range(1, 7) r(j) join range(1, 11) t(sj) on j * 15.0 > (sj - 1) * 10.0 and (j - 1) * 15.0 < sj * 10.0)
-select ((j - 1) * 15 + i)::bigint as dst, ((sj - 1) * 10 + si)::bigint as src, round(x.w * y.w, 6) as w from x, y""")
+select ((j - 1) * 15 + i)::bigint as dst, p_partkey // 100 as k, round(sum(x.w * y.w * p_retailprice) / sum(x.w * y.w), 6) as value from x, y, part where p_partkey % 100 + 1 = (sj - 1) * 10 + si group by 1, 2""")
 def conservative_any_axis(spark, d):
     flat = CoordSystem("cartesian", "km")
     source = Grid("source", Axis.of([10.0 * k * k for k in range(10)]), Axis(5.0, 10.0, 10), flat)
     target = Grid("target", Axis(30.0, 60.0, 15), Axis(7.5, 15.0, 6), flat)
-    return grids.conservative_links(spark, source, target).select("dst", "src", rounded("w").alias("w"))
+    return links.apply(grids.conservative_links(spark, source, target), _hundreds(spark, d), keys=["k"]).select("dst", "k", rounded("value").alias("value"))
 
 
 @query(f"""with {_PLACES}, c as (select i, j, ((j - 1) * 10 + i)::bigint as cell, case when (i + j) % 3 = 0 then (3 * i + 2 * j)::double end as v from range(1, 11) r(i), range(1, 11) s(j)),

@@ -38,11 +38,16 @@ def interp_align(spark, d):
     return series.align(daily(spark, d), probes(spark, d), ["k"], 0.3).select("id", "k", rounded("y").alias("y"))
 
 
-@query("""with t(k, v) as (values (-100.0, 0.0), (0.0, 0.0), (500.0, 5.0), (1000.0, 10.0), (1500.0, 15.0), (3000.0, 20.0)) select k as time, v as value, round(case when k <= 0 then 2 when k >= 2000 then 10 else 2 + k / 250 end, 6) as sigma from t""")
+@query("""with s as (select p_size * 40.0 as x, avg(p_retailprice) as v, avg(p_partkey % 7) as g from part group by 1),
+t as (select distinct date_diff('day', date '1995-01-01', o_orderdate::date)::double as x from orders),
+b as (select t.x, max(s.x) filter (s.x <= t.x) as x0, max_by(v, s.x) filter (s.x <= t.x) as v0, max_by(g, s.x) filter (s.x <= t.x) as g0, min(s.x) filter (s.x > t.x) as x1, min_by(v, s.x) filter (s.x > t.x) as v1, min_by(g, s.x) filter (s.x > t.x) as g1 from t, s group by 1)
+select x as time, round(case when x0 is null then v1 when x1 is null then v0 else v0 + (v1 - v0) * (x - x0) / (x1 - x0) end, 4) as value, round(case when x0 is null then g1 when x1 is null then g0 else g0 + (g1 - g0) * (x - x0) / (x1 - x0) end, 4) as sigma from b""")
 def series_clamp(spark, d):
-    s = spark.createDataFrame([(0, 0.0, 0.0, 2.0), (0, 1000.0, 10.0, 6.0), (0, 2000.0, 20.0, 10.0)], "channel int, time double, value double, sigma double")
-    t = spark.createDataFrame([(0, x) for x in (-100.0, 0.0, 500.0, 1000.0, 1500.0, 3000.0)], "channel int, time double")
-    return series.series_lookup(s, t, ["channel"], 700.0).select("time", rounded("value").alias("value"), rounded("sigma").alias("sigma"))
+    """A series over part sizes at the days of orders, some of them before its first and behind its last step."""
+    s = table(spark, d, "part").groupBy((F.col("p_size") * 40.0).alias("time")).agg(F.avg("p_retailprice").alias("value"), F.avg(F.col("p_partkey") % 7).alias("sigma"))
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("double")
+    t = table(spark, d, "orders").select(F.lit(0).alias("channel"), day.alias("time")).distinct()
+    return series.series_lookup(s.withColumn("channel", F.lit(0)), t, ["channel"], 700.0).select("time", rounded("value", 4).alias("value"), rounded("sigma", 4).alias("sigma"))
 
 
 _BINS = """with s as (select (p_size)::double as x, avg(p_retailprice) as y from part group by 1),
@@ -83,9 +88,11 @@ def spline(spark, d):
     return splines.spline(points, e.select("k", F.col("at").alias("x")).distinct(), ["k"]).select("k", "x", rounded("y").alias("y"))
 
 
-@query("select t as time from (select unnest(generate_series(0, 10)) * 2.5 as t)")
+@query("with m as (select max(date_diff('day', date '1995-01-01', o_orderdate::date)) as last from orders) select t as time from (select unnest(generate_series(0, floor(last / 2.5)::bigint)) * 2.5 as t from m)")
 def timeout_sequence(spark, d):
-    return schedule.times_table(spark, schedule.output_times("const", 0.0, 25.0, 2.5))
+    """Output every 2.5 days up to the last order."""
+    last = table(spark, d, "orders").agg(F.max(F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")))).first()[0]
+    return schedule.times_table(spark, schedule.output_times("const", 0.0, 2.5 * (last // 2.5), 2.5))
 
 
 @query("select distinct p_size::double as t, count(*) over (partition by p_size) as n from part where p_size in (5, 10, 15, 42)")
@@ -95,9 +102,12 @@ def timeout_semi(spark, d):
     return schedule.at_listed_times(p, times).groupBy(F.col("time").alias("t")).agg(F.count("*").alias("n"))
 
 
-@query("select n::bigint as n, least(1990 + n * 0.25, 2000.0)::double as time, (least(1990 + n * 0.25, 2000.0) - 1990)::double as elapsed, (least(1990 + n * 0.25, 2000.0) - 1950)::double as calendar from range(0, 41) r(n)")
+@query("""with y as (select min(year(o_orderdate)) as a, max(year(o_orderdate)) + 1 as b from orders), r as (select a, b, unnest(range(0, 4 * (b - a) + 1)) as n from y)
+select n::bigint as n, (a + n * 0.25)::double as time, (n * 0.25)::double as elapsed, (a + n * 0.25 - 1950)::double as calendar from r""")
 def clock(spark, d):
-    return schedule.clock(spark, 1990.0, 2000.0, 0.25, 1950.0)
+    """Quarters of the years that orders cover."""
+    a, b = table(spark, d, "orders").agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate")) + 1).first()
+    return schedule.clock(spark, float(a), float(b), 0.25, 1950.0)
 
 
 @query("""select event_type as label, round(sum(value), 3) as seconds, count(*)::double as model_time, round(sum(value) / count(*), 6) as rate from events group by 1""")

@@ -8,19 +8,21 @@ from gridwake.plans.registry import query, rounded, table
 from gridwake.streaming import forcing
 from gridwake.streaming.forcing import Forcing
 
-_T = "t as (select i * 25.0 as t from range(0, 121) r(i))"
+#: Days of orders since 1995: the times that generators are evaluated at.
+_T = "t as (select o_orderkey as id, date_diff('day', date '1995-01-01', o_orderdate::date)::double as t from orders)"
 
 
-def times(spark):
-    return spark.range(121).select((F.col("id") * 25.0).alias("t"))
+def times(spark, d):
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("double")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), day.alias("t"))
 
 
 def _closed(name: str, p: Forcing, sql: str):
     def f(spark, d):
-        return times(spark).select("t", rounded(forcing.closed_form(p, F.col("t")), 9).alias("f"))
+        return times(spark, d).select("id", "t", rounded(forcing.closed_form(p, F.col("t")), 9).alias("f"))
 
     f.__name__ = name
-    return query(f"with {_T} select t, round({sql}, 9) + 0.0 as f from t")(f)
+    return query(f"with {_T} select id, t, round({sql}, 9) + 0.0 as f from t")(f)
 
 
 _closed("forcing_ramp", Forcing("ramp-time", dt_ramp=1000.0, f_min=0.0, f_max=10.0), "least(greatest(t / 100, 0), 10)")
@@ -29,11 +31,11 @@ _closed("forcing_step", Forcing("ramp-time-step", dt_ramp=1000.0, dt_conv=1000.0
 _closed("forcing_sin", Forcing("sin", dt_ramp=2000.0, f_min=0.0, f_max=10.0), "5 * sin(2 * pi() * t / 2000) + 5")
 
 
-@query(f"""with {_T}, f as (select t, least(greatest(t / 100, 0), 10) as f from t) select t as time, round(f, 9) as f_mean,
+@query(f"""with {_T}, f as (select distinct t, least(greatest(t / 100, 0), 10) as f from t) select t as time, round(f, 9) as f_mean,
   round((coalesce(lead(f) over w, f) - coalesce(lag(f) over w, f)) / (coalesce(lead(t) over w, t) - coalesce(lag(t) over w, t)), 9) as df_dt from f window w as (order by t)""")
 def forcing_table(spark, d):
     p = Forcing("ramp-time", dt_ramp=1000.0, f_min=0.0, f_max=10.0)
-    out = forcing.tabulate(p, times(spark).withColumnRenamed("t", "time"), 0.0)
+    out = forcing.tabulate(p, times(spark, d).select(F.col("t").alias("time")).distinct(), 0.0)
     return out.select("time", rounded("f_mean", 9).alias("f_mean"), rounded("df_dt", 9).alias("df_dt"))
 
 
