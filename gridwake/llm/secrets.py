@@ -105,7 +105,10 @@ def redact(docs: DataFrame, repository: Column, owner: Column, mark: str = "[sec
     """docs with every span that looks live replaced by mark; n_chars follows. No row is dropped.
 
     The spans' offsets are found again on the row's own text; live values come by doc_id (null is like any other) and text.
+    Rows without any candidate pass by: only texts that may change are shuffled.
     """
+    may = F.coalesce(F.col("text").rlike(ASSIGN) | F.col("text").rlike(ACCESS) | F.col("text").rlike(HEX) | F.col("text").rlike(OPAQUE), F.lit(False))
+    every, docs = docs, docs.where(may)
     digest = F.xxhash64("text")
     keyed = docs.select("doc_id", "text", digest.alias("digest"), repository.alias("repository"), owner.alias("owner"))
     found = spans(keyed, "doc_id", "digest", "repository", "owner").where("size(base) + size(opaque) > 0")
@@ -121,7 +124,8 @@ def redact(docs: DataFrame, repository: Column, owner: Column, mark: str = "[sec
         (a, x) -> if(x.e <= a.p, a, named_struct('p', x.e, 'o', if(x.s >= a.p, concat(a.o, substring(r.text, a.p + 1, x.s - a.p), '%s'), a.o))),
         a -> concat(a.o, substring(r.text, a.p + 1)))""" % mark
     wide = wide.withColumn("clean", F.expr(f"if(size(cut) > 0, {fold}, r.text)"))
-    return wide.select(*[(F.col("clean") if c == "text" else F.when(F.size("cut") > 0, F.length("clean").cast("long")).otherwise(F.col("r")[c]) if c == "n_chars" else F.col("r")[c]).alias(c) for c in docs.columns])
+    changed = wide.select(*[(F.col("clean") if c == "text" else F.when(F.size("cut") > 0, F.length("clean").cast("long")).otherwise(F.col("r")[c]) if c == "n_chars" else F.col("r")[c]).alias(c) for c in docs.columns])
+    return every.where(~may).unionByName(changed)
 
 
 def sources() -> tuple[Column, Column]:
