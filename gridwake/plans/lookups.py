@@ -38,16 +38,16 @@ def interp_align(spark, d):
     return series.align(daily(spark, d), probes(spark, d), ["k"], 0.3).select("id", "k", rounded("y").alias("y"))
 
 
-@query("""with s as (select p_size * 40.0 as x, avg(p_retailprice) as v, avg(p_partkey % 7) as g from part group by 1),
+@query("""with s as (select p_size * 40.0 as x, avg(sqrt(p_retailprice)) as v, avg(sqrt(p_partkey)) as g from part group by 1),
 t as (select distinct date_diff('day', date '1995-01-01', o_orderdate::date)::double as x from orders),
 b as (select t.x, max(s.x) filter (s.x <= t.x) as x0, max_by(v, s.x) filter (s.x <= t.x) as v0, max_by(g, s.x) filter (s.x <= t.x) as g0, min(s.x) filter (s.x > t.x) as x1, min_by(v, s.x) filter (s.x > t.x) as v1, min_by(g, s.x) filter (s.x > t.x) as g1 from t, s group by 1)
-select x as time, round(case when x0 is null then v1 when x1 is null then v0 else v0 + (v1 - v0) * (x - x0) / (x1 - x0) end, 4) as value, round(case when x0 is null then g1 when x1 is null then g0 else g0 + (g1 - g0) * (x - x0) / (x1 - x0) end, 4) as sigma from b""")
+select x as time, round(case when x0 is null then v1 when x1 is null then v0 else v0 + (v1 - v0) * (x - x0) / (x1 - x0) end, 6) as value, round(case when x0 is null then g1 when x1 is null then g0 else g0 + (g1 - g0) * (x - x0) / (x1 - x0) end, 6) as sigma from b""")
 def series_clamp(spark, d):
     """A series over part sizes at the days of orders, some of them before its first and behind its last step."""
-    s = table(spark, d, "part").groupBy((F.col("p_size") * 40.0).alias("time")).agg(F.avg("p_retailprice").alias("value"), F.avg(F.col("p_partkey") % 7).alias("sigma"))
+    s = table(spark, d, "part").groupBy((F.col("p_size") * 40.0).alias("time")).agg(F.avg(F.sqrt("p_retailprice")).alias("value"), F.avg(F.sqrt("p_partkey")).alias("sigma"))
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")).cast("double")
     t = table(spark, d, "orders").select(F.lit(0).alias("channel"), day.alias("time")).distinct()
-    return series.series_lookup(s.withColumn("channel", F.lit(0)), t, ["channel"], 700.0).select("time", rounded("value", 4).alias("value"), rounded("sigma", 4).alias("sigma"))
+    return series.series_lookup(s.withColumn("channel", F.lit(0)), t, ["channel"], 700.0).select("time", rounded("value").alias("value"), rounded("sigma").alias("sigma"))
 
 
 _BINS = """with s as (select (p_size)::double as x, avg(p_retailprice) as y from part group by 1),
