@@ -45,27 +45,28 @@ def quadrant_latlon(spark, d):
     return placed(spark, d).select("id", geo.quadrant_latlon(F.col("lon"), F.col("lat"), F.col("lonn"), F.col("latn")).alias("quadrant"))
 
 
-@query(f"""with {_P}, t as (select id, lat, radians(lon + 40) as l, radians(lat) as p from p), k as (select id, l, p, (1 + cos(radians(10.0))) / (1 + cos(p) * cos(radians(72.0)) * cos(l) + sin(p) * sin(radians(72.0))) as t from t where lat > 0)
-select id, round(6371000.0 * cos(p) * sin(l) * t, 3) + 0.0 as x, round(6371000.0 * (sin(p) * cos(radians(72.0)) - cos(p) * sin(radians(72.0)) * cos(l)) * t, 3) + 0.0 as y from k""")
+#: Whole-degree places all over the globe: a centre between whole degrees has no place at its antipode.
+@query(f"""with {_P}, t as (select id, lat, radians(lon + 40.5) as l, radians(lat) as p from p), k as (select id, l, p, (1 + cos(radians(10.0))) / (1 + cos(p) * cos(radians(71.5)) * cos(l) + sin(p) * sin(radians(71.5))) as t from t)
+select id, round(6371.0 * cos(p) * sin(l) * t, 1) + 0.0 as x, round(6371.0 * (sin(p) * cos(radians(71.5)) - cos(p) * sin(radians(71.5)) * cos(l)) * t, 1) + 0.0 as y from k""")
 def project_stereographic(spark, d):
-    x, y = geo.stereographic(F.col("lon"), F.col("lat"), -40.0, 72.0, 10.0, 6371000.0)
-    return placed(spark, d).where("lat > 0").select("id", rounded(x, 3).alias("x"), rounded(y, 3).alias("y"))
+    x, y = geo.stereographic(F.col("lon"), F.col("lat"), -40.5, 71.5, 10.0, 6371000.0)
+    return placed(spark, d).select("id", rounded(x / 1000, 1).alias("x"), rounded(y / 1000, 1).alias("y"))
 
 
-@query(f"with {_P} select id, round(case when lon >= 180 then lon - 360 else lon end, 6) + 0.0 as lon, round(lat, 6) + 0.0 as lat from p where lat > 0")
+@query(f"with {_P} select id, round(case when lon >= 180 then lon - 360 else lon end, 6) + 0.0 as lon, round(lat, 6) + 0.0 as lat from p")
 def inverse_stereographic(spark, d):
-    x, y = geo.stereographic(F.col("lon"), F.col("lat"), -40.0, 72.0, 10.0, 6371000.0)
-    p = placed(spark, d).where("lat > 0").select("id", x.alias("x"), y.alias("y"))
-    lon, lat = geo.inverse_stereographic(F.col("x"), F.col("y"), -40.0, 72.0, 10.0, 6371000.0)
+    x, y = geo.stereographic(F.col("lon"), F.col("lat"), -40.5, 71.5, 10.0, 6371000.0)
+    p = placed(spark, d).select("id", x.alias("x"), y.alias("y"))
+    lon, lat = geo.inverse_stereographic(F.col("x"), F.col("y"), -40.5, 71.5, 10.0, 6371000.0)
     lon = F.when(F.round(lon, 6) >= 180, lon - 360).otherwise(lon)
     return p.select("id", rounded(lon).alias("lon"), rounded(lat).alias("lat"))
 
 
-@query(f"with {_P} select id, round(case when lon >= 180 then lon - 360 else lon end, 6) + 0.0 as lon, round(lat, 6) + 0.0 as lat from p where lat > 0")
+@query(f"with {_P} select id, round(case when lon >= 180 then lon - 360 else lon end, 6) + 0.0 as lon, round(lat, 6) + 0.0 as lat from p")
 def equal_area_round_trip(spark, d):
-    x, y = geo.equal_area(F.col("lon"), F.col("lat"), 10.0, 52.0, 6371000.0)
-    p = placed(spark, d).where("lat > 0").select("id", x.alias("x"), y.alias("y"))
-    lon, lat = geo.inverse_equal_area(F.col("x"), F.col("y"), 10.0, 52.0, 6371000.0)
+    x, y = geo.equal_area(F.col("lon"), F.col("lat"), 10.5, 52.5, 6371000.0)
+    p = placed(spark, d).select("id", x.alias("x"), y.alias("y"))
+    lon, lat = geo.inverse_equal_area(F.col("x"), F.col("y"), 10.5, 52.5, 6371000.0)
     lon = F.when(F.round(lon, 6) >= 180, lon - 360).otherwise(lon)
     return p.select("id", rounded(lon).alias("lon"), rounded(lat).alias("lat"))
 
@@ -86,15 +87,15 @@ def _round_trip(kind: str, lon0: float, lat0: float, alpha: float):
                 lon, lat = geo.ellipsoid_project(kind, x, y, lon0, lat0, alpha, inverse=True)
                 yield pd.DataFrame({"id": p["id"], "lat": lat, "coslon": np.cos(np.radians(lon))})
 
-        out = placed(spark, d).where("lat > 0").select("id", "lon", "lat").mapInPandas(run, "id long, lat double, coslon double")
+        out = placed(spark, d).select("id", "lon", "lat").mapInPandas(run, "id long, lat double, coslon double")
         return out.select("id", rounded("lat").alias("lat"), rounded("coslon").alias("coslon"))
 
     f.__name__ = f"ellipsoid_{kind}"
     return f
 
 
-for _kind, _lat0, _alpha in (("stereographic", 72.0, 10.0), ("polar_stereographic", 90.0, 19.0), ("equal_area", 52.0, 0.0)):
-    query(f"with {_P} select id, round(lat, 6) + 0.0 as lat, round(cos(radians(lon)), 6) + 0.0 as coslon from p where lat > 0")(_round_trip(_kind, -40.0, _lat0, _alpha))
+for _kind, _lat0, _alpha in (("stereographic", 71.5, 10.0), ("polar_stereographic", 90.0, 19.0), ("equal_area", 52.5, 0.0)):
+    query(f"with {_P} select id, round(lat, 6) + 0.0 as lat, round(cos(radians(lon)), 6) + 0.0 as coslon from p")(_round_trip(_kind, -40.5, _lat0, _alpha))
 
 
 #: Vincenty's inverse formulas, 100 rounds for every pair; no pair of the whole-degree places is too near an antipode for it.
