@@ -62,17 +62,23 @@ def times_table(spark: SparkSession, times: list[float]) -> DataFrame:
     return spark.createDataFrame([(float(t),) for t in times], "time double")
 
 
-def at_listed_times(df: DataFrame, times: DataFrame, column: str = "time", tolerance: float = TOLERANCE) -> DataFrame:
-    """Rows whose time is within tolerance of a listed one: an equi-join on cells of that width, no nested loop."""
+def at_listed_times(df: DataFrame, times: DataFrame, column: str = "time", tolerance: float = TOLERANCE, by: list[str] | None = None) -> DataFrame:
+    """Rows whose time is within tolerance of a listed one (of their own key, if `by` names one): an equi-join on cells of that width, no nested loop."""
+    by = by or []
     cell = lambda c: F.floor(c / tolerance).cast("long")
-    near = times.select(F.col("time").alias("_t"), F.explode(F.sequence(cell(F.col("time")) - 1, cell(F.col("time")) + 1)).alias("_c"))
+    near = times.select(*[F.col(k).alias(f"_{k}") for k in by], F.col("time").alias("_t"), F.explode(F.sequence(cell(F.col("time")) - 1, cell(F.col("time")) + 1)).alias("_c"))
     rows = df.withColumn("_c", cell(F.col(column)))
-    return rows.join(near, (rows["_c"] == near["_c"]) & (F.abs(rows[column] - near["_t"]) < tolerance), "left_semi").drop("_c")
+    on = (rows["_c"] == near["_c"]) & (F.abs(rows[column] - near["_t"]) < tolerance)
+    for k in by:
+        on &= rows[k] == near[f"_{k}"]
+    return rows.join(near, on, "left_semi").drop("_c")
 
 
-def match_time(df: DataFrame, new: DataFrame, column: str = "time", tolerance: float = 1e-7) -> DataFrame:
-    """Upsert by time: rows of new replace those at the same time, others are added."""
-    return df.join(at_listed_times(df, new.select(F.col(column).alias("time")).distinct(), column, tolerance).select(column).distinct(), column, "left_anti").unionByName(new)
+def match_time(df: DataFrame, new: DataFrame, column: str = "time", tolerance: float = 1e-7, by: list[str] | None = None) -> DataFrame:
+    """Upsert by time: rows of new replace those at the same time (of the same series, if `by` names its keys), others are added."""
+    by = by or []
+    same = at_listed_times(df, new.select(*by, F.col(column).alias("time")).distinct(), column, tolerance, by)
+    return df.join(same.select(*by, column).distinct(), [*by, column], "left_anti").unionByName(new)
 
 
 def clock(spark: SparkSession, t0: float, t1: float, dt: float, reference: float = 0.0) -> DataFrame:
