@@ -20,15 +20,19 @@ def bracket(points: DataFrame, probes: DataFrame, by: list[str], width: float, x
     p = points.select(*by, cell, F.col(x), F.struct(F.col(x), F.col(y)).alias("_p"))
     row = F.struct(*[F.col(c) for c in kept]).alias("_row")
     both = p.withColumn("_row", F.lit(None).cast(probes.select(row).schema["_row"].dataType)).unionByName(probes.select(*by, cell, F.col(x), F.lit(None).cast(p.schema["_p"].dataType).alias("_p"), row))
-    here = Window.partitionBy(*by, "_cell").orderBy(x)
-    # a RANGE frame takes points of equal place in whatever order they come
-    both = both.withColumn("lo", F.last("_p", ignorenulls=True).over(here.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    both = both.withColumn("hi", F.first("_p", ignorenulls=True).over(here.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    here = Window.partitionBy(*by, "_cell")
+    # points before probes of the same place, and the reverse order for what follows: both frames start at the first row,
+    # so they grow row by row (one that ends at the last row is summed anew for each)
+    probe = F.col("_row").isNotNull()
+    past = lambda *order: here.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("lo", F.last("_p", ignorenulls=True).over(past(F.col(x), probe)))
+    both = both.withColumn("hi", F.last("_p", ignorenulls=True).over(past(F.col(x).desc(), probe.desc())))
     found = both.where("_row is not null")
     ends = p.groupBy(*by, "_cell").agg(F.max_by("_p", x).alias("end"), F.min_by("_p", x).alias("begin"))
     cells = ends.unionByName(found.select(*by, "_cell").distinct().join(ends.select(*by, "_cell"), [*by, "_cell"], "left_anti").select(*by, "_cell", F.lit(None).cast(p.schema["_p"].dataType).alias("end"), F.lit(None).cast(p.schema["_p"].dataType).alias("begin")))
-    order = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_cell")
-    carry = cells.select(*by, "_cell", F.last("end", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_lo"), F.first("begin", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_hi"))
+    order = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = lambda c: order.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
+    carry = cells.select(*by, "_cell", F.last("end", ignorenulls=True).over(before(F.col("_cell"))).alias("_lo"), F.last("begin", ignorenulls=True).over(before(F.col("_cell").desc())).alias("_hi"))
     out = found.join(carry, [*by, "_cell"])
     return out.select("_row.*", F.coalesce("lo", "_lo").alias("lo"), F.coalesce("hi", "_hi").alias("hi"))
 
