@@ -26,3 +26,14 @@ def test_a_probe_on_a_point_lies_between_it_and_the_next(spark, width):
     q = spark.createDataFrame([(1, x) for x in (-1.0, 0.0, 1.0, 1.0, 2.0, 3.0, 9.0, 11.0)], "k int, x double")
     got = sorted((r["x"], r["lo"] and r["lo"]["x"], r["hi"] and r["hi"]["x"]) for r in series.bracket(p, q, ["k"], width).collect())
     assert got == [(-1.0, None, 0.0), (0.0, 0.0, 1.0), (1.0, 1.0, 3.0), (1.0, 1.0, 3.0), (2.0, 1.0, 3.0), (3.0, 3.0, 9.0), (9.0, 9.0, None), (11.0, 9.0, None)]
+
+
+def test_alignment_of_many_probes_in_one_bucket(spark):
+    p = spark.range(4).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("x"), (F.col("id") * 10.0).alias("y"))
+    q = spark.range(20000).select(F.lit(1).alias("k"), (F.col("id") / 4000.0).alias("x"))
+    at = series.align(p, q, ["k"], 0.25)
+    assert "unboundedfollowing" not in plan(at).lower()
+    out = at.toPandas()
+    near = np.clip(np.ceil(out["x"] - 0.5), 0, 3)
+    want = np.where(np.abs(out["x"] - near) <= 0.25, near * 10.0, np.nan)
+    assert len(out) == 20000 and np.array_equal(out["y"].to_numpy(float), want, equal_nan=True)
