@@ -1,8 +1,9 @@
 """Series lookups: bracketing joins with linear blends, nearest samples, conservative bins.
 
-bracket() finds the points around each probe. Points and probes are cut into buckets of the axis;
-windows sort one key's bucket at a time, and a small table of buckets carries the nearest points
-over empty ones. So a key that holds most rows is still spread over tasks.
+bracket() finds the points around each probe. Points and the probes' distinct places are cut into buckets
+of the axis; windows sort one key's bucket at a time, a small table of buckets carries the nearest points
+over empty ones, and probes meet their places' brackets by an equi-join. So a key that holds most rows is
+still spread over tasks, and so is a place that holds most probes.
 """
 
 from __future__ import annotations
@@ -14,27 +15,24 @@ from gridwake.operators.slices import blend
 
 
 def bracket(points: DataFrame, probes: DataFrame, by: list[str], width: float, x: str = "x", y: str = "y") -> DataFrame:
-    """probes with lo (the last point at or below) and hi (the first point above) as structs (x, y)."""
-    kept = probes.columns
+    """probes with lo (the last point at or below) and hi (the first point above) as structs (x, y); probes without key or place are left out."""
     cell = F.floor(F.col(x) / width).alias("_cell")
     p = points.select(*by, cell, F.col(x), F.struct(F.col(x), F.col(y)).alias("_p"))
-    row = F.struct(*[F.col(c) for c in kept]).alias("_row")
-    both = p.withColumn("_row", F.lit(None).cast(probes.select(row).schema["_row"].dataType)).unionByName(probes.select(*by, cell, F.col(x), F.lit(None).cast(p.schema["_p"].dataType).alias("_p"), row))
-    here = Window.partitionBy(*by, "_cell")
-    # points before probes of the same place, and the reverse order for what follows: both frames start at the first row,
-    # so they grow row by row (one that ends at the last row is summed anew for each)
-    probe = F.col("_row").isNotNull()
-    past = lambda *order: here.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = both.withColumn("lo", F.last("_p", ignorenulls=True).over(past(F.col(x), probe)))
-    both = both.withColumn("hi", F.last("_p", ignorenulls=True).over(past(F.col(x).desc(), probe.desc())))
-    found = both.where("_row is not null")
-    ends = p.groupBy(*by, "_cell").agg(F.max_by("_p", x).alias("end"), F.min_by("_p", x).alias("begin"))
-    cells = ends.unionByName(found.select(*by, "_cell").distinct().join(ends.select(*by, "_cell"), [*by, "_cell"], "left_anti").select(*by, "_cell", F.lit(None).cast(p.schema["_p"].dataType).alias("end"), F.lit(None).cast(p.schema["_p"].dataType).alias("begin")))
-    order = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    before = lambda c: order.orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
-    carry = cells.select(*by, "_cell", F.last("end", ignorenulls=True).over(before(F.col("_cell"))).alias("_lo"), F.last("begin", ignorenulls=True).over(before(F.col("_cell").desc())).alias("_hi"))
-    out = found.join(carry, [*by, "_cell"])
-    return out.select("_row.*", F.coalesce("lo", "_lo").alias("lo"), F.coalesce("hi", "_hi").alias("hi"))
+    # probes of one place share their bracket: places are sorted, however many probes they have
+    places = probes.select(*by, x).distinct().select(*by, cell, x, F.lit(None).cast(p.schema["_p"].dataType).alias("_p"), F.col(x).alias("_at"))
+    both = p.withColumn("_at", F.lit(None).cast(places.schema["_at"].dataType)).unionByName(places)
+    for c in (*by, "_cell"):  # the joins below ask for it; here both uses of the union do, and share what is below it
+        both = both.where(F.col(c).isNotNull())
+    point = F.col("_p").isNotNull()
+    # points before probes of the same place; the nearest points of both sides in one order, each found once
+    here = Window.partitionBy(*by, "_cell").orderBy(F.col(x), point.desc())
+    found = both.select("*", F.expr("lag(_p) ignore nulls").over(here).alias("_lo"), F.expr("lead(_p) ignore nulls").over(here).alias("_hi")).where(~point)
+    at = F.when(point, F.col(x))
+    cells = both.groupBy(*by, "_cell").agg(F.max_by("_p", at).alias("end"), F.min_by("_p", at).alias("begin"))
+    order = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_cell")
+    carry = cells.select(*by, "_cell", F.expr("lag(end) ignore nulls").over(order).alias("_below"), F.expr("lead(begin) ignore nulls").over(order).alias("_above"))
+    out = found.join(carry, [*by, "_cell"]).select(*by, F.col("_at").alias(x), F.coalesce("_lo", "_below").alias("_lo"), F.coalesce("_hi", "_above").alias("_hi"))
+    return probes.join(out, [*by, x]).select(*probes.columns, F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))
 
 
 def interp_linear(points: DataFrame, probes: DataFrame, by: list[str], width: float, x: str = "x", y: str = "y") -> DataFrame:
