@@ -1,44 +1,60 @@
 """Series lookups: bracketing joins with linear blends, nearest samples, conservative bins.
 
-bracket() finds the points around each probe. Points and the probes' distinct places are cut into buckets
-of the axis; windows sort one key's bucket at a time, a small table of buckets carries the nearest points
-over empty ones, and probes meet their places' brackets by an equi-join. So a key that holds most rows is
-still spread over tasks, and so is a place that holds most probes.
+bracket() finds the points around each probe. Points and probes are cut into buckets of the axis;
+windows sort one key's bucket at a time, and a small table of buckets carries the nearest points
+over empty ones. So a key that holds most rows is still spread over tasks. at_places() asks for each
+place once and joins probes with what was found, so that many probes of one place are spread too.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwake.operators.slices import blend
 
 
+def _rounded(value: Column, digits: int | None) -> Column:
+    """Rounded, and without a negative zero."""
+    return value if digits is None else F.round(value, digits) + F.lit(0.0)
+
+
 def bracket(points: DataFrame, probes: DataFrame, by: list[str], width: float, x: str = "x", y: str = "y") -> DataFrame:
     """probes with lo (the last point at or below) and hi (the first point above) as structs (x, y); probes without key or place are left out."""
     cell = F.floor(F.col(x) / width).alias("_cell")
     p = points.select(*by, cell, F.col(x), F.struct(F.col(x), F.col(y)).alias("_p"))
-    # probes of one place share their bracket: places are sorted, however many probes they have
-    places = probes.select(*by, x).distinct().select(*by, cell, x, F.lit(None).cast(p.schema["_p"].dataType).alias("_p"), F.col(x).alias("_at"))
-    both = p.withColumn("_at", F.lit(None).cast(places.schema["_at"].dataType)).unionByName(places)
-    for c in (*by, "_cell"):  # the joins below ask for it; here both uses of the union do, and share what is below it
+    row = F.struct(*[F.col(c) for c in probes.columns]).alias("_row")
+    q = probes.select(*by, cell, x, F.lit(None).cast(p.schema["_p"].dataType).alias("_p"), row)
+    both = p.withColumn("_row", F.lit(None).cast(q.schema["_row"].dataType)).unionByName(q)
+    for c in (*by, "_cell"):  # the join below asks for it; here both uses of the union do, and share what is below it
         both = both.where(F.col(c).isNotNull())
     point = F.col("_p").isNotNull()
     # points before probes of the same place; the nearest points of both sides in one order, each found once
     here = Window.partitionBy(*by, "_cell").orderBy(F.col(x), point.desc())
-    found = both.select("*", F.expr("lag(_p) ignore nulls").over(here).alias("_lo"), F.expr("lead(_p) ignore nulls").over(here).alias("_hi")).where(~point)
+    found = both.select("*", F.expr("lag(_p) ignore nulls").over(here).alias("lo"), F.expr("lead(_p) ignore nulls").over(here).alias("hi")).where(~point)
     at = F.when(point, F.col(x))
     cells = both.groupBy(*by, "_cell").agg(F.max_by("_p", at).alias("end"), F.min_by("_p", at).alias("begin"))
     order = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_cell")
-    carry = cells.select(*by, "_cell", F.expr("lag(end) ignore nulls").over(order).alias("_below"), F.expr("lead(begin) ignore nulls").over(order).alias("_above"))
-    out = found.join(carry, [*by, "_cell"]).select(*by, F.col("_at").alias(x), F.coalesce("_lo", "_below").alias("_lo"), F.coalesce("_hi", "_above").alias("_hi"))
-    return probes.join(out, [*by, x]).select(*probes.columns, F.col("_lo").alias("lo"), F.col("_hi").alias("hi"))
+    carry = cells.select(*by, "_cell", F.expr("lag(end) ignore nulls").over(order).alias("_lo"), F.expr("lead(begin) ignore nulls").over(order).alias("_hi"))
+    out = found.join(carry, [*by, "_cell"])
+    return out.select("_row.*", F.coalesce("lo", "_lo").alias("lo"), F.coalesce("hi", "_hi").alias("hi"))
+
+
+def at_places(probes: DataFrame, by: list[str], find: Callable[[DataFrame], DataFrame], x: str = "x") -> DataFrame:
+    """probes with the columns that find gives their distinct places (by, x), found once however many probes share one."""
+    return probes.join(find(probes.select(*by, x).distinct()), [*by, x])
 
 
-def interp_linear(points: DataFrame, probes: DataFrame, by: list[str], width: float, x: str = "x", y: str = "y") -> DataFrame:
-    """probes with y: linear between the points around, the end's value beyond them."""
-    at = bracket(points, probes, by, width, x, y)
-    return at.select(*probes.columns, blend(F.col(x), F.col("lo"), F.col("hi"), True, x, y).alias(y))
+def interp_linear(points: DataFrame, probes: DataFrame, by: list[str], width: float, x: str = "x", y: str = "y", digits: int | None = None) -> DataFrame:
+    """probes with y: linear between the points around, the end's value beyond them; rounded where digits are given."""
+
+    def find(places):
+        at = bracket(points, places, by, width, x, y)
+        return at.select(*by, x, _rounded(blend(F.col(x), F.col("lo"), F.col("hi"), True, x, y), digits).alias(y))
+
+    return at_places(probes, by, find, x).select(*probes.columns, y)
 
 
 def series_lookup(series: DataFrame, times: DataFrame, by: list[str], width: float, spread: bool = True) -> DataFrame:
@@ -50,12 +66,16 @@ def series_lookup(series: DataFrame, times: DataFrame, by: list[str], width: flo
     return at.select(*by, F.col("x").alias("time"), part("v").alias("value"), part("s").alias("sigma"))
 
 
-def align(points: DataFrame, probes: DataFrame, by: list[str], tolerance: float, x: str = "x", y: str = "y") -> DataFrame:
-    """probes with y of the nearest point within the tolerance (the lower one of two), else NULL."""
-    at = bracket(points, probes, by, max(tolerance * 4, 1e-12), x, y)
+def align(points: DataFrame, probes: DataFrame, by: list[str], tolerance: float, x: str = "x", y: str = "y", digits: int | None = None) -> DataFrame:
+    """probes with y of the nearest point within the tolerance (the lower one of two), else NULL; rounded where digits are given."""
     below, above = F.col(x) - F.col("lo")[x], F.col("hi")[x] - F.col(x)
     near = F.when(F.col("hi").isNull() | (below <= above), F.struct(below.alias("d"), F.col("lo")[y].alias("v"))).otherwise(F.struct(above.alias("d"), F.col("hi")[y].alias("v")))
-    return at.select(*probes.columns, F.when(near["d"] <= tolerance, near["v"]).alias(y))
+
+    def find(places):
+        at = bracket(points, places, by, max(tolerance * 4, 1e-12), x, y)
+        return at.select(*by, x, _rounded(F.when(near["d"] <= tolerance, near["v"]), digits).alias(y))
+
+    return at_places(probes, by, find, x).select(*probes.columns, y)
 
 
 def default_tolerance(points: DataFrame, by: list[str], x: str = "x") -> float:

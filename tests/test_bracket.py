@@ -93,3 +93,11 @@ def test_brackets_of_repeated_odd_places(spark, width):
     for i, (k, x) in enumerate(probes):
         xs = points.get(k, [])
         assert got[i] == (max((v for v in xs if v <= x), default=None), min((v for v in xs if v > x), default=None))
+    near = {r["i"]: r["y"] for r in series.align(p, q, ["k"], width, digits=0).collect()}
+    line = {r["i"]: r["y"] for r in series.interp_linear(p, q, ["k"], width, digits=0).collect()}
+    assert sorted(near) == sorted(line) == sorted(got)
+    for i, (k, x) in enumerate(probes):
+        xs = points.get(k, [])
+        d, v = min(((abs(v - x), v) for v in xs), default=(np.inf, None))
+        assert near[i] == (2 * v if d <= width else None)
+        assert line[i] is None if not xs else abs(line[i] - np.interp(x, xs, [2 * v for v in xs])) <= 0.5
